@@ -79,14 +79,16 @@ def embed(seq, insert, start) -> Column:
     return F.when(ok, placed).otherwise(F.raise_error(F.lit("insert out of bounds")).cast("string"))
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once per row: a lambda evaluates outer expressions again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def one_hot(seq) -> Column:
     """5 x L array over ACGTN, unknown characters count as N."""
     chars = F.split(F.regexp_replace(F.upper(_c(seq)), "[^ACGT]", "N"), "")
-    chars = F.filter(chars, lambda c: c != "")
-    return F.transform(
-        F.array(*[F.lit(b) for b in schema.BASES]),
-        lambda base: F.transform(chars, lambda c: F.when(c == base, 1.0).otherwise(0.0)),
-    )
+    return let(F.filter(chars, lambda c: c != ""), lambda cs: F.array(*[
+        F.transform(cs, lambda c: F.when(c == base, 1.0).otherwise(0.0)) for base in schema.BASES]))
 
 
 def interface_bounds(ls, le, rs, re, flank: int = schema.FLANK) -> tuple[Column, Column]:
@@ -99,6 +101,10 @@ def interface_bounds(ls, le, rs, re, flank: int = schema.FLANK) -> tuple[Column,
     return start, end
 
 
+def _inside(start: Column, end: Column):
+    return lambda p: F.when((p >= start) & (p < end), 1.0).otherwise(0.0)
+
+
 def region_masks(ls, le, rs, re, length: int = schema.WINDOW, flank: int = schema.FLANK) -> Column:
     """Overlap, gap, left inner and right inner masks as a 4 x L array."""
     ls, le, rs, re = map(_c, (ls, le, rs, re))
@@ -109,9 +115,8 @@ def region_masks(ls, le, rs, re, length: int = schema.WINDOW, flank: int = schem
         (rs, F.least(rs + flank, re)),
     ]
     positions = F.sequence(F.lit(0), F.lit(length - 1))
-    return F.array(*[
-        F.transform(positions, lambda p, a=a, b=b: F.when((p >= a) & (p < b), 1.0).otherwise(0.0)) for a, b in spans
-    ])
+    bound = F.array(*[x for span in spans for x in span])
+    return let(bound, lambda v: F.array(*[F.transform(positions, _inside(v[2 * i], v[2 * i + 1])) for i in range(4)]))
 
 
 _CODE = np.full(256, 4, dtype=np.int8)
@@ -176,11 +181,7 @@ def interface_tensor(seq, ls, le, rs, re, mask_core: bool = True, length: int =
     hot = one_hot(seq)
     if mask_core:
         apart = rs >= le
-        lo, hi = F.greatest(ls, rs), F.least(le, re)
-        spans = [
-            (ls, F.when(apart, le).otherwise(lo)),
-            (F.when(apart, rs).otherwise(hi), re),
-        ]
-        hot = F.transform(hot, lambda row: F.transform(row, lambda x, p: F.when(
-            ((p >= spans[0][0]) & (p < spans[0][1])) | ((p >= spans[1][0]) & (p < spans[1][1])), 0.0).otherwise(x)))
+        core = F.array(ls, F.when(apart, le).otherwise(F.greatest(ls, rs)), F.when(apart, rs).otherwise(F.least(le, re)), re)
+        hot = let(F.struct(core.alias("c"), hot.alias("h")), lambda v: F.transform(v["h"], lambda row: F.transform(
+            row, lambda x, p: F.when(((p >= v["c"][0]) & (p < v["c"][1])) | ((p >= v["c"][2]) & (p < v["c"][3])), 0.0).otherwise(x))))
     return F.concat(hot, shape_tracks(seq), region_masks(ls, le, rs, re, length))

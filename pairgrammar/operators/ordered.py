@@ -8,8 +8,6 @@ about 2^k rows there is no boundary and the plan is the plain window.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,46 +25,34 @@ def order_columns(order: Order) -> list[Column]:
     return [F.col(name).asc() if asc else F.col(name).desc() for name, asc in _keys([], order)]
 
 
-def _not_after(a, b, keys) -> Column:
-    """Whether key struct ``a`` sorts before or with ``b``."""
-    out = F.lit(True)
+def _not_after(a: str, b: str, keys) -> str:
+    """SQL test whether key struct ``a`` sorts before or with ``b``."""
+    out = "true"
     for name, asc in reversed(keys):
-        x, y = a[name], b[name]
-        out = ((x < y) if asc else (x > y)) | ((x == y) & out)
+        x, y = f"{a}.`{name}`", f"{b}.`{name}`"
+        out = f"({x} {'<' if asc else '>'} {y} OR ({x} = {y} AND {out}))"
     return out
 
 
 def with_ranges(df: DataFrame, by: list[str], order: Order, name: str = "_range", bits: int | None = None) -> DataFrame:
-    """Add an order-preserving range number per row."""
+    """Add an order-preserving range number per row. Sort keys must not be null."""
     keys = _keys(by, order)
-    row = F.struct(*[F.col(k).alias(k) for k, _ in keys])
-    hashed = F.xxhash64(*[F.col(k) for k, _ in keys])
-    picked = F.when(hashed.bitwiseAND((1 << (SAMPLE_BITS if bits is None else bits)) - 1) == 0, row)
-
-    def compare(a: Column, b: Column) -> Column:
-        return F.when(_not_after(a, b, keys), F.when(_not_after(b, a, keys), 0).otherwise(-1)).otherwise(1)
-
-    bounds = df.select(picked.alias("k")).filter("k is not null").agg(F.array_sort(F.collect_list("k"), compare).alias("b"))
-    step = F.greatest(F.ceil(F.size("b") / float(CHUNK * CHUNK)), F.lit(1)).cast("int")
-    thin = bounds.select(F.when(F.size("b") > 0, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("b"), F.lit(1)), step), lambda i: F.col("b")[i - 1])).alias("b"))
-    chunks = thin.select(F.when(F.size("b") > 0, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("b"), F.lit(1)), F.lit(CHUNK)),
-        lambda i: F.slice("b", i, F.lit(CHUNK)))).alias("c")).scalar()
+    row = "named_struct(" + ", ".join(f"'{k}', `{k}`" for k, _ in keys) + ")"
+    mask = (1 << (SAMPLE_BITS if bits is None else bits)) - 1
+    sampled = df.where(f"(xxhash64({', '.join(f'`{k}`' for k, _ in keys)}) & {mask}L) = 0").selectExpr(f"{row} AS k")
+    compare = f"CASE WHEN {_not_after('x', 'y', keys)} THEN CASE WHEN {_not_after('y', 'x', keys)} THEN 0 ELSE -1 END ELSE 1 END"
+    bounds = sampled.agg(F.expr(f"array_sort(collect_list(k), (x, y) -> {compare})").alias("b"))
+    thin = bounds.selectExpr(
+        f"CASE WHEN size(b) > 0 THEN transform(sequence(1, greatest(size(b), 1), greatest(cast(ceil(size(b) / {CHUNK * CHUNK}.0) as int), 1)), i -> b[i - 1]) END AS b")
+    chunks = thin.selectExpr(f"CASE WHEN b IS NOT NULL THEN transform(sequence(1, size(b), {CHUNK}), i -> slice(b, i, {CHUNK})) END AS c").scalar()
 
-    out = df.withColumn("_chunks", chunks).withColumn("_key", row)
-    coarse = F.size(F.filter("_chunks", lambda c: _not_after(c[0], F.col("_key"), keys)))
-    fine = F.size(F.filter(F.get(F.col("_chunks"), F.col("_coarse") - 1), lambda b: _not_after(b, F.col("_key"), keys)))
-    out = out.withColumn("_coarse", F.when(F.col("_chunks").isNull(), 0).otherwise(coarse))
-    number = F.when(F.col("_coarse") == 0, 0).otherwise((F.col("_coarse") - 1) * CHUNK + fine)
-    return out.withColumn(name, number).drop("_chunks", "_key", "_coarse")
+    out = df.select("*", chunks.alias("_chunks"), F.expr(row).alias("_key"))
+    out = out.selectExpr("*", f"CASE WHEN _chunks IS NULL THEN 0 ELSE size(filter(_chunks, c -> {_not_after('c[0]', '_key', keys)})) END AS _coarse")
+    number = f"CASE WHEN _coarse = 0 THEN 0 ELSE (_coarse - 1) * {CHUNK} + size(filter(_chunks[_coarse - 1], b -> {_not_after('b', '_key', keys)})) END"
+    return out.select(*df.columns, F.expr(number).alias(name))
 
 
-_COMBINE = {
-    "sum": lambda a, b: a + b,
-    "max": F.greatest,
-    "min": F.least,
-}
+_COMBINE = {"sum": "{0} + {1}", "max": "greatest({0}, {1})", "min": "least({0}, {1})"}
 
 
 def running(
@@ -81,25 +67,24 @@ def running(
 
     ``measures`` maps a result name to (kind, column). ``exclusive`` leaves the row itself out.
     """
-    names = list(measures)
+    kinds = [k for k, _ in measures.values()]
     ranged = with_ranges(df, by, order, bits=bits).select("*", *[c.alias(f"_m{i}") for i, (_, c) in enumerate(measures.values())])
     part = [*by, "_range"]
     frame = Window.partitionBy(*part).orderBy(*order_columns(order)).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    kinds = [k for k, _ in measures.values()]
-    agg = {"sum": F.sum, "max": F.max, "min": F.min}
-
-    local = ranged.select("*", *[agg[k](f"_m{i}").over(frame).alias(f"_l{i}") for i, k in enumerate(kinds)])
-    totals = ranged.groupBy(*part).agg(*[agg[k](f"_m{i}").alias(f"_t{i}") for i, k in enumerate(kinds)])
-    shifts = totals.select(*part, *[agg[k](f"_t{i}").over(before).alias(f"_o{i}") for i, k in enumerate(kinds)])
-    out = local.join(shifts, part, "left")
-
-    def merged(i: int, kind: str) -> Column:
-        here, prior = F.col(f"_l{i}"), F.col(f"_o{i}")
-        both = _COMBINE[kind](here, prior)
-        return F.when(here.isNull(), prior).when(prior.isNull(), here).otherwise(both)
-
-    return out.select(*df.columns, *[merged(i, k).alias(n) for i, (n, k) in enumerate(zip(names, kinds))])
+    before = Window.partitionBy(*[f"_k{i}" for i in range(len(by))]).orderBy("_k_range").rowsBetween(Window.unboundedPreceding, -1)
+
+    local = ranged.select("*", *[F.expr(f"{k}(_m{i})").over(frame).alias(f"_l{i}") for i, k in enumerate(kinds)])
+    groups = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)] + [F.col("_range").alias("_k_range")]
+    totals = ranged.groupBy(*groups).agg(*[F.expr(f"{k}(_m{i})").alias(f"_t{i}") for i, k in enumerate(kinds)])
+    keys = [*[f"_k{i}" for i in range(len(by))], "_k_range"]
+    shifts = totals.select(*keys, *[F.expr(f"{k}(_t{i})").over(before).alias(f"_o{i}") for i, k in enumerate(kinds)])
+    # null-safe keys: groups may be null, and no extra filter splits the two reads of one shuffle
+    same = " AND ".join([f"`{c}` <=> _k{i}" for i, c in enumerate(by)] + ["_range <=> _k_range"])
+    out = local.join(shifts, F.expr(same), "left")
+    merged = [
+        F.expr(f"CASE WHEN _l{i} IS NULL THEN _o{i} WHEN _o{i} IS NULL THEN _l{i} ELSE {_COMBINE[k].format(f'_l{i}', f'_o{i}')} END").alias(n)
+        for i, (n, k) in enumerate(zip(measures, kinds))]
+    return out.select(*df.columns, *merged)
 
 
 def ranked(df: DataFrame, by: list[str], order: Order, name: str, bits: int | None = None) -> DataFrame:
@@ -119,7 +104,3 @@ def dedupe(df: DataFrame, key: list[str], order: Order, keep: str = "first") ->
     if keep == "last":
         order = [o[1:] if o.startswith("-") else f"-{o}" for o in order]
     return top_per_group(df, key, order, 1)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

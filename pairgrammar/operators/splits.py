@@ -130,7 +130,7 @@ def competition_split(df: DataFrame, group: str) -> DataFrame:
 
 def label_key(group, label) -> Column:
     """``group::label::value`` with the label printed as a float."""
-    text = F.format_number(_c(label), "0.0")
+    text = _c(label).cast("double").cast("string")
     return F.when(_c(label).isNull(), _c(group)).otherwise(F.concat(_c(group), F.lit("::label::"), text))
 
 

@@ -86,7 +86,7 @@ def main():
         sf = args[i + 1]
         del args[i:i + 2]
     from pyspark.sql import SparkSession
-    SparkSession.builder.config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g")
+    SparkSession.builder.config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g").config("spark.sql.execution.arrow.pyspark.enabled", "true")
     spark = build_session("compare", "local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
