@@ -192,7 +192,7 @@ def replicates(spark, sf) -> DataFrame:
     group = F.concat(F.when(part % 97 == 0, "ENSG").otherwise("EL"), part.cast("string"))
     return table(spark, sf, "lineitem").select(
         F.concat(group, F.when(F.col("l_returnflag") == "R", "_Reversed:").otherwise("")).alias("name"),
-        F.col("l_linenumber").cast("long").alias("replicate"), F.log2("l_extendedprice").alias("log2"), (F.col("l_extendedprice") / 1000).alias("ratio"),
+        F.col("l_linenumber").cast("long").alias("replicate"), F.log2("l_extendedprice").alias("log2"), (F.col("l_extendedprice") / 1013).alias("ratio"),
         F.col("l_quantity").cast("long").alias("n_obs_bc"), F.concat(F.lit("chr"), (part % 22 + 1).cast("string")).alias("chromosome"),
         (part * 1000).alias("region_start"), (part * 1000 + 200).alias("region_end"), F.col("l_discount").alias("activity_score"))
 
@@ -291,7 +291,7 @@ SQL: dict[str, tuple[list[str], str]] = {
     "line_scores": ([], f"SELECT {_LK} AS seq_id, CASE WHEN l_returnflag='R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, round(CASE WHEN l_returnflag='R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END*0.2::DOUBLE + {_u(_LK)}*0.8::DOUBLE,4) AS score, l_linestatus AS stratum, l_shipdate AS shipped FROM lineitem"),
     "states": ([], "SELECT vec_id, 'src'||(vec_id%20) AS state_label, label, embedding[1:16]::DOUBLE[] AS availability, embedding[17:48]::DOUBLE[] AS state FROM embeddings"),
     "replicates": ([], """SELECT (CASE WHEN l_partkey%97=0 THEN 'ENSG' ELSE 'EL' END)||l_partkey||(CASE WHEN l_returnflag='R' THEN '_Reversed:' ELSE '' END) AS name, (CASE WHEN l_partkey%97=0 THEN 'ENSG' ELSE 'EL' END)||l_partkey AS element_group, l_returnflag='R' AS is_reverse,
-      CAST(l_linenumber AS BIGINT) AS replicate, log2(l_extendedprice) AS log2, l_extendedprice/1000 AS ratio, CAST(l_quantity AS BIGINT) AS n_obs_bc, 'chr'||(l_partkey%22+1) AS chromosome, l_partkey*1000 AS region_start, l_partkey*1000+200 AS region_end, l_discount AS activity_score FROM lineitem"""),
+      CAST(l_linenumber AS BIGINT) AS replicate, log2(l_extendedprice) AS log2, l_extendedprice/1013 AS ratio, CAST(l_quantity AS BIGINT) AS n_obs_bc, 'chr'||(l_partkey%22+1) AS chromosome, l_partkey*1000 AS region_start, l_partkey*1000+200 AS region_end, l_discount AS activity_score FROM lineitem"""),
     "competition": ([], f"SELECT 'lib'||(o_custkey%3) AS library_name, o_orderstatus AS actual_state, 'c'||o_custkey AS competition_group, o_totalprice AS activity_score, o_orderkey AS crs, CASE WHEN {_b(repr('ev') + '||o_orderkey', 10)} < 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS evidence, o_orderpriority AS priority FROM orders"),
 }
 
