@@ -80,8 +80,10 @@ def leading_code(value) -> Column:
 
 
 def platform_reference(value) -> tuple[Column, Column]:
-    """Platform and reference around the first underscore."""
-    return or_null(F.regexp_extract(_c(value), r"^([^_]+)_", 1)), or_null(F.regexp_extract(_c(value), r"^[^_]+_(.*)$", 1))
+    """Platform and reference around the first underscore; without one the whole text is the platform."""
+    text = F.trim(_c(value))
+    platform = or_null(F.regexp_extract(text, r"^([^_]+)_.", 1))
+    return F.coalesce(platform, text), F.regexp_extract(text, r"^[^_]+_(.+)$", 1)
 
 
 def trailing_number(value) -> Column:
@@ -158,55 +160,78 @@ def prediction_projections(df: DataFrame) -> DataFrame:
     )
 
 
-def parse_curated_pairs(df: DataFrame) -> DataFrame:
-    """Pair sheet to TF names and round-specific file names."""
-    left, right = F.split("hgnc_pair", "_")[0], F.get(F.split("hgnc_pair", "_"), F.lit(1))
+def _file_name(*parts) -> Column:
+    return F.concat(*[F.coalesce(_c(p), F.lit("")) if isinstance(p, str) else p for p in parts], F.lit("_sig.seq"))
 
-    def file_name(side: str) -> Column:
-        prefix, plate, rnd = (F.col(f"tf{side}_{part}") for part in ("seq_prefix", "plate", "round"))
-        return F.when(
-            F.coalesce(prefix, F.lit("")) != "",
-            F.concat(prefix, F.coalesce(plate, F.lit("")), F.coalesce(rnd, F.lit("")), F.lit("_sig.seq")),
-        ).otherwise("")
 
+def parse_curated_pairs(df: DataFrame) -> DataFrame:
+    """Pair sheet to TF names and round-specific file names (right one blank without a prefix)."""
+    left, right = F.split("hgnc_pair", "_")[0], F.get(F.split("hgnc_pair", "_"), F.lit(1))
+    has_right = F.coalesce("tf2_seq_prefix", F.lit("")) != ""
     return df.select(
         "*",
         F.col("hgnc_pair").contains("_").alias("is_pair"),
         left.alias("left_tf"),
         F.coalesce(right, left).alias("right_tf"),
-        file_name("1").alias("left_seq_file"),
-        file_name("2").alias("right_seq_file"),
+        _file_name("tf1_seq_prefix", "tf1_plate", "tf1_round").alias("left_seq_file"),
+        F.when(has_right, _file_name("tf2_seq_prefix", "tf2_plate", "tf2_round")).otherwise("").alias("right_seq_file"),
     )
 
 
 def parse_batch_pairs(df: DataFrame) -> DataFrame:
-    """Batch sheet (HGNC, Barcode, Batch) to TF names and the pair file."""
-    left, right = F.split("HGNC", "_")[0], F.get(F.split("HGNC", "_"), F.lit(1))
-    return df.select(
-        F.col("HGNC").alias("hgnc_pair"),
-        F.col("Barcode").alias("barcode"),
-        F.col("Batch").alias("batch"),
-        left.alias("left_tf"),
-        F.coalesce(right, left).alias("right_tf"),
-        F.concat("Batch", F.lit("_"), "Barcode", F.lit("_sig.seq")).alias("pair_seq_file"),
+    """Batch sheet (HGNC, Barcode, Batch) to TF names and the pair file; single names drop out."""
+    parts = F.split("HGNC", "_")
+    return df.filter(F.col("HGNC").contains("_")).select(
+        F.col("HGNC").alias("hgnc_pair"), parts[0].alias("left_tf"), parts[1].alias("right_tf"),
+        F.col("Barcode").alias("pair_seq_prefix"), F.col("Batch").alias("pair_plate"),
+        _file_name("Barcode", "Batch", F.lit("3u")).alias("pair_seq_file"),
     )
 
 
+def parse_run_names(df: DataFrame, name: str = "file_name") -> tuple[DataFrame, DataFrame]:
+    """Five-token run names to pair, round, plate and file; the second frame holds the malformed ones."""
+    stem = F.regexp_replace(F.trim(F.col(name)), r"\.fastq\.gz$", "")
+    t = df.withColumn("_t", F.split(stem, "_"))
+    ok = (F.size("_t") == 5) & F.coalesce(F.get("_t", F.lit(2)).rlike("^[0-9]+$"), F.lit(False))
+    at = [F.get("_t", F.lit(i)) for i in range(5)]
+    rnd = at[2].cast("int")
+    good = t.filter(ok).select(
+        *df.columns, F.concat_ws("_", at[0], at[1]).alias("pair_name"), at[0].alias("left_tf"), at[1].alias("right_tf"), pair_key(at[0], at[1]).alias("pair_key"),
+        rnd.alias("round_index"), F.concat(rnd.cast("string"), F.lit("u")).alias("round_label"), at[3].alias("plate"), at[4].alias("seq_prefix"),
+        F.concat(at[4], at[3], rnd.cast("string"), F.lit("u_sig.seq")).alias("sig_file_name"))
+    return good, t.filter(~ok).drop("_t")
+
+
+def download_url(value) -> Column:
+    """Any scheme to https, blank stays blank."""
+    v = F.trim(F.coalesce(_c(value), F.lit("")))
+    return F.when(v == "", "").when(v.rlike("^https?://"), v).otherwise(F.concat(F.lit("https://"), F.regexp_replace(v, "^ftp://", "")))
+
+
+def run_file_name(submitted, fastq, title) -> Column:
+    """Base name of the submitted or FASTQ file, else the name in the experiment title."""
+    path = coalesce_nonblank(submitted, fastq)
+    base = F.element_at(F.split(path, "/"), -1)
+    named = F.regexp_extract(_c(title), r"Raw reads:\s*([A-Za-z0-9._-]+)$", 1)
+    return F.when(base != "", base).when(named != "", F.concat(named, F.lit(".fastq.gz"))).otherwise("")
+
+
 def derive_labels(df: DataFrame) -> DataFrame:
-    """Label, phase and split group from the columns that are present."""
+    """Fill label, phase, split group and defaults when their columns are absent."""
     have = set(df.columns)
-    sources = [c for c in ("label", "usage_label", "occupancy_label", "functional_label") if c in have]
-    if not sources:
-        raise ValueError("no label, usage_label, occupancy_label or functional_label column")
-    groups = [c for c in ("split_group", "chromosome", "state_label", "seq_id") if c in have]
-    phase = (
-        F.when(F.coalesce("functional_label", F.lit(0.0)) > 0, "phase5").otherwise("phase4")
-        if "functional_label" in have else F.lit("phase4")
-    )
-    if "phase" in have:
-        phase = F.coalesce("phase", phase)
-    out = df.withColumn("label", F.coalesce(*[F.col(c).cast("double") for c in sources]))
-    return out.withColumn("phase", phase).withColumn("split_group", F.coalesce(*[F.col(c).cast("string") for c in groups]))
+    out = df
+    if "label" not in have:
+        found = [c for c in ("usage_label", "occupancy_label", "functional_label") if c in have]
+        if not found:
+            raise ValueError("no label, usage_label, occupancy_label or functional_label column")
+        out = out.withColumn("label", F.col(found[0]).cast("double"))
+    if "phase" not in have:
+        positive = F.coalesce(F.col("functional_label").cast("double"), F.lit(0.0)) > 0 if "functional_label" in have else F.lit(False)
+        out = out.withColumn("phase", F.when(positive, "phase5").otherwise("phase4"))
+    if "split_group" not in have:
+        out = out.withColumn("split_group", F.col("tf_pair_label" if "tf_pair_label" in have else "seq_id"))
+    defaults = {"composite_label": F.lit(0.0), "source_dataset": F.lit("state_layer"), "element_type": F.lit("state_usage")}
+    return out.withColumns({n: c for n, c in defaults.items() if n not in have})
 
 
 def pack_vector(df: DataFrame, prefix: str, width: int, name: str) -> DataFrame:
@@ -224,20 +249,36 @@ def unpack_vector(df: DataFrame, name: str, prefix: str, width: int) -> DataFram
     return df.select("*", *[F.coalesce(F.get(F.col(name), F.lit(i)), F.lit(0.0)).alias(f"{prefix}_{i}") for i in range(width)]).drop(name)
 
 
+def _imputed() -> Column:
+    return F.lower(F.coalesce("construction_mode", F.lit(""))).contains("imputed")
+
+
 def exclude_imputed(df: DataFrame) -> DataFrame:
     """Keep rows whose construction is not imputed."""
-    return df.filter(~F.coalesce(F.col("construction_mode"), F.lit("")).startswith("imputed"))
+    return df.filter(~_imputed())
 
 
 def imputed_counts(df: DataFrame) -> DataFrame:
     """Rows kept and excluded per phase."""
-    imputed = F.coalesce(F.col("construction_mode"), F.lit("")).startswith("imputed")
-    return df.groupBy("phase").agg(F.count_if(imputed).alias("excluded"), F.count_if(~imputed).alias("kept"))
+    return df.groupBy("phase").agg(F.count_if(_imputed()).alias("excluded"), F.count_if(~_imputed()).alias("kept"))
+
+
+def keep_observed(df: DataFrame) -> DataFrame:
+    """Observed constructions only."""
+    return df.filter(F.col("construction_mode").startswith("observed"))
 
 
 def calibration_set(df: DataFrame) -> DataFrame:
-    """Observed monomer rows used for calibration."""
-    return df.filter(F.col("construction_mode").startswith("observed_monomer"))
+    """Non-composite monomer or usage rows that name one TF or are negative."""
+    out = df
+    if "element_type" in df.columns:
+        out = out.filter(F.lower("element_type").rlike("monomer|state_usage"))
+    if "composite_label" in df.columns:
+        out = out.filter(F.coalesce("composite_label", F.lit(0.0)) <= 0)
+    if "tf_pair_label" in df.columns:
+        tokens = F.array_distinct(F.filter(F.split("tf_pair_label", "::"), lambda t: t != ""))
+        out = out.filter((F.size(tokens) <= 1) | (F.col("label") <= 0))
+    return out
 
 
 def map_symbols(df: DataFrame, lookup: DataFrame, source: str, target: str, aliases: dict[str, str] | None = None) -> DataFrame:

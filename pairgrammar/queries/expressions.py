@@ -28,18 +28,18 @@ def _curated(spark, sf):
     return views.table(spark, sf, "part").select(
         F.when(size % 3 == 0, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit("_"), "p_type")).alias("hgnc_pair"),
         F.when(size % 4 == 0, "").otherwise(F.concat(F.lit("pre"), size.cast("string"))).alias("tf1_seq_prefix"), F.lit("P1").alias("tf1_plate"), F.lit("3u").alias("tf1_round"),
-        F.concat(F.lit("q"), size.cast("string")).alias("tf2_seq_prefix"), F.lit("P2").alias("tf2_plate"), F.lit("4u").alias("tf2_round"), F.col("p_partkey").alias("id"))
+        F.when(size % 6 == 0, "").otherwise(F.concat(F.lit("q"), size.cast("string"))).alias("tf2_seq_prefix"), F.lit("P2").alias("tf2_plate"), F.lit("4u").alias("tf2_round"), F.col("p_partkey").alias("id"))
 
 
 @query("curated_pair_sheet", """
   SELECT id, hgnc_pair, contains(hgnc_pair,'_') AS is_pair, string_split(hgnc_pair,'_')[1] AS left_tf, coalesce(string_split(hgnc_pair,'_')[2], string_split(hgnc_pair,'_')[1]) AS right_tf,
-    CASE WHEN pre<>'' THEN pre||'P13u_sig.seq' ELSE '' END AS left_seq_file, 'q'||p_size||'P24u_sig.seq' AS right_seq_file
+    pre||'P13u_sig.seq' AS left_seq_file, CASE WHEN p_size%6=0 THEN '' ELSE 'q'||p_size||'P24u_sig.seq' END AS right_seq_file
   FROM (SELECT p_partkey AS id, p_size, CASE WHEN p_size%3=0 THEN p_brand ELSE p_brand||'_'||p_type END AS hgnc_pair, CASE WHEN p_size%4=0 THEN '' ELSE 'pre'||p_size END AS pre FROM part)""")
 def curated_pair_sheet(spark, sf):
     return K.parse_curated_pairs(_curated(spark, sf)).select("id", "hgnc_pair", "is_pair", "left_tf", "right_tf", "left_seq_file", "right_seq_file")
 
 
-@query("batch_pair_sheet", """SELECT p_brand||'_'||p_type AS hgnc_pair, 'BC'||p_partkey AS barcode, 'B'||(p_size%7) AS batch, p_brand AS left_tf, p_type AS right_tf, 'B'||(p_size%7)||'_BC'||p_partkey||'_sig.seq' AS pair_seq_file FROM part""")
+@query("batch_pair_sheet", """SELECT p_brand||'_'||p_type AS hgnc_pair, p_brand AS left_tf, p_type AS right_tf, 'BC'||p_partkey AS pair_seq_prefix, 'B'||(p_size%7) AS pair_plate, 'BC'||p_partkey||'B'||(p_size%7)||'3u_sig.seq' AS pair_seq_file FROM part""")
 def batch_pair_sheet(spark, sf):
     raw = views.table(spark, sf, "part").select(
         F.concat("p_brand", F.lit("_"), "p_type").alias("HGNC"), F.concat(F.lit("BC"), F.col("p_partkey").cast("string")).alias("Barcode"),
@@ -47,10 +47,9 @@ def batch_pair_sheet(spark, sf):
     return K.parse_batch_pairs(raw)
 
 
-@query("regex_extraction", """SELECT p_partkey, CAST(nullif(regexp_extract(p_size||'-'||p_type,'^\\s*(-?\\d+)',1),'') AS BIGINT) AS code, nullif(regexp_extract(p_type||'_'||p_brand||'_x','^([^_]+)_',1),'') AS platform,
-  nullif(regexp_extract(p_type||'_'||p_brand||'_x','^[^_]+_(.*)$',1),'') AS reference, CAST(nullif(regexp_extract(p_brand,'(\\d+)$',1),'') AS BIGINT) AS tag FROM part""")
+@query("regex_extraction", """SELECT p_partkey, CAST(nullif(regexp_extract(p_size||'-'||p_type,'^\\s*(-?\\d+)',1),'') AS BIGINT) AS code, CASE WHEN p_size%4=0 THEN p_type ELSE p_type END AS platform, CASE WHEN p_size%4=0 THEN '' ELSE p_brand||'_x' END AS reference, CAST(nullif(regexp_extract(p_brand,'(\\d+)$',1),'') AS BIGINT) AS tag FROM part""")
 def regex_extraction(spark, sf):
-    platform, ref = K.platform_reference(F.concat("p_type", F.lit("_"), "p_brand", F.lit("_x")))
+    platform, ref = K.platform_reference(F.when(F.col("p_size") % 4 == 0, F.col("p_type")).otherwise(F.concat("p_type", F.lit("_"), "p_brand", F.lit("_x"))))
     return views.table(spark, sf, "part").select(
         "p_partkey", K.leading_code(F.concat(F.col("p_size").cast("string"), F.lit("-"), "p_type")).cast("long").alias("code"), platform.alias("platform"), ref.alias("reference"),
         K.trailing_number("p_brand").cast("long").alias("tag"))
@@ -227,11 +226,10 @@ def coalesce_nonblank(spark, sf):
     return views.tf_master(spark, sf).select("tf_id", K.coalesce_nonblank("family", "paralog_group", "subfamily").alias("family"))
 
 
-@query("derive_labels", """SELECT seq_id, coalesce(usage_label, functional_label) AS label, CASE WHEN coalesce(functional_label,0)>0 THEN 'phase5' ELSE 'phase4' END AS phase, state_label AS split_group FROM (
-  SELECT seq_id, state_label, CASE WHEN full_score>0.5 THEN label END AS usage_label, composite_label AS functional_label FROM predictions)""", ("predictions",))
+@query("derive_labels", """SELECT seq_id, CASE WHEN full_score>0.5 THEN label END AS label, CASE WHEN composite_label>0 THEN 'phase5' ELSE 'phase4' END AS phase, tf_pair_label AS split_group, 0.0::DOUBLE AS composite_label, 'state_layer' AS source_dataset FROM predictions""", ("predictions",))
 def derive_labels(spark, sf):
-    base = views.predictions(spark, sf).select("seq_id", "state_label", F.when(F.col("full_score") > 0.5, F.col("label")).alias("usage_label"), F.col("composite_label").alias("functional_label"))
-    return K.derive_labels(base).select("seq_id", "label", "phase", "split_group")
+    base = views.predictions(spark, sf).select("seq_id", "tf_pair_label", F.when(F.col("full_score") > 0.5, F.col("label")).alias("usage_label"), F.col("composite_label").alias("functional_label"))
+    return K.derive_labels(base).select("seq_id", "label", "phase", "split_group", "composite_label", "source_dataset")
 
 
 @query("vector_columns", "SELECT vec_id, " + ", ".join(f"round(coalesce(CASE WHEN {i}<>3 AND {i}<4 THEN availability[{i + 1}] END,0),6) AS a_{i}" for i in range(6)) + " FROM states", ("states",))
@@ -241,7 +239,7 @@ def vector_columns(spark, sf):
     return rounded(K.unpack_vector(packed, "v", "a", 6))
 
 
-@query("imputed_filter", "SELECT phase, count(*) FILTER (construction_mode LIKE 'imputed%') AS excluded, count(*) FILTER (construction_mode NOT LIKE 'imputed%') AS kept, count(*) FILTER (construction_mode LIKE 'observed_monomer%') AS calibration FROM windows GROUP BY 1", ("windows",))
+@query("imputed_filter", "SELECT phase, count(*) FILTER (construction_mode LIKE 'imputed%') AS excluded, count(*) FILTER (construction_mode NOT LIKE 'imputed%') AS kept, count(*) FILTER (left_tf=right_tf OR label<=0) AS calibration FROM windows GROUP BY 1", ("windows",))
 def imputed_filter(spark, sf):
     w = views.windows(spark, sf)
     cal = K.calibration_set(w).groupBy("phase").agg(F.count("*").alias("calibration"))
@@ -274,3 +272,30 @@ def prediction_labels(spark, sf):
 @query("literal_grid", "SELECT gap, split_name, count(*) AS n FROM predictions_small, (SELECT unnest([-4,0,6,12,20]) AS gap), (SELECT unnest(['default','unseen_pair']) AS split_name) GROUP BY 1,2".replace("predictions_small", "(SELECT seq_id FROM predictions)"), ("predictions",))
 def literal_grid(spark, sf):
     return grid(views.predictions(spark, sf).select("seq_id"), gap=[-4, 0, 6, 12, 20], split_name=["default", "unseen_pair"]).groupBy(F.col("gap").cast("long").alias("gap"), "split_name").agg(F.count("*").alias("n"))
+
+
+@query("run_names", """SELECT p_partkey, p_brand||'_'||p_type AS pair_name, least(p_brand,p_type)||'::'||greatest(p_brand,p_type) AS pair_key, (p_size%5)::BIGINT AS round_index, (p_size%5)||'u' AS round_label, 'PL1' AS plate, 'S'||p_partkey AS seq_prefix, 'S'||p_partkey||'PL1'||(p_size%5)||'u_sig.seq' AS sig_file_name FROM part WHERE p_size%10<>0""")
+def run_names(spark, sf):
+    return _run_names(spark, sf)[0].select("p_partkey", "pair_name", "pair_key", F.col("round_index").cast("long").alias("round_index"), "round_label", "plate", "seq_prefix", "sig_file_name")
+
+
+def _run_names(spark, sf):
+    """Run names of every part; sizes divisible by ten get a malformed round."""
+    rnd = F.when(F.col("p_size") % 10 == 0, "x").otherwise((F.col("p_size") % 5).cast("string"))
+    name = F.concat_ws("_", "p_brand", "p_type", rnd, F.lit("PL1"), F.concat(F.lit("S"), F.col("p_partkey").cast("string")))
+    return K.parse_run_names(views.table(spark, sf, "part").select("p_partkey", F.concat(name, F.lit(".fastq.gz")).alias("file_name")))
+
+
+@query("malformed_run_names", "SELECT p_partkey FROM part WHERE p_size%10=0")
+def malformed_run_names(spark, sf):
+    return _run_names(spark, sf)[1].select("p_partkey")
+
+
+@query("download_urls", """SELECT page_id, CASE WHEN page_id%3=0 THEN '' WHEN page_id%3=1 THEN 'https://'||regexp_replace(url,'^https?://','') ELSE url END AS u, CASE WHEN page_id%2=0 THEN 'run'||page_id||'.fastq.gz' ELSE 'x'||page_id||'.bam' END AS f FROM pages""")
+def download_urls(spark, sf):
+    bare = F.regexp_replace("url", "^https?://", "")
+    raw = F.when(F.col("page_id") % 3 == 0, " ").when(F.col("page_id") % 3 == 1, F.concat(F.lit("ftp://"), bare)).otherwise(F.col("url"))
+    sub = F.when(F.col("page_id") % 2 == 0, "").otherwise(F.concat(F.lit("ftp/a/x"), F.col("page_id").cast("string"), F.lit(".bam")))
+    title = F.concat(F.lit("Raw reads: run"), F.col("page_id").cast("string"))
+    p = views.table(spark, sf, "pages").select("page_id", "url", raw.alias("raw"), sub.alias("sub"), title.alias("title"))
+    return p.select("page_id", K.download_url("raw").alias("u"), K.run_file_name("sub", F.lit(""), "title").alias("f"))
