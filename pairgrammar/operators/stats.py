@@ -269,3 +269,35 @@ def state_blocked_effect(scored: DataFrame, positive: str, negative: str, value:
         (F.col("positive_mean") - F.col("negative_mean")).alias("effect"), F.try_divide("positive_mean", "negative_mean").alias("effect_ratio"),
         "bs.bootstrap_ci_low", "bs.bootstrap_ci_high", F.col("pm.permutation_p_value").alias("permutation_p_value"),
         F.col("mw.p_value").alias("mann_whitney_p_value"), "jk.jackknife_min_effect", "jk.jackknife_positive_fraction")
+
+
+def _both_metrics(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """AUPRC and AUROC of columns ``m`` and ``b`` per group, one row per metric."""
+    extra = [weight] if weight else []
+    long = df.select(*by, "label", *extra, F.explode(F.array(F.struct(F.lit("m").alias("k"), F.col("m").alias("s")), F.struct(F.lit("b").alias("k"), F.col("b").alias("s")))).alias("x"))
+    per = ranking_metrics(long.select(*by, "label", *extra, "x.k", "x.s"), "label", "s", [*by, "k"], weight)
+    tall = per.select(*by, "k", F.explode(F.array(*[F.struct(F.lit(n).alias("metric_name"), F.col(n).alias("v")) for n in ("auprc", "auroc")])).alias("e")).select(*by, "k", "e.*")
+    pick = lambda k: F.max(F.when(F.col("k") == k, F.col("v")))
+    return tall.groupBy(*by, "metric_name").agg(pick("m").alias("model_metric"), pick("b").alias("baseline_metric"))
+
+
+def paired_tests(df: DataFrame, by: list[str], n_bootstrap: int = 5000, n_permutations: int = 5000, seed: int = 11, tie: str = "seq_id") -> DataFrame:
+    """E6 + E7 for many comparisons at once. ``df``: by, seq_id, label, model score ``m``, baseline score ``b``."""
+    rows = df.select(*by, tie, "label", "m", "b").dropna()
+    observed = _both_metrics(rows, by).withColumn("observed_diff", F.col("model_metric") - F.col("baseline_metric"))
+    keys = [*by, "metric_name"]
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    draws = explode_range(sizes.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_bootstrap)))), F.lit(0), F.col("_n") - 1, "_i")
+    counts = draws.select(*by, "replicate", draw(F.col("_n"), F.lit(seed), "replicate", "_i").alias("_row")).groupBy(*by, "replicate", "_row").agg(F.count("*").alias("_w"))
+    resampled = counts.join(_indexed(rows, tie, by), [*by, "_row"])
+    boot = _both_metrics(resampled, [*by, "replicate"], "_w").select(*keys, (F.col("model_metric") - F.col("baseline_metric")).alias("d"))
+    swap = draw(2, F.lit(seed), "replicate", tie) == 1
+    swapped = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_permutations)))).withColumns({
+        "_a": F.when(swap, F.col("b")).otherwise(F.col("m")), "_b": F.when(swap, F.col("m")).otherwise(F.col("b"))})
+    perm = _both_metrics(swapped.select(*by, "replicate", "label", F.col("_a").alias("m"), F.col("_b").alias("b")), [*by, "replicate"]).select(*keys, (F.col("model_metric") - F.col("baseline_metric")).alias("d"))
+    obs = observed.select(*keys, "observed_diff")
+    d = F.coalesce("d", "observed_diff")
+    boot = boot.join(obs, keys).groupBy(*keys).agg(
+        F.percentile(d, F.lit(0.025)).alias("ci_low"), F.percentile(d, F.lit(0.975)).alias("ci_high"), ((F.count_if(d <= 0) + 1) / (F.count("*") + 1)).alias("bootstrap_p_value"))
+    perm = perm.join(obs, keys).groupBy(*keys).agg(((F.count_if(F.col("d") >= F.col("observed_diff") - 1e-12) + 1) / (F.count("*") + 1)).alias("permutation_p_value"))
+    return observed.join(boot, keys).join(perm, keys)
