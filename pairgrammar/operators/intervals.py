@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairgrammar.session import cut_lineage
+
 BIN = 100_000
 
 
@@ -53,6 +55,7 @@ def overlap_flags(rows: DataFrame, peaks: DataFrame, bin_size: int = BIN) -> Dat
     ``rows``: seq_id, chromosome, region_start, region_end, left_tf, right_tf.
     ``peaks``: gene, chromosome, start, end (merged per gene and chromosome).
     """
+    peaks, rows = cut_lineage(peaks), cut_lineage(rows)
     sides = rows.select(
         "chromosome", "region_start", "region_end",
         F.explode(F.array("left_tf", "right_tf")).alias("gene")).distinct()

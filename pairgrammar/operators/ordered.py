@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairgrammar.session import cut_lineage
+
 Order = list  # column names; a leading "-" means descending
 
 SAMPLE_BITS = 20
@@ -68,6 +70,7 @@ def running(
     ``measures`` maps a result name to (kind, column). ``exclusive`` leaves the row itself out.
     """
     kinds = [k for k, _ in measures.values()]
+    df = cut_lineage(df)
     ranged = with_ranges(df, by, order, bits=bits).select("*", *[c.alias(f"_m{i}") for i, (_, c) in enumerate(measures.values())])
     part = [*by, "_range"]
     frame = Window.partitionBy(*part).orderBy(*order_columns(order)).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)

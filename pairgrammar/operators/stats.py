@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pairgrammar.functions.keys import draw
 from pairgrammar.operators.metrics import ranking_metrics
 from pairgrammar.operators.ordered import ranked, running
+from pairgrammar.session import cut_lineage
 
 
 def replicates(spark, n: int) -> DataFrame:
@@ -250,7 +251,7 @@ def jackknife_summary(table: DataFrame) -> DataFrame:
 
 def state_blocked_effect(scored: DataFrame, positive: str, negative: str, value: str = "score", n_bootstrap: int = 10000, n_permutations: int = 10000, seed: int = 11) -> DataFrame:
     """State-level effect with E13-E16 in one row."""
-    states = scored.groupBy("state_label").agg(F.min("element_type").alias("element_type"), F.min("chromosome").alias("chromosome"), F.avg(value).alias("mean_score"))
+    states = cut_lineage(scored.groupBy("state_label").agg(F.min("element_type").alias("element_type"), F.min("chromosome").alias("chromosome"), F.avg(value).alias("mean_score")))
     args = ("element_type", "mean_score", positive, negative)
     means = states.agg(*[F.avg(F.when(F.col("element_type") == g, F.col("mean_score"))).alias(nm) for nm, g in (("positive_mean", positive), ("negative_mean", negative))])
 
@@ -283,7 +284,7 @@ def _both_metrics(df: DataFrame, by: list[str], weight: str | None = None) -> Da
 
 def paired_tests(df: DataFrame, by: list[str], n_bootstrap: int = 5000, n_permutations: int = 5000, seed: int = 11, tie: str = "seq_id") -> DataFrame:
     """E6 + E7 for many comparisons at once. ``df``: by, seq_id, label, model score ``m``, baseline score ``b``."""
-    rows = df.select(*by, tie, "label", "m", "b").dropna()
+    rows = cut_lineage(df.select(*by, tie, "label", "m", "b").dropna())
     observed = _both_metrics(rows, by).withColumn("observed_diff", F.col("model_metric") - F.col("baseline_metric"))
     keys = [*by, "metric_name"]
     sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))

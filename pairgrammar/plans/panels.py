@@ -44,12 +44,16 @@ def panel_priority(panel: DataFrame) -> DataFrame:
 
 
 def competition_frame(raw: DataFrame, tf_master: DataFrame) -> DataFrame:
-    """Cleaned rows with mapped TFs, groups, sizes and both activity ranks."""
+    """Cleaned rows with mapped TFs and competition groups."""
     aliases = {"TRP53": "TP53"}
     mapped = map_symbols(map_symbols(raw, tf_master, "tf1_name", "left_tf", aliases), tf_master, "tf2_name", "right_tf", aliases)
     rows = mapped.filter("activity_score is not null").withColumn("sequence", clean_sequence("seq")).withColumn("tf_pair_label", F.concat_ws("::", "left_tf", "right_tf"))
-    rows = rows.withColumn("pair_transfer_group", pair_key("left_tf", "right_tf")).withColumn("competition_group", F.concat_ws("::", "library_name", "actual_state", "pair_transfer_group"))
-    sized = W.group_size(rows, ["competition_group"])
+    return rows.withColumn("pair_transfer_group", pair_key("left_tf", "right_tf")).withColumn("competition_group", F.concat_ws("::", "library_name", "actual_state", "pair_transfer_group"))
+
+
+def competition_ranks(frame: DataFrame) -> DataFrame:
+    """Group size and both activity ranks."""
+    sized = W.group_size(frame, ["competition_group"])
     down = ranked(sized, ["competition_group"], ["-activity_score", "crs"], "activity_rank_desc")
     return ranked(down, ["competition_group"], ["activity_score", "crs"], "activity_rank_asc")
 

@@ -12,6 +12,7 @@ from pairgrammar.operators import selection as W
 from pairgrammar.operators import stats as X
 from pairgrammar.operators import summaries as D
 from pairgrammar.operators.ordered import dedupe, ranked, top_per_group
+from pairgrammar.session import cut_lineage
 
 MODEL = "model"
 OWN = {MODEL: "full_score", "availability_only": "availability_only_score", "additive_null": "additive_null_score"}
@@ -49,12 +50,13 @@ def significance_summary(preds: DataFrame, seeds: list[int], baselines: DataFram
                          n_bootstrap: int = 5000, n_permutations: int = 5000, seed: int = 11) -> dict[str, DataFrame]:
     """Metrics, paired tests with FDR and flags, claims and missing slices in one keyed plan."""
     slices = ["split_name", "phase"]
-    long = method_scores(preds, seeds, baselines)
+    long = cut_lineage(method_scores(preds, seeds, baselines))
     metrics = M.ranking_metrics(long, "label", "score", [*slices, "method"])
     model = long.filter(F.col("method") == MODEL).select(*slices, "seq_id", "label", F.col("score").alias("m"))
     others = long.filter(F.col("method") != MODEL).select(*slices, "seq_id", F.col("method").alias("comparison_method"), F.col("score").alias("b"))
     pairs = model.join(others, [*slices, "seq_id"])
     tests = X.paired_tests(pairs, [*slices, "comparison_method"], n_bootstrap, n_permutations, seed)
+    tests = cut_lineage(tests)
     sig = X.significant_win(X.bh_fdr(tests, "permutation_p_value", [*slices, "metric_name", "comparison_method"]))
     asked = preds.select(*slices).distinct().withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     missing = asked.join(preds.select(*slices, "seed").distinct(), [*slices, "seed"], "left_anti").withColumn("reason", F.lit("missing_predictions"))
@@ -180,6 +182,7 @@ def peak_overlap_report(rows: DataFrame, peaks: DataFrame, bin_size: int = N.BIN
     metric = F.explode(F.array(
         F.struct(F.lit("any_tf_overlap").alias("metric"), F.lit(1).alias("need"), F.col("any_tf_overlap").alias("hit")),
         F.struct(F.lit("both_tf_overlap").alias("metric"), F.lit(2).alias("need"), F.col("both_tfs_overlap").alias("hit")))).alias("e")
+    flags = cut_lineage(flags)
     tall = flags.select("label", "num_covered_tfs", metric).select("label", "num_covered_tfs", "e.*").filter(F.col("num_covered_tfs") >= F.col("need"))
     positive = F.col("label") > 0.5
     test = X.fisher_greater(D.contingency(tall, positive, F.col("hit"), ["metric"]), ["metric"])

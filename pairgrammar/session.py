@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "pairgrammar", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -42,3 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, max_leaves: int = 4) -> DataFrame:
+    """Checkpoint a plan that already reads its sources more than ``max_leaves`` times.
+
+    Operators that use their input several times would otherwise multiply the plan when they are
+    stacked. The checkpoint lies in the shared folder, so it survives a lost executor.
+    """
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves().size()
+    if leaves <= max_leaves:
+        return df
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
