@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from pairgrammar.functions.keys import pair_key
 from pairgrammar.operators.ordered import top_per_group
+from pairgrammar.session import materialize
 
 PSEUDOCOUNT = 1e-3
 BACKGROUND = 0.25
@@ -140,7 +141,7 @@ def hit_counts(hits: DataFrame, edges: DataFrame) -> DataFrame:
     Pairs without support count once each, so their number is n(n-1)/2; only supported pairs
     (found through the edge list) are formed.
     """
-    per_gene = hits.groupBy("seq_id", "tf_id").agg(F.count("*").alias("k"))
+    per_gene = materialize(hits.groupBy("seq_id", "tf_id").agg(F.count("*").alias("k")))
     base = per_gene.groupBy("seq_id").agg(F.count("*").alias("g"))
     links = edges.select(F.least("left_tf", "right_tf").alias("a"), F.greatest("left_tf", "right_tf").alias("b")).filter("a <> b").distinct()
     left = per_gene.select("seq_id", F.col("tf_id").alias("a"), F.col("k").alias("ka")).join(links, "a")
@@ -220,7 +221,7 @@ def select_pairs(hits: DataFrame, edges: DataFrame, per_seq: int = 1, prefer_gap
     Supported pairs come from a join over the edge list. Sequences with too few of them gather
     their hits (at most top-k per motif) and pick the rest without forming every pair.
     """
-    packed = hits.select("seq_id", "tf_id", F.struct("tf_id", "start", "end", "strand", "score", "hit_rank").alias("h"))
+    packed = materialize(hits).select("seq_id", "tf_id", F.struct("tf_id", "start", "end", "strand", "score", "hit_rank").alias("h"))
     links = edges.select(F.least("left_tf", "right_tf").alias("a"), F.greatest("left_tf", "right_tf").alias("b")).filter("a <> b").distinct()
     left = packed.select("seq_id", F.col("tf_id").alias("a"), F.col("h").alias("l")).join(links, "a")
     right = packed.select("seq_id", F.col("tf_id").alias("b"), F.col("h").alias("r"))
@@ -256,7 +257,7 @@ def generate_pairs(anchors: DataFrame, k: int = 64) -> DataFrame:
     included), so only pairs where that count is at most ``k`` can be among the best ``k``. This is
     exact, needs the best k+1 anchors only and forms O(k log k) pairs instead of all.
     """
-    top = ranked_anchors(anchors, k + 1)
+    top = materialize(ranked_anchors(anchors, k + 1))
     partners = F.sequence(F.col("_r") + 1, F.floor((F.lit(k) + F.col("_r") * (F.col("_r") + 1) / 2) / F.col("_r")).cast("int"))
     has = F.floor((F.lit(k) + F.col("_r") * (F.col("_r") + 1) / 2) / F.col("_r")) >= F.col("_r") + 1
     cols = ["tf_id", "start", "end", "strand", "score"]
@@ -286,7 +287,7 @@ def targeted_pairs(anchors: DataFrame, targets: DataFrame, per_side: int = 2, k:
 
     ``targets``: seq_id, left_tf, right_tf. At most ``per_side`` squared pairs per sequence are formed.
     """
-    top = top_per_group(anchors, ["seq_id", "tf_id"], ["-score", "start", "strand"], per_side, name="_r", keep_rank=True)
+    top = materialize(top_per_group(anchors, ["seq_id", "tf_id"], ["-score", "start", "strand"], per_side, name="_r", keep_rank=True))
     cols = ["tf_id", "start", "end", "strand", "score"]
     side = lambda name: top.select("seq_id", F.col("tf_id").alias(f"{name}_tf"), F.col("_r").alias(f"_{name}"), F.struct(*cols).alias(name[0]))
     two = targets.join(side("left"), ["seq_id", "left_tf"]).join(side("right"), ["seq_id", "right_tf"])
@@ -304,7 +305,8 @@ def build_candidates(windows: DataFrame, tf_master: DataFrame, library: DataFram
     for s in ("left", "right"):
         named = named.join(genes.select(F.col("gene_symbol").alias(f"_{s}"), F.col("tf_id").alias(f"_{s}_id")), f"_{s}", "left")
     named = named.withColumn("_allowed", F.array_distinct(F.array_compact(F.array("_left_id", "_right_id"))))
-    anchors = scan_motifs(named, library, top_k_anchors, allowed="_allowed")
+    named = materialize(named)
+    anchors = materialize(scan_motifs(named, library, top_k_anchors, allowed="_allowed"))
     anchor_cols = ["left_anchor_start", "left_anchor_end", "right_anchor_start", "right_anchor_end"]
     declared = None
     rest = named
@@ -324,6 +326,7 @@ def build_candidates(windows: DataFrame, tf_master: DataFrame, library: DataFram
     direct = targeted_pairs(anchors, targets, min(top_k_anchors, 2), top_k_pairs)
     if declared is not None:
         direct = declared.unionByName(direct)
+    direct = materialize(direct)
     fallback = generate_pairs(anchors.join(direct.select("seq_id").distinct(), "seq_id", "left_anti"), top_k_pairs)
     pairs = direct.unionByName(fallback).dropDuplicates(["seq_id", "left_tf", "right_tf", "left_start", "right_start", "orientation"])
     return anchors, pairs

@@ -15,7 +15,7 @@ from pairgrammar.operators import selection as W
 from pairgrammar.operators import summaries as D
 from pairgrammar.operators.joins import union_all
 from pairgrammar.operators.ordered import dedupe, ranked, top_per_group
-from pairgrammar.session import cut_lineage
+from pairgrammar.session import cut_lineage, materialize
 
 LABEL_VERSION = "reference_pair_support_v1"
 LABEL_SOURCE = "reference_pair_support"
@@ -137,7 +137,7 @@ def build_state_layer(regions: DataFrame, fragments: DataFrame, chunks: DataFram
     genes = edges.select(F.explode(F.array("left_tf", "right_tf")).alias("motif_id")).distinct()
     used = positions.join(genes, "motif_id", "left_semi")
     hydrated = cut_lineage(hydrated)
-    hits = cut_lineage(M.scan_motifs(hydrated.select(F.col("state_label").alias("seq_id"), "sequence"), M.pwm_library(used), top_k=max(2, max_pairs)), 1)
+    hits = materialize(M.scan_motifs(hydrated.select(F.col("state_label").alias("seq_id"), "sequence"), M.pwm_library(used), top_k=max(2, max_pairs)))
     selected = cut_lineage(select_states(hydrated, hits, edges, max_states))
     known = edges.join(used.select(F.col("motif_id").alias("left_tf")).distinct(), "left_tf", "left_semi").join(used.select(F.col("motif_id").alias("right_tf")).distinct(), "right_tf", "left_semi")
     rows = candidate_rows(selected, hits.join(selected.select(F.col("state_label").alias("seq_id")), "seq_id", "left_semi"), known.select("left_tf", "right_tf"), M.consensus(used), max_pairs, max_monomers, impute)
@@ -192,7 +192,7 @@ def expanded_candidates(current: DataFrame, positions: DataFrame, edges: DataFra
     """``k`` observed pairs for every known state, labelled."""
     base = dedupe(current, ["state_label"], ["phase", "seq_id"]).select("state_label", "sequence", "state_total_fragment_count", "state_supporting_files", "chromosome")
     genes = edges.select(F.explode(F.array("left_tf", "right_tf")).alias("motif_id")).distinct()
-    hits = cut_lineage(M.scan_motifs(base.select(F.col("state_label").alias("seq_id"), "sequence"), M.pwm_library(positions.join(genes, "motif_id", "left_semi")), top_k=max(2, k)), 0)
+    hits = materialize(M.scan_motifs(base.select(F.col("state_label").alias("seq_id"), "sequence"), M.pwm_library(positions.join(genes, "motif_id", "left_semi")), top_k=max(2, k)))
     indexed = ranked(base, [], ["state_label"], "_n")
     picked = M.select_pairs(hits, edges, max(k, 2)).filter("pair_mode <> 'homotypic_fallback'").withColumnRenamed("seq_id", "state_label").join(indexed, "state_label")
     rows = picked.select(
@@ -214,7 +214,7 @@ def panel_candidates(candidates: DataFrame, state_features: DataFrame) -> DataFr
 def functional_candidates(panel: DataFrame, positions: DataFrame, edges: DataFrame, top_k: int = 2) -> tuple[DataFrame, DataFrame]:
     """One candidate pair per hydrated panel row, and the status of every row."""
     genes = edges.select(F.explode(F.array("left_tf", "right_tf")).alias("motif_id")).distinct()
-    hits = cut_lineage(M.scan_motifs(panel.select("seq_id", "sequence"), M.pwm_library(positions.join(genes, "motif_id", "left_semi")), top_k=top_k), 0)
+    hits = materialize(M.scan_motifs(panel.select("seq_id", "sequence"), M.pwm_library(positions.join(genes, "motif_id", "left_semi")), top_k=top_k))
     chosen = cut_lineage(M.select_pairs(hits, edges, 1).drop("pair_rank"))
     gene_count = hits.groupBy("seq_id").agg(F.count_distinct("tf_id").alias("pair_hit_gene_count"))
     extra = [c for c in panel.columns if c not in chosen.columns or c == "seq_id"]

@@ -11,7 +11,7 @@ from pairgrammar.plans import states as S
 from pairgrammar.queries.motifs import _CAND
 from pairgrammar.queries.plans import _ledger
 from pairgrammar.queries.registry import query, rounded
-from pairgrammar.session import cut_lineage, scratch_path
+from pairgrammar.session import materialize, scratch_path
 from pairgrammar.sources import genomics as B
 from pairgrammar.sources import tables as T
 from pairgrammar.streaming import jobs as J
@@ -228,7 +228,7 @@ def _memory(spark, df, mode: str):
 
 @query("stream_candidates", f"WITH {_CAND} SELECT w.seq_id, s.seq_id IS NOT NULL AS has_candidate, coalesce(s.pair_mode,'') AS pair_mode, CASE WHEN s.sup THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS pair_reference_supported FROM windows w LEFT JOIN (SELECT * FROM sel WHERE pair_rank=0) s USING (seq_id)", ("windows", "hits", "edges"))
 def stream_candidates(spark, sf):
-    positions = cut_lineage(views.motif_positions(spark, sf), 0)
+    positions = materialize(views.motif_positions(spark, sf))
     edges = views.edges(spark, sf)
     store = scratch_path(spark, "store")
     stream = _stream(spark, views.windows(spark, sf).select("seq_id", "sequence"), "win")

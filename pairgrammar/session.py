@@ -55,3 +55,12 @@ def cut_lineage(df: DataFrame, max_leaves: int = 4) -> DataFrame:
         return df
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Checkpoint rows that are costly to make and used more than once; stored rows pass through."""
+    root = df._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    if root in ("LogicalRDD", "LogicalRelation"):
+        return df
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
