@@ -16,7 +16,7 @@ from pairgrammar.session import cut_lineage
 Order = list  # column names; a leading "-" means descending
 
 SAMPLE_BITS = 20
-CHUNK = 64
+MAX_RANGES = 4096
 
 
 def _keys(by: list[str], order: Order) -> list[tuple[str, bool]]:
@@ -45,12 +45,13 @@ def with_ranges(df: DataFrame, by: list[str], order: Order, name: str = "_range"
     compare = f"CASE WHEN {_not_after('x', 'y', keys)} THEN CASE WHEN {_not_after('y', 'x', keys)} THEN 0 ELSE -1 END ELSE 1 END"
     bounds = sampled.agg(F.expr(f"array_sort(collect_list(k), (x, y) -> {compare})").alias("b"))
     thin = bounds.selectExpr(
-        f"CASE WHEN size(b) > 0 THEN transform(sequence(1, greatest(size(b), 1), greatest(cast(ceil(size(b) / {CHUNK * CHUNK}.0) as int), 1)), i -> b[i - 1]) END AS b")
-    chunks = thin.selectExpr(f"CASE WHEN b IS NOT NULL THEN transform(sequence(1, size(b), {CHUNK}), i -> slice(b, i, {CHUNK})) END AS c").scalar()
+        f"CASE WHEN size(b) > 0 THEN transform(sequence(1, greatest(size(b), 1), greatest(cast(ceil(size(b) / {MAX_RANGES}.0) as int), 1)), i -> b[i - 1]) END AS b")
+    step = "cast(ceil(sqrt(size(b))) as int)"
+    chunks = thin.selectExpr(f"CASE WHEN b IS NOT NULL THEN transform(sequence(1, size(b), {step}), i -> slice(b, i, {step})) END AS c").scalar()
 
     out = df.select("*", chunks.alias("_chunks"), F.expr(row).alias("_key"))
     out = out.selectExpr("*", f"CASE WHEN _chunks IS NULL THEN 0 ELSE size(filter(_chunks, c -> {_not_after('c[0]', '_key', keys)})) END AS _coarse")
-    number = f"CASE WHEN _coarse = 0 THEN 0 ELSE (_coarse - 1) * {CHUNK} + size(filter(_chunks[_coarse - 1], b -> {_not_after('b', '_key', keys)})) END"
+    number = f"CASE WHEN _coarse = 0 THEN 0 ELSE (_coarse - 1) * size(_chunks[0]) + size(filter(_chunks[_coarse - 1], b -> {_not_after('b', '_key', keys)})) END"
     return out.select(*df.columns, F.expr(number).alias(name))
 
 

@@ -64,3 +64,10 @@ def materialize(df: DataFrame) -> DataFrame:
         return df
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows ahead of heavy per-row work when the input has fewer files than the cluster has cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df._jdf.inputFiles())
+    return df.repartition(cores) if 0 < files < cores else df

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pairgrammar import schema
 from pairgrammar.functions.keys import hash_bucket
 from pairgrammar.functions.sequence import pad_or_crop
+from pairgrammar.session import spread
 
 # fixed values of the surrogate: motif genes, their language, document parity, seed and width
 GENES = [
@@ -38,7 +39,8 @@ def _pick(values: list[str], index: Column) -> Column:
 def sequences(spark, sf) -> DataFrame:
     """Whole base string per document (upper and lower case kept in ``raw_bases``)."""
     raw = F.regexp_replace("text", "[^ACGTacgt]", "")
-    return table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+    return docs.select(
         F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("seq_id"), "doc_id", raw.alias("raw_bases"), F.upper(raw).alias("bases"),
         F.col("lang").alias("chromosome"), F.col("source").alias("state_label"))
 
@@ -175,7 +177,8 @@ def line_scores(spark, sf) -> DataFrame:
     """Every line item as a scored example; a score has two decimals of a hash plus a label signal."""
     k = F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
     label = F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)
-    return table(spark, sf, "lineitem").select(
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate")
+    return spread(lines).select(
         k.alias("seq_id"), label.alias("label"), F.round(label * 0.2 + u01(k) * 0.8, 4).alias("score"), F.col("l_linestatus").alias("stratum"), F.col("l_shipdate").alias("shipped"))
 
 
