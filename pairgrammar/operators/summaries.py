@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairgrammar import schema
 from pairgrammar.functions.geometry import gap_index
 from pairgrammar.functions.keys import is_reverse, strip_reverse
-from pairgrammar.operators.ordered import ranked
+from pairgrammar.operators.ordered import ranked, running
 
 
 def value_counts(df: DataFrame, *cols: str) -> DataFrame:
@@ -63,8 +63,29 @@ def distinct_list(df: DataFrame, key: str, col: str, name: str = "values", sep:
 
 
 def quantiles(df: DataFrame, col: str, qs: dict[str, float], by: list[str] | None = None) -> DataFrame:
-    """Exact linear quantiles (value counts are combined map-side)."""
-    return df.groupBy(*(by or [])).agg(*[F.percentile(col, F.lit(q)).alias(n) for n, q in qs.items()])
+    """Exact quantiles with linear interpolation, one column per entry of ``qs``.
+
+    Equal values are counted first and the two neighbouring ranks are found from running counts,
+    so no task has to hold all values of a group.
+    """
+    by = by or []
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    run = running(counts, by, ["_v"], {"_upto": ("sum", F.col("_c"))})
+    sizes = run.groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(by)]).agg(F.max("_upto").alias("_n"))
+    if by:
+        same = " AND ".join(f"`{k}` <=> _g{i}" for i, k in enumerate(by))
+        placed = run.join(sizes, F.expr(same))
+    else:
+        placed = run.withColumn("_n", sizes.scalar())
+    aggs, out = [], []
+    for i, (name, q) in enumerate(qs.items()):
+        at = F.lit(float(q)) * (F.col("_n") - 1)
+        for side, rank in (("a", F.floor(at)), ("b", F.ceil(at))):
+            holds = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)
+            aggs.append(F.max(F.when(holds, F.col("_v"))).alias(f"_{side}{i}"))
+        aggs.append(F.max(at - F.floor(at)).alias(f"_f{i}"))
+        out.append((F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")).alias(name))
+    return placed.groupBy(*by).agg(*aggs).select(*by, *out)
 
 
 def minmax(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pairgrammar.operators import splits as P
 from pairgrammar.operators import summaries as D
 from pairgrammar.operators.joins import checked_join, grid, union_all
 from pairgrammar.operators.ordered import ranked
+from pairgrammar.session import cut_lineage
 
 
 def mpra_panel(bed: DataFrame, tsv: DataFrame, biosample: str, low_q: float = 0.1, high_q: float = 0.9, min_replicates: int = 3, min_obs_bc: int = 10,
@@ -22,7 +23,8 @@ def mpra_panel(bed: DataFrame, tsv: DataFrame, biosample: str, low_q: float = 0.
         ~is_control("element_group") & (F.col("replicate_count") >= min_replicates) & (F.col("min_obs_bc") >= min_obs_bc)
         & (F.coalesce("std_log2_activity", F.lit(0.0)) <= max_std) & (F.coalesce("orientation_gap_log2", F.lit(0.0)) <= max_gap))
     merged = merged.withColumn("passes_quality", quality)
-    cut = merged.filter("passes_quality").agg(F.struct(F.percentile("mean_log2_activity", F.lit(low_q)).alias("lo"), F.percentile("mean_log2_activity", F.lit(high_q)).alias("hi"))).scalar()
+    merged = cut_lineage(merged, 1)
+    cut = D.quantiles(merged.filter("passes_quality"), "mean_log2_activity", {"lo": low_q, "hi": high_q}).select(F.struct("lo", "hi")).scalar()
     value = F.col("mean_log2_activity")
     labelled = merged.withColumn("_q", cut).withColumn("label", F.when(F.col("passes_quality") & (value <= F.col("_q.lo")), 0.0).when(F.col("passes_quality") & (value >= F.col("_q.hi")), 1.0))
     out = labelled.withColumns({"quantile_low": F.col("_q.lo"), "quantile_high": F.col("_q.hi"), "biosample_label": F.lit(biosample), "state_label": F.lit(biosample),

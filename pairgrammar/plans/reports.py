@@ -12,7 +12,7 @@ from pairgrammar.operators import selection as W
 from pairgrammar.operators import stats as X
 from pairgrammar.operators import summaries as D
 from pairgrammar.operators.ordered import dedupe, ranked, top_per_group
-from pairgrammar.session import cut_lineage
+from pairgrammar.session import cut_lineage, materialize
 
 MODEL = "model"
 OWN = {MODEL: "full_score", "availability_only": "availability_only_score", "additive_null": "additive_null_score"}
@@ -155,7 +155,8 @@ def ccre_report(scored: DataFrame, registry: DataFrame, score: str = "score") ->
     joined = joined.withColumn("ccre_group", F.when(F.col("element_type").isin(ENHANCER_LIKE), "enhancer_like").otherwise("other"))
     margins = W.group_margin(joined, ["state_label"], score, "state_margin")
     top = top_per_group(margins, ["state_label"], [f"-{score}", "seq_id"], 1)
-    cut = top.agg(F.percentile(score, F.lit(0.75)).alias("c")).scalar()
+    top = materialize(top)
+    cut = D.quantiles(top, score, {"c": 0.75}).scalar()
     winners = top.withColumn("high_confidence_winner", F.col(score) >= cut)
     kinds = winners.agg(F.struct(
         F.count_distinct("ccre_group").alias("groups"), F.count_distinct("element_type").alias("types"), F.coalesce(F.bool_or(F.col("element_type") == "pELS"), F.lit(False)).alias("pels"))).scalar()
@@ -166,8 +167,9 @@ def ccre_report(scored: DataFrame, registry: DataFrame, score: str = "score") ->
     test = X.fisher_greater(D.contingency(marked, F.col("high_confidence_winner"), hit, ["contrast_class"]), ["contrast_class"])
     accuracy = winners.agg(F.avg(F.when(F.col("label") > 0.5, 1.0).otherwise(0.0)).alias("state_winner_accuracy"), F.count_distinct("state_label").alias("n_states"))
     classes = winners.groupBy("element_type").agg(
-        F.count_distinct("state_label").alias("n_states"), F.avg(score).alias("mean_score"), F.percentile(score, F.lit(0.5)).alias("median_score"),
+        F.count_distinct("state_label").alias("n_states"), F.avg(score).alias("mean_score"),
         F.avg("state_margin").alias("mean_state_margin"), F.avg(F.when(F.col("label") > 0.5, 1.0).otherwise(0.0)).alias("correct_rate"))
+    classes = classes.join(D.quantiles(winners, score, {"median_score": 0.5}, ["element_type"]), "element_type", "left")
     return {"winners": winners, "summary": accuracy, "contrast": test, "classes": classes}
 
 
