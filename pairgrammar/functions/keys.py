@@ -64,7 +64,7 @@ def parse_region(label) -> tuple[Column, Column, Column]:
     pattern = r"^([^:]*):(\d+)-(\d+)$"
     return (
         F.regexp_extract(_c(label), pattern, 1),
-        F.expr("null").cast("long") if label is None else F.regexp_extract(_c(label), pattern, 2).try_cast("long"),
+        F.regexp_extract(_c(label), pattern, 2).try_cast("long"),
         F.regexp_extract(_c(label), pattern, 3).try_cast("long"),
     )
 
