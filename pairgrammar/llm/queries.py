@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairgrammar.llm import langid, quality
+from pairgrammar.llm import decontaminate, extract, langid, quality, topk
 from pairgrammar.llm.common import remainder_is_one
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op4_threshold_top_k", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def _top_k(spark: SparkSession, sf: str) -> DataFrame:
+    items = topk.scaled(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(items, items.where("id % 100 = 0"), k=10)
+
+
 @query("op5_quality_field")
 def _quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -35,9 +49,19 @@ def _quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.rate(kept, model, ["doc_id", "held_out"]).select("row.doc_id", "row.held_out", "score", "predicted")
 
 
+@query("op6_main_text")
+def _main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.extract(table(spark, sf, "pages"), ["page_id", "url"]).select("row.page_id", "row.url", "text", "n_chars")
+
+
 @query("op7_language_id")
 def _language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     model = langid.learn(docs)
     kept = docs.withColumn("held_out", remainder_is_one("doc_id", 3))
     return langid.identify(kept, model, ["doc_id", "held_out"]).select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
+@query("op10_decontamination")
+def _decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf, "documents"), decontaminate.passes(table(spark, sf, "benchmark")))
