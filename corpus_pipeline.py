@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairgrammar.llm import langid, quality
+from pairgrammar.llm import decontaminate, jaccard, langid, packing, quality
 from pairgrammar.session import scratch_path
 
 ORACLE_SQL = None  # fitted models, alignment and packing have no SQL form; tests/llm checks against brute force
@@ -24,14 +24,34 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.rate(docs, model, docs.columns).where("predicted = 1").select("row.*")
 
 
-STAGES = [("language", language), ("quality", good)]
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one with the smallest id: five-word shingles, similarity 0.8 by links."""
+    groups = jaccard.link(docs, words=5, percent=80)
+    copies = groups.where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.uncontaminated(docs, decontaminate.passes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's words go in the training bins; equal texts and full sources keep apart."""
+    sized = docs.select("doc_id", "source", packing.word_count(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("cluster"))
+    return packing.pack(sized)
+
+
+STAGES = [("language", language), ("quality", good), ("near_duplicates", distinct), ("decontamination", untested), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage is written and read again."""
+    """The last stage's rows; every earlier stage is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            path = scratch_path(spark, f"pipeline-{name}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

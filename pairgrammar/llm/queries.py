@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairgrammar.llm import decontaminate, extract, jaccard, langid, quality, topk
+from pairgrammar.llm import decontaminate, extract, jaccard, langid, packing, quality, topk
 from pairgrammar.llm.common import remainder_is_one
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op2_best_fit_packing")
+def _packing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    sized = docs.select("doc_id", "source", packing.word_count(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("cluster"))
+    return packing.pack(sized)
+
+
 @query("op4_threshold_top_k", """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
