@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairgrammar.llm import decontaminate, extract, jaccard, langid, packing, quality, topk
+from pairgrammar.llm import decontaminate, extract, jaccard, langid, packing, perspectives, quality, topk, wordpiece
 from pairgrammar.llm.common import remainder_is_one
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,23 @@ def _packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(sized)
 
 
+@query("op3_perspectives", """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT DISTINCT conv_id, speaker AS assistant FROM t WHERE speaker <> 'system'),
+p AS (
+  SELECT conv_id, assistant, turn, speaker, text, speaker = assistant AS trained,
+    '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = assistant THEN 'assistant' ELSE 'user name=' || speaker END || chr(10)
+    || replace(replace(text, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10) AS piece
+  FROM t JOIN v USING (conv_id)
+), o AS (
+  SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY conv_id, assistant ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS "end" FROM p
+)
+SELECT conv_id, assistant, turn, speaker, "end" - length(piece) AS start, "end", trained, md5(piece) AS piece_md5 FROM o""")
+def _perspectives(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = perspectives.rotate(table(spark, sf, "conversations"))
+    return pieces.select("conv_id", "assistant", "turn", "speaker", "start", "end", "trained", F.md5("piece").alias("piece_md5"))
+
+
 @query("op4_threshold_top_k", """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
@@ -69,6 +86,12 @@ def _language(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(kept, model, ["doc_id", "held_out"]).select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
+@query("op8_piece_counts")
+def _pieces(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return wordpiece.count_pieces(docs, ["doc_id"]).select("row.doc_id", "n_words", "n_tokens", "n_unknown")
+
+
 @query("op9_jaccard_join", """
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
