@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairgrammar.llm import decontaminate, extract, jaccard, langid, packing, perspectives, quality, topk, wordpiece
+from pairgrammar.llm import decontaminate, extract, jaccard, langid, packing, perspectives, quality, suffixtree, topk, wordpiece
 from pairgrammar.llm.common import remainder_is_one
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_suffix_tree")
+def _suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixtree.score(table(spark, sf, "documents"))
+
+
 @query("op2_best_fit_packing")
 def _packing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
