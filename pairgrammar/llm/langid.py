@@ -82,7 +82,7 @@ def build_model(samples: dict[str, bytes]) -> dict:
         for s, moves in enumerate(steps):
             row = table[s]
             row[:] = fresh
-            for c, to in moves.items():
+            for c, to in moves.items() if s else ():  # at the start every symbol begins a phrase
                 row[lut[c]] = (base + to) * width * 2
             row[width - 1] = (base + s) * width * 2
         tables.append(table)
@@ -99,7 +99,7 @@ def phrase_counts(texts: list[bytes], model: dict) -> np.ndarray:
     symbols = np.ascontiguousarray(model["lut"][flat].reshape(-1, STRIP).T)
     table = model["table"]
     state = np.repeat(model["starts"].astype(table.dtype)[:, None], symbols.shape[1], axis=1)
-    count = np.ones(state.shape, np.int32)
+    count = np.zeros(state.shape, np.int32)
     for row in symbols:
         state += row
         state = table.take(state)
