@@ -13,8 +13,8 @@ from pairgrammar.llm.common import map_texts, tokens
 from pairgrammar.llm.components import components
 from pairgrammar.session import scratch_path
 
-GROUP = 128  # documents a group, about
-ASKING = 256  # queries that meet a group in one task, about
+GROUP, GROUP_TOKENS = 512, 1 << 19  # documents and tokens a group, about
+ASKING = 512  # queries that meet a group in one task, about
 COMMON = 1 << 16  # tokens that are known as common, at most
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
@@ -91,8 +91,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     A text's set holds its distinct runs of ``words`` words (A-Z lowered); a text with fewer words is
     one run. Two documents link if 100 * shared >= percent * united; the join is exact but for equal
     64-bit hashes. Equal sets become one class first. Classes are dealt into groups of about
-    ``GROUP`` by their smallest hash, so similar ones meet; the matrix holds, for each token, the
-    groups whose members have it in their prefix. A class opens a group only if the prefix tokens it
+    ``GROUP`` by their smallest shared token, so similar ones meet; the matrix holds, for each token,
+    the groups whose members have it in their prefix. A class opens a group only if the prefix tokens it
     shares with the group's union reach the bound that any linked member would give. Only then are
     sets compared, hot groups against blocks of at most about ``ASKING`` classes.
 
@@ -119,14 +119,13 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             return [
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array([int(s[0]) if len(s) else None for s in sets], pa.int64()),
                 pa.array([value[often]] + [None] * (len(sets) - 1), pa.list_(pa.int64())),
                 pa.array([count[often]] + [None] * (len(sets) - 1), pa.list_(pa.int64()))]
         return work
 
     summary = stored(map_texts(docs, "text", ["key"], [
-        T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("low", T.LongType()),
-        T.StructField("often", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType()))], summarise).select("row.key", "n", "sig", "low", "often", "times"), "sets")
+        T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), 
+        T.StructField("often", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType()))], summarise).select("row.key", "n", "sig", "often", "times"), "sets")
 
     # common tokens come last in the order of prefixes; which ones are is a matter of cost, never of the result
     counts = summary.where("often is not null").select(F.inline(F.arrays_zip("often", "times"))).groupBy("often").agg(F.sum("times").alias("times"))
@@ -134,12 +133,11 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     common = np.array(sorted(r["often"] for r in counts.where(F.col("times") > max(32, total // COMMON)).collect()), np.int64)
     shared = spark.sparkContext.broadcast(common)
 
-    # one row for each distinct set, in its group
+    # one row for each distinct set
     classes = (
         summary.where("sig is not null and key is not null")
-        .groupBy("sig").agg(F.min("key").alias("q"), F.first("n").alias("n"), F.first("low").alias("low"), F.count("*").alias("copies")))
-    heaps = classes.groupBy("low").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    classes = stored(classes.join(heaps, "low").select("sig", "q", "n", "copies", F.xxhash64("low", F.pmod(F.xxhash64("q", F.lit(1)), "parts")).alias("grp")), "classes")
+        .groupBy("sig").agg(F.min("key").alias("q"), F.first("n").alias("n"), F.count("*").alias("copies")))
+    classes = stored(classes, "classes")
 
     def first_tokens():
         hashes, often = _Hashes(), shared.value
@@ -155,7 +153,13 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     # a token of one document links nothing; a common one is known to be shared and need not be counted
     alone = Window.partitionBy("token", F.when(F.col("common"), F.col("q")))
     rows = rows.withColumn("times", F.count("*").over(alone)).where("common or times > 1").select("token", "q")
-    rows = stored(rows.join(classes.select("q", "n", "grp"), "q").distinct(), "prefixes")
+    rows = stored(rows.join(classes.select("q", "n"), "q").distinct(), "prefixes")
+
+    # similar sets have the same smallest shared token: they make a group, dealt out if it is large
+    grouped = rows.groupBy("q").agg(F.min("token").alias("low"), F.first("n").alias("n"))
+    heaps = grouped.groupBy("low").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS)).alias("parts"))
+    grouped = stored(grouped.join(heaps, "low").select("q", F.xxhash64("low", F.pmod(F.xxhash64("q", F.lit(1)), "parts")).alias("grp")), "groups")
+    rows = rows.join(grouped, "q")
 
     matrix = rows.groupBy("token", F.col("grp").alias("at")).agg(F.count("*").alias("has"), F.min("n").alias("least"), F.max("n").alias("most"))
     meet = rows.join(matrix, "token").where(
@@ -167,7 +171,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
     # the sets of classes that open a group or belong to an opened one
     blocks = opened.groupBy("at").agg(F.ceil(F.count("*") / ASKING).alias("blocks"))
-    members = classes.select("q", "sig", "copies", F.col("grp").alias("at")).join(blocks, "at")
+    members = classes.select("q", "sig", "copies").join(grouped.withColumnRenamed("grp", "at"), "q").join(blocks, "at")
     needed = members.select("q", "sig").union(opened.select("q").distinct().join(classes.select("q", "sig"), "q")).distinct()
 
     def full_sets():
