@@ -15,6 +15,7 @@ from pairgrammar.session import scratch_path
 
 GROUP, GROUP_TOKENS = 512, 1 << 19  # documents and tokens a group, about
 ASKING = 512  # queries that meet a group in one task, about
+SLOTS = 1 << 20  # key slots that sift the rows whose sets are needed
 COMMON = 1 << 16  # tokens that are known as common, at most
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
@@ -153,7 +154,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     # a token of one document links nothing; a common one is known to be shared and need not be counted
     alone = Window.partitionBy("token", F.when(F.col("common"), F.col("q")))
     rows = rows.withColumn("times", F.count("*").over(alone)).where("common or times > 1").select("token", "q")
-    rows = stored(rows.join(classes.select("q", "n"), "q").distinct(), "prefixes")
+    rows = stored(rows.join(classes.select("q", "n"), "q"), "prefixes")
 
     # similar sets have the same smallest shared token: they make a group, dealt out if it is large
     grouped = rows.groupBy("q").agg(F.min("token").alias("low"), F.first("n").alias("n"))
@@ -169,29 +170,34 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         meet.groupBy("q", "grp", "at").agg(F.count("*").alias("overlap"), F.min(F.least("n", "least")).alias("small"))
         .where(F.col("overlap") >= 1 + F.floor(F.col("small") / 20)).select("q", "at"), "opened")
 
-    # the sets of classes that open a group or belong to an opened one
+    # the sets of classes that open a group or belong to an opened one; rows without a part are mostly
+    # sifted out by a slot of their key, of which there are at most SLOTS
     blocks = opened.groupBy("at").agg(F.ceil(F.count("*") / ASKING).alias("blocks"))
-    members = classes.select("q", "sig", "copies").join(grouped.withColumnRenamed("grp", "at"), "q").join(blocks, "at")
-    needed = members.select("q", "sig").union(opened.select("q").distinct().join(classes.select("q", "sig"), "q")).distinct()
+    about = classes.select("q", "sig", "copies")
+    own = grouped.withColumnRenamed("grp", "at").join(blocks, "at").join(about, "q").select("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "q", "sig", "copies")
+    ask = opened.join(blocks, "at").join(about, "q").select("at", F.pmod(F.xxhash64("q", F.lit(2)), "blocks").alias("block"), "q", "sig", "copies")
 
     def full_sets():
         hashes = _Hashes()
-        return lambda texts: [pa.array([shingles(t, words, hashes).tobytes() for t in texts], pa.binary())]
 
-    wanted = docs.join(needed.withColumnRenamed("q", "key"), "key")
-    sets = map_texts(wanted, "text", ["key", "sig"], [T.StructField("found", T.BinaryType())], full_sets)
-    sets = stored(sets.select(F.col("row.key").alias("q"), F.col("row.sig").alias("sig"), "found").dropDuplicates(["q", "sig", "found"]), "full")
-    sized = sets.join(classes.select("q", "sig", "copies"), ["q", "sig"])
-    ask = opened.join(blocks, "at").join(sized, "q").select("at", F.pmod(F.xxhash64("q", F.lit(2)), "blocks").alias("block"), "q", "sig", "copies", "found").toDF("at", "block", "q", "sig", "copies", "found")
-    own = members.select("at", "q", "sig", "blocks").join(sized, ["q", "sig"]).select("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "q", "sig", "copies", "found")
+        def work(texts):
+            found = [shingles(t, words, hashes).tobytes() for t in texts]
+            return [pa.array(map(xxhash.xxh3_128_digest, found), pa.binary()), pa.array(found, pa.binary())]
+        return work
+
+    slot = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(SLOTS)).alias("slot")
+    slots = own.select("q").union(ask.select("q")).select(slot("q")).distinct()
+    wanted = docs.select("key", "text", slot("key")).join(F.broadcast(slots), "slot", "left_semi")
+    sets = map_texts(wanted, "text", ["key"], [T.StructField("sig", T.BinaryType()), T.StructField("found", T.BinaryType())], full_sets)
+    sets = stored(sets.select(F.col("row.key").alias("q"), "sig", "found"), "full")
+    with_sets = lambda rows_: rows_.join(sets, ["q", "sig"]).select("at", "block", "q", "copies", "found")
+    own, ask = with_sets(own), with_sets(ask).toDF("at", "block", "q", "copies", "found")
 
     def verify(group: pa.Table, asked: pa.Table) -> pa.Table:
         parts = []
         for t in (group, asked):
-            data = t.select(["q", "sig", "copies", "found"]).to_pydict()
-            sets_ = [np.frombuffer(b, np.int64) for b in data["found"]]
-            fit = [i for i, (s, b) in enumerate(zip(data["sig"], data["found"])) if s == xxhash.xxh3_128_digest(b)]
-            parts.append(([data["q"][i] for i in fit], [data["copies"][i] for i in fit], [sets_[i] for i in fit]))
+            each = {q: (n, b) for q, n, b in zip(*t.select(["q", "copies", "found"]).to_pydict().values())}  # repeated rows once
+            parts.append((list(each), [n for n, _ in each.values()], [np.frombuffer(b, np.int64) for _, b in each.values()]))
         (mid, mcopies, msets), (aid, acopies, asets) = parts
         in_group = set(mid)
         parent: dict[int, int] = {}
