@@ -37,7 +37,7 @@ def test_smoothing_is_a_weighted_mean():
 def test_pages_frame(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (None, None, None, None), (2, "u", "", "x"), (1, "u", PAGE, "t")], "page_id long, url string, html string, text string")
     rows = extract.extract(pages, ["page_id", "url"]).collect()
-    assert sorted((str(r["row"]["page_id"]), r["n_chars"]) for r in rows) == [("1", 61), ("1", 61), ("2", 0), ("None", 0)]
+    assert sorted((str(r["row"]["page_id"]), r["n_chars"]) for r in rows) == [("1", 64), ("1", 64), ("2", 0), ("None", 0)]
     assert all(r["n_chars"] == len(r["text"]) for r in rows)
     assert extract.extract(pages.where("false"), ["page_id"]).count() == 0
 
