@@ -12,7 +12,7 @@ def _fingerprint(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def connected_components(edges: DataFrame, left: str = "left_tf", right: str = "right_tf", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, left: str = "left_tf", right: str = "right_tf") -> DataFrame:
     """K1: ``(node, component)`` with the smallest node of the component as its name.
 
     Alternates large-star and small-star steps (logarithmically many rounds). Each round is
@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame, left: str = "left_tf", right: str = "
     nodes = base.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     links = base.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     mark = _fingerprint(links)
-    for _ in range(max_rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -34,8 +34,6 @@ def connected_components(edges: DataFrame, left: str = "left_tf", right: str = "
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     return nodes.join(links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node"), "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
 
@@ -43,15 +41,15 @@ def connected_components(edges: DataFrame, left: str = "left_tf", right: str = "
 def identifiability_components(edges: DataFrame) -> DataFrame:
     """K2: per component its size and whether it holds an odd cycle (self loops count).
 
-    A component is non-bipartite when both copies of a node meet in the bipartite double cover.
+    One run over the bipartite double cover answers both: a component is non-bipartite when both
+    copies of a node meet, and the smaller name of the two copies' components is its own.
     """
-    plain = connected_components(edges)
     cover = edges.select(F.explode(F.array(
         F.struct(F.concat(F.lit("0|"), "left_tf").alias("left_tf"), F.concat(F.lit("1|"), "right_tf").alias("right_tf")),
         F.struct(F.concat(F.lit("1|"), "left_tf").alias("left_tf"), F.concat(F.lit("0|"), "right_tf").alias("right_tf")))).alias("e")).select("e.*")
     halves = connected_components(cover).select(F.substring("node", 3, 1 << 30).alias("node"), F.col("component").alias("half"))
-    odd = halves.groupBy("node").agg((F.min("half") == F.max("half")).alias("odd"))
-    return plain.join(odd, "node").groupBy("component").agg(F.count("*").alias("nodes"), F.bool_or("odd").alias("non_bipartite"))
+    nodes = halves.groupBy("node").agg(F.min(F.substring("half", 3, 1 << 30)).alias("component"), (F.min("half") == F.max("half")).alias("odd"))
+    return nodes.groupBy("component").agg(F.count("*").alias("nodes"), F.bool_or("odd").alias("non_bipartite"))
 
 
 def identifiability_audit(edges: DataFrame) -> DataFrame:

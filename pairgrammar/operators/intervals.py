@@ -75,21 +75,32 @@ def overlap_flags(rows: DataFrame, peaks: DataFrame, bin_size: int = BIN) -> Dat
     })
 
 
-def hydrate_windows(regions: DataFrame, chunks: DataFrame, length: int, chunk_size: int, key: str = "seq_id") -> DataFrame:
+def hydrate_windows(regions: DataFrame, chunks: DataFrame, length: int, chunk_size: int, key: str = "seq_id", lengths: DataFrame | None = None) -> DataFrame:
     """Bases of each ``window_start``-based window from a chunked genome table.
 
-    A window touches one or two chunks, so the gathered list is short; missing tail is N.
+    Every chunk is placed by its own start. A window is ``complete`` when its chunks hold all bases it
+    has inside the chromosome; else it is ``incomplete`` and has no sequence. Bases before the
+    chromosome's start are N, and so are those past its end if ``lengths`` (chromosome,
+    chromosome_length) tells where that is. A window touches few chunks, so the gathered list is short.
     """
-    first = F.floor(F.col("window_start") / chunk_size).cast("long")
-    last = F.floor((F.col("window_start") + length - 1) / chunk_size).cast("long")
-    need = regions.select(key, "chromosome", "window_start", F.explode(F.sequence(first, last)).alias("chunk_id"))
-    parts = need.join(chunks.select("chromosome", "chunk_id", "start", "bases"), ["chromosome", "chunk_id"])
-    joined = parts.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("start", "bases"))).alias("_p"), F.first("window_start").alias("_w"))
-    text = F.array_join(F.transform("_p", lambda p: p["bases"]), "")
-    offset = (F.col("_w") - F.col("_p")[0]["start"] + 1).cast("int")
-    seqs = joined.select(key, F.rpad(F.upper(F.substring(text, offset, F.lit(length))), length, "N").alias("sequence"))
-    return regions.join(seqs, key, "left").withColumn(
+    placed = regions.select(key, "chromosome", F.col("window_start").cast("long").alias("_w"))
+    placed = placed.withColumn("_end", F.col("_w") + length)
+    if lengths is not None:
+        known = lengths.select("chromosome", F.col("chromosome_length").cast("long").alias("_len"))
+        placed = placed.join(known, "chromosome", "left").withColumn("_end", F.coalesce(F.least("_end", "_len"), "_end")).drop("_len")
+    placed = placed.withColumn("_from", F.greatest("_w", F.lit(0).cast("long")))
+    inside = F.greatest(F.col("_end") - F.col("_from"), F.lit(0).cast("long"))
+    need = placed.filter("_end > _from").withColumn("chunk_id", F.explode(F.sequence(F.floor(F.col("_from") / chunk_size).cast("long"), F.floor((F.col("_end") - 1) / chunk_size).cast("long"))))
+    parts = need.join(chunks.select("chromosome", "chunk_id", F.col("start").cast("long").alias("start"), "bases"), ["chromosome", "chunk_id"])
+    low, high = F.greatest("_from", "start"), F.least("_end", F.col("start") + F.length("bases"))
+    cut = parts.filter(high > low).select(key, low.alias("at"), F.substring("bases", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("bases"))
+    joined = cut.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("at", "bases"))).alias("_p"))
+    held = F.aggregate("_p", F.lit(0).cast("long"), lambda n, p: n + F.length(p["bases"]))
+    left = F.repeat(F.lit("N"), F.least(F.col("_from") - F.col("_w"), F.lit(length)).cast("int"))
+    text = F.rpad(F.concat(left, F.upper(F.array_join(F.transform("_p", lambda p: p["bases"]), ""))), length, "N")
+    out = placed.join(joined, key, "left").withColumn("_p", F.coalesce("_p", F.array().cast("array<struct<at:bigint,bases:string>>")))
+    whole = out.filter(held == inside).select(key, text.alias("sequence"))
+    return regions.join(whole, key, "left").withColumn(
         "hydration_status", F.when(F.col("sequence").isNotNull(), "complete").otherwise("incomplete"))
 
 

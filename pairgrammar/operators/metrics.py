@@ -23,14 +23,14 @@ def collapse(df: DataFrame, label: str, score: str, by: list[str], weight: str |
 
 
 def ranking_metrics(df: DataFrame, label: str = "label", score: str = "score", by: list[str] | None = None,
-                    weight: str | None = None, strict: bool = False, bits: int | None = None) -> DataFrame:
+                    weight: str | None = None, strict: bool = False, ranges: int | None = None) -> DataFrame:
     """E1 + E2: AUROC (ties count half) and average precision per group.
 
     A group with one class gives null; with ``strict`` it is an error.
     """
     by = by or []
     counts = collapse(df, label, score, by, weight)
-    ordered = running(counts, by, ["-_score"], {"_tp": ("sum", F.col("_pos")), "_fp": ("sum", F.col("_neg"))}, bits=bits)
+    ordered = running(counts, by, ["-_score"], {"_tp": ("sum", F.col("_pos")), "_fp": ("sum", F.col("_neg"))}, ranges=ranges)
     sums = ordered.groupBy(*by).agg(
         F.sum("_pos").alias("_p"),
         F.sum("_neg").alias("_n"),

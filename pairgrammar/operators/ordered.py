@@ -1,9 +1,9 @@
 """Running totals and ranks that survive a hot group.
 
-A window over one key sorts the whole key in one task. Here a deterministic 1-in-2^k hash
-sample of the sort keys gives range boundaries (one scalar subquery, at most 4096 of them),
-rows are windowed per (key, range) and shifted by the totals of the earlier ranges. Below
-about 2^k rows there is no boundary and the plan is the plain window.
+A window over one key sorts the whole key in one task. Where the input may be large, Spark's range
+partitioning by (group, order, row number) deals the rows into ranges of about ``RANGE_ROWS``, so
+that even one repeated key is cut; rows are windowed per (group, range) and shifted by the totals
+of the earlier ranges. A small input is one range: the plain window. Both order nulls as Spark does.
 """
 
 from __future__ import annotations
@@ -11,48 +11,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairgrammar.session import cut_lineage
+from pairgrammar.session import cut_lineage, leaf_bytes, materialize, shared_dir
 
 Order = list  # column names; a leading "-" means descending
 
-SAMPLE_BITS = 20
-MAX_RANGES = 4096
-
-
-def _keys(by: list[str], order: Order) -> list[tuple[str, bool]]:
-    return [(c, True) for c in by] + [(o.lstrip("-"), not o.startswith("-")) for o in order]
+RANGE_ROWS = 1 << 20
+SMALL_BYTES = 64 << 20  # inputs read from less than this are one range
 
 
 def order_columns(order: Order) -> list[Column]:
-    return [F.col(name).asc() if asc else F.col(name).desc() for name, asc in _keys([], order)]
+    return [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order]
 
 
-def _not_after(a: str, b: str, keys) -> str:
-    """SQL test whether key struct ``a`` sorts before or with ``b``."""
-    out = "true"
-    for name, asc in reversed(keys):
-        x, y = f"{a}.`{name}`", f"{b}.`{name}`"
-        out = f"({x} {'<' if asc else '>'} {y} OR ({x} = {y} AND {out}))"
-    return out
+def with_ranges(df: DataFrame, by: list[str], order: Order, ranges: int, name: str = "_range", tie: str = "_tie") -> DataFrame:
+    """Add an order-preserving range number and a row number that breaks ties, kept in a checkpoint.
 
+    The checkpoint makes both readings of the ranges agree, whatever is computed again.
+    """
+    shared_dir(df.sparkSession)
+    numbered = df.withColumn(tie, F.monotonically_increasing_id())
+    dealt = numbered.repartitionByRange(ranges, *[F.col(c).asc() for c in by], *order_columns(order), F.col(tie))
+    return dealt.withColumn(name, F.spark_partition_id()).checkpoint()
 
-def with_ranges(df: DataFrame, by: list[str], order: Order, name: str = "_range", bits: int | None = None) -> DataFrame:
-    """Add an order-preserving range number per row. Sort keys must not be null."""
-    keys = _keys(by, order)
-    row = "named_struct(" + ", ".join(f"'{k}', `{k}`" for k, _ in keys) + ")"
-    mask = (1 << (SAMPLE_BITS if bits is None else bits)) - 1
-    sampled = df.where(f"(xxhash64({', '.join(f'`{k}`' for k, _ in keys)}) & {mask}L) = 0").selectExpr(f"{row} AS k")
-    compare = f"CASE WHEN {_not_after('x', 'y', keys)} THEN CASE WHEN {_not_after('y', 'x', keys)} THEN 0 ELSE -1 END ELSE 1 END"
-    bounds = sampled.agg(F.expr(f"array_sort(collect_list(k), (x, y) -> {compare})").alias("b"))
-    thin = bounds.selectExpr(
-        f"CASE WHEN size(b) > 0 THEN transform(sequence(1, greatest(size(b), 1), greatest(cast(ceil(size(b) / {MAX_RANGES}.0) as int), 1)), i -> b[i - 1]) END AS b")
-    step = "cast(ceil(sqrt(size(b))) as int)"
-    chunks = thin.selectExpr(f"CASE WHEN b IS NOT NULL THEN transform(sequence(1, size(b), {step}), i -> slice(b, i, {step})) END AS c").scalar()
 
-    out = df.select("*", chunks.alias("_chunks"), F.expr(row).alias("_key"))
-    out = out.selectExpr("*", f"CASE WHEN _chunks IS NULL THEN 0 ELSE size(filter(_chunks, c -> {_not_after('c[0]', '_key', keys)})) END AS _coarse")
-    number = f"CASE WHEN _coarse = 0 THEN 0 ELSE (_coarse - 1) * size(_chunks[0]) + size(filter(_chunks[_coarse - 1], b -> {_not_after('b', '_key', keys)})) END"
-    return out.select(*df.columns, F.expr(number).alias(name))
+def _sized(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows, stored if they may be many, and the number of ranges they need."""
+    if leaf_bytes(df) <= SMALL_BYTES:
+        return df, 1
+    df = materialize(df)
+    return df, max(1, -(-df.count() // RANGE_ROWS))
 
 
 _COMBINE = {"sum": "{0} + {1}", "max": "greatest({0}, {1})", "min": "least({0}, {1})"}
@@ -64,17 +51,25 @@ def running(
     order: Order,
     measures: dict[str, tuple[str, Column]],
     exclusive: bool = False,
-    bits: int | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Running ``sum``, ``min`` or ``max`` per group in the given order.
 
     ``measures`` maps a result name to (kind, column). ``exclusive`` leaves the row itself out.
+    ``ranges`` fixes the number of ranges. Rows with equal keys come in any order.
     """
     kinds = [k for k, _ in measures.values()]
     df = cut_lineage(df)
-    ranged = with_ranges(df, by, order, bits=bits).select("*", *[c.alias(f"_m{i}") for i, (_, c) in enumerate(measures.values())])
-    part = [*by, "_range"]
-    frame = Window.partitionBy(*part).orderBy(*order_columns(order)).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    columns = df.columns
+    if ranges is None:
+        df, ranges = _sized(df)
+    end = -1 if exclusive else 0
+    given = df.select("*", *[c.alias(f"_m{i}") for i, (_, c) in enumerate(measures.values())])
+    if ranges == 1:
+        frame = Window.partitionBy(*by).orderBy(*order_columns(order)).rowsBetween(Window.unboundedPreceding, end)
+        return given.select(*columns, *[F.expr(f"{k}(_m{i})").over(frame).alias(n) for i, (n, k) in enumerate(zip(measures, kinds))])
+    ranged = with_ranges(given, by, order, ranges)
+    frame = Window.partitionBy(*by, "_range").orderBy(*order_columns(order), "_tie").rowsBetween(Window.unboundedPreceding, end)
     before = Window.partitionBy(*[f"_k{i}" for i in range(len(by))]).orderBy("_k_range").rowsBetween(Window.unboundedPreceding, -1)
 
     local = ranged.select("*", *[F.expr(f"{k}(_m{i})").over(frame).alias(f"_l{i}") for i, k in enumerate(kinds)])
@@ -82,18 +77,18 @@ def running(
     totals = ranged.groupBy(*groups).agg(*[F.expr(f"{k}(_m{i})").alias(f"_t{i}") for i, k in enumerate(kinds)])
     keys = [*[f"_k{i}" for i in range(len(by))], "_k_range"]
     shifts = totals.select(*keys, *[F.expr(f"{k}(_t{i})").over(before).alias(f"_o{i}") for i, k in enumerate(kinds)])
-    # null-safe keys: groups may be null, and no extra filter splits the two reads of one shuffle
+    # null-safe keys: groups may be null
     same = " AND ".join([f"`{c}` <=> _k{i}" for i, c in enumerate(by)] + ["_range <=> _k_range"])
     out = local.join(shifts, F.expr(same), "left")
     merged = [
         F.expr(f"CASE WHEN _l{i} IS NULL THEN _o{i} WHEN _o{i} IS NULL THEN _l{i} ELSE {_COMBINE[k].format(f'_l{i}', f'_o{i}')} END").alias(n)
         for i, (n, k) in enumerate(zip(measures, kinds))]
-    return out.select(*df.columns, *merged)
+    return out.select(*columns, *merged)
 
 
-def ranked(df: DataFrame, by: list[str], order: Order, name: str, bits: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, by: list[str], order: Order, name: str, ranges: int | None = None) -> DataFrame:
     """sequential rank from 1 in the given order, safe for a hot group."""
-    return running(df, by, order, {name: ("sum", F.lit(1).cast("long"))}, bits=bits)
+    return running(df, by, order, {name: ("sum", F.lit(1).cast("long"))}, ranges=ranges)
 
 
 def top_per_group(df: DataFrame, by: list[str], order: Order, n: int, name: str = "_rn", keep_rank: bool = False) -> DataFrame:

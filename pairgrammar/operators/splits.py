@@ -152,12 +152,39 @@ def _balance_table(df: DataFrame, order: list[str], key: str, depth: int = 8):
     return cells, first
 
 
+def _fill_moves(df: DataFrame, key: str) -> list[tuple]:
+    """Last rows of train (or, for an empty train, of another split) that fill an empty split: at most four."""
+    size = {r["split"]: r["n"] for r in df.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    held: dict = {name: [] for name in SPLITS}
+    for r in sorted(top_per_group(df.select(key, "split"), ["split"], [f"-{key}"], 4, name="_rn", keep_rank=True).collect(), key=lambda r: -r["_rn"]):
+        held[r["split"]].append(r[key])
+    moves = []
+
+    def move(source: str, target: str) -> None:
+        row = held[source].pop()
+        held[target].append(row)
+        size[source] -= 1
+        size[target] = size.get(target, 0) + 1
+        moves.append((row, target))
+
+    if not size.get("valid") and size.get("train", 0) > 2:
+        move("train", "valid")
+    if not size.get("test") and size.get("train", 0) > 3:
+        move("train", "test")
+    if not size.get("train") and sum(size.values()):
+        move("valid" if size.get("valid") else "test", "train")
+    if not size.get("valid") and size.get("train", 0) > 1:
+        move("train", "valid")
+    return moves
+
+
 def label_split(df: DataFrame, group: str, label: str = "label", key: str = "seq_id") -> DataFrame:
-    """Row split by (group, label), then both labels are put in every split where possible.
+    """Row split by (group, label); empty splits are filled, then both labels are put in every split where possible.
 
-    Labels are 0/1, so the balance table that reaches the driver has at most six cells.
+    Empty splits take the rows with the largest keys. Labels are 0/1, so the balance table that reaches the driver has at most six cells.
     """
     base = df.withColumn("split", assign_split(label_key(group, label)))
+    base = _apply_moves(base, _fill_moves(base, key), key)
     slim = base.select(key, "split", F.col(label).cast("double").alias("label"))
     cells, first = _balance_table(slim, [key], key)
     labels = sorted({l for _, l in cells if l is not None})

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,21 +151,36 @@ def _normal_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2.0)))
 
 
+_EXACT_LENGTH = 1 << 22
+
+
 def _exact_u_tail(n1: int, n2: int, u: float) -> float:
-    """P(U >= u) without ties, from the number of subsets per rank sum (one side is at most 8)."""
-    small, other = min(n1, n2), max(n1, n2)
-    ways = [[0] * (small * other + 1) for _ in range(small + 1)]
-    ways[0][0] = 1
-    for extra in range(1, small + other + 1):
-        for size in range(min(extra, small), 0, -1):
-            shift = extra - size
-            if shift > other:
-                continue
-            row, prior = ways[size], ways[size - 1]
-            for total in range(small * other, shift - 1, -1):
-                row[total] += prior[total - shift]
-    dist = ways[small]
-    return sum(dist[math.ceil(u):]) / math.comb(small + other, small)
+    """P(U >= u) without ties, where the smaller side has at most 8 rows.
+
+    The counts of subsets per U are the coefficients of a Gaussian binomial: one pass over an array
+    for each factor, up to the middle of the symmetric distribution. Where that array would pass
+    ``_EXACT_LENGTH`` numbers, U over the larger side is the sum of uniform draws, whose tail is closed.
+    """
+    m, n = min(n1, n2), max(n1, n2)
+    least = math.ceil(u)
+    if least <= 0:
+        return 1.0
+    if 2 * least <= m * n:
+        return 1.0 - _exact_u_tail(n1, n2, m * n - least + 1)
+    top = m * n - least  # by symmetry P(U <= top)
+    if top < 0:
+        return 0.0
+    if top + 1 > _EXACT_LENGTH:
+        x = (top + (m + 1) / 2) / (n + (m + 1) / 2)
+        return sum((-1) ** k * math.comb(m, k) * max(0.0, x - k) ** m for k in range(m + 1)) / math.factorial(m)
+    ways = np.zeros(top + 1)
+    ways[0] = 1.0
+    for i in range(1, m + 1):
+        padded = np.concatenate([ways, np.zeros(-len(ways) % i)]).reshape(-1, i)
+        ways = padded.cumsum(axis=0).ravel()[:top + 1]
+        if n + i <= top:
+            ways[n + i:] = ways[n + i:] - ways[:top + 1 - n - i].copy()
+    return float(ways.sum() / math.comb(m + n, m))
 
 
 def _u_p_value(n1: pd.Series, n2: pd.Series, u: pd.Series, ties: pd.Series) -> pd.Series:

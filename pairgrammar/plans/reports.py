@@ -26,12 +26,14 @@ def _one(df: DataFrame) -> Column:
 def method_scores(preds: DataFrame, seeds: list[int], baselines: DataFrame | None = None) -> DataFrame:
     """Seed-averaged scores per slice and method, restricted to rows that every method of the slice scored.
 
+    Averages are rounded to nine decimals: equal means must tie whatever the order of summation.
+
     ``preds``: phase, split_name, seed, seq_id, label and the three own scores. ``baselines``: split_name, method, seq_id, score.
     """
     slices = ["split_name", "phase"]
     wanted = preds.filter(F.col("seed").isin(seeds)).dropna(subset=["label"])
     active = wanted.groupBy(*slices).agg(F.count_distinct("seed").alias("_seeds"))
-    per = wanted.groupBy(*slices, "seq_id", "label").agg(F.count_distinct("seed").alias("_have"), *[F.avg(c).alias(c) for c in OWN.values()])
+    per = wanted.groupBy(*slices, "seq_id", "label").agg(F.count_distinct("seed").alias("_have"), *[F.round(F.avg(c), 9).alias(c) for c in OWN.values()])
     mean = per.join(active, slices).filter(F.col("_have") == F.col("_seeds")).dropna(subset=list(OWN.values()))
     own = M.long_scores(mean, OWN, [*slices, "seq_id", "label"])
     if baselines is None:
@@ -46,21 +48,28 @@ def method_scores(preds: DataFrame, seeds: list[int], baselines: DataFrame | Non
     return kept.unionByName(extra.select(*slices, "seq_id", "label", "method", "score"))
 
 
-def significance_summary(preds: DataFrame, seeds: list[int], baselines: DataFrame | None = None, preferred: list[str] | None = None,
-                         n_bootstrap: int = 5000, n_permutations: int = 5000, seed: int = 11) -> dict[str, DataFrame]:
-    """Metrics, paired tests with FDR and flags, claims and missing slices in one keyed plan."""
-    slices = ["split_name", "phase"]
-    long = cut_lineage(method_scores(preds, seeds, baselines))
-    metrics = M.ranking_metrics(long, "label", "score", [*slices, "method"])
-    model = long.filter(F.col("method") == MODEL).select(*slices, "seq_id", "label", F.col("score").alias("m"))
-    others = long.filter(F.col("method") != MODEL).select(*slices, "seq_id", F.col("method").alias("comparison_method"), F.col("score").alias("b"))
-    pairs = model.join(others, [*slices, "seq_id"])
-    tests = X.paired_tests(pairs, [*slices, "comparison_method"], n_bootstrap, n_permutations, seed)
-    tests = cut_lineage(tests)
-    sig = X.significant_win(X.bh_fdr(tests, "permutation_p_value", [*slices, "metric_name", "comparison_method"]))
-    asked = preds.select(*slices).distinct().withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    missing = asked.join(preds.select(*slices, "seed").distinct(), [*slices, "seed"], "left_anti").withColumn("reason", F.lit("missing_predictions"))
-    return {"metrics": metrics, "significance": sig, "claims": X.claim_table(sig, preferred or []), "missing": missing}
+SLICES = ["split_name", "phase"]
+
+
+def significance_metrics(scores: DataFrame) -> DataFrame:
+    """Ranking metrics of ``method_scores`` per slice and method."""
+    return M.ranking_metrics(scores, "label", "score", [*SLICES, "method"])
+
+
+def significance_tests(scores: DataFrame, n_bootstrap: int = 5000, n_permutations: int = 5000, seed: int = 11) -> DataFrame:
+    """Paired tests of the model against every other method of a slice, with FDR and flags."""
+    scores = cut_lineage(scores)
+    model = scores.filter(F.col("method") == MODEL).select(*SLICES, "seq_id", "label", F.col("score").alias("m"))
+    others = scores.filter(F.col("method") != MODEL).select(*SLICES, "seq_id", F.col("method").alias("comparison_method"), F.col("score").alias("b"))
+    pairs = model.join(others, [*SLICES, "seq_id"])
+    tests = cut_lineage(X.paired_tests(pairs, [*SLICES, "comparison_method"], n_bootstrap, n_permutations, seed))
+    return X.significant_win(X.bh_fdr(tests, "permutation_p_value", [*SLICES, "metric_name", "comparison_method"]))
+
+
+def missing_predictions(preds: DataFrame, seeds: list[int]) -> DataFrame:
+    """Slices and seeds without any prediction."""
+    asked = preds.select(*SLICES).distinct().withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    return asked.join(preds.select(*SLICES, "seed").distinct(), [*SLICES, "seed"], "left_anti").withColumn("reason", F.lit("missing_predictions"))
 
 
 def evaluate_predictions(preds: DataFrame, gap_prediction: str | None = None) -> DataFrame:

@@ -37,10 +37,10 @@ def assign_usage_labels(df: DataFrame) -> DataFrame:
     return union_all(won, kept, rest)
 
 
-def hydrate_states(states: DataFrame, chunks: DataFrame, chunk_size: int, window: int = schema.WINDOW) -> DataFrame:
+def hydrate_states(states: DataFrame, chunks: DataFrame, chunk_size: int, window: int = schema.WINDOW, lengths: DataFrame | None = None) -> DataFrame:
     start, end = centered_window("region_start", "region_end", window)
     placed = states.withColumns({"window_start": start, "window_end": end})
-    out = N.hydrate_windows(placed, chunks, window, chunk_size, key="state_label").filter("hydration_status = 'complete'").drop("hydration_status")
+    out = N.hydrate_windows(placed, chunks, window, chunk_size, key="state_label", lengths=lengths).filter("hydration_status = 'complete'").drop("hydration_status")
     return out.withColumn("gc_content", gc_content("sequence"))
 
 

@@ -315,19 +315,18 @@ def validation_suite(spark, sf):
 
 
 # ---- L13, L14, L15, L19
-_MS = """ms AS (SELECT split_name, phase, seq_id, label, avg(full_score) AS f, avg(availability_only_score) AS a, avg(additive_null_score) AS n FROM seed_scores GROUP BY 1,2,3,4 HAVING count(DISTINCT seed)=5)"""
+_MS = """ms AS (SELECT split_name, phase, seq_id, label, round(avg(full_score),9) AS f, round(avg(availability_only_score),9) AS a, round(avg(additive_null_score),9) AS n FROM seed_scores GROUP BY 1,2,3,4 HAVING count(DISTINCT seed)=5)"""
 
 
 @query("significance_metrics", f"WITH {_MS}, lg AS (SELECT split_name, phase, label, unnest(['model','availability_only','additive_null']) AS method, unnest([f,a,n]) AS score FROM ms) SELECT split_name, phase, method, n, round(auprc,6) AS auprc, round(auroc,6) AS auroc FROM {sql_rank_metrics('lg', 'label', 'score', 'split_name, phase, method')}", ("seed_scores",))
 def significance_metrics(spark, sf):
-    m = R.significance_summary(views.seed_scores(spark, sf), schema.SEEDS, n_bootstrap=5, n_permutations=5)["metrics"]
+    m = R.significance_metrics(R.method_scores(views.seed_scores(spark, sf), schema.SEEDS))
     return rounded(m.select("split_name", "phase", "method", "n", "auprc", "auroc"))
 
 
 @query("significance_summary")
 def significance_summary(spark, sf):
-    out = R.significance_summary(views.seed_scores(spark, sf), schema.SEEDS, n_bootstrap=20, n_permutations=20)
-    return rounded(out["significance"])
+    return rounded(R.significance_tests(R.method_scores(views.seed_scores(spark, sf), schema.SEEDS), n_bootstrap=20, n_permutations=20))
 
 
 @query("significance_with_baselines", f"WITH {_MS}, b AS (SELECT split_name, seq_id, round(label*0.3::DOUBLE+length(seq_id)/10.0::DOUBLE,4) AS s FROM ms WHERE length(seq_id)<>5), k AS (SELECT ms.* FROM ms WHERE (split_name, seq_id) IN (SELECT (split_name, seq_id) FROM b)), lg AS (SELECT split_name, phase, label, 'model' AS method, f AS score FROM k UNION ALL SELECT split_name, phase, label, 'availability_only', a FROM k UNION ALL SELECT split_name, phase, label, 'additive_null', n FROM k UNION ALL SELECT k.split_name, phase, label, 'GET', s FROM k JOIN b USING (split_name, seq_id)) SELECT split_name, phase, method, count(*) AS n, round(sum(score),5) AS total FROM lg GROUP BY 1,2,3", ("seed_scores",))
@@ -353,13 +352,13 @@ def main_metrics(spark, sf):
     return m
 
 
-@query("artifact_inventory", """WITH a AS (SELECT CASE WHEN l_linestatus='F' THEN 'phase4' ELSE 'phase5' END AS phase, 's'||(l_suppkey%40) AS split_name, l_linenumber::BIGINT AS seed, (['checkpoint','predictions','train_bundle','valid_bundle'])[CAST(l_partkey%4 AS INT)+1] AS kind, l_orderkey AS modified, 'p'||l_partkey AS path FROM lineitem WHERE l_quantity<3),
+@query("artifact_inventory", """WITH a AS (SELECT CASE WHEN l_linestatus='F' THEN 'phase4' ELSE 'phase5' END AS phase, 's'||(l_suppkey%40) AS split_name, l_linenumber::BIGINT AS seed, (['checkpoint','predictions','train_bundle','valid_bundle'])[CAST(l_partkey%4 AS INT)+1] AS kind, l_orderkey AS modified, 'p'||l_partkey AS path FROM lineitem),
   g AS (SELECT DISTINCT phase, split_name, seed FROM a), ck AS (SELECT phase, split_name, seed, arg_max(path,(modified,path)) AS checkpoint FROM a WHERE kind='checkpoint' GROUP BY 1,2,3), pr AS (SELECT DISTINCT phase, split_name, seed FROM a WHERE kind='predictions'), bu AS (SELECT phase, split_name FROM a WHERE kind LIKE '%bundle' GROUP BY 1,2 HAVING count(DISTINCT kind)=2)
   SELECT g.phase, g.split_name, g.seed, CASE WHEN ck.checkpoint IS NOT NULL AND pr.seed IS NOT NULL THEN 'complete' WHEN ck.checkpoint IS NOT NULL THEN 'needs_prediction_regeneration' WHEN bu.phase IS NULL THEN 'blocked_missing_bundles' WHEN g.phase='phase5' AND w.seed IS NULL THEN 'blocked_missing_phase4_warm_start' ELSE 'ready_to_train' END AS status, coalesce(ck.checkpoint,'') AS checkpoint
   FROM g LEFT JOIN ck USING (phase, split_name, seed) LEFT JOIN pr ON pr.phase=g.phase AND pr.split_name=g.split_name AND pr.seed=g.seed LEFT JOIN bu ON bu.phase=g.phase AND bu.split_name=g.split_name LEFT JOIN (SELECT split_name, seed FROM ck WHERE phase='phase4') w ON w.split_name=g.split_name AND w.seed=g.seed""")
 def artifact_inventory(spark, sf):
     kind = F.element_at(F.array(*[F.lit(k) for k in ("checkpoint", "predictions", "train_bundle", "valid_bundle")]), (F.col("l_partkey") % 4 + 1).cast("int"))
-    a = views.table(spark, sf, "lineitem").filter("l_quantity < 3").select(
+    a = views.table(spark, sf, "lineitem").select(
         F.when(F.col("l_linestatus") == "F", "phase4").otherwise("phase5").alias("phase"), F.concat(F.lit("s"), (F.col("l_suppkey") % 40).cast("string")).alias("split_name"), F.col("l_linenumber").cast("long").alias("seed"),
         kind.alias("kind"), F.col("l_orderkey").alias("modified"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path"))
     return R.artifact_inventory(a.select("phase", "split_name", "seed").distinct(), a).select("phase", "split_name", "seed", "status", "checkpoint")

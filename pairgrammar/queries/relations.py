@@ -102,20 +102,27 @@ def overlap_flags(spark, sf):
     return rounded(N.overlap_flags(r, peaks, 20_000).select("seq_id", "left_tf_covered", "right_tf_covered", "left_tf_overlap", "right_tf_overlap", "num_covered_tfs", "any_tf_overlap", "both_tfs_overlap"))
 
 
-@query("hydrate_windows", """
-  WITH g AS MATERIALIZED (SELECT seq_id AS chromosome, bases FROM sequences), r AS (SELECT seq_id, seq_id||'_'||k AS rid, unnest(range(0, length(bases)//150+1)) AS kk, k FROM (SELECT seq_id, bases, 0 AS k FROM sequences))
-  SELECT c.seq_id||'_'||o AS seq_id, CASE WHEN length(bases)>o*150 THEN rpad(substr(bases, CAST(o*150+1 AS INT), 96),96,'N') END AS sequence, CASE WHEN length(bases)>(o*150)//200*200 THEN 'complete' ELSE 'incomplete' END AS hydration_status
-  FROM (SELECT seq_id, bases, unnest(range(0, length(bases)//150+1)) AS o FROM sequences) c""", ("sequences",))
+_LOST = "(doc_id % 4 = 1 AND c = 0 OR doc_id % 4 = 2 AND c = 1 OR doc_id % 4 = 3 AND c = (length(bases) - 1) // 200)"
+
+
+@query("hydrate_windows", f"""
+  WITH s AS (SELECT seq_id, doc_id, bases, length(bases) AS n FROM sequences), w AS (SELECT *, o * 150 AS w, least(o * 150 + 96, n) AS e FROM (SELECT *, unnest(range(0, n // 150 + 1)) AS o FROM s)),
+  lost AS (SELECT seq_id, c * 200 AS a, c * 200 + 200 AS b FROM (SELECT *, unnest(range(0, (n + 199) // 200)) AS c FROM s) WHERE {_LOST})
+  SELECT seq_id || '_' || o AS seq_id, CASE WHEN ok THEN rpad(substr(bases, CAST(w + 1 AS INT), 96), 96, 'N') END AS sequence, CASE WHEN ok THEN 'complete' ELSE 'incomplete' END AS hydration_status
+  FROM (SELECT w.*, NOT EXISTS (SELECT 1 FROM lost l WHERE l.seq_id = w.seq_id AND l.a < w.e AND l.b > w.w) AS ok FROM w)""", ("sequences",))
 def hydrate_windows(spark, sf):
+    """Windows over all sequences; some have lost their first, second or last chunk."""
     s = views.sequences(spark, sf)
     n = F.floor(F.length("bases") / 150).cast("int")
     regions = s.select("seq_id", F.explode(F.sequence(F.lit(0), n)).alias("o")).select(
         F.concat("seq_id", F.lit("_"), F.col("o").cast("string")).alias("seq_id"), F.col("seq_id").alias("chromosome"), (F.col("o") * 150).cast("long").alias("window_start"))
-    chunks = s.filter(F.length("bases") > 0).select(F.col("seq_id").alias("chromosome"), "bases", F.explode(F.sequence(F.lit(0), F.floor((F.length("bases") - 1) / 200).cast("int"))).alias("c")).select(
+    last = F.floor((F.length("bases") - 1) / 200).cast("int")
+    chunks = s.filter(F.length("bases") > 0).select(F.col("seq_id").alias("chromosome"), "doc_id", "bases", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("c"))
+    lost = "doc_id % 4 = 1 AND c = 0 OR doc_id % 4 = 2 AND c = 1 OR doc_id % 4 = 3 AND c = last"
+    chunks = chunks.filter(f"NOT ({lost})").select(
         "chromosome", F.col("c").cast("long").alias("chunk_id"), (F.col("c") * 200).cast("long").alias("start"), F.substring("bases", F.col("c") * 200 + 1, F.lit(200)).alias("bases"))
-    out = N.hydrate_windows(regions, chunks, 96, 200)
-    # a window that begins exactly at the end of the last base has no letters
-    return out.select("seq_id", F.when(~F.col("sequence").rlike("^N*$"), F.col("sequence")).alias("sequence"), "hydration_status")
+    lengths = s.select(F.col("seq_id").alias("chromosome"), F.length("bases").alias("chromosome_length"))
+    return N.hydrate_windows(regions, chunks, 96, 200, lengths=lengths).select("seq_id", "sequence", "hydration_status")
 
 
 @query("attach_metadata", "SELECT p.seq_id, p.label, p.full_score, d.n_chars FROM predictions p LEFT JOIN documents d ON 'doc'||d.doc_id=p.seq_id", ("predictions",))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pairgrammar import schema, views
@@ -66,11 +67,13 @@ def read_fragments(spark, sf):
     return B.read_fragments(spark, path).groupBy("chromosome").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bases"))
 
 
-@query("fragment_budget", "SELECT least(count(*),2000) AS n FROM fragments WHERE \"end\">start", ("fragments",))
+@query("fragment_budget", "SELECT file_id, least(count(*),2000) AS n FROM fragments WHERE \"end\">start AND chromosome IN (SELECT chromosome FROM regions WHERE chromosome<>'view') GROUP BY 1", ("fragments", "regions"))
 def fragment_budget(spark, sf):
+    """A file a sample; the files of different folders may share their names."""
     path = scratch_path(spark, "frag")
-    views.fragments(spark, sf).coalesce(1).select(_tabs("chromosome", "start", "end")).write.text(path)
-    return B.read_fragments(spark, path, max_lines=2000).agg(F.count("*").alias("n"))
+    views.fragments(spark, sf).select("file_id", _tabs("chromosome", "start", "end")).repartition("file_id").write.partitionBy("file_id").text(path)
+    rows = B.read_fragments(spark, path, max_lines=2000, regions=views.regions(spark, sf).filter("chromosome <> 'view'"))
+    return rows.groupBy(F.regexp_extract("file_path", r"file_id=(\d+)", 1).cast("long").alias("file_id")).agg(F.count("*").alias("n"))
 
 
 @query("read_mpra_bed", "SELECT element_group, CASE WHEN is_reverse THEN 'reverse_construct' ELSE 'forward_construct' END AS orientation_mode, count(*) AS n, round(sum(activity_score),6) AS activity, 200::BIGINT AS element_width FROM replicates GROUP BY 1,2", ("replicates",))
@@ -91,12 +94,13 @@ def read_perturbation_bed(spark, sf):
     return p.groupBy("enhancer_id", "biosample_label", "target_gene", "perturbation_platform", "reference_token").agg(F.count("*").alias("n"))
 
 
-@query("read_sequence_lines", "SELECT row_number() OVER (ORDER BY doc_id, tile)-1 AS seq_index, sequence FROM windows", ("windows",))
+@query("read_sequence_lines", "SELECT chromosome, row_number() OVER (PARTITION BY chromosome ORDER BY doc_id, tile)-1 AS seq_index, sequence FROM windows", ("windows",))
 def read_sequence_lines(spark, sf):
-    w = views.windows(spark, sf).select("doc_id", "tile", "sequence").coalesce(1).sortWithinPartitions("doc_id", "tile")
+    """A file a chromosome; the files of different folders may share their names."""
+    w = views.windows(spark, sf).select("chromosome", "doc_id", "tile", "sequence").repartition("chromosome").sortWithinPartitions("chromosome", "doc_id", "tile")
     path = scratch_path(spark, "seq")
-    w.select(F.concat(F.lit(" "), F.lower("sequence"), F.when(F.col("tile") == 0, "\n").otherwise("")).alias("value")).write.text(path)
-    return B.read_sequence_lines(spark, path).select("seq_index", "sequence")
+    w.select("chromosome", F.concat(F.lit(" "), F.lower("sequence"), F.when(F.col("tile") == 0, "\n").otherwise("")).alias("value")).write.partitionBy("chromosome").text(path)
+    return B.read_sequence_lines(spark, path).select(F.regexp_extract("sequence_path", "chromosome=([^/]+)", 1).alias("chromosome"), "seq_index", "sequence")
 
 
 def _motif_text(spark, sf, pcm: bool):
@@ -120,6 +124,28 @@ def read_motifs_position_rows(spark, sf):
     return prof.select("motif_id", "model_length", "matrix_format")
 
 
+@query("read_motif_archives", 'SELECT motif_id, position, A AS "A", C AS "C", G AS "G", T AS "T" FROM motif_positions', ("motif_positions",))
+def read_motif_archives(spark, sf):
+    """Zip archives of one member a motif, made by the tasks that hold the motifs."""
+    def archives(batches):
+        import io
+        import zipfile
+        for pdf in batches:
+            blob = io.BytesIO()
+            with zipfile.ZipFile(blob, "w") as z:
+                for i, text in enumerate(pdf["value"]):
+                    z.writestr(f"m{i}.jaspar", text)
+                z.writestr("readme.txt", "none")
+            yield pd.DataFrame({"content": [blob.getvalue()]})
+
+    packed = _motif_text(spark, sf, False).mapInPandas(archives, "content binary")
+    names = packed.select(F.hex("content").alias("value"))
+    path = scratch_path(spark, "zip")
+    names.write.text(path)
+    # a text sink cannot hold bytes: each line is one archive, and the reader gets it through the same members as a file
+    return rounded(B.archive_records(spark.read.text(path).select(F.unhex("value").alias("content")), "J")[1].drop("motif_source"))
+
+
 @query("ledger_roundtrip", "SELECT event_type AS phase, count(*) AS n, round(sum(value),4) AS auprc FROM events GROUP BY 1")
 def ledger_roundtrip(spark, sf):
     path = scratch_path(spark, "ledger")
@@ -129,13 +155,13 @@ def ledger_roundtrip(spark, sf):
     return T.read_ledger(spark, path).groupBy("phase").agg(F.count("*").alias("n"), F.round(F.sum(F.try_element_at("metrics", F.lit("auprc"))), 4).alias("auprc"))
 
 
-@query("html_json_manifest", "SELECT 'u'||page_id AS uuid, 'f'||page_id||'.bed.gz' AS name, 'organ'||(page_id%7) AS organ, page_id AS size FROM pages")
+@query("html_json_manifest", "SELECT 'u'||page_id AS uuid, 'f'||page_id||'.bed.gz' AS name, 'organ'||(page_id%7) AS organ, page_id AS size, 'v'||page_id AS version, 'lab' AS file_source, 'peaks;'||page_id AS content_description, 'drs://x/'||page_id AS drs_uri, '' AS azul_mirror_uri FROM pages")
 def html_json_manifest(spark, sf):
     pid = F.col("page_id").cast("string")
-    node = F.concat(F.lit('{"name":"f'), pid, F.lit('.bed.gz","format":"bed.gz","uuid":"u'), pid, F.lit('","azul_url":"http://x/'), pid, F.lit('","size":'), pid, F.lit("}"))
+    node = F.concat(F.lit('{"name":"f'), pid, F.lit('.bed.gz","format":"bed.gz","uuid":"u'), pid, F.lit('","azul_url":"http://x/'), pid, F.lit('","version":"v'), pid, F.lit('","fileSource":"lab","contentDescription":["peaks",'), pid, F.lit('],"drs_uri":"drs://x/'), pid, F.lit('","size":'), pid, F.lit("}"))
     doc = F.concat(F.lit('{"props":{"organ":{"organ'), (F.col("page_id") % 7).cast("string"), F.lit('":{"files":['), node, F.lit(","), node, F.lit("]}}}}"))
     pages = views.table(spark, sf, "pages").select(F.concat("html", F.lit('<script id="__NEXT_DATA__" type="application/json">'), doc, F.lit("</script>")).alias("html"))
-    return B.html_json_manifest(pages, r'__NEXT_DATA__" type="application/json">(.*?)</script>').select("uuid", "name", "organ", "size")
+    return B.html_json_manifest(pages, r'__NEXT_DATA__" type="application/json">(.*?)</script>').select("uuid", "name", "organ", "size", "version", "file_source", "content_description", "drs_uri", "azul_mirror_uri")
 
 
 def _prediction_root(spark, sf):
@@ -155,10 +181,21 @@ def available_slices(spark, sf):
     return T.available_slices(spark, _prediction_root(spark, sf)).filter("run_count > 0").select("phase", "split_name", F.col("seed").cast("long").alias("seed"))
 
 
-@query("file_inventory")
+def _one_file_a_slice(spark, sf):
+    """Score texts, one file for each slice."""
+    rows = views.seed_scores(spark, sf).select("split_name", "seed", F.concat_ws("\t", "seq_id", F.format_string("%.4f", "full_score")).alias("value"))
+    path = scratch_path(spark, "slices")
+    rows.repartition("split_name", "seed").sortWithinPartitions("split_name", "seed", "value").write.partitionBy("split_name", "seed").text(path)
+    return path
+
+
+_SLICES = "SELECT split_name, seed, string_agg(v, chr(10) ORDER BY v)||chr(10) AS body FROM (SELECT split_name, seed, seq_id||chr(9)||printf('%.4f',full_score) AS v FROM seed_scores) GROUP BY 1,2"
+
+
+@query("file_inventory", f"SELECT 'split_name='||split_name||'/seed='||seed AS folder, '.txt' AS suffix, strlen(body) AS bytes, false AS is_landing_page FROM ({_SLICES})", ("seed_scores",))
 def file_inventory(spark, sf):
-    inv = T.file_inventory(spark, _prediction_root(spark, sf))
-    return inv.groupBy("suffix", "is_landing_page").agg(F.count("*").alias("files"), F.min("bytes").alias("smallest"))
+    inv = T.file_inventory(spark, _one_file_a_slice(spark, sf)).filter("suffix = '.txt'")
+    return inv.select(F.substring_index("relative_path", "/", 2).alias("folder"), "suffix", "bytes", "is_landing_page")
 
 
 @query("line_inventory", "SELECT sum(1)::BIGINT AS lines FROM windows", ("windows",))
@@ -166,10 +203,13 @@ def line_inventory(spark, sf):
     return T.line_inventory(spark, _text(spark, views.windows(spark, sf).select(F.col("sequence").alias("value")), "lines")).agg(F.sum("lines").alias("lines"))
 
 
-@query("checksum_inventory")
+@query("checksum_inventory", f"SELECT 'split_name='||split_name||'/seed='||seed AS folder, strlen(body) AS bytes, sha256(body) AS sha256, CASE WHEN seed=11 THEN 'changed' ELSE 'ok' END AS status FROM ({_SLICES})", ("seed_scores",))
 def checksum_inventory(spark, sf):
-    root = _prediction_root(spark, sf)
-    return T.checksum_inventory(spark, root, T.checksum_inventory(spark, root)).groupBy("status").agg(F.count("*").alias("n"))
+    root = _one_file_a_slice(spark, sf)
+    found = T.checksum_inventory(spark, root)
+    stale = found.withColumn("sha256", F.when(F.col("relative_path").contains("seed=11/"), "stale").otherwise(F.col("sha256")))
+    checked = T.checksum_inventory(spark, root, stale).filter("relative_path like '%.txt'")
+    return checked.select(F.substring_index("relative_path", "/", 2).alias("folder"), "bytes", "sha256", "status")
 
 
 @query("interaction_matrix", """WITH c AS (SELECT 's'||(l_suppkey%25) AS p, 's'||(l_partkey%10) AS b, max(l_linenumber)||'-scope' AS t, max(l_linenumber) AS code FROM lineitem GROUP BY 1,2)
@@ -236,14 +276,37 @@ def stream_candidates(spark, sf):
     return J.read_store(spark, store, J.CANDIDATE_STATUS)
 
 
-@query("stream_hydrate", "SELECT seq_id||'_0' AS seq_id, rpad(substr(bases,1,96),96,'N') AS sequence, 'complete' AS hydration_status FROM sequences WHERE length(bases)>0", ("sequences",))
-def stream_hydrate(spark, sf):
+_TILES = "SELECT seq_id||'_'||o AS seq_id, rpad(substr(bases,CAST(o*96+1 AS INT),96),96,'N') AS sequence, 'complete' AS hydration_status{extra} FROM (SELECT seq_id, bases, unnest(range(0,(length(bases)+95)//96)) AS o FROM sequences)"
+
+
+def _tiles(spark, sf):
+    """Windows over all bases of every sequence, with the chunk table and the lengths."""
     s = views.sequences(spark, sf).filter(F.length("bases") > 0)
-    regions = s.select(F.concat("seq_id", F.lit("_0")).alias("seq_id"), F.col("seq_id").alias("chromosome"), F.lit(0).cast("long").alias("window_start"))
-    chunks = s.select(F.col("seq_id").alias("chromosome"), F.lit(0).cast("long").alias("chunk_id"), F.lit(0).cast("long").alias("start"), "bases")
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("bases") - 1) / 96).cast("int"))).alias("o")
+    regions = s.select("seq_id", at).select(F.concat("seq_id", F.lit("_"), F.col("o").cast("string")).alias("seq_id"), F.col("seq_id").alias("chromosome"), (F.col("o") * 96).cast("long").alias("window_start"))
+    cut = s.select(F.col("seq_id").alias("chromosome"), "bases", F.explode(F.sequence(F.lit(0), F.floor((F.length("bases") - 1) / 1000).cast("int"))).alias("c"))
+    chunks = cut.select("chromosome", F.col("c").cast("long").alias("chunk_id"), (F.col("c") * 1000).cast("long").alias("start"), F.substring("bases", F.col("c") * 1000 + 1, F.lit(1000)).alias("bases"))
+    lengths = s.select(F.col("seq_id").alias("chromosome"), F.length("bases").alias("chromosome_length"))
+    return regions, lambda df: N.hydrate_windows(df, chunks, 96, 1000, lengths=lengths)
+
+
+@query("stream_hydrate", _TILES.format(extra=""), ("sequences",))
+def stream_hydrate(spark, sf):
+    """Every id arrives twice and is hydrated once."""
+    regions, hydrate = _tiles(spark, sf)
+    store = scratch_path(spark, "hyd")
+    J.stream_hydrate(_stream(spark, regions.unionByName(regions), "reg"), store, scratch_path(spark, "cp"), hydrate).awaitTermination()
+    return spark.read.schema(f"{J.HYDRATED}, batch_id long").parquet(store).select("seq_id", "sequence", "hydration_status")
+
+
+@query("pending_hydrate", f"SELECT seq_id, sequence, hydration_status, CASE WHEN row_number() OVER (ORDER BY seq_id)<=1000 THEN 0 ELSE 1 END AS run FROM ({_TILES.format(extra='')})", ("sequences",))
+def pending_hydrate(spark, sf):
+    """Two runs: the first has a budget, the second only touches what it left pending."""
+    regions, hydrate = _tiles(spark, sf)
     store = scratch_path(spark, "hyd")
-    J.stream_hydrate(_stream(spark, regions, "reg"), store, scratch_path(spark, "cp"), lambda df: N.hydrate_windows(df, chunks, 96, 1 << 30)).awaitTermination()
-    return J.read_store(spark, store, J.HYDRATED).select("seq_id", "sequence", "hydration_status")
+    for budget in (1000, None):
+        J.run_pending(regions, store, J.HYDRATED, lambda df: hydrate(df).select("seq_id", "chromosome", "window_start", "sequence", "hydration_status"), budget)
+    return spark.read.schema(f"{J.HYDRATED}, batch_id long").parquet(store).select("seq_id", "sequence", "hydration_status", F.col("batch_id").alias("run"))
 
 
 @query("stream_latest", "SELECT event_type AS phase, 's'||(user_id%5) AS split_name, event_id%3 AS seed, 'run'||lpad(CAST(event_id AS VARCHAR),8,'0') AS run_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id%5, event_id%3 ORDER BY strftime(ts,'%Y-%m-%d %H:%M:%S') DESC, event_id DESC)=1")

@@ -173,7 +173,7 @@ def group_rank(spark, sf):
 @query("first_rank_hot_group", "SELECT seq_id, row_number() OVER (PARTITION BY stratum ORDER BY score DESC, seq_id) AS rank_desc FROM line_scores", ("line_scores",))
 def first_rank_hot_group(spark, sf):
     """Two strata hold all rows; small ranges force the split of a hot group."""
-    return O.ranked(views.line_scores(spark, sf), ["stratum"], ["-score", "seq_id"], "rank_desc", bits=12).select("seq_id", "rank_desc")
+    return O.ranked(views.line_scores(spark, sf), ["stratum"], ["-score", "seq_id"], "rank_desc", ranges=16).select("seq_id", "rank_desc")
 
 
 @query("group_size_margin", "SELECT crs, count(*) OVER w AS group_size, round(max(activity_score) OVER w-min(activity_score) OVER w,6) AS group_margin FROM competition WINDOW w AS (PARTITION BY competition_group)", ("competition",))
@@ -222,7 +222,7 @@ def running_totals(spark, sf):
 
 @query("reverse_running_min", "SELECT crs, min(activity_score) OVER (PARTITION BY actual_state ORDER BY crs DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS low FROM competition", ("competition",))
 def reverse_running_min(spark, sf):
-    return O.running(views.competition(spark, sf).select("crs", "actual_state", "activity_score"), ["actual_state"], ["-crs"], {"low": ("min", F.col("activity_score"))}, bits=10).select("crs", "low")
+    return O.running(views.competition(spark, sf).select("crs", "actual_state", "activity_score"), ["actual_state"], ["-crs"], {"low": ("min", F.col("activity_score"))}, ranges=16).select("crs", "low")
 
 
 @query("round_robin", "SELECT seq_id FROM (SELECT *, row_number() OVER (PARTITION BY chromosome, label ORDER BY full_score, seq_id) AS rn FROM predictions) ORDER BY rn, chromosome, label LIMIT 60", P)

@@ -57,6 +57,12 @@ def cut_lineage(df: DataFrame, max_leaves: int = 4) -> DataFrame:
     return df.checkpoint()
 
 
+def leaf_bytes(df: DataFrame) -> int:
+    """Bytes of everything a plan reads, by Spark's own statistics."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Checkpoint rows that are costly to make and used more than once; stored rows pass through."""
     root = df._jdf.queryExecution().analyzed().getClass().getSimpleName()

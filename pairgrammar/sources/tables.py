@@ -67,8 +67,9 @@ def read_predictions(spark: SparkSession, root: str, **keys) -> DataFrame:
 
 
 def available_slices(spark: SparkSession, root: str) -> DataFrame:
-    """Stored slices with their file count; only partition values are read."""
-    return spark.read.parquet(root).select(*PREDICTION_KEYS, F.col("_metadata.file_path").alias("f")).groupBy(*PREDICTION_KEYS).agg(F.count_distinct("f").alias("run_count"))
+    """Stored slices with their file count, from a listing; no file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(root)
+    return files.select(*PREDICTION_KEYS, "path").groupBy(*PREDICTION_KEYS).agg(F.count("*").alias("run_count"))
 
 
 def append_ledger(df: DataFrame, path: str) -> None:
@@ -98,8 +99,8 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
 
 
 def line_inventory(spark: SparkSession, paths) -> DataFrame:
-    """Lines per file."""
-    return spark.read.text(paths).groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count("*").alias("lines"))
+    """Lines per file, told apart by path."""
+    return spark.read.text(paths).groupBy(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name")).agg(F.count("*").alias("lines"))
 
 
 def pair_file_inventory(pairs: DataFrame, files: DataFrame) -> DataFrame:

@@ -55,13 +55,31 @@ HYDRATED = "seq_id string, chromosome string, window_start long, sequence string
 
 
 def stream_hydrate(stream: DataFrame, store: str, checkpoint: str, hydrate: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """M2: windows hydrated as they arrive; the store keeps the last row per id."""
+    """M2: windows hydrated as they arrive, ids of earlier batches skipped."""
     def batch(df: DataFrame, batch_id: int) -> None:
-        latest = df.dropDuplicates(["seq_id"])
+        known = _seen_before(df.sparkSession, store, HYDRATED, batch_id, "seq_id")
+        latest = df.dropDuplicates(["seq_id"]).join(known, "seq_id", "left_anti")
         _write_part(hydrate(latest).select("seq_id", "chromosome", "window_start", "sequence", "hydration_status"), store, batch_id)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_pending(rows: DataFrame, store: str, columns: str, work: Callable[[DataFrame], DataFrame], budget: int | None = None, key: str = "seq_id") -> int:
+    """M1, M2: one run over the rows whose key the store lacks, at most ``budget`` of them in key order.
+
+    The rest stays pending for the next run. Gives the number of the part that was written.
+    """
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [str(f.getPath().getName()) for f in files.listStatus(path)] if files.exists(path) else []
+    run = 1 + max([int(p.partition("=")[2]) for p in parts if p.startswith("batch_id=")], default=-1)
+    pending = rows.dropDuplicates([key]).join(_seen_before(spark, store, columns, run, key), key, "left_anti")
+    if budget is not None:
+        pending = pending.orderBy(key).limit(budget)
+    _write_part(work(pending), store, run)
+    return run
+
+
 LATEST_KEYS = ["phase", "scenario", "split_name", "seed"]
 
 

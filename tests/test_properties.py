@@ -11,22 +11,26 @@ from pairgrammar.streaming import jobs
 
 
 def test_ranges_give_plain_window_results(spark):
-    """A hot group, mixed directions and ties, cut into many ranges."""
+    """A hot group, nulls in group and keys, both directions, cut into many ranges."""
     rnd = random.Random(3)
-    rows = [("hot" if i % 3 else f"g{i % 7}", rnd.randrange(40), f"id{i:04d}", float(rnd.randrange(100))) for i in range(900)]
-    df = spark.createDataFrame(rows, "g string, k int, id string, v double")
-    out = ordered.running(df, ["g"], ["-k", "id"], {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}, bits=3)
-    ex = ordered.running(df, ["g"], ["-k", "id"], {"e": ("min", F.col("v"))}, exclusive=True, bits=3)
-    got = {r["id"]: (r["s"], r["m"]) for r in out.collect()}
-    got_ex = {r["id"]: r["e"] for r in ex.collect()}
-    for g in {r[0] for r in rows}:
-        seen = []
-        for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2])):
-            assert got_ex[r[2]] == (min(seen) if seen else None)
-            seen.append(r[3])
-            assert got[r[2]] == (sum(seen), max(seen))
-    ranges = ordered.with_ranges(df, ["g"], ["-k", "id"], bits=3).groupBy("g").agg(F.count_distinct("_range").alias("n"))
-    assert {r["g"]: r["n"] for r in ranges.collect()}["hot"] > 20
+    some = lambda v: None if rnd.random() < 0.2 else v
+    rows = [(some("hot" if i % 3 else f"g{i % 7}"), some(rnd.randrange(40)), some(f"n{rnd.randrange(9)}"), f"id{i:04d}", some(float(rnd.randrange(100)))) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, k int, n string, id string, v double")
+    measures = {"s": ("sum", F.col("v")), "m": ("max", F.col("v")), "r": ("sum", F.lit(1))}
+    for order in (["-k", "id"], ["k", "-n", "id"], ["-n", "k", "-id"]):
+        for exclusive in (False, True):
+            cut = ordered.running(df, ["g"], order, measures, exclusive=exclusive, ranges=23).select("id", *measures)
+            plain = ordered.running(df, ["g"], order, measures, exclusive=exclusive, ranges=1).select("id", *measures)
+            assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, plain.collect()))
+    ranges = ordered.with_ranges(df, ["g"], ["-k", "id"], 40).groupBy("g").agg(F.count_distinct("_range").alias("n"))
+    assert {r["g"]: r["n"] for r in ranges.collect()}["hot"] > 10
+
+
+def test_one_repeated_key_is_cut(spark):
+    df = spark.range(4000).select(F.lit("x").alias("g"), F.lit(1).alias("k"), F.col("id"))
+    sizes = [r["count"] for r in ordered.with_ranges(df, ["g"], ["k"], 10).groupBy("_range").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 1200
+    assert sorted(r["r"] for r in ordered.ranked(df, ["g"], ["k"], "r", ranges=10).collect()) == list(range(1, 4001))
 
 
 def _anchors(n_seq, per):
