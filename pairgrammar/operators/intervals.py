@@ -2,7 +2,8 @@
 
 Both sides are exploded over the bins they touch and joined on (chromosome, bin). A pair that
 shares several bins is kept only in the first shared one. Bins that hold very many rows are
-split: the point side gets a salt from its hash and the region side is copied per salt.
+split: the point side gets a salt from its hash and the region side is copied per salt. Plain counts
+need no join: see ``count_overlaps``.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairgrammar.operators.ordered import running
 from pairgrammar.session import cut_lineage
 
 BIN = 100_000
@@ -36,16 +38,32 @@ def overlap_pairs(regions: DataFrame, fragments: DataFrame, bin_size: int = BIN,
 
 
 def count_overlaps(regions: DataFrame, fragments: DataFrame, keys: list[str], bin_size: int = BIN, salts: int = 1, extra: list[str] | None = None) -> DataFrame:
-    """Fragments per region (and per ``extra`` column); regions without a hit count 0.
+    """Fragments per region; regions without a hit count 0. A region's end is not before its start.
 
-    Equal fragments are collapsed with their count before the join, so copies cost nothing.
+    The fragments that begin before a region's end, less those that end by its start: two running
+    totals along the chromosome, whatever is crowded and however many hits there are. Per ``extra``
+    column the hits are joined by bins instead, from fragments collapsed with their count, and
+    pairs without a hit are left out.
     """
-    extra = extra or []
-    packed = fragments.filter(F.col("end") > F.col("start")).groupBy("chromosome", "start", "end", *extra).agg(F.count("*").alias("_copies"))
     slim = regions.select(*dict.fromkeys([*keys, "chromosome", "region_start", "region_end"]))
-    hits = overlap_pairs(slim, packed, bin_size, salts).groupBy(*keys, *extra).agg(F.sum("_copies").alias("fragment_count"))
+    real = fragments.filter(F.col("end") > F.col("start"))
     if extra:
-        return hits
+        packed = real.groupBy("chromosome", "start", "end", *extra).agg(F.count("*").alias("_copies"))
+        return overlap_pairs(slim, packed, bin_size, salts).groupBy(*keys, *extra).agg(F.sum("_copies").alias("fragment_count"))
+    zero = F.lit(0).cast("long")
+    none = [F.lit(None).cast(slim.schema[k].dataType).alias(k) for k in keys]
+    places = F.explode(F.array(  # ends come before a region's bounds at the same place, starts behind them
+        F.struct(F.col("start").cast("long").alias("_at"), F.lit(2).alias("_order"), F.lit(1).alias("_start"), F.lit(0).alias("_end")),
+        F.struct(F.col("end").cast("long").alias("_at"), F.lit(0).alias("_order"), F.lit(0).alias("_start"), F.lit(1).alias("_end")))).alias("p")
+    marks = real.filter("chromosome is not null").select("chromosome", places).select("chromosome", "p.*").groupBy("chromosome", "_at", "_order").agg(
+        F.sum("_start").alias("_start"), F.sum("_end").alias("_end"))
+    marks = marks.select(F.col("chromosome").alias("_c"), "_at", "_order", "_start", "_end", *none, F.lit(None).cast("int").alias("_side"))
+    bounds = F.explode(F.array(
+        F.struct(F.col("region_end").cast("long").alias("_at"), F.lit(1).alias("_side")), F.struct(F.col("region_start").cast("long").alias("_at"), F.lit(-1).alias("_side")))).alias("p")
+    asked = slim.filter("chromosome is not null").select(F.col("chromosome").alias("_c"), *keys, bounds).select(
+        "_c", "p._at", F.lit(1).alias("_order"), zero.alias("_start"), zero.alias("_end"), *keys, "p._side")
+    run = running(marks.unionByName(asked), ["_c"], ["_at", "_order"], {"_begun": ("sum", F.col("_start")), "_over": ("sum", F.col("_end"))})
+    hits = run.filter("_side is not null").groupBy(*keys).agg(F.sum(F.when(F.col("_side") > 0, F.col("_begun")).otherwise(-F.col("_over"))).alias("fragment_count"))
     return regions.join(hits, keys, "left").withColumn("fragment_count", F.coalesce("fragment_count", F.lit(0)).cast("long"))
 
 

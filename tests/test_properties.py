@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairgrammar.operators import examples, joins, motifs, ordered, stats
+from pairgrammar.operators import examples, intervals, joins, motifs, ordered, stats
 from pairgrammar.streaming import jobs
 
 
@@ -33,6 +33,15 @@ def test_one_repeated_key_is_cut(spark):
     assert sorted(r["r"] for r in ordered.ranked(df, ["g"], ["k"], "r", ranges=10).collect()) == list(range(1, 4001))
 
 
+def test_overlap_counts_in_one_crowded_bin(spark):
+    rnd = random.Random(8)
+    frags = [("c1" if rnd.random() < 0.9 else "c2", (a := rnd.randrange(60)), a + rnd.randrange(0, 9)) for _ in range(800)] + [(None, 1, 5)]
+    regions = [(i, rnd.choice(["c1", "c2", "c3"]), (a := rnd.randrange(60)), a + rnd.randrange(0, 12)) for i in range(60)]
+    got = intervals.count_overlaps(spark.createDataFrame(regions, "region_id int, chromosome string, region_start long, region_end long"), spark.createDataFrame(frags, "chromosome string, start long, end long"), ["region_id"])
+    want = {i: sum(c == k and s < b and e > a and e > s for k, s, e in frags) for i, c, a, b in regions}
+    assert {r["region_id"]: r["fragment_count"] for r in got.collect()} == want
+
+
 def _anchors(n_seq, per):
     rnd = random.Random(5)
     return [(f"s{s}", f"t{rnd.randrange(5)}", a, a + 6, rnd.choice("+-"), round(rnd.random() * 3, 1)) for s in range(n_seq) for a in rnd.sample(range(80), per)]
