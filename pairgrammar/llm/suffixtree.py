@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +141,14 @@ def _word_hash(word: bytes) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+class _Places(dict):
+    """Numbers words in the order they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        return place
+
+
 class _Words:
     """What a task knows about the words it has met: class, learned count (-1: to be joined), hash."""
 
@@ -150,15 +159,15 @@ class _Words:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place = _Places()
         self.kind, self.count, self.code = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def look(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         if len(self.place) > self.LIMIT:
             self.clear()
-        fresh = sorted({w for words in texts for w in words if w not in self.place})
-        base = len(self.place)
-        self.place.update((w, base + i) for i, w in enumerate(fresh))
+        before, find = len(self.place), self.place.__getitem__
+        found = [np.fromiter(map(find, words), np.int64, len(words)) for words in texts]
+        fresh = list(islice(self.place, before, None))
         self.kind = np.concatenate([self.kind, np.array(list(map(self.classes.of, fresh)), np.int64)])
         if self.h is not None:
             code, count = np.array(list(map(_word_hash, fresh)), np.int64), np.full(len(fresh), -1, np.int64)
@@ -166,28 +175,26 @@ class _Words:
                 spot = np.minimum(np.searchsorted(self.h, code), len(self.h) - 1)
                 count = np.where(self.h[spot] == code, self.learned[spot], -1)
             self.code, self.count = np.concatenate([self.code, code]), np.concatenate([self.count, count])
-        return [np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)) for words in texts]
+        return found
 
 
 def count_words(rows: DataFrame) -> DataFrame:
     """``word``, ``total``, ``learned`` (times in texts to learn from), summed in the tasks before the shuffle."""
     def run(batches):
-        every, own = Counter(), Counter()
+        own, other = Counter(), Counter()  # of texts to learn from, of held-out ones
 
         def flush():
-            words = list(every)
-            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([every[w] for w in words], pa.int64()), pa.array([own[w] for w in words], pa.int64())], ["word", "total", "learned"])
-            every.clear()
+            words = [*own, *other]
+            learned = [*own.values(), *[0] * len(other)]
+            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([*own.values(), *other.values()], pa.int64()), pa.array(learned, pa.int64())], ["word", "total", "learned"])
             own.clear()
+            other.clear()
             return batch
         for batch in batches:
             for part, texts in slices(batch, batch.column(0)):
                 for text, held in zip(texts, part.column(1).to_pylist()):
-                    found = tokens(text)
-                    every.update(found)
-                    if not held:
-                        own.update(found)
-                if len(every) > _Words.LIMIT:
+                    (other if held else own).update(tokens(text))
+                if len(own) + len(other) > _Words.LIMIT:
                     yield flush()
         yield flush()
 
@@ -250,21 +257,43 @@ def _rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key >> BITS), pa.array(key & _MASK), pa.array(n)], ["context", "symbol", "n"])
 
 
+def count_pairs(rows: DataFrame, classes: Classes) -> DataFrame:
+    """(context, symbol, n) for all contexts of one symbol: a task adds up one table of all pairs of classes."""
+    shared, size = rows.sparkSession.sparkContext.broadcast(classes.maps), classes.size
+
+    def run(batches):
+        known, pairs = None, np.zeros(size * size, np.int64)
+        for batch in batches:
+            known = known or _Words(Classes(shared.value))
+            for _, texts in slices(batch, batch.column(0)):
+                symbols, place, _ = sequence([known.kind[a] for a in known.look([tokens(t) for t in texts])])
+                use = np.flatnonzero(place >= 1)
+                pairs += np.bincount(symbols[use - 1] * size + symbols[use], minlength=size * size)
+        seen = np.flatnonzero(pairs)
+        yield _rows((seen // size | 1 << 48) << BITS | seen % size, pairs[seen])
+
+    return rows.select("text").mapInArrow(run, "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+
+
 def learn_tree(rows: DataFrame, classes: Classes) -> dict:
     """Count contexts length by length: one is counted if it is frequent, as all that it begins with are."""
-    found: list[np.ndarray] = []
-    allowed, least = np.zeros(1, np.int64), None
-    for depth in range(DEPTH + 1):
-        table = count_contexts(rows, classes, depth, allowed).toArrow()
-        part = np.stack([table[c].to_numpy() for c in ("context", "symbol", "n")]).astype(np.int64)
-        found.append(part)
-        least = max(30.0, CONTEXT_SHARE * part[2].sum()) if least is None else least
-        if depth == 0:  # a start is never a next symbol, yet begins contexts
-            part = np.concatenate([part, np.array([[0], [START], [part[2][part[1] == END].sum()]])], axis=1)
+    table = count_pairs(rows, classes).toArrow()
+    part = np.stack([table[c].to_numpy() for c in ("context", "symbol", "n")]).astype(np.int64)
+    # every symbol follows one symbol, so the pairs also tell how often it comes at all
+    symbol, inverse = np.unique(part[1], return_inverse=True)
+    alone = np.stack([np.zeros(len(symbol), np.int64), symbol, np.bincount(inverse, weights=part[2], minlength=len(symbol)).astype(np.int64)])
+    least = max(30.0, CONTEXT_SHARE * part[2].sum())
+    first, inverse = np.unique(part[0], return_inverse=True)
+    part = part[:, np.bincount(inverse, weights=part[2], minlength=len(first))[inverse] >= least] if len(first) else part
+    found = [alone, part]
+    for depth in range(2, DEPTH + 1):
         often = (part[2] >= least) & (part[1] != END)
         allowed = np.unique(longer(part[0][often], part[1][often]))
         if not len(allowed):
             break
+        table = count_contexts(rows, classes, depth, allowed).toArrow()
+        part = np.stack([table[c].to_numpy() for c in ("context", "symbol", "n")]).astype(np.int64)
+        found.append(part)
     return grow(*np.concatenate(found, axis=1), symbols=classes.size)
 
 
