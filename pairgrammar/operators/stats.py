@@ -1,6 +1,6 @@
 """Resampling, tests and multiple-testing control as grouped plans.
 
-Draws are hashes of (seed, replicate, position), so a rerun or a lost executor gives the same
+Draws are hashes of (seed, replicate, row key), so a rerun or a lost executor gives the same
 numbers and no generator state is shared.
 """
 
@@ -13,77 +13,50 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairgrammar.functions.keys import draw
 from pairgrammar.operators.metrics import ranking_metrics
 from pairgrammar.operators.ordered import ranked, running
+from pairgrammar.operators.resampling import replicate_metrics, row_key, subset_sums, weighted_means
 from pairgrammar.session import cut_lineage
 
 
-def replicates(spark, n: int) -> DataFrame:
-    return spark.range(1, n + 1).withColumnRenamed("id", "replicate")
-
-
-def _indexed(df: DataFrame, tie: str, by: list[str] | None = None) -> DataFrame:
-    return ranked(df, by or [], [tie], "_row").withColumn("_row", F.col("_row") - 1)
-
-
 def explode_range(df: DataFrame, low: Column, high: Column, name: str, block: int = 65536) -> DataFrame:
     """One row per integer in ``low..high``; blocks first, so no array holds the whole range."""
     first = df.withColumn("_hi", high.cast("long")).withColumn("_at", F.explode(F.sequence(low.cast("long"), high.cast("long"), F.lit(block).cast("long"))))
     return first.withColumn(name, F.explode(F.sequence("_at", F.least(F.col("_at") + block - 1, F.col("_hi"))))).drop("_hi", "_at")
 
 
-def bootstrap_counts(df: DataFrame, n_rows: Column, n: int, seed: int) -> DataFrame:
-    """How often each row index is drawn in each replicate (``n_rows`` draws with replacement)."""
-    draws = replicates(df.sparkSession, n).withColumn("_n", n_rows).filter("_n > 0")
-    draws = explode_range(draws, F.lit(0), F.col("_n") - 1, "_i")
-    picked = draws.select("replicate", draw(F.col("_n"), F.lit(seed), "replicate", "_i").alias("_row"))
-    return picked.groupBy("replicate", "_row").agg(F.count("*").alias("_w"))
-
-
 def _size(df: DataFrame) -> Column:
     return df.agg(F.count("*").alias("n")).scalar()
 
 
-def _metric_pair(df: DataFrame, model: str, baseline: str, metric: str, by: list[str], weight: str | None = None) -> DataFrame:
-    """Metric of both scores per group, in one grouped plan."""
-    long = df.select(*by, "label", *( [weight] if weight else []), F.explode(F.array(
-        F.struct(F.lit("m").alias("k"), F.col(model).alias("s")), F.struct(F.lit("b").alias("k"), F.col(baseline).alias("s")))).alias("x"))
-    long = long.select(*by, "label", *([weight] if weight else []), "x.k", "x.s")
-    per = ranking_metrics(long, "label", "s", [*by, "k"], weight)
-    return per.groupBy(*by).agg(
-        F.max(F.when(F.col("k") == "m", F.col(metric))).alias("model_metric"),
-        F.max(F.when(F.col("k") == "b", F.col(metric))).alias("baseline_metric"),
-    ).withColumn("diff", F.col("model_metric") - F.col("baseline_metric"))
+def _pairs(df: DataFrame, model: str, baseline: str, tie: str) -> DataFrame:
+    rows = df.select(tie, "label", F.col(model).alias("m"), F.col(baseline).alias("b")).dropna(subset=["label", "m", "b"])
+    return cut_lineage(rows)
+
+
+def _observed(rows: DataFrame, metric: str) -> DataFrame:
+    return _both_metrics(rows, []).filter(F.col("metric_name") == metric).withColumn("observed_diff", F.col("model_metric") - F.col("baseline_metric"))
 
 
 def paired_bootstrap(df: DataFrame, model: str, baseline: str, metric: str = "auprc", n: int = 5000, seed: int = 11, tie: str = "seq_id") -> DataFrame:
     """Interval and p-value of a metric difference; a one-class resample counts as the observed difference."""
-    base = df.filter(F.col("label").isNotNull() & F.col(model).isNotNull() & F.col(baseline).isNotNull()).select(tie, "label", model, baseline)
-    observed = _metric_pair(base, model, baseline, metric, [])
-    resampled = bootstrap_counts(base, _size(base), n, seed).join(_indexed(base, tie), "_row")
-    diffs = _metric_pair(resampled, model, baseline, metric, ["replicate"], "_w").select("replicate", F.col("diff").alias("d"))
-    diffs = diffs.withColumn("d", F.coalesce("d", observed.select("diff").scalar()))
-    summary = diffs.agg(
-        F.percentile("d", F.lit(0.025)).alias("ci_low"),
-        F.percentile("d", F.lit(0.975)).alias("ci_high"),
-        ((F.count_if(F.col("d") <= 0) + 1) / (F.count("*") + 1)).alias("bootstrap_p_value"),
-    )
+    rows = _pairs(df, model, baseline, tie)
+    observed = _observed(rows, metric)
+    per = replicate_metrics(rows, [], "poisson", n, seed, tie).filter(F.col("metric_name") == metric)
+    d = F.coalesce(F.col("model_metric") - F.col("baseline_metric"), observed.select("observed_diff").scalar())
+    summary = per.select(d.alias("d")).agg(
+        F.percentile("d", F.lit(0.025)).alias("ci_low"), F.percentile("d", F.lit(0.975)).alias("ci_high"),
+        ((F.count_if(F.col("d") <= 0) + 1) / (F.count("*") + 1)).alias("bootstrap_p_value"))
     return observed.withColumn("s", summary.select(F.struct("*")).scalar()).select(
-        F.lit(metric).alias("metric_name"), "model_metric", "baseline_metric", F.col("diff").alias("observed_diff"),
-        "s.ci_low", "s.ci_high", "s.bootstrap_p_value")
+        "metric_name", "model_metric", "baseline_metric", "observed_diff", "s.ci_low", "s.ci_high", "s.bootstrap_p_value")
 
 
 def paired_permutation(df: DataFrame, model: str, baseline: str, metric: str = "auprc", n: int = 5000, seed: int = 11, tie: str = "seq_id") -> DataFrame:
     """Swap the two scores of a row at random; share of replicates at or above the observed difference."""
-    base = df.filter(F.col("label").isNotNull() & F.col(model).isNotNull() & F.col(baseline).isNotNull()).select(tie, "label", model, baseline)
-    observed = _metric_pair(base, model, baseline, metric, [])
-    rows = base.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    swap = draw(2, F.lit(seed), "replicate", tie) == 1
-    swapped = rows.select("replicate", "label", F.when(swap, F.col(baseline)).otherwise(F.col(model)).alias("a"),
-                          F.when(swap, F.col(model)).otherwise(F.col(baseline)).alias("b"))
-    diffs = _metric_pair(swapped, "a", "b", metric, ["replicate"])
-    obs = observed.select("diff").scalar()
+    rows = _pairs(df, model, baseline, tie)
+    obs = _observed(rows, metric).select("observed_diff").scalar()
+    per = replicate_metrics(rows, [], "swap", n, seed, tie).filter(F.col("metric_name") == metric)
+    diffs = per.select((F.col("model_metric") - F.col("baseline_metric")).alias("diff"))
     # exact ties with the observed value must count, whatever the order of summation
     return diffs.agg(
         F.lit(metric).alias("metric_name"),
@@ -94,10 +67,8 @@ def paired_permutation(df: DataFrame, model: str, baseline: str, metric: str = "
 
 def bootstrap_ci(df: DataFrame, score: str, metric: str = "auprc", n: int = 1000, seed: int = 11, tie: str = "seq_id") -> DataFrame:
     """Interval of one metric; one-class resamples are skipped."""
-    base = df.filter(F.col("label").isNotNull() & F.col(score).isNotNull()).select(tie, "label", score)
-    resampled = bootstrap_counts(base, _size(base), n, seed).join(_indexed(base, tie), "_row")
-    per = ranking_metrics(resampled, "label", score, ["replicate"], "_w").filter(F.col(metric).isNotNull())
-    return per.agg(F.count("*").alias("used"), F.percentile(metric, F.lit(0.025)).alias("ci_low"), F.percentile(metric, F.lit(0.975)).alias("ci_high"))
+    per = replicate_metrics(_pairs(df, score, score, tie), [], "poisson", n, seed, tie).filter((F.col("metric_name") == metric) & F.col("model_metric").isNotNull())
+    return per.agg(F.count("*").alias("used"), F.percentile("model_metric", F.lit(0.025)).alias("ci_low"), F.percentile("model_metric", F.lit(0.975)).alias("ci_high"))
 
 
 def bh_fdr(df: DataFrame, p: str, order: list[str], name: str = "bh_fdr") -> DataFrame:
@@ -216,32 +187,24 @@ def mann_whitney(df: DataFrame, group: str, value: str, positive: str, negative:
 
 
 def mean_diff_bootstrap(df: DataFrame, group: str, value: str, positive: str, negative: str, n: int = 10000, seed: int = 11, tie: str = "state_label") -> DataFrame:
-    """Interval of the mean difference, resampled inside each group."""
-    rows = df.filter(F.col(group).isin(positive, negative)).select(tie, F.col(group).alias("_g"), F.col(value).alias("_v"))
-    sizes = rows.groupBy("_g").agg(F.count("*").alias("_n"))
-    draws = explode_range(sizes.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))), F.lit(0), F.col("_n") - 1, "_i")
-    picked = draws.select("replicate", "_g", draw(F.col("_n"), F.lit(seed), "_g", "replicate", "_i").alias("_row")).groupBy("replicate", "_g", "_row").agg(F.count("*").alias("_w"))
-    joined = picked.join(_indexed(rows, tie, ["_g"]), ["_g", "_row"])
-    means = joined.groupBy("replicate").agg(*[
-        (F.sum(F.when(F.col("_g") == g, F.col("_w") * F.col("_v"))) / F.sum(F.when(F.col("_g") == g, F.col("_w")))).alias(name)
-        for name, g in (("_p", positive), ("_q", negative))])
-    d = F.col("_p") - F.col("_q")
-    return means.agg(F.count("*").alias("iterations"), F.percentile(d, F.lit(0.025)).alias("bootstrap_ci_low"), F.percentile(d, F.lit(0.975)).alias("bootstrap_ci_high"))
+    """Interval of the mean difference, resampled inside each group; a replicate without a group's rows is skipped."""
+    rows = df.filter(F.col(group).isin(positive, negative)).select(F.col(group).alias("_g"), F.col(value).alias("_v"), row_key(tie).alias("_key"))
+    means = weighted_means(rows, (positive, negative), n, seed)
+    d = F.col("first") - F.col("second")
+    return means.agg(F.count(d).alias("iterations"), F.percentile(d, F.lit(0.025)).alias("bootstrap_ci_low"), F.percentile(d, F.lit(0.975)).alias("bootstrap_ci_high"))
 
 
 def mean_diff_permutation(df: DataFrame, group: str, value: str, positive: str, negative: str, n: int = 10000, seed: int = 11, tie: str = "state_label") -> DataFrame:
     """Label permutation of a mean difference (greater)."""
-    rows = df.filter(F.col(group).isin(positive, negative)).select(tie, F.col(group).alias("_g"), F.col(value).alias("_v"))
-    stats = rows.agg(F.struct(
+    rows = df.filter(F.col(group).isin(positive, negative) & F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"), row_key(tie).alias("_key"))
+    s = rows.agg(
         F.count_if(F.col("_g") == positive).alias("p"), F.count("*").alias("n"), F.sum("_v").alias("total"),
-        (F.avg(F.when(F.col("_g") == positive, F.col("_v"))) - F.avg(F.when(F.col("_g") == negative, F.col("_v")))).alias("observed")).alias("s")).scalar()
-    spread = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn(
-        "_h", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(tie)), 256))
-    order = ranked(spread, ["replicate"], ["_h"], "_r").withColumn("_s", stats)
-    sums = order.groupBy("replicate").agg(F.sum(F.when(F.col("_r") <= F.col("_s.p"), F.col("_v")).otherwise(0.0)).alias("_sum")).withColumn("_s", stats)
-    d = F.col("_sum") / F.col("_s.p") - (F.col("_s.total") - F.col("_sum")) / (F.col("_s.n") - F.col("_s.p"))
-    return sums.agg(F.first("_s.observed").alias("observed_diff"),
-                    ((F.count_if(d >= F.col("_s.observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("permutation_p_value"))
+        (F.avg(F.when(F.col("_g") == positive, F.col("_v"))) - F.avg(F.when(F.col("_g") == negative, F.col("_v")))).alias("observed")).first()
+    if not s["p"] or s["p"] == s["n"]:
+        return df.sparkSession.createDataFrame([(None, None)], "observed_diff double, permutation_p_value double")
+    sums = subset_sums(rows, s["p"], s["n"], n, seed)
+    d = F.col("subset_sum") / s["p"] - (F.lit(s["total"]) - F.col("subset_sum")) / (s["n"] - s["p"])
+    return sums.agg(F.lit(s["observed"]).alias("observed_diff"), ((F.count_if(d >= s["observed"] - 1e-12) + 1) / (F.count("*") + 1)).alias("permutation_p_value"))
 
 
 def jackknife(df: DataFrame, block: str, group: str, value: str, positive: str, negative: str) -> DataFrame:
@@ -303,15 +266,9 @@ def paired_tests(df: DataFrame, by: list[str], n_bootstrap: int = 5000, n_permut
     rows = cut_lineage(df.select(*by, tie, "label", "m", "b").dropna())
     observed = _both_metrics(rows, by).withColumn("observed_diff", F.col("model_metric") - F.col("baseline_metric"))
     keys = [*by, "metric_name"]
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
-    draws = explode_range(sizes.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_bootstrap)))), F.lit(0), F.col("_n") - 1, "_i")
-    counts = draws.select(*by, "replicate", draw(F.col("_n"), F.lit(seed), "replicate", "_i").alias("_row")).groupBy(*by, "replicate", "_row").agg(F.count("*").alias("_w"))
-    resampled = counts.join(_indexed(rows, tie, by), [*by, "_row"])
-    boot = _both_metrics(resampled, [*by, "replicate"], "_w").select(*keys, (F.col("model_metric") - F.col("baseline_metric")).alias("d"))
-    swap = draw(2, F.lit(seed), "replicate", tie) == 1
-    swapped = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_permutations)))).withColumns({
-        "_a": F.when(swap, F.col("b")).otherwise(F.col("m")), "_b": F.when(swap, F.col("m")).otherwise(F.col("b"))})
-    perm = _both_metrics(swapped.select(*by, "replicate", "label", F.col("_a").alias("m"), F.col("_b").alias("b")), [*by, "replicate"]).select(*keys, (F.col("model_metric") - F.col("baseline_metric")).alias("d"))
+    diff = (F.col("model_metric") - F.col("baseline_metric")).alias("d")
+    boot = replicate_metrics(rows, by, "poisson", n_bootstrap, seed, tie).select(*keys, diff)
+    perm = replicate_metrics(rows, by, "swap", n_permutations, seed, tie).select(*keys, diff)
     obs = observed.select(*keys, "observed_diff")
     d = F.coalesce("d", "observed_diff")
     boot = boot.join(obs, keys).groupBy(*keys).agg(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairgrammar import views
 from pairgrammar.operators import metrics as M
+from pairgrammar.operators import resampling as R
 from pairgrammar.operators import selection as W
 from pairgrammar.operators import splits as P
 from pairgrammar.operators import stats as X
@@ -22,7 +23,7 @@ def sql_rank_metrics(source: str, label: str, score: str, by: str = "", weight:
     part = f"PARTITION BY {by}" if by else ""
     group = f"GROUP BY {by}" if by else ""
     return f"""(SELECT {keys} CAST(p+n0 AS BIGINT) AS n, CAST(p AS BIGINT) AS positives, CASE WHEN p>0 AND n0>0 THEN ap/p END AS auprc, CASE WHEN p>0 AND n0>0 THEN 1-above/(p*n0) END AS auroc FROM (
-      SELECT {keys} sum(pos) AS p, sum(neg) AS n0, sum(pos*tp/(tp+fp)) AS ap, sum(pos*(fp-neg/2)) AS above FROM (
+      SELECT {keys} sum(pos) AS p, sum(neg) AS n0, coalesce(sum(pos*tp/nullif(tp+fp,0)),0) AS ap, sum(pos*(fp-neg/2)) AS above FROM (
         SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM (SELECT {keys} {score} AS s, CAST(sum(CASE WHEN {label}>0.5 THEN {weight} ELSE 0 END) AS DOUBLE) AS pos, CAST(sum(CASE WHEN {label}>0.5 THEN 0 ELSE {weight} END) AS DOUBLE) AS neg
           FROM {source} WHERE {label} IS NOT NULL AND {score} IS NOT NULL GROUP BY {keys} {score})
         WINDOW w AS ({part} ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) {group}))"""
@@ -61,16 +62,23 @@ def top_k_recall(spark, sf):
     return rounded(M.top_k_recall(views.line_scores(spark, sf), "label", "score", 500))
 
 
-_B = 40
-_DRAW = "('0x'||substr(sha256({key}),1,15))::BIGINT"
-_IDX = "(SELECT *, row_number() OVER (ORDER BY seq_id)-1 AS i FROM predictions)"
-_BOOT = f"""(SELECT replicate, i, count(*) AS w FROM (SELECT replicate, {_DRAW.format(key="'11|'||replicate||'|'||j")} % n AS i FROM (SELECT count(*) AS n FROM predictions), (SELECT unnest(range(1,{_B + 1})) AS replicate), LATERAL (SELECT unnest(range(0,n)) AS j)) GROUP BY 1,2)"""
+_B = 1000  # replicates; the published 5000 and 10000 are the operators' defaults
+
+
+def sql_uniform(seed: int, key: str, rows: str, replicates: int = _B) -> str:
+    """Rows of a table with a uniform number z for each replicate, by the operators' hash."""
+    p = R.PRIME
+    return f"""(SELECT *, (y*{R.STEP}+x)%{p} AS z FROM (SELECT *, x*x%{p} AS y FROM (SELECT t.*, c.replicate, (h*c.ra+c.rb)%{p} AS x FROM (SELECT *, ('0x'||substr(sha256({key}),1,8))::BIGINT%{p} AS h FROM {rows}) t,
+      (SELECT replicate, 1+('0x'||substr(sha256('{seed}|'||replicate||'|a'),1,8))::BIGINT%{p - 1} AS ra, ('0x'||substr(sha256('{seed}|'||replicate||'|b'),1,8))::BIGINT%{p} AS rb FROM (SELECT unnest(range(1,{replicates + 1})) AS replicate)) c)))"""
+
+
+SQL_POISSON = "(" + "+".join(f"(z>={t})::INT" for t in R.POISSON) + ")"
 
 
 def _sql_boot(metric: str) -> str:
-    both = f"(SELECT b.replicate, b.w, p.label, p.full_score, p.availability_only_score FROM {_BOOT} b JOIN {_IDX} p ON p.i=b.i)"
     return f"""
-  WITH bt AS MATERIALIZED {both}, m AS {sql_rank_metrics('bt', 'label', 'full_score', 'replicate', 'w')}, a AS {sql_rank_metrics('bt', 'label', 'availability_only_score', 'replicate', 'w')},
+  WITH bt AS MATERIALIZED (SELECT replicate, {SQL_POISSON} AS w, label, full_score, availability_only_score FROM {sql_uniform(11, "seq_id", "predictions")}),
+  m AS {sql_rank_metrics('bt', 'label', 'full_score', 'replicate', 'w')}, a AS {sql_rank_metrics('bt', 'label', 'availability_only_score', 'replicate', 'w')},
   om AS {sql_rank_metrics('predictions', 'label', 'full_score')}, oa AS {sql_rank_metrics('predictions', 'label', 'availability_only_score')},
   d AS (SELECT coalesce(m.{metric}-a.{metric}, om.{metric}-oa.{metric}) AS d FROM m JOIN a USING (replicate), om, oa)
   SELECT '{metric}' AS metric_name, round(max(om.{metric}),6) AS model_metric, round(max(oa.{metric}),6) AS baseline_metric, round(max(om.{metric}-oa.{metric}),6) AS observed_diff,
@@ -88,8 +96,7 @@ def paired_bootstrap_auroc(spark, sf):
 
 
 @query("paired_permutation", f"""
-  WITH r AS MATERIALIZED (SELECT replicate, label, CASE WHEN sw THEN availability_only_score ELSE full_score END AS a, CASE WHEN sw THEN full_score ELSE availability_only_score END AS b FROM (
-      SELECT *, {_DRAW.format(key="'11|'||replicate||'|'||seq_id")} % 2 = 1 AS sw FROM predictions, (SELECT unnest(range(1,{_B + 1})) AS replicate))),
+  WITH r AS MATERIALIZED (SELECT replicate, label, CASE WHEN z>{R.PRIME // 2} THEN availability_only_score ELSE full_score END AS a, CASE WHEN z>{R.PRIME // 2} THEN full_score ELSE availability_only_score END AS b FROM {sql_uniform(11, "seq_id", "predictions")}),
   m AS {sql_rank_metrics('r', 'label', 'a', 'replicate')}, n AS {sql_rank_metrics('r', 'label', 'b', 'replicate')}, om AS {sql_rank_metrics('predictions', 'label', 'full_score')}, oa AS {sql_rank_metrics('predictions', 'label', 'availability_only_score')},
   d AS (SELECT m.auprc-n.auprc AS d, om.auprc-oa.auprc AS o FROM m JOIN n USING (replicate), om, oa)
   SELECT 'auprc' AS metric_name, round(max(o),6) AS observed_diff, round((count(*) FILTER (d>=o-1e-12)+1)/(count(*)+1),6) AS permutation_p_value FROM d""", PREDS)
@@ -97,7 +104,7 @@ def paired_permutation(spark, sf):
     return rounded(X.paired_permutation(views.predictions(spark, sf), "full_score", "availability_only_score", "auprc", _B, 11))
 
 
-@query("bootstrap_ci", f"""WITH bt AS MATERIALIZED (SELECT b.replicate, b.w, p.label, p.full_score FROM {_BOOT} b JOIN {_IDX} p ON p.i=b.i), m AS {sql_rank_metrics('bt', 'label', 'full_score', 'replicate', 'w')}
+@query("bootstrap_ci", f"""WITH bt AS MATERIALIZED (SELECT replicate, {SQL_POISSON} AS w, label, full_score FROM {sql_uniform(11, "seq_id", "predictions")}), m AS {sql_rank_metrics('bt', 'label', 'full_score', 'replicate', 'w')}
   SELECT count(*) AS used, round(quantile_cont(auprc,0.025),6) AS ci_low, round(quantile_cont(auprc,0.975),6) AS ci_high FROM m WHERE auprc IS NOT NULL""", PREDS)
 def bootstrap_ci(spark, sf):
     return rounded(X.bootstrap_ci(views.predictions(spark, sf), "full_score", "auprc", _B, 11))
@@ -144,7 +151,7 @@ def claim_table(spark, sf):
 
 _TAB = "(SELECT element_type AS el, count(*) FILTER (full_score>0.5 AND label>0.5) AS a, count(*) FILTER (full_score>0.5 AND NOT label>0.5) AS b, count(*) FILTER (NOT full_score>0.5 AND label>0.5) AS c, count(*) FILTER (NOT full_score>0.5 AND NOT label>0.5) AS d FROM predictions GROUP BY 1)"
 _LF = "lgamma({0}+1)"
-_HYP = "exp(lgamma(a+b+1)-lgamma(k+1)-lgamma(a+b-k+1)+lgamma(c+d+1)-lgamma(a+c-k+1)-lgamma(c+d-a-c+k+1)-lgamma(a+b+c+d+1)+lgamma(a+c+1)+lgamma(b+d+1))"
+SQL_HYPERGEOMETRIC = "exp(lgamma(a+b+1)-lgamma(k+1)-lgamma(a+b-k+1)+lgamma(c+d+1)-lgamma(a+c-k+1)-lgamma(c+d-a-c+k+1)-lgamma(a+b+c+d+1)+lgamma(a+c+1)+lgamma(b+d+1))"
 
 
 @query("contingency", f"SELECT * FROM {_TAB}", PREDS)
@@ -153,7 +160,7 @@ def contingency(spark, sf):
     return D.contingency(p, F.col("full_score") > 0.5, F.col("label") > 0.5, ["el"])
 
 
-@query("fisher_exact", f"""SELECT el, a, b, c, d, round(sum({_HYP}) FILTER (k>=a),6) AS p_value, round(CASE WHEN b*c=0 THEN -1 ELSE a*d/(b*c) END,6) AS odds_ratio FROM (SELECT *, unnest(range(greatest(0,a-d), least(a+b,a+c)+1)) AS k FROM {_TAB}) GROUP BY ALL""", PREDS)
+@query("fisher_exact", f"""SELECT el, a, b, c, d, round(sum({SQL_HYPERGEOMETRIC}) FILTER (k>=a),6) AS p_value, round(CASE WHEN b*c=0 THEN -1 ELSE a*d/(b*c) END,6) AS odds_ratio FROM (SELECT *, unnest(range(greatest(0,a-d), least(a+b,a+c)+1)) AS k FROM {_TAB}) GROUP BY ALL""", PREDS)
 def fisher_exact(spark, sf):
     t = X.fisher_greater(contingency(spark, sf), ["el"])
     return rounded(t.withColumn("odds_ratio", F.when(F.col("b") * F.col("c") == 0, -1.0).otherwise(F.col("odds_ratio"))))
@@ -166,7 +173,22 @@ def mann_whitney_u(spark, sf):
     return rounded(X.mann_whitney(p, "side", "full_score", "pos", "neg", ["chromosome"]).drop("p_value"))
 
 
-@query("mann_whitney_p_value")
+def sql_normal_tail(z: str) -> str:
+    """P(Z >= z) by Simpson's rule on 2000 steps from 0 to z."""
+    f = "exp(-0.5*pow({z}*i/2000.0,2))".format(z=z)
+    return f"(0.5 - ({z})/6000.0*list_sum(list_transform(range(0,2001), lambda i: (CASE WHEN i IN (0,2000) THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END)*{f}))/sqrt(2*pi()))"
+
+
+def sql_mann_whitney(source: str, by: str, side: str, value: str) -> str:
+    """Group sizes, U and its tail where both sides have more than eight rows or there are ties."""
+    part = f"PARTITION BY {by}, " if by else "PARTITION BY "
+    keys = f"{by}, " if by else ""
+    return f"""(SELECT *, {sql_normal_tail('zz')} AS p_value FROM (SELECT *, (u-a*b/2.0-0.5)/sqrt(a*b/12.0*((a+b+1)-ties/((a+b)*(a+b-1.0)))) AS zz FROM (
+      SELECT {keys} count(*) FILTER ({side}) AS a, count(*) FILTER (NOT {side}) AS b, CAST(sum(CASE WHEN {side} THEN mid ELSE 0 END)-count(*) FILTER ({side})*(count(*) FILTER ({side})+1)/2.0 AS DOUBLE) AS u, CAST(sum(CAST(c AS DOUBLE)*c-1) AS DOUBLE) AS ties
+      FROM (SELECT *, rank() OVER ({f'PARTITION BY {by} ' if by else ''}ORDER BY {value}) + (count(*) OVER ({part}{value})-1)/2.0 AS mid, count(*) OVER ({part}{value}) AS c FROM {source}) {f'GROUP BY {by}' if by else ''})))"""
+
+
+@query("mann_whitney_p_value", f"SELECT chromosome, a AS n_positive, b AS n_negative, round(u,6) AS u, round(p_value,6) AS p_value FROM {sql_mann_whitney('(SELECT chromosome, full_score, label>0.5 AS pos FROM predictions)', 'chromosome', 'pos', 'full_score')}", PREDS)
 def mann_whitney_p_value(spark, sf):
     p = views.predictions(spark, sf).withColumn("side", F.when(F.col("label") > 0.5, "pos").otherwise("neg"))
     return rounded(X.mann_whitney(p, "side", "full_score", "pos", "neg", ["chromosome"]))
@@ -180,17 +202,17 @@ def _states(spark, sf):
     return p.groupBy("state_label").agg(F.min("chromosome").alias("chromosome"), F.min("element_type").alias("g"), F.avg("full_score").alias("v"))
 
 
-@query("mean_difference_bootstrap", f"""WITH {_ST}, ix AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY state_label)-1 AS i FROM st), n AS (SELECT g, count(*) AS n FROM st GROUP BY 1),
-  dr AS (SELECT replicate, g, {_DRAW.format(key="'11|'||g||'|'||replicate||'|'||j")} % n AS i FROM n, (SELECT unnest(range(1,{_B + 1})) AS replicate), LATERAL (SELECT unnest(range(0,n)) AS j)),
-  d AS (SELECT replicate, avg(v) FILTER (dr.g='pELS') - avg(v) FILTER (dr.g='dELS') AS d FROM dr JOIN ix ON ix.g=dr.g AND ix.i=dr.i GROUP BY 1)
-  SELECT count(*) AS iterations, round(quantile_cont(d,0.025),6) AS bootstrap_ci_low, round(quantile_cont(d,0.975),6) AS bootstrap_ci_high FROM d""", PREDS)
+_MB = f"mb AS (SELECT replicate, sum(w*v) FILTER (g='pELS')/nullif(sum(w) FILTER (g='pELS'),0) - sum(w*v) FILTER (g='dELS')/nullif(sum(w) FILTER (g='dELS'),0) AS d FROM (SELECT *, {SQL_POISSON} AS w FROM {sql_uniform(11, 'state_label', 'st')}) GROUP BY 1)"
+_MP = f"""o AS (SELECT avg(v) FILTER (g='pELS')-avg(v) FILTER (g='dELS') AS o, count(*) FILTER (g='pELS') AS p FROM st),
+  mr AS (SELECT replicate, v, row_number() OVER (PARTITION BY replicate ORDER BY z, h) AS k FROM {sql_uniform(11, 'state_label', 'st')}), mp AS (SELECT replicate, avg(v) FILTER (k<=p)-avg(v) FILTER (k>p) AS d, any_value(o) AS o FROM mr, o GROUP BY 1)"""
+
+
+@query("mean_difference_bootstrap", f"WITH {_ST}, {_MB} SELECT count(d) AS iterations, round(quantile_cont(d,0.025),6) AS bootstrap_ci_low, round(quantile_cont(d,0.975),6) AS bootstrap_ci_high FROM mb", PREDS)
 def mean_difference_bootstrap(spark, sf):
     return rounded(X.mean_diff_bootstrap(_states(spark, sf), "g", "v", "pELS", "dELS", _B, 11))
 
 
-@query("mean_difference_permutation", f"""WITH {_ST}, o AS (SELECT avg(v) FILTER (g='pELS')-avg(v) FILTER (g='dELS') AS o, count(*) FILTER (g='pELS') AS p FROM st),
-  r AS (SELECT replicate, v, row_number() OVER (PARTITION BY replicate ORDER BY sha256('11|'||replicate||'|'||state_label)) AS k FROM st, (SELECT unnest(range(1,{_B + 1})) AS replicate)),
-  d AS (SELECT replicate, avg(v) FILTER (k<=p)-avg(v) FILTER (k>p) AS d, any_value(o) AS o FROM r, o GROUP BY 1) SELECT round(max(o),6) AS observed_diff, round((count(*) FILTER (d>=o-1e-12)+1)/(count(*)+1),6) AS permutation_p_value FROM d""", PREDS)
+@query("mean_difference_permutation", f"WITH {_ST}, {_MP} SELECT round(max(o),6) AS observed_diff, round((count(*) FILTER (d>=o-1e-12)+1)/(count(*)+1),6) AS permutation_p_value FROM mp", PREDS)
 def mean_difference_permutation(spark, sf):
     return rounded(X.mean_diff_permutation(_states(spark, sf), "g", "v", "pELS", "dELS", _B, 11))
 
@@ -208,7 +230,15 @@ def jackknife_summary(spark, sf):
     return rounded(X.jackknife_summary(X.jackknife(_states(spark, sf), "chromosome", "g", "v", "pELS", "dELS")))
 
 
-@query("state_blocked_effect")
+SQL_STATE_BLOCKED = f"""{_ST}, {_JK}, {_MB}, {_MP}, mw AS {sql_mann_whitney("(SELECT v, g='pELS' AS pos FROM st)", '', 'pos', 'v')}, am AS (SELECT avg(v) FILTER (g='pELS') AS pm, avg(v) FILTER (g='dELS') AS qm FROM st)
+  , sub(k, last, s) AS (SELECT 0, -1, 0 UNION ALL SELECT k+1, j, s+j FROM sub, mw, (SELECT unnest(range(0,20)) AS j) WHERE j>last AND j<mw.a+mw.b AND k<least(mw.a,mw.b) AND least(mw.a,mw.b)<=8)
+  SELECT round(pm,6) AS positive_mean, round(qm,6) AS negative_mean, mw.a AS positive_states, mw.b AS negative_states, round(pm-qm,6) AS effect, round(pm/qm,6) AS effect_ratio,
+    (SELECT round(quantile_cont(d,0.025),6) FROM mb) AS bootstrap_ci_low, (SELECT round(quantile_cont(d,0.975),6) FROM mb) AS bootstrap_ci_high, (SELECT round((count(*) FILTER (d>=o-1e-12)+1)/(count(*)+1),6) FROM mp) AS permutation_p_value,
+    round(CASE WHEN mw.ties=0 AND least(mw.a,mw.b)<=8 THEN (SELECT count(*) FILTER (s-k*(k-1)/2>=mw.u)/count(*) FROM sub WHERE k=least(mw.a,mw.b)) ELSE mw.p_value END,6) AS mann_whitney_p_value, (SELECT round(min(positive_mean-negative_mean),6) FROM jk WHERE positive_n>0 AND negative_n>0) AS jackknife_min_effect,
+    (SELECT round(avg(CASE WHEN positive_mean-negative_mean>0 THEN 1.0 ELSE 0.0 END),6) FROM jk WHERE positive_n>0 AND negative_n>0) AS jackknife_positive_fraction FROM am, mw"""
+
+
+@query("state_blocked_effect", f"WITH RECURSIVE {SQL_STATE_BLOCKED}", PREDS)
 def state_blocked_effect(spark, sf):
     p = views.predictions(spark, sf).withColumn("element_type", F.when(F.col("element_type").isin("pELS", "dELS", "CA-TF"), "pELS").otherwise("dELS"))
     return rounded(X.state_blocked_effect(p, "pELS", "dELS", "full_score", _B, _B, 11))

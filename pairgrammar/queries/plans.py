@@ -15,7 +15,8 @@ from pairgrammar.plans import reports as R
 from pairgrammar.plans import scoring as N
 from pairgrammar.plans import states as S
 from pairgrammar.queries.expressions import _curated
-from pairgrammar.queries.metrics import sql_rank_metrics
+from pairgrammar.operators.resampling import PRIME
+from pairgrammar.queries.metrics import SQL_HYPERGEOMETRIC, SQL_POISSON, sql_rank_metrics, sql_uniform
 from pairgrammar.queries.registry import query, rounded
 from pairgrammar.queries.relations import peak_rows
 from pairgrammar.queries.splits import sql_split
@@ -295,7 +296,9 @@ def ccre_classes(spark, sf):
     return rounded(R.ccre_report(p, p.select("state_label", "element_type").distinct(), "full_score")["classes"])
 
 
-@query("ccre_contrast")
+@query("ccre_contrast", f"""WITH w AS (SELECT * FROM predictions QUALIFY row_number() OVER (PARTITION BY state_label ORDER BY full_score DESC, seq_id)=1), h AS (SELECT full_score>=(SELECT quantile_cont(full_score,0.75) FROM w) AS hc, element_type IN ('pELS','dELS') AS hit FROM w),
+  t AS (SELECT 'enhancer_like' AS contrast_class, count(*) FILTER (hc AND hit) AS a, count(*) FILTER (hc AND NOT hit) AS b, count(*) FILTER (NOT hc AND hit) AS c, count(*) FILTER (NOT hc AND NOT hit) AS d FROM h)
+  SELECT contrast_class, a, b, c, d, round(sum({SQL_HYPERGEOMETRIC}) FILTER (k>=a),6) AS p_value, round(CASE WHEN b*c=0 THEN CASE WHEN a*d=0 THEN 'NaN'::DOUBLE ELSE 'Infinity'::DOUBLE END ELSE a*d/(b*c) END,6) AS odds_ratio FROM (SELECT *, unnest(range(greatest(0,a-d), least(a+b,a+c)+1)) AS k FROM t) GROUP BY ALL""", ("predictions",))
 def ccre_contrast(spark, sf):
     p = views.predictions(spark, sf)
     return rounded(R.ccre_report(p, p.select("state_label", "element_type").distinct(), "full_score")["contrast"])
@@ -324,9 +327,28 @@ def significance_metrics(spark, sf):
     return rounded(m.select("split_name", "phase", "method", "n", "auprc", "auroc"))
 
 
-@query("significance_summary")
+_SLICE = "split_name, phase, comparison_method"
+_BOTH = "unnest(['auprc','auroc']) AS metric_name, unnest([{0}.auprc,{0}.auroc]) AS {1}"
+
+
+def _sql_two(name: str, source: str, m: str, b: str, by: str, weight: str = "1") -> str:
+    """Model and baseline metric of every group, one row a metric."""
+    return (f"{name}_m AS {sql_rank_metrics(source, 'label', m, by, weight)}, {name}_b AS {sql_rank_metrics(source, 'label', b, by, weight)}, "
+            f"{name} AS (SELECT {by}, {_BOTH.format('x', 'mv')}, unnest([y.auprc,y.auroc]) AS bv FROM {name}_m x JOIN {name}_b y USING ({by}))")
+
+
+@query("significance_summary", f"""WITH {_MS}, pr AS (SELECT split_name, phase, seq_id, label, f AS m, unnest(['availability_only','additive_null']) AS comparison_method, unnest([a,n]) AS b FROM ms),
+  bt AS MATERIALIZED (SELECT *, {SQL_POISSON} AS w, CASE WHEN z>{PRIME // 2} THEN b ELSE m END AS sm, CASE WHEN z>{PRIME // 2} THEN m ELSE b END AS sb FROM {sql_uniform(11, 'seq_id', 'pr', 200)}),
+  {_sql_two('ob', 'pr', 'm', 'b', _SLICE)}, {_sql_two('bo', 'bt', 'm', 'b', _SLICE + ', replicate', 'w')}, {_sql_two('pe', 'bt', 'sm', 'sb', _SLICE + ', replicate')},
+  o AS (SELECT {_SLICE}, metric_name, mv AS model_metric, bv AS baseline_metric, mv-bv AS observed_diff FROM ob),
+  bs AS (SELECT {_SLICE}, metric_name, quantile_cont(d,0.025) AS ci_low, quantile_cont(d,0.975) AS ci_high, (count(*) FILTER (d<=0)+1)/(count(*)+1) AS bootstrap_p_value FROM (SELECT {_SLICE}, metric_name, coalesce(mv-bv,observed_diff) AS d FROM bo JOIN o USING ({_SLICE}, metric_name)) GROUP BY ALL),
+  ps AS (SELECT {_SLICE}, metric_name, (count(*) FILTER (mv-bv>=observed_diff-1e-12)+1)/(count(*)+1) AS permutation_p_value FROM pe JOIN o USING ({_SLICE}, metric_name) GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (ORDER BY permutation_p_value, split_name, phase, metric_name, comparison_method) AS k, count(*) OVER () AS n FROM o JOIN bs USING ({_SLICE}, metric_name) JOIN ps USING ({_SLICE}, metric_name)),
+  f AS (SELECT *, least(1,min(permutation_p_value*n/k) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS bh_fdr FROM r)
+  SELECT {_SLICE}, metric_name, round(model_metric,6) AS model_metric, round(baseline_metric,6) AS baseline_metric, round(observed_diff,6) AS observed_diff, round(ci_low,6) AS ci_low, round(ci_high,6) AS ci_high, round(bootstrap_p_value,6) AS bootstrap_p_value,
+    round(permutation_p_value,6) AS permutation_p_value, round(bh_fdr,6) AS bh_fdr, ci_low>0 AND permutation_p_value<0.05 AS significant_win, ci_low>0 AND bh_fdr<0.05 AS significant_win_fdr FROM f""", ("seed_scores",))
 def significance_summary(spark, sf):
-    return rounded(R.significance_tests(R.method_scores(views.seed_scores(spark, sf), schema.SEEDS), n_bootstrap=20, n_permutations=20))
+    return rounded(R.significance_tests(R.method_scores(views.seed_scores(spark, sf), schema.SEEDS), n_bootstrap=200, n_permutations=200))
 
 
 @query("significance_with_baselines", f"WITH {_MS}, b AS (SELECT split_name, seq_id, round(label*0.3::DOUBLE+length(seq_id)/10.0::DOUBLE,4) AS s FROM ms WHERE length(seq_id)<>5), k AS (SELECT ms.* FROM ms WHERE (split_name, seq_id) IN (SELECT (split_name, seq_id) FROM b)), lg AS (SELECT split_name, phase, label, 'model' AS method, f AS score FROM k UNION ALL SELECT split_name, phase, label, 'availability_only', a FROM k UNION ALL SELECT split_name, phase, label, 'additive_null', n FROM k UNION ALL SELECT k.split_name, phase, label, 'GET', s FROM k JOIN b USING (split_name, seq_id)) SELECT split_name, phase, method, count(*) AS n, round(sum(score),5) AS total FROM lg GROUP BY 1,2,3", ("seed_scores",))

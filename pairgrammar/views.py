@@ -315,6 +315,8 @@ def oracle(body: str, *views: str) -> str:
         return body
     lead = ", ".join(f"{n} AS MATERIALIZED ({SQL[n][1]})" for n in order)
     text = body.strip()
+    if text.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {lead}, {text[15:]}"
     if text.upper().startswith("WITH "):
         return f"WITH {lead}, {text[5:]}"
     return f"WITH {lead} {text}"
