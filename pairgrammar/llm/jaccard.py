@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairgrammar.llm.common import map_texts, tokens
+from pairgrammar.llm.common import map_texts, slices, tokens
 from pairgrammar.llm.components import components
 from pairgrammar.session import scratch_path
 
 GROUP, GROUP_TOKENS = 512, 1 << 19  # documents and tokens a group, about
 ASKING = 512  # queries that meet a group in one task, about
 SLOTS = 1 << 20  # key slots that sift the rows whose sets are needed
-COMMON = 1 << 16  # tokens that are known as common, at most
+COMMON = 1 << 18  # tokens that are known as common, at most
+HELD = 6_000_000  # distinct tokens that a task counts before it passes the repeated ones on
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
@@ -110,28 +111,43 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         df.write.parquet(path)
         return spark.read.parquet(path)
 
-    def summarise():
+    def summarise(batches):
         hashes = _Hashes()
+        seen: list[np.ndarray] = []
+        times: list[np.ndarray] = []
 
-        def work(texts):
-            sets = [shingles(t, words, hashes) for t in texts]
-            value, count = np.unique(np.concatenate([prefix(s, s[:0], percent)[0] for s in sets if len(s)] or [np.zeros(0, np.int64)]), return_counts=True)
-            often = count > 1
-            return [
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array([value[often]] + [None] * (len(sets) - 1), pa.list_(pa.int64())),
-                pa.array([count[often]] + [None] * (len(sets) - 1), pa.list_(pa.int64()))]
-        return work
+        def rows_of(columns: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], ["key", "n", "sig", "token", "times"])
 
-    summary = stored(map_texts(docs, "text", ["key"], [
-        T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), 
-        T.StructField("often", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType()))], summarise).select("row.key", "n", "sig", "often", "times"), "sets")
-
-    # common tokens come last in the order of prefixes; which ones are is a matter of cost, never of the result
-    counts = summary.where("often is not null").select(F.inline(F.arrays_zip("often", "times"))).groupBy("often").agg(F.sum("times").alias("times"))
-    total = summary.agg(F.sum("n")).first()[0] or 0
-    common = np.array(sorted(r["often"] for r in counts.where(F.col("times") > max(32, total // COMMON)).collect()), np.int64)
+        def repeated() -> pa.RecordBatch:
+            value, place = np.unique(np.concatenate(seen), return_inverse=True)
+            count = np.bincount(place, weights=np.concatenate(times)).astype(np.int64)
+            seen[:], times[:] = [value], [count]
+            often = count > 1
+            return rows_of([[None] * int(often.sum())] * 3 + [value[often], count[often]])
+
+        for batch in batches:
+            for part, texts in slices(batch, batch.column(1)):
+                sets = [shingles(t, words, hashes) for t in texts]
+                sigs = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                yield rows_of([part.column(0).to_pylist(), [len(s) for s in sets], sigs, [None] * len(sets), [None] * len(sets)])
+                value, count = np.unique(np.concatenate(sets), return_counts=True)
+                seen.append(value)
+                times.append(count)
+                if sum(map(len, seen)) > HELD:
+                    yield repeated()
+                    seen.clear()
+                    times.clear()
+        if seen:
+            yield repeated()
+
+    first = stored(docs.mapInArrow(summarise, "key long, n long, sig binary, token long, times long"), "sets")
+    summary = first.where("token is null").select("key", "n", "sig")
+
+    # common tokens come last in the order of prefixes; which ones are is a matter of cost, never of the
+    # result: the tokens that most texts have, by counts within tasks that cover all texts
+    counts = first.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") > 32)
+    common = np.array(sorted(r["token"] for r in counts.orderBy(F.desc("times"), "token").limit(COMMON).select("token").collect()), np.int64)
     shared = spark.sparkContext.broadcast(common)
 
     # one row for each distinct set
