@@ -106,15 +106,18 @@ def usage_labels(spark, sf):
 
 # ---- L5, L6, L12, I11, I13
 def _layer(spark, sf):
-    """Regions on document 'chromosomes': every 300 bases; fragments from the line items."""
+    """Regions on document 'chromosomes': every 300 bases; fragments from the line items on all of them, over their whole length."""
     seqs = views.sequences(spark, sf).filter(F.length("bases") >= 300)
     chrom = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     regions = seqs.select(chrom.alias("chromosome"), F.explode(F.sequence(F.lit(0), F.floor(F.length("bases") / 300).cast("int") - 1)).alias("i")).select(
         "chromosome", (F.col("i") * 300 + 50).cast("long").alias("region_start"), (F.col("i") * 300 + 200).cast("long").alias("region_end"),
         F.concat_ws("_", F.lit("S"), "chromosome", F.col("i").cast("string")).alias("screen_id"), F.concat_ws("_", F.lit("E"), "chromosome", F.col("i").cast("string")).alias("encode_id"),
         F.element_at(F.array(*[F.lit(e) for e in views.ELEMENTS]), (F.col("i") % 7 + 1).cast("int")).alias("element_type"))
-    li = views.table(spark, sf, "lineitem")
-    fragments = li.select(F.concat(F.lit("d"), (F.col("l_orderkey") % 1000).cast("string")).alias("chromosome"), (F.col("l_partkey") % 1500).alias("start"), (F.col("l_partkey") % 1500 + F.col("l_quantity").cast("long")).alias("end"), (F.col("l_linenumber") % 4).cast("long").alias("file_id"))
+    sizes = seqs.select(chrom.alias("chromosome"), F.length("bases").cast("long").alias("size"))
+    docs = views.table(spark, sf, "documents").agg(F.count("*")).scalar()
+    li = views.table(spark, sf, "lineitem").select(
+        F.concat(F.lit("d"), (F.col("l_orderkey") % docs).cast("string")).alias("chromosome"), (F.col("l_partkey") * 7919 + F.col("l_linenumber") * 104729).alias("x"), F.col("l_quantity").cast("long").alias("q"), (F.col("l_linenumber") % 4).cast("long").alias("file_id"))
+    fragments = li.join(sizes, "chromosome").select("chromosome", (F.col("x") % F.col("size")).alias("start"), (F.col("x") % F.col("size") + F.col("q")).alias("end"), "file_id")
     chunks = seqs.select(chrom.alias("chromosome"), "bases", F.explode(F.sequence(F.lit(0), F.floor((F.length("bases") - 1) / 500).cast("int"))).alias("c")).select(
         "chromosome", F.col("c").cast("long").alias("chunk_id"), (F.col("c") * 500).cast("long").alias("start"), F.substring("bases", F.col("c") * 500 + 1, F.lit(500)).alias("bases"))
     return regions, fragments, chunks, views.motif_positions(spark, sf), views.edges(spark, sf)
@@ -124,7 +127,7 @@ def state_layer(spark, sf):
     return S.build_state_layer(*_layer(spark, sf), chunk_size=500, max_regions=100_000, max_states=400, multiplier=2, bin_size=500)
 
 
-@query("ranked_states", """WITH r AS (SELECT 'd'||doc_id AS c, unnest(range(0, length(bases)//300)) AS i FROM sequences WHERE length(bases)>=300), f AS (SELECT 'd'||(l_orderkey%1000) AS c, l_partkey%1500 AS s, l_partkey%1500+CAST(l_quantity AS BIGINT) AS e, l_linenumber%4 AS file FROM lineitem),
+@query("ranked_states", """WITH r AS (SELECT 'd'||doc_id AS c, unnest(range(0, length(bases)//300)) AS i FROM sequences WHERE length(bases)>=300), f AS (SELECT c, x%n AS s, x%n+q AS e, file FROM (SELECT 'd'||(l_orderkey%(SELECT count(*) FROM documents)) AS c, l_partkey*7919+l_linenumber*104729 AS x, CAST(l_quantity AS BIGINT) AS q, l_linenumber%4 AS file FROM lineitem) JOIN (SELECT 'd'||doc_id AS c, length(bases) AS n FROM sequences WHERE length(bases)>=300) USING (c)),
   p AS (SELECT r.c, i, file, count(*) AS n FROM r JOIN f ON r.c=f.c AND i*300+50<e AND i*300+200>s AND e>s GROUP BY 1,2,3) SELECT c||':'||(i*300+50)||'-'||(i*300+200) AS state_label, sum(n)::BIGINT AS total_fragment_count, count(*) AS supporting_files FROM p GROUP BY c, i ORDER BY 2 DESC, 3 DESC, c, i LIMIT 800""", ("sequences",))
 def ranked_states(spark, sf):
     regions, fragments, *_ = _layer(spark, sf)

@@ -72,8 +72,10 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+SPLIT_BYTES = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spread rows ahead of heavy per-row work when the input has fewer files than the cluster has cores."""
+    """Spread rows ahead of heavy per-row work when the input is too small to be read in as many splits as there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df._jdf.inputFiles())
-    return df.repartition(cores) if 0 < files < cores else df
+    return df.repartition(cores) if leaf_bytes(df) < cores * SPLIT_BYTES else df
