@@ -230,7 +230,9 @@ def jackknife_summary(spark, sf):
     return rounded(X.jackknife_summary(X.jackknife(_states(spark, sf), "chromosome", "g", "v", "pELS", "dELS")))
 
 
-SQL_STATE_BLOCKED = f"""{_ST}, {_JK}, {_MB}, {_MP}, mw AS {sql_mann_whitney("(SELECT v, g='pELS' AS pos FROM st)", '', 'pos', 'v')}, am AS (SELECT avg(v) FILTER (g='pELS') AS pm, avg(v) FILTER (g='dELS') AS qm FROM st)
+def sql_state_blocked(states: str) -> str:
+    """The one-row report over ``st`` (state_label, chromosome, g, v), behind WITH RECURSIVE."""
+    return f"""{states}, {_JK}, {_MB}, {_MP}, mw AS {sql_mann_whitney("(SELECT v, g='pELS' AS pos FROM st)", '', 'pos', 'v')}, am AS (SELECT avg(v) FILTER (g='pELS') AS pm, avg(v) FILTER (g='dELS') AS qm FROM st)
   , sub(k, last, s) AS (SELECT 0, -1, 0 UNION ALL SELECT k+1, j, s+j FROM sub, mw, (SELECT unnest(range(0,20)) AS j) WHERE j>last AND j<mw.a+mw.b AND k<least(mw.a,mw.b) AND least(mw.a,mw.b)<=8)
   SELECT round(pm,6) AS positive_mean, round(qm,6) AS negative_mean, mw.a AS positive_states, mw.b AS negative_states, round(pm-qm,6) AS effect, round(pm/qm,6) AS effect_ratio,
     (SELECT round(quantile_cont(d,0.025),6) FROM mb) AS bootstrap_ci_low, (SELECT round(quantile_cont(d,0.975),6) FROM mb) AS bootstrap_ci_high, (SELECT round((count(*) FILTER (d>=o-1e-12)+1)/(count(*)+1),6) FROM mp) AS permutation_p_value,
@@ -238,7 +240,7 @@ SQL_STATE_BLOCKED = f"""{_ST}, {_JK}, {_MB}, {_MP}, mw AS {sql_mann_whitney("(SE
     (SELECT round(avg(CASE WHEN positive_mean-negative_mean>0 THEN 1.0 ELSE 0.0 END),6) FROM jk WHERE positive_n>0 AND negative_n>0) AS jackknife_positive_fraction FROM am, mw"""
 
 
-@query("state_blocked_effect", f"WITH RECURSIVE {SQL_STATE_BLOCKED}", PREDS)
+@query("state_blocked_effect", f"WITH RECURSIVE {sql_state_blocked(_ST)}", PREDS)
 def state_blocked_effect(spark, sf):
     p = views.predictions(spark, sf).withColumn("element_type", F.when(F.col("element_type").isin("pELS", "dELS", "CA-TF"), "pELS").otherwise("dELS"))
     return rounded(X.state_blocked_effect(p, "pELS", "dELS", "full_score", _B, _B, 11))

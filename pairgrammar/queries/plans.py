@@ -16,9 +16,9 @@ from pairgrammar.plans import scoring as N
 from pairgrammar.plans import states as S
 from pairgrammar.queries.expressions import _curated
 from pairgrammar.operators.resampling import PRIME
-from pairgrammar.queries.metrics import SQL_HYPERGEOMETRIC, SQL_POISSON, sql_rank_metrics, sql_uniform
+from pairgrammar.queries.metrics import SQL_HYPERGEOMETRIC, SQL_POISSON, sql_rank_metrics, sql_state_blocked, sql_uniform
 from pairgrammar.queries.registry import query, rounded
-from pairgrammar.queries.relations import peak_rows
+from pairgrammar.queries.relations import PEAKS_SQL, peak_rows
 from pairgrammar.queries.splits import sql_split
 
 # ---- L1
@@ -307,16 +307,23 @@ def ccre_contrast(spark, sf):
     return rounded(R.ccre_report(p, p.select("state_label", "element_type").distinct(), "full_score")["contrast"])
 
 
-@query("peak_overlap_report")
+@query("peak_overlap_report", f"""WITH {PEAKS_SQL}, tl AS (SELECT length(seq_id)%2=0 AS pos, 'any_tf_overlap' AS metric, lo OR ro AS hit FROM fl WHERE num_covered_tfs>=1 UNION ALL SELECT length(seq_id)%2=0, 'both_tf_overlap', lo AND ro FROM fl WHERE num_covered_tfs>=2),
+  t AS (SELECT metric, count(*) AS n_rows, avg(CASE WHEN pos THEN hit::INT END) AS pr, avg(CASE WHEN NOT pos THEN hit::INT END) AS nr, count(*) FILTER (pos AND hit) AS a, count(*) FILTER (pos AND NOT hit) AS b, count(*) FILTER (NOT pos AND hit) AS c, count(*) FILTER (NOT pos AND NOT hit) AS d FROM tl GROUP BY 1)
+  SELECT metric, n_rows, round(pr,6) AS positive_overlap_rate, round(nr,6) AS negative_overlap_rate, round(CASE WHEN b*c=0 THEN CASE WHEN a*d=0 THEN 'NaN'::DOUBLE ELSE 'Infinity'::DOUBLE END ELSE a*d/(b*c) END,6) AS odds_ratio, round(sum({SQL_HYPERGEOMETRIC}) FILTER (k>=a),6) AS p_value
+  FROM (SELECT *, unnest(range(greatest(0,a-d), least(a+b,a+c)+1)) AS k FROM t) GROUP BY ALL""", ("fragments", "regions"))
 def peak_overlap_report(spark, sf):
     scored, _, peaks = _scored(spark, sf)
     return rounded(R.peak_overlap_report(scored, peaks, 20_000))
 
 
-@query("validation_suite")
+_SUITE = f"""st AS MATERIALIZED (SELECT state_label, min(chromosome) AS chromosome, min(g) AS g, avg(v) AS v FROM (SELECT *, ({views.ELEMENTS})[length(state_label)%3+1] AS g FROM (
+  SELECT chromosome, chromosome||':'||region_start||'-'||region_end AS state_label, round(('0x'||substr(sha256('v'||region_id),1,8))::BIGINT%1000000/1e6::DOUBLE*0.8::DOUBLE+CASE WHEN length(region_id)%2=0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END,4) AS v FROM regions)) WHERE g IN ('pELS','dELS') GROUP BY 1)"""
+
+
+@query("validation_suite", f"WITH RECURSIVE {sql_state_blocked(_SUITE)}", ("regions",))
 def validation_suite(spark, sf):
     scored, registry, peaks = _scored(spark, sf)
-    out = R.validation_suite(scored, registry, peaks, n_bootstrap=20, n_permutations=20)
+    out = R.validation_suite(scored, registry, peaks, n_bootstrap=1000, n_permutations=1000)
     return rounded(out["state_blocked"])
 
 
