@@ -263,7 +263,9 @@ def identifiability_audit(spark, sf):
     return R.identifiability_audit(_tree(spark, sf, True))
 
 
-@query("large_graph_components")
+@query("large_graph_components", """WITH RECURSIVE ed AS MATERIALIZED (SELECT '0|'||left_tf AS a, '1|'||right_tf AS b FROM wide_edges UNION SELECT '1|'||left_tf, '0|'||right_tf FROM wide_edges UNION SELECT '1|'||right_tf, '0|'||left_tf FROM wide_edges UNION SELECT '0|'||right_tf, '1|'||left_tf FROM wide_edges),
+  cc(id, label) USING KEY (id) AS (SELECT a, min(least(a,b)) FROM ed GROUP BY a UNION SELECT ed.a, min(cc.label) FROM cc JOIN ed ON ed.b=cc.id JOIN recurring.cc AS u ON u.id=ed.a WHERE cc.label<u.label GROUP BY ed.a)
+  SELECT component, count(*) AS nodes, bool_or(odd) AS non_bipartite FROM (SELECT substr(id,3) AS node, min(substr(label,3)) AS component, min(label)=max(label) AS odd FROM cc GROUP BY 1) GROUP BY 1""", ("wide_edges",))
 def large_graph_components(spark, sf):
     return R.identifiability_components(views.wide_edges(spark, sf))
 
