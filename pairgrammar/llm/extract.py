@@ -27,6 +27,7 @@ ASIDE = {
     "comment", "comments", "reply", "replies", "disqus", "respond", "share", "sharing", "social", "related", "recommended", "widget", "complementary", "contentinfo",
 }
 TALK = {"comment", "comments", "reply", "replies", "disqus", "respond"}
+BEGIN = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "pagination", "popup", "promo", "sidebar", "sponsor", "subscri")
 RADIUS, SIGMA, SHARE = 2, 1.0, 1.0
 KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(RADIUS + 1)]
 _WORD = re.compile(r"[a-z0-9]+")
@@ -73,12 +74,13 @@ class _Blocks(HTMLParser):
             self.open.pop()  # a head that nobody closed
         silent, room = self._state()
         quiet = tag in SILENT or tag == "header" and not room
+        is_room = tag in ROOMS or bool(given) and (given.get("role") in ("main", "article") or given.get("itemprop") == "articleBody")
         if given and not quiet:
             quiet = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in (given.get("style") or "").replace(" ", "").lower()
-            quiet = quiet or bool(marks & (TALK if tag in ROOMS else ASIDE)) and tag not in ("html", "body")
+            quiet = quiet or tag not in ("html", "body") and (bool(marks & TALK) if is_room else bool(marks & ASIDE) or any(m.startswith(BEGIN) for m in marks))
         if quiet and not silent and tag in INLINE:
             self.flush()
-        if tag in ROOMS and not silent and not quiet:
+        if is_room and not silent and not quiet:
             self.rooms += not room
             room = room or self.rooms
         self.open.append((tag, silent or quiet, room))

@@ -23,6 +23,7 @@ def test_pages_without_article_and_broken_pages():
     assert extract.main_text("<article><p>whole</p><p class='x") == "whole"
     assert [extract.main_text(x) for x in (None, "", "<p", "<nav>menu</nav>")] == [""] * 4
     assert extract.main_text("plain words only") == "plain words only"
+    assert extract.main_text("<body><p>Skip to it</p><div role='main'><p>body</p><ol class='commentlist'><li>nice</li></ol></div><p>late</p></body>") == "body"
 
 
 def test_smoothing_is_a_weighted_mean():
