@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def lowered(col: Column) -> Column:
@@ -48,15 +49,15 @@ def bounded_sample(rows: DataFrame, key: str, label: str, buckets: int) -> DataF
 
 def slices(batch: pa.RecordBatch, column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Runs of rows whose texts hold about ``limit`` bytes together; a longer text is a run of its own."""
-    values, start, total = column.cast(pa.binary()).to_pylist(), 0, 0
-    for i, value in enumerate(values):
-        size = len(value) if value else 0
+    column, start, total = column.cast(pa.binary()), 0, 0
+    for i, size in enumerate(pc.binary_length(column).to_pylist()):
+        size = size or 0
         if i > start and total + size > limit:
-            yield batch.slice(start, i - start), values[start:i]
+            yield batch.slice(start, i - start), column.slice(start, i - start).to_pylist()
             start, total = i, 0
         total += size
-    if start < len(values):
-        yield batch.slice(start), values[start:]
+    if start < len(column):
+        yield batch.slice(start), column.slice(start).to_pylist()
 
 
 def map_texts(docs: DataFrame, text: str, keep: list[str], fields: list[T.StructField], make: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]]) -> DataFrame:

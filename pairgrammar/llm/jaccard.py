@@ -17,7 +17,7 @@ GROUP, GROUP_TOKENS = 512, 1 << 19  # documents and tokens a group, about
 ASKING = 512  # queries that meet a group in one task, about
 SLOTS = 1 << 20  # key slots that sift the rows whose sets are needed
 COMMON = 1 << 18  # tokens that are known as common, at most
-HELD = 6_000_000  # distinct tokens that a task counts before it passes the repeated ones on
+HELD = 3_000_000  # distinct tokens that a task counts before it passes the repeated ones on
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
@@ -25,7 +25,7 @@ class _Hashes(dict):
     """Hash of each word, kept while there are not too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

@@ -152,7 +152,7 @@ class _Places(dict):
 class _Words:
     """What a task knows about the words it has met: class, learned count (-1: to be joined), hash."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, classes: Classes, h: np.ndarray | None = None, learned: np.ndarray | None = None) -> None:
         self.classes, self.h, self.learned = classes, h, learned
