@@ -144,3 +144,21 @@ def test_repeated_stream_batch_counts_once(spark, tmp_path):
         jobs.stream_candidates(stream, store, str(tmp_path / checkpoint), status).awaitTermination()
     assert jobs.read_store(spark, store, jobs.CANDIDATE_STATUS).count() == 2
     assert spark.read.parquet(store).count() == 2
+
+
+def test_replicates_do_not_depend_on_ranges(spark, monkeypatch):
+    """Metrics per replicate are the same in one range and in many, with tied scores and two groups."""
+    from pairgrammar.operators import resampling
+    rnd = random.Random(21)
+    rows = [("g" + str(i % 2), f"s{i}", float(rnd.random() < 0.4), rnd.randrange(12) / 12, rnd.randrange(12) / 12) for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, seq_id string, label double, m double, b double")
+    for kind in ("poisson", "swap"):
+        found = []
+        for cells in (10**9, 600):
+            monkeypatch.setattr(resampling, "TASK_CELLS", cells)
+            out = resampling.replicate_metrics(df, ["g"], kind, 9, 5, "seq_id").collect()
+            found.append(sorted((r["g"], r["replicate"], r["metric_name"], round(r["model_metric"], 9), round(r["baseline_metric"], 9)) for r in out))
+        assert found[0] == found[1] and len(found[0]) == 36
+    monkeypatch.setattr(resampling, "TASK_CELLS", 200)
+    values = df.select(F.lit(1.0).alias("_v"), resampling.row_key("seq_id").alias("_key"))
+    assert {r["subset_sum"] for r in resampling.subset_sums(values, 31, 120, 9, 5).collect()} == {31.0}
