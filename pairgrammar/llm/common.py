@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,12 +60,23 @@ def slices(batch: pa.RecordBatch, column: pa.Array, limit: int = SLICE_BYTES) ->
         yield batch.slice(start), column.slice(start).to_pylist()
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let at most ``BATCH_ROWS`` rows with whole texts cross to Python at once: what both sides hold goes with it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_texts(docs: DataFrame, text: str, keep: list[str], fields: list[T.StructField], make: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]]) -> DataFrame:
     """Add columns computed from whole texts, in Arrow batches, without a shuffle.
 
     ``make`` runs once per task and gives the function from texts (UTF-8, or None) to one array per
     field. The result holds the kept columns in the struct ``row``, so no name can clash with a field.
     """
+    small_batches(docs.sparkSession)
     inside = text in keep
     given = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] + ([] if inside else [F.col(f"`{text}`").cast("string").alias("text")])
     frame = docs.select(*given)
@@ -80,5 +91,6 @@ def map_texts(docs: DataFrame, text: str, keep: list[str], fields: list[T.Struct
             work = work or make()
             for part, values in slices(batch, column):
                 yield pa.RecordBatch.from_arrays([part.column(0), *work(values)], names)
+            pa.default_memory_pool().release_unused()
 
     return frame.mapInArrow(run, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairgrammar.llm.common import map_texts, slices, tokens
+from pairgrammar.llm.common import map_texts, slices, small_batches, tokens
 from pairgrammar.llm.components import components
 from pairgrammar.session import scratch_path
 
@@ -104,6 +104,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     that repeat a key take part each. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def stored(df: DataFrame, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairgrammar.llm.common import map_texts, remainder_is_one, slices, tokens
+from pairgrammar.llm.common import map_texts, remainder_is_one, slices, small_batches, tokens
 from pairgrammar.session import scratch_path
 
 DEPTH = 3  # classes of the longest context
@@ -310,6 +310,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     repeated rows count as often as they come; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).alias("key"), remainder_is_one(key, 5).alias("held_out"), F.col(text).alias("text"))
     path = scratch_path(spark, "words")
     count_words(rows).write.parquet(path)
