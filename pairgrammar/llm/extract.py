@@ -16,7 +16,7 @@ from pairgrammar.llm.common import map_texts
 # fixed values: element names
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-SILENT = {"script", "style", "head", "title", "noscript", "template", "iframe", "object", "svg", "canvas", "audio", "video", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "fieldset", "dialog", "menu"}
+SILENT = {"script", "style", "head", "title", "noscript", "template", "iframe", "object", "svg", "canvas", "audio", "video", "nav", "footer", "aside", "button", "select", "option", "textarea", "fieldset", "dialog", "menu"}
 ROOMS = {"article", "main"}
 BODY = {"body", "article", "main", "div", "p", "section", "header", "nav"}
 # fixed values: words of class, id and role that mark what is not the article
@@ -27,6 +27,7 @@ ASIDE = {
     "comment", "comments", "reply", "replies", "disqus", "respond", "share", "sharing", "social", "related", "recommended", "widget", "complementary", "contentinfo",
 }
 TALK = {"comment", "comments", "reply", "replies", "disqus", "respond"}
+OTHERS = TALK | {"related", "recommended"}  # what holds articles of other people or pages
 BEGIN = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "pagination", "popup", "promo", "sidebar", "sponsor", "subscri")
 RADIUS, SIGMA, SHARE = 2, 1.0, 1.0
 KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(RADIUS + 1)]
@@ -35,17 +36,23 @@ _TAG = re.compile(r"<[A-Za-z/!?]")
 
 
 class _Blocks(HTMLParser):
-    """Blocks of text in page order, each with its tag count, its room and whether it may be content."""
+    """Blocks of text in page order, each with its tag count, its room, whether it may be content, and its inmost doubtful element.
+
+    An element that only its name or being a form speaks against is doubtful: whether it is silent
+    depends on what it holds, so the whole page decides (``muted``).
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, int, bool]] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, silent from here, room
+        self.blocks: list[tuple[str, int, int, bool, int]] = []
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, silent from here, room, inmost doubtful element
         self.words: list[str] = []
-        self.tags = self.rooms = 0
+        self.tags = 0
+        self.rooms = [0]  # inmost doubtful element around each room; room 0 is none
+        self.doubt: list[list] = [[0, False, False]]  # around it, of others, holds a room; element 0 is none
 
-    def _state(self) -> tuple[bool, int]:
-        return self.open[-1][1:] if self.open else (False, 0)
+    def _state(self) -> tuple[bool, int, int]:
+        return self.open[-1][1:] if self.open else (False, 0, 0)
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers are not used
@@ -55,8 +62,8 @@ class _Blocks(HTMLParser):
             return
         text = " ".join("".join(self.words).split())
         if text:
-            silent, room = self._state()
-            self.blocks.append((text, self.tags, room, not silent))
+            silent, room, doubt = self._state()
+            self.blocks.append((text, self.tags, room, not silent, doubt))
             self.tags = 0
         self.words = []
 
@@ -72,18 +79,30 @@ class _Blocks(HTMLParser):
         marks = set(_WORD.findall(" ".join(given.get(k) or "" for k in ("class", "id", "role")).lower())) if given else set()
         while self.open and tag in BODY and self.open[-1][0] in ("head", "title"):
             self.open.pop()  # a head that nobody closed
-        silent, room = self._state()
+        silent, room, doubt = self._state()
         quiet = tag in SILENT or tag == "header" and not room
         is_room = tag in ROOMS or bool(given) and (given.get("role") in ("main", "article") or given.get("itemprop") == "articleBody")
+        named = tag == "form"
         if given and not quiet:
             quiet = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in (given.get("style") or "").replace(" ", "").lower()
-            quiet = quiet or tag not in ("html", "body") and (bool(marks & TALK) if is_room else bool(marks & ASIDE) or any(m.startswith(BEGIN) for m in marks))
-        if quiet and not silent and tag in INLINE:
+            if room:
+                marks.discard("header")  # an article's own head
+            named = named or tag not in ("html", "body") and (bool(marks & TALK) if is_room else bool(marks & ASIDE) or any(m.startswith(BEGIN) for m in marks))
+        if (quiet or named) and not silent and tag in INLINE:
             self.flush()
+        if named and not quiet and not silent:
+            self.doubt.append([doubt, is_room or bool(marks & OTHERS) or any(m.startswith("comment") for m in marks), is_room])
+            doubt = len(self.doubt) - 1
         if is_room and not silent and not quiet:
-            self.rooms += not room
-            room = room or self.rooms
-        self.open.append((tag, silent or quiet, room))
+            if not named:
+                at = doubt
+                while at and not self.doubt[at][2]:
+                    self.doubt[at][2] = True
+                    at = self.doubt[at][0]
+            if not room or named or doubt != self.rooms[room]:
+                self.rooms.append(doubt)
+                room = len(self.rooms) - 1
+        self.open.append((tag, silent or quiet, room, doubt))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -92,8 +111,8 @@ class _Blocks(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        before = self.open[at - 1][1] if at else False
-        if tag not in INLINE or at is not None and self.open[at][1] and not before:
+        before = self.open[at - 1] if at else ("", False, 0, 0)
+        if tag not in INLINE or at is not None and (self.open[at][1] and not before[1] or self.open[at][3] != before[3]):
             self.flush()
         self.tags += 1
         if at is not None:
@@ -103,6 +122,38 @@ class _Blocks(HTMLParser):
         self.words.append(data)
 
 
+def muted(parser: _Blocks, dense: list[int]) -> list[bool]:
+    """Whether each doubtful element is silent, by itself or by one around it.
+
+    It is not, if it holds most of the dense text, or an article or main (where no room is free of
+    doubt, one with at least half of the dense text that would then be heard). Comments, related pages
+    and articles named like an aside count only where nothing dense would be heard otherwise.
+    """
+    doubt, blocks = parser.doubt, parser.blocks
+    chars = [0] * len(doubt)
+    for i in dense:
+        chars[blocks[i][4]] += len(blocks[i][0])
+    for e in range(len(doubt) - 1, 0, -1):
+        chars[doubt[e][0]] += chars[e]
+    most = [2 * c > chars[0] for c in chars]
+
+    def spread(free: list[bool]) -> list[bool]:
+        out = [False] * len(doubt)
+        for e in range(1, len(doubt)):
+            out[e] = out[doubt[e][0]] or not free[e]
+        return out
+
+    plain = spread([m and not others for m, (_, others, _) in zip(most, doubt)])
+    out = spread([(m or room) and not others for m, (_, others, room) in zip(most, doubt)])
+    if all(plain[e] for e in parser.rooms[1:]):
+        heard = [(blocks[i][2], len(blocks[i][0])) for i in dense if not out[blocks[i][4]]]
+        if 2 * sum(n for room, n in heard if room) < sum(n for _, n in heard):
+            out = plain
+    if all(out[blocks[i][4]] for i in dense):
+        out = spread([m or room for m, (_, _, room) in zip(most, doubt)])
+    return out
+
+
 def smoothed(values: list[float]) -> list[float]:
     """Gaussian mean of each value and its neighbours."""
     given = np.array(values, float)
@@ -118,7 +169,7 @@ def main_text(html: str | None) -> str:
     Blocks whose smoothed text-to-tag ratio reaches the ratios' deviation are dense. Where the page
     has articles or mains, the rooms with a dense block are its content (all rooms, if none has one);
     elsewhere it is the run from the first dense block to the last. Inside, every block stays but
-    those of silent elements.
+    those of silent elements (``muted`` judges those that only their name speaks against).
     """
     if not html:
         return ""
@@ -130,16 +181,20 @@ def main_text(html: str | None) -> str:
     parser.close()
     parser.flush()
     blocks = parser.blocks
-    ratio = smoothed([len(text) / max(1, tags) for text, tags, _, _ in blocks])
+    ratio = smoothed([len(text) / max(1, tags) for text, tags, *_ in blocks])
     mean = sum(ratio) / max(1, len(ratio))
     limit = SHARE * math.sqrt(sum((r - mean) ** 2 for r in ratio) / max(1, len(ratio)))
-    dense = [i for i, (_, _, _, may) in enumerate(blocks) if may and ratio[i] >= limit]
-    if parser.rooms:
-        rooms = {blocks[i][2] for i in dense} - {0} or set(range(1, parser.rooms + 1))
-        return "\n".join(text for text, _, room, may in blocks if may and room in rooms)
+    dense = [i for i, b in enumerate(blocks) if b[3] and ratio[i] >= limit]
+    quiet = muted(parser, dense)
+    dense = [i for i in dense if not quiet[blocks[i][4]]]
+    heard = [may and not quiet[doubt] for _, _, _, may, doubt in blocks]
+    free = {r for r in range(1, len(parser.rooms)) if not quiet[parser.rooms[r]]}
+    if free:
+        rooms = {blocks[i][2] for i in dense} - {0} or free
+        return "\n".join(b[0] for b, may in zip(blocks, heard) if may and b[2] in rooms)
     if not dense:
-        return "\n".join(text for text, _, _, may in blocks if may)
-    return "\n".join(text for text, _, _, may in blocks[dense[0]:dense[-1] + 1] if may)
+        return "\n".join(b[0] for b, may in zip(blocks, heard) if may)
+    return "\n".join(b[0] for b, may in zip(blocks[dense[0]:dense[-1] + 1], heard[dense[0]:]) if may)
 
 
 def extract(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:

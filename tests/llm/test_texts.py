@@ -98,3 +98,21 @@ def test_counts_of_odd_rows(odd):
     for r in wordpiece.count_pieces(odd, ["doc_id", "text"]).collect():
         words = (r["row"]["text"] or "").encode().lower().split()
         assert (r["n_words"], r["n_tokens"], r["n_unknown"]) == (len(words), sum(longest_match(b" " + w, pieces, most) for w in words), 0)
+
+
+def test_names_do_not_mute_what_holds_the_article():
+    long = "word " * 60
+    body = f"<h1>Head</h1><p>{long}</p><p>end</p>"
+    want = f"Head\n{long.strip()}\nend"
+    for name in ("layout has-sidebar", "with-sidebar", "no-sidebar", "search-results", "comments-open page"):
+        assert extract.main_text(f"<body><div class='{name}'><article>{body}</article><div class='sidebar'>side</div></div></body>") == want
+        assert extract.main_text(f"<body><main><div class='{name}'><article>{body}</article></div></main></body>") == want
+    assert extract.main_text(f"<body><form id='aspnet'><div>{body}</div></form></body>") == want
+    assert extract.main_text(f"<body><form><article>{body}</article></form></body>") == want
+    assert extract.main_text(f"<article class='post no-comments'>{body}</article>") == want
+    assert extract.main_text(f"<article><header class='entry-header'><h1>Head</h1></header><p>{long}</p><p>end</p></article>") == want
+    # names still mute what is beside the article
+    rest = "<div class='related-posts'><article><p>Another page's teaser text.</p></article></div><div id='comments'><article><p>" + "nice " * 200 + "</p></article></div>"
+    assert extract.main_text(f"<body><article>{body}</article>{rest}</body>") == want
+    assert extract.main_text(f"<body><div>{body}</div>{rest}</body>") == want
+    assert extract.main_text(f"<body><div>{body}</div><div class='sidebar'><article><p>teaser</p></article></div></body>") == want
