@@ -85,8 +85,8 @@ def top_rows(df: DataFrame, order: Order, n: int) -> DataFrame:
     return df.orderBy(*order_columns(order)).limit(n)
 
 
-def sample_regions(regions: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` regions by element priority, then hash."""
+def sample_regions(regions: DataFrame, k: int | None) -> DataFrame:
+    """Best ``k`` regions by element priority, then hash; all, if ``k`` is None."""
     priority = F.lit(schema.OTHER_PRIORITY)
     for name, value in schema.ELEMENT_PRIORITY.items():
         priority = F.when(F.col("element_type") == name, value).otherwise(priority)
@@ -97,7 +97,7 @@ def sample_regions(regions: DataFrame, k: int) -> DataFrame:
         priority.alias("_priority"),
         hash_rank("screen_id", "encode_id", "chromosome", "region_start", "region_end").alias("_hash"),
     )
-    return top_rows(wide, ["_priority", "_hash"], k).drop("_priority", "_hash")
+    return (wide if k is None else top_rows(wide, ["_priority", "_hash"], k)).drop("_priority", "_hash")
 
 
 def diverse_pick(df: DataFrame, by: str, order: Order, n: int) -> DataFrame:

@@ -44,7 +44,7 @@ def hydrate_states(states: DataFrame, chunks: DataFrame, chunk_size: int, window
     return out.withColumn("gc_content", gc_content("sequence"))
 
 
-def rank_states(regions: DataFrame, fragments: DataFrame, max_regions: int, keep: int, bin_size: int = N.BIN) -> DataFrame:
+def rank_states(regions: DataFrame, fragments: DataFrame, max_regions: int | None, keep: int, bin_size: int = N.BIN) -> DataFrame:
     """Sampled regions with their fragment support, best supported first."""
     sampled = W.sample_regions(regions, max_regions)
     per = N.count_overlaps(sampled, fragments, ["state_label"], bin_size, extra=["file_id"])
@@ -130,7 +130,7 @@ def candidate_rows(states: DataFrame, hits: DataFrame, edges: DataFrame, consens
 
 
 def build_state_layer(regions: DataFrame, fragments: DataFrame, chunks: DataFrame, positions: DataFrame, edges: DataFrame, chunk_size: int,
-                      max_regions: int = 4096, max_states: int = 256, multiplier: int = 4, max_pairs: int = 1, max_monomers: int = 1, impute: bool = True, bin_size: int = N.BIN) -> dict[str, DataFrame]:
+                      max_regions: int | None = 4096, max_states: int = 256, multiplier: int = 4, max_pairs: int = 1, max_monomers: int = 1, impute: bool = True, bin_size: int = N.BIN) -> dict[str, DataFrame]:
     """Candidates, state features and audit from regions, fragments, genome chunks and motifs."""
     ranked_states = rank_states(regions, fragments, max_regions, max(max_states * max(multiplier, 1), max_states), bin_size)
     hydrated = hydrate_states(ranked_states, chunks, chunk_size)

@@ -105,14 +105,22 @@ def usage_labels(spark, sf):
 
 
 # ---- L5, L6, L12, I11, I13
-def _layer(spark, sf):
-    """Regions on document 'chromosomes': every 300 bases; fragments from the line items on all of them, over their whole length."""
-    seqs = views.sequences(spark, sf).filter(F.length("bases") >= 300)
+def layer_regions(seqs):
+    """A region in every 300 bases of a document, bases 50 to 200 of them; in the shorter rest what there is of these, or all of a rest of at most 50."""
     chrom = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
-    regions = seqs.select(chrom.alias("chromosome"), F.explode(F.sequence(F.lit(0), F.floor(F.length("bases") / 300).cast("int") - 1)).alias("i")).select(
-        "chromosome", (F.col("i") * 300 + 50).cast("long").alias("region_start"), (F.col("i") * 300 + 200).cast("long").alias("region_end"),
+    steps = seqs.filter(F.length("bases") > 0).select(chrom.alias("chromosome"), F.length("bases").alias("size"), F.explode(F.sequence(F.lit(0), F.floor((F.length("bases") - 1) / 300).cast("int"))).alias("i"))
+    rest = F.col("size") - F.col("i") * 300
+    return steps.select(
+        "chromosome", (F.col("i") * 300 + F.when(rest > 50, 50).otherwise(0)).cast("long").alias("region_start"), (F.col("i") * 300 + F.least(F.lit(200), rest)).cast("long").alias("region_end"),
         F.concat_ws("_", F.lit("S"), "chromosome", F.col("i").cast("string")).alias("screen_id"), F.concat_ws("_", F.lit("E"), "chromosome", F.col("i").cast("string")).alias("encode_id"),
-        F.element_at(F.array(*[F.lit(e) for e in views.ELEMENTS]), (F.col("i") % 7 + 1).cast("int")).alias("element_type"))
+        F.element_at(F.array(*[F.lit(e) for e in views.ELEMENTS]), (F.col("i") % 7 + 1).cast("int")).alias("element_type"), (rest >= 300).alias("full"))
+
+
+def _layer(spark, sf):
+    """Regions on document 'chromosomes', over all their bases; fragments from the line items on all of them, over their whole length."""
+    seqs = views.sequences(spark, sf).filter(F.length("bases") > 0)
+    chrom = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    regions = layer_regions(seqs)
     sizes = seqs.select(chrom.alias("chromosome"), F.length("bases").cast("long").alias("size"))
     docs = views.table(spark, sf, "documents").agg(F.count("*")).scalar()
     li = views.table(spark, sf, "lineitem").select(
@@ -124,14 +132,21 @@ def _layer(spark, sf):
 
 
 def state_layer(spark, sf):
-    return S.build_state_layer(*_layer(spark, sf), chunk_size=500, max_regions=100_000, max_states=400, multiplier=2, bin_size=500)
+    regions, *rest = _layer(spark, sf)
+    return S.build_state_layer(regions.drop("full"), *rest, chunk_size=500, max_regions=None, max_states=400, multiplier=2, bin_size=500)
 
 
 @query("ranked_states", """WITH r AS (SELECT 'd'||doc_id AS c, unnest(range(0, length(bases)//300)) AS i FROM sequences WHERE length(bases)>=300), f AS (SELECT c, x%n AS s, x%n+q AS e, file FROM (SELECT 'd'||(l_orderkey%(SELECT count(*) FROM documents)) AS c, l_partkey*7919+l_linenumber*104729 AS x, CAST(l_quantity AS BIGINT) AS q, l_linenumber%4 AS file FROM lineitem) JOIN (SELECT 'd'||doc_id AS c, length(bases) AS n FROM sequences WHERE length(bases)>=300) USING (c)),
   p AS (SELECT r.c, i, file, count(*) AS n FROM r JOIN f ON r.c=f.c AND i*300+50<e AND i*300+200>s AND e>s GROUP BY 1,2,3) SELECT c||':'||(i*300+50)||'-'||(i*300+200) AS state_label, sum(n)::BIGINT AS total_fragment_count, count(*) AS supporting_files FROM p GROUP BY c, i ORDER BY 2 DESC, 3 DESC, c, i LIMIT 800""", ("sequences",))
 def ranked_states(spark, sf):
+    regions, fragments, *_ = _layer(spark, sf)  # the SQL has full steps only; ranked_states_whole has the rests too
+    return S.rank_states(regions.filter("full"), fragments, None, 800, 500).select("state_label", "total_fragment_count", "supporting_files")
+
+
+@query("ranked_states_whole")
+def ranked_states_whole(spark, sf):
     regions, fragments, *_ = _layer(spark, sf)
-    return S.rank_states(regions, fragments, 1_000_000, 800, 500).select("state_label", "total_fragment_count", "supporting_files")
+    return S.rank_states(regions, fragments, None, 800, 500).select("state_label", "total_fragment_count", "supporting_files")
 
 
 @query("state_layer_audit")

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairgrammar.operators import examples, intervals, joins, motifs, ordered, stats
+from pairgrammar.operators import examples, intervals, joins, motifs, ordered, selection, stats
+from pairgrammar.queries import plans
 from pairgrammar.streaming import jobs
 
 
@@ -162,3 +163,12 @@ def test_replicates_do_not_depend_on_ranges(spark, monkeypatch):
     monkeypatch.setattr(resampling, "TASK_CELLS", 200)
     values = df.select(F.lit(1.0).alias("_v"), resampling.row_key("seq_id").alias("_key"))
     assert {r["subset_sum"] for r in resampling.subset_sums(values, 31, 120, 9, 5).collect()} == {31.0}
+
+
+def test_layer_regions_lie_in_every_step_of_every_document(spark):
+    sizes = {0: 0, 1: 1, 2: 50, 3: 51, 4: 299, 5: 300, 6: 301, 7: 650, 8: 900}
+    seqs = spark.createDataFrame([(d, "A" * n) for d, n in sizes.items()], "doc_id long, bases string")
+    rows = plans.layer_regions(seqs).collect()
+    want = {(f"d{d}", i + (50 if n - i > 50 else 0), i + min(200, n - i)) for d, n in sizes.items() for i in range(0, n, 300)}
+    assert len(rows) == len(want) and {(r["chromosome"], r["region_start"], r["region_end"]) for r in rows} == want
+    assert selection.sample_regions(plans.layer_regions(seqs), None).count() == len(want)
