@@ -62,7 +62,7 @@ def top_k_recall(spark, sf):
     return rounded(M.top_k_recall(views.line_scores(spark, sf), "label", "score", 500))
 
 
-_B = 1000  # replicates; the published 5000 and 10000 are the operators' defaults
+_B = 1000  # replicates of the queries with SQL; the queries named *_full run the operators' defaults, the published 5000 and 10000
 
 
 def sql_uniform(seed: int, key: str, rows: str, replicates: int = _B) -> str:
@@ -104,6 +104,21 @@ def paired_permutation(spark, sf):
     return rounded(X.paired_permutation(views.predictions(spark, sf), "full_score", "availability_only_score", "auprc", _B, 11))
 
 
+@query("paired_bootstrap_full")
+def paired_bootstrap_full(spark, sf):
+    return rounded(X.paired_bootstrap(views.predictions(spark, sf), "full_score", "availability_only_score", "auprc"))
+
+
+@query("paired_bootstrap_auroc_full")
+def paired_bootstrap_auroc_full(spark, sf):
+    return rounded(X.paired_bootstrap(views.predictions(spark, sf), "full_score", "availability_only_score", "auroc"))
+
+
+@query("paired_permutation_full")
+def paired_permutation_full(spark, sf):
+    return rounded(X.paired_permutation(views.predictions(spark, sf), "full_score", "availability_only_score", "auprc"))
+
+
 @query("bootstrap_ci", f"""WITH bt AS MATERIALIZED (SELECT replicate, {SQL_POISSON} AS w, label, full_score FROM {sql_uniform(11, "seq_id", "predictions")}), m AS {sql_rank_metrics('bt', 'label', 'full_score', 'replicate', 'w')}
   SELECT count(*) AS used, round(quantile_cont(auprc,0.025),6) AS ci_low, round(quantile_cont(auprc,0.975),6) AS ci_high FROM m WHERE auprc IS NOT NULL""", PREDS)
 def bootstrap_ci(spark, sf):
@@ -217,6 +232,16 @@ def mean_difference_permutation(spark, sf):
     return rounded(X.mean_diff_permutation(_states(spark, sf), "g", "v", "pELS", "dELS", _B, 11))
 
 
+@query("mean_difference_bootstrap_full")
+def mean_difference_bootstrap_full(spark, sf):
+    return rounded(X.mean_diff_bootstrap(_states(spark, sf), "g", "v", "pELS", "dELS"))
+
+
+@query("mean_difference_permutation_full")
+def mean_difference_permutation_full(spark, sf):
+    return rounded(X.mean_diff_permutation(_states(spark, sf), "g", "v", "pELS", "dELS"))
+
+
 _JK = """jk AS (SELECT c.chromosome AS left_out, count(*) FILTER (g='pELS') AS positive_n, count(*) FILTER (g='dELS') AS negative_n, avg(v) FILTER (g='pELS') AS positive_mean, avg(v) FILTER (g='dELS') AS negative_mean FROM (SELECT DISTINCT chromosome FROM st) c JOIN st ON st.chromosome<>c.chromosome GROUP BY 1)"""
 
 
@@ -246,6 +271,12 @@ def state_blocked_effect(spark, sf):
     return rounded(X.state_blocked_effect(p, "pELS", "dELS", "full_score", _B, _B, 11))
 
 
+@query("state_blocked_effect_full")
+def state_blocked_effect_full(spark, sf):
+    p = views.predictions(spark, sf).withColumn("element_type", F.when(F.col("element_type").isin("pELS", "dELS", "CA-TF"), "pELS").otherwise("dELS"))
+    return rounded(X.state_blocked_effect(p, "pELS", "dELS", "full_score"))
+
+
 @query("control_report", f"""
   WITH a AS (SELECT label, full_score, geometry_residual, row_number() OVER (ORDER BY sha256('7a|'||seq_id)) AS k FROM predictions), b AS (SELECT full_score AS sh, row_number() OVER (ORDER BY sha256('7b|'||seq_id)) AS k FROM predictions),
   x AS (SELECT label, unnest(['score','residual','shuffled']) AS method, unnest([full_score, geometry_residual, sh]) AS score FROM a JOIN b USING (k))

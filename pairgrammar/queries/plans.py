@@ -342,6 +342,11 @@ def validation_suite(spark, sf):
     return rounded(out["state_blocked"])
 
 
+@query("validation_suite_full")
+def validation_suite_full(spark, sf):
+    return rounded(R.validation_suite(*_scored(spark, sf))["state_blocked"])
+
+
 # ---- L13, L14, L15, L19
 _MS = """ms AS (SELECT split_name, phase, seq_id, label, round(avg(full_score),9) AS f, round(avg(availability_only_score),9) AS a, round(avg(additive_null_score),9) AS n FROM seed_scores GROUP BY 1,2,3,4 HAVING count(DISTINCT seed)=5)"""
 
@@ -376,6 +381,11 @@ def significance_summary(spark, sf):
     return rounded(R.significance_tests(R.method_scores(views.seed_scores(spark, sf), schema.SEEDS), n_bootstrap=200, n_permutations=200))
 
 
+@query("significance_summary_full")
+def significance_summary_full(spark, sf):
+    return rounded(R.significance_tests(R.method_scores(views.seed_scores(spark, sf), schema.SEEDS)))
+
+
 @query("significance_with_baselines", f"WITH {_MS}, b AS (SELECT split_name, seq_id, round(label*0.3::DOUBLE+length(seq_id)/10.0::DOUBLE,4) AS s FROM ms WHERE length(seq_id)<>5), k AS (SELECT ms.* FROM ms WHERE (split_name, seq_id) IN (SELECT (split_name, seq_id) FROM b)), lg AS (SELECT split_name, phase, label, 'model' AS method, f AS score FROM k UNION ALL SELECT split_name, phase, label, 'availability_only', a FROM k UNION ALL SELECT split_name, phase, label, 'additive_null', n FROM k UNION ALL SELECT k.split_name, phase, label, 'GET', s FROM k JOIN b USING (split_name, seq_id)) SELECT split_name, phase, method, count(*) AS n, round(sum(score),5) AS total FROM lg GROUP BY 1,2,3", ("seed_scores",))
 def significance_with_baselines(spark, sf):
     s = views.seed_scores(spark, sf)

@@ -1,13 +1,17 @@
 """Operators against brute force on small random data."""
 
+import hashlib
+import inspect
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairgrammar.operators import examples, intervals, joins, motifs, ordered, selection, stats
+from pairgrammar.operators import examples, intervals, joins, motifs, ordered, resampling, selection, stats
 from pairgrammar.queries import plans
+from pairgrammar.queries.catalog import QUERIES
 from pairgrammar.streaming import jobs
 
 
@@ -172,3 +176,38 @@ def test_layer_regions_lie_in_every_step_of_every_document(spark):
     want = {(f"d{d}", i + (50 if n - i > 50 else 0), i + min(200, n - i)) for d, n in sizes.items() for i in range(0, n, 300)}
     assert len(rows) == len(want) and {(r["chromosome"], r["region_start"], r["region_end"]) for r in rows} == want
     assert selection.sample_regions(plans.layer_regions(seqs), None).count() == len(want)
+
+
+def test_full_resampling_runs_the_published_counts(spark, monkeypatch):
+    """Defaults against brute force on a small fixture, and what the registered queries ask for."""
+    rnd = random.Random(4)
+    rows = [(f"s{i}", ("pELS", "dELS")[i % 2], round(rnd.random() + 0.15 * (i % 2 == 0), 3)) for i in range(24)]
+    p = resampling.PRIME
+    part = lambda text: int(hashlib.sha256(text.encode()).hexdigest()[:8], 16)
+    diffs = []
+    for k in range(1, 10001):
+        a, b, sums = 1 + part(f"11|{k}|a") % (p - 1), part(f"11|{k}|b") % p, {"pELS": [0, 0], "dELS": [0, 0]}
+        for key, g, v in rows:
+            x = (part(key) % p * a + b) % p
+            w = sum((x * x % p * resampling.STEP + x) % p >= t for t in resampling.POISSON)
+            sums[g][0] += w * v
+            sums[g][1] += w
+        if sums["pELS"][1] and sums["dELS"][1]:
+            diffs.append(sums["pELS"][0] / sums["pELS"][1] - sums["dELS"][0] / sums["dELS"][1])
+    got = stats.mean_diff_bootstrap(spark.createDataFrame(rows, "state_label string, g string, v double"), "g", "v", "pELS", "dELS").first()
+    assert got["iterations"] == len(diffs) and tuple(got)[1:] == pytest.approx(tuple(np.quantile(diffs, [0.025, 0.975])))
+    asked = []
+    for name in ("replicate_metrics", "weighted_means", "subset_sums"):
+        place = list(inspect.signature(getattr(resampling, name)).parameters).index("replicates")
+        monkeypatch.setattr(stats, name, lambda *args, f=getattr(stats, name), place=place, **kw: (asked.append(args[place]), f(*args, **kw))[1])
+    for name, least in FULL.items():
+        asked.clear()
+        out = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert set(asked) == {least}, name
+        if name == "significance_summary_full":
+            p_values = [r["permutation_p_value"] for r in out.collect()]
+            assert all(abs(v * 5001 - round(v * 5001)) < 0.01 for v in p_values)
+
+
+FULL = {"significance_summary_full": 5000, "paired_bootstrap_full": 5000, "paired_bootstrap_auroc_full": 5000, "paired_permutation_full": 5000,
+        "mean_difference_bootstrap_full": 10000, "mean_difference_permutation_full": 10000, "state_blocked_effect_full": 10000, "validation_suite_full": 10000}
