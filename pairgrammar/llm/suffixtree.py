@@ -1,4 +1,4 @@
-"""Language-model scores from a probabilistic suffix tree over word classes."""
+"""Language-model scores from a probabilistic suffix tree over words, and over word classes below it."""
 
 from __future__ import annotations
 
@@ -20,6 +20,8 @@ DEPTH = 3  # classes of the longest context
 CLASS_SHARE = 2e-3  # a word or an ending with so large a share of all tokens is a class: at most 4 / CLASS_SHARE
 CONTEXT_SHARE = 1e-4  # a context must precede so large a share of all tokens: at most 1 / CONTEXT_SHARE for a length
 GAIN = 12.0  # nats that a context must save over its suffix on the training text
+LEAST = 30  # times that a context of words must come, at any corpus size
+SLOT_BITS = 27  # a filter of contexts has so many slots: beyond, it lets more through, but loses none
 FREQUENT = 1 << 20  # words whose counts travel to every task, at most
 BITS = 12
 START, END, OTHER = 1, 2, 3  # before a text, after it, a word of no class of its own
@@ -275,6 +277,138 @@ def count_pairs(rows: DataFrame, classes: Classes) -> DataFrame:
     return rows.select("text").mapInArrow(run, "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
+
+
+def word_contexts(code: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For 1 to ``DEPTH`` words: hash of the words before each place, and where there are so many."""
+    out, h, code = [], np.zeros(len(code), np.uint64), code.view(np.uint64)
+    for d in range(1, DEPTH + 1):
+        older = np.zeros_like(code)
+        older[d:] = code[:-d]
+        h = _mixed(h + older * np.uint64(0x9E3779B97F4A7C15) + np.uint64(d))
+        out.append((h.view(np.int64), place > d))
+    return out
+
+
+def make_filter(contexts_: DataFrame) -> np.ndarray:
+    """Bitmap of the slots of column ``ctx``, of fixed size."""
+    slot = F.shiftrightunsigned("ctx", 64 - SLOT_BITS)
+    bits = contexts_.groupBy(F.shiftright(slot, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(ctx, {64 - SLOT_BITS}) % 64 as int))")).alias("v")).toArrow()
+    out = np.zeros(1 << (SLOT_BITS - 6), np.uint64)
+    out[bits["i"].to_numpy()] = bits["v"].to_numpy().view(np.uint64)
+    return out
+
+
+def passes(bits: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    slot = ctx.view(np.uint64) >> np.uint64(64 - SLOT_BITS)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def word_codes(at: list[np.ndarray], known: _Words) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts in a row, with 0 before each and ``END`` behind it, and each one's place in its text."""
+    code, place, _ = sequence([known.code[a] for a in at])
+    code[place == 0] = 0
+    return code, place
+
+
+def count_followers(rows: DataFrame, depth: int, bits: np.ndarray) -> DataFrame:
+    """(ctx, sfx, symbol, n) for contexts of ``depth`` words whose last and whose first ``depth`` - 1 words pass (of one word: itself)."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        known = _Words(Classes([{}] * 4), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        kept, held = [], 0
+
+        def merged():
+            ctx, sfx, symbol, n = (np.concatenate(c) for c in zip(*kept))
+            key = _mixed(ctx.view(np.uint64) ^ _mixed(symbol.view(np.uint64)))
+            _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            return ctx[first], sfx[first], symbol[first], np.bincount(inverse, weights=n, minlength=len(first)).astype(np.int64)
+
+        for batch in batches:
+            for _, texts in slices(batch, batch.column(0)):
+                code, place = word_codes(known.look([tokens(t) for t in texts]), known)
+                found = word_contexts(code, place)
+                ctx, use = found[depth - 1]
+                sfx = found[max(0, depth - 2)][0]
+                use = use & passes(shared.value, sfx)
+                if depth > 1:
+                    first = np.zeros(len(use), bool)
+                    first[1:] = passes(shared.value, sfx[:-1])
+                    use &= first
+                kept.append((ctx[use], sfx[use], code[use], np.ones(int(use.sum()), np.int64)))
+                held += len(kept[-1][0])
+                if held > 2_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged()], ["ctx", "sfx", "symbol", "n"])
+                    kept, held = [], 0
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged()], ["ctx", "sfx", "symbol", "n"])
+
+    counted = rows.select("text").mapInArrow(run, "ctx long, sfx long, symbol long, n long")
+    return counted.groupBy("ctx", "symbol").agg(F.first("sfx").alias("sfx"), F.sum("n").alias("n"))
+
+
+def grow_words(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame, list[np.ndarray]]:
+    """The tree over words as tables: (ctx, symbol, n), (ctx, total, kinds); and a filter of the contexts of each length.
+
+    A context of words is counted if it comes ``LEAST`` times, whatever the corpus' size. One word stays as
+    it is; longer ones stay if they save ``GAIN`` nats over the context without their oldest word.
+    """
+    spark = rows.sparkSession
+
+    def one(batches):
+        for b in batches:
+            h = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(word_contexts(np.append(h, 0), np.full(len(h) + 1, 2))[0][0][1:])], ["ctx"])
+
+    bits = make_filter(counts.where(F.col("learned") >= LEAST).select("h").mapInArrow(one, "ctx long"))
+    edges, nodes, filters, below = None, None, [], None
+    for depth in range(1, DEPTH + 1):
+        path = scratch_path(spark, f"followers-{depth}")
+        count_followers(rows, depth, bits).write.parquet(path)
+        own = spark.read.parquet(path)
+        often = own.groupBy("ctx").agg(F.first("sfx").alias("sfx"), F.sum("n").alias("total"), F.count("*").alias("kinds")).where(F.col("total") >= LEAST)
+        bits = make_filter(often)
+        stays = often
+        if below is not None:
+            plain = own.join(often.select("ctx"), "ctx", "left_semi").join(below[0].select(F.col("ctx").alias("sfx"), "symbol", F.col("n").alias("m")), ["sfx", "symbol"])
+            saved = plain.groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("m"))).alias("saved"))
+            stays = often.join(saved, "ctx").join(below[1].select(F.col("ctx").alias("sfx"), F.col("total").alias("all")), "sfx").where(F.col("saved") + F.col("total") * F.log(F.col("all") / F.col("total")) >= GAIN)
+        path = scratch_path(spark, f"nodes-{depth}")
+        stays.select("ctx", "total", "kinds").write.parquet(path)
+        kept = spark.read.parquet(path)
+        filters.append(make_filter(kept))
+        mine = own.join(kept.select("ctx"), "ctx", "left_semi").select("ctx", "symbol", "n")
+        edges, nodes = (mine, kept) if edges is None else (edges.unionByName(mine), nodes.unionByName(kept))
+        below = own, often
+    return edges, nodes, filters
+
+
+def word_gain(scored: DataFrame, counts: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``row_id``, ``gain``: log10 of what the contexts of words make of the class tree's probability, summed over a text.
+
+    After a context seen N times with T distinct followers a word seen n times has (n + T p) / (N + T), where
+    p is its probability after the next shorter context that stays, at last the class tree's.
+    """
+    at = scored.select("row_id", F.posexplode(F.arrays_zip("symbol", "place", "p", *[f"c{d}" for d in range(1, DEPTH + 1)])).alias("pos", "x")).select("row_id", "pos", "x.*")
+    asked = at.select("row_id", "pos", "symbol", "p", "place", F.posexplode(F.array(*[f"c{d}" for d in range(1, DEPTH + 1)])).alias("d", "ctx")).where("ctx is not null")
+    met = asked.join(nodes, "ctx").join(edges, ["ctx", "symbol"], "left")
+    seen = met.groupBy("row_id", "pos").agg(
+        F.first("symbol").alias("symbol"), F.first("p").alias("p"), F.first("place").alias("known"),
+        *[F.max(F.when(F.col("d") == d, F.struct("total", "kinds", F.coalesce("n", F.lit(0)).alias("n")))).alias(f"x{d}") for d in range(DEPTH)])
+    rare = counts.select(F.col("h").alias("symbol"), "learned")
+    seen = seen.where("known").select("*", F.lit(None).cast("long").alias("learned")).unionByName(seen.where("not known").join(rare, "symbol", "left").select(*seen.columns, "learned"))
+    start = F.when(F.col("known"), F.col("p")).otherwise(F.col("p") + F.log10(F.coalesce("learned", F.lit(0)) + 0.5))
+    prob = F.pow(F.lit(10.0), start)
+    for d in range(DEPTH):
+        x = F.col(f"x{d}")
+        prob = F.when(x.isNull(), prob).otherwise((x["n"] + x["kinds"] * prob) / (x["total"] + x["kinds"]))
+    return seen.groupBy("row_id").agg(F.sum(F.log10(prob) - start).alias("gain"))
+
+
 def learn_tree(rows: DataFrame, classes: Classes) -> dict:
     """Count contexts length by length: one is counted if it is frequent, as all that it begins with are."""
     table = count_pairs(rows, classes).toArrow()
@@ -302,9 +436,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     Learns from the texts whose crc32 remainder by 5 is not 1. A text's tokens are its words (A-Z lowered)
     and one end; null and empty texts are the end alone. ``base_score`` is the smoothed unigram's log10
-    probability. For ``score`` the suffix tree predicts each token's class from the classes before it,
+    probability. For ``score`` a suffix tree predicts each token's class from the classes before it,
     and the word follows from its class: (c + 0.5) / (C + 0.5 (K + 1)), where C and K are the
-    class's tokens and distinct words. The vocabulary, the classes and all contexts are counted over
+    class's tokens and distinct words. On this rests the suffix tree over words (``grow_words``), which
+    grows with the corpus: its tables are joined by context hash. The vocabulary, the classes and all contexts are counted over
     the whole corpus. Counts of frequent words travel to the tasks; those of all others are joined
     by word hash, one row for each text and word. Rows with a null key are learned from;
     repeated rows count as often as they come; an empty table gives no rows.
@@ -338,10 +473,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         inside[k] = math.log10((r["tokens"] if r else 0) + 0.5 * ((r["words"] if r else 0) + 1))
     frequent = F.col("total") >= max(2.0, (facts["total"] or 0) / FREQUENT)
     head = counts.where(frequent).select("h", "learned").toArrow().sort_by("h")
-    shared = spark.sparkContext.broadcast((classes.maps, tree, inside, head["h"].to_numpy(), head["learned"].to_numpy()))
+    edges, nodes, filters = grow_words(training, counts)
+    shared = spark.sparkContext.broadcast((classes.maps, tree, inside, head["h"].to_numpy(), head["learned"].to_numpy(), filters))
 
     def make():
-        maps, own_tree, norm, h, learned = shared.value
+        maps, own_tree, norm, h, learned, bits = shared.value
         known = _Words(Classes(maps), h, learned)
         last = math.log10(texts + 0.5) - scale
 
@@ -350,6 +486,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             symbols, place, owner = sequence([known.kind[a] for a in at])
             word = symbols >= OTHER
             step = follow(symbols, place, own_tree)
+            code, _ = word_codes(at, known)
+            count = np.full(len(code), 0, np.int64)
+            count[word] = np.concatenate([known.count[a] for a in at]) if at else 0
+            # log10 probability by the class tree; of words to be joined, without their count
+            p = step.copy()
+            p[word] += np.where(count[word] >= 0, np.log10(np.maximum(count[word], 0) + 0.5), 0) - norm[symbols[word]]
+            found = [(c, use & passes(b, c)) for (c, use), b in zip(word_contexts(code, place), bits)]
+            asked = np.logical_or.reduce([use for _, use in found])
+            cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[asked], minlength=len(given)))]), pa.int32())
+            lists = [pa.array(code[asked]), pa.array(count[asked] >= 0), pa.array(p[asked]), *[pa.array(c[asked], mask=~use[asked]) for c, use in found]]
             step[word] += scale - norm[symbols[word]]
             step[symbols == END] -= last
             lift = np.bincount(owner, weights=step, minlength=len(given))
@@ -364,10 +510,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 times.append(k)
             return [
                 pa.array([len(a) + 1 for a in at], pa.int64()), pa.array(near, pa.int64()), pa.array(base, pa.float64()), pa.array(lift, pa.float64()),
-                pa.array(tails, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
+                pa.array(tails, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64())),
+                *[pa.ListArray.from_arrays(cuts, x) for x in lists]]
         return work
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("near", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("lift", T.DoubleType()), T.StructField("h", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType()))]
+    fields += [T.StructField("symbol", T.ArrayType(T.LongType())), T.StructField("place", T.ArrayType(T.BooleanType())), T.StructField("p", T.ArrayType(T.DoubleType())), *[T.StructField(f"c{d}", T.ArrayType(T.LongType())) for d in range(1, DEPTH + 1)]]
     path = scratch_path(spark, "scored")
     numbered = rows.withColumn("row_id", F.monotonically_increasing_id())
     map_texts(numbered, "text", ["row_id", "key", "held_out"], fields, make).select("row.*", *[f.name for f in fields]).write.parquet(path)
@@ -375,6 +523,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     rare = scored.select("row_id", F.inline(F.arrays_zip("h", "times"))).join(counts.where(~frequent).select("h", "learned"), "h")
     found = rare.groupBy("row_id").agg(F.sum(F.when(F.col("learned") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.col("learned") + 0.5)).alias("logs"))
     base = F.col("base") + F.coalesce("logs", F.lit(0.0))
-    return scored.join(found, "row_id", "left").select(
+    gain = word_gain(scored, counts, edges, nodes)
+    return scored.join(found, "row_id", "left").join(gain, "row_id", "left").select(
         F.col("key").alias(key), "held_out", "n_tokens", (F.col("near") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (base + F.col("lift")).alias("score"))
+        base.alias("base_score"), (base + F.col("lift") + F.coalesce("gain", F.lit(0.0))).alias("score"))

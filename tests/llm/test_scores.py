@@ -140,3 +140,14 @@ def test_unigram_base(spark, odd):
 def test_tree_beats_the_base_on_held_out_text(spark):
     rows = [r for r in suffixtree.score(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def test_contexts_of_rare_words_are_retained(spark):
+    """A phrase of words too rare for a class of their own: its share sinks as other text is added, its contexts stay."""
+    draw = random.Random(7)
+    noise = lambda k: " ".join(f"n{draw.randrange(40)}" for _ in range(k))
+    texts = ["qualm zebu yonder vixen"] * 40 + [noise(2500) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, "qualm zebu yonder vixen") for i in range(9)] + [(2000 + i, "zebu qualm vixen yonder") for i in range(9)]
+    got = {r["doc_id"]: r for r in suffixtree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    held = lambda lo: [got[i]["score"] - got[i]["base_score"] for i in range(lo, lo + 9) if got[i]["held_out"]]
+    assert held(1000) and held(2000) and min(held(1000)) > max(held(2000)) + 2
