@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairgrammar.llm import decontaminate, extract, jaccard, langid, packing, perspectives, quality, suffixtree, topk, wordpiece
+from pairgrammar.llm import decontaminate, extract, jaccard, langid, packing, perspectives, quality, recompress, spelling, suffixtree, topk, whiten, wordpiece
 from pairgrammar.llm.common import remainder_is_one
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,24 @@ def _jaccard(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_decontamination")
 def _decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf, "documents"), decontaminate.passes(table(spark, sf, "benchmark")))
+
+
+@query("op11_whitening")
+def _whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf, "embeddings"), "vec_id", "embedding", components=16)
+
+
+@query("op12_spelling_variants")
+def _spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf, "documents"))
+
+
+@query("op13_substring_dedup", """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 12], ' ')) < doc_id AS gone FROM d, unnest(range(1, len(w) - 11)) AS t(i)),
+x AS (SELECT doc_id, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+c AS (SELECT x.doc_id, i, word, coalesce(max(CAST(gone AS INTEGER)) OVER (PARTITION BY x.doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), 0) = 1 AS gone FROM x LEFT JOIN g USING (doc_id, i))
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id, d.w""")
+def _repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return recompress.remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
