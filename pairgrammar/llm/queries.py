@@ -131,10 +131,11 @@ def _spelling(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op13_substring_dedup", """
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-g AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 12], ' ')) < doc_id AS gone FROM d, unnest(range(1, len(w) - 11)) AS t(i)),
-x AS (SELECT doc_id, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
-c AS (SELECT x.doc_id, i, word, coalesce(max(CAST(gone AS INTEGER)) OVER (PARTITION BY x.doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), 0) = 1 AS gone FROM x LEFT JOIN g USING (doc_id, i))
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id, d.w""")
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT *, CASE WHEN count(*) OVER s = 13 THEN string_agg(word, ' ') OVER s END AS k FROM x WINDOW s AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+g AS (SELECT doc_id, i, word, k IS NOT NULL AND min(doc_id) OVER (PARTITION BY k) < doc_id AS gone FROM k),
+c AS (SELECT doc_id, i, word, max(CAST(gone AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) = 1 AS gone FROM g)
+SELECT d.doc_id, count(word) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id""")
 def _repeats(spark: SparkSession, sf: str) -> DataFrame:
     return recompress.remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -15,8 +15,8 @@ from pairgrammar.llm.jaccard import _Hashes
 
 WINDOW = 13
 STEM = 10  # words that name a window without a symbol of its own; the rest verify it
-SLICE_WORDS = 1 << 20  # words parsed at once
-CHUNK_WORDS = 1 << 19  # longer texts are parsed in overlapping chunks
+SLICE_WORDS = 1 << 19  # words parsed at once
+CHUNK_WORDS = 1 << 18  # longer texts are parsed in overlapping chunks
 PART_BYTES = 24 << 20  # bytes of text whose symbols meet in one task, about
 NEVER = np.iinfo(np.int64).max  # the order of a null key: after all others
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -247,6 +247,7 @@ def taken_ranges(docs: DataFrame, parts: int) -> DataFrame:
                     if total >= SLICE_WORDS:
                         yield from flush()
                         held, total = [], 0
+                        pa.default_memory_pool().release_unused()
         if held:
             yield from flush()
 
