@@ -97,7 +97,7 @@ def hydrate_windows(regions: DataFrame, chunks: DataFrame, length: int, chunk_si
     """Bases of each ``window_start``-based window from a chunked genome table.
 
     Every chunk is placed by its own start. A window is ``complete`` when its chunks hold all bases it
-    has inside the chromosome; else it is ``incomplete`` and has no sequence. Bases before the
+    has inside the chromosome, and there is one; else it is ``incomplete`` and has no sequence. Bases before the
     chromosome's start are N, and so are those past its end if ``lengths`` (chromosome,
     chromosome_length) tells where that is. A window touches few chunks, so the gathered list is short.
     """
@@ -117,7 +117,7 @@ def hydrate_windows(regions: DataFrame, chunks: DataFrame, length: int, chunk_si
     left = F.repeat(F.lit("N"), F.least(F.col("_from") - F.col("_w"), F.lit(length)).cast("int"))
     text = F.rpad(F.concat(left, F.upper(F.array_join(F.transform("_p", lambda p: p["bases"]), ""))), length, "N")
     out = placed.join(joined, key, "left").withColumn("_p", F.coalesce("_p", F.array().cast("array<struct<at:bigint,bases:string>>")))
-    whole = out.filter(held == inside).select(key, text.alias("sequence"))
+    whole = out.filter((held == inside) & (inside > 0)).select(key, text.alias("sequence"))
     return regions.join(whole, key, "left").withColumn(
         "hydration_status", F.when(F.col("sequence").isNotNull(), "complete").otherwise("incomplete"))
 

@@ -38,10 +38,10 @@ def assign_usage_labels(df: DataFrame) -> DataFrame:
 
 
 def hydrate_states(states: DataFrame, chunks: DataFrame, chunk_size: int, window: int = schema.WINDOW, lengths: DataFrame | None = None) -> DataFrame:
+    """States with the bases of their window and ``hydration_status``; ``lengths`` tells where chromosomes end."""
     start, end = centered_window("region_start", "region_end", window)
     placed = states.withColumns({"window_start": start, "window_end": end})
-    out = N.hydrate_windows(placed, chunks, window, chunk_size, key="state_label", lengths=lengths).filter("hydration_status = 'complete'").drop("hydration_status")
-    return out.withColumn("gc_content", gc_content("sequence"))
+    return N.hydrate_windows(placed, chunks, window, chunk_size, key="state_label", lengths=lengths).withColumn("gc_content", gc_content("sequence"))
 
 
 def rank_states(regions: DataFrame, fragments: DataFrame, max_regions: int | None, keep: int, bin_size: int = N.BIN) -> DataFrame:
@@ -130,19 +130,25 @@ def candidate_rows(states: DataFrame, hits: DataFrame, edges: DataFrame, consens
 
 
 def build_state_layer(regions: DataFrame, fragments: DataFrame, chunks: DataFrame, positions: DataFrame, edges: DataFrame, chunk_size: int,
-                      max_regions: int | None = 4096, max_states: int = 256, multiplier: int = 4, max_pairs: int = 1, max_monomers: int = 1, impute: bool = True, bin_size: int = N.BIN) -> dict[str, DataFrame]:
-    """Candidates, state features and audit from regions, fragments, genome chunks and motifs."""
+                      max_regions: int | None = 4096, max_states: int = 256, multiplier: int = 4, max_pairs: int = 1, max_monomers: int = 1, impute: bool = True, bin_size: int = N.BIN,
+                      lengths: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Candidates, state features and audit from regions, fragments, genome chunks and motifs.
+
+    ``lengths`` (chromosome, chromosome_length) keeps regions whose window passes a chromosome's end. States whose
+    bases are not all there take no further part and come back as ``incomplete``.
+    """
     ranked_states = rank_states(regions, fragments, max_regions, max(max_states * max(multiplier, 1), max_states), bin_size)
-    hydrated = hydrate_states(ranked_states, chunks, chunk_size)
+    placed = cut_lineage(hydrate_states(ranked_states, chunks, chunk_size, lengths=lengths))
     genes = edges.select(F.explode(F.array("left_tf", "right_tf")).alias("motif_id")).distinct()
     used = positions.join(genes, "motif_id", "left_semi")
-    hydrated = cut_lineage(hydrated)
+    hydrated = placed.filter("hydration_status = 'complete'").drop("hydration_status")
     hits = materialize(M.scan_motifs(hydrated.select(F.col("state_label").alias("seq_id"), "sequence"), M.pwm_library(used), top_k=max(2, max_pairs)))
     selected = cut_lineage(select_states(hydrated, hits, edges, max_states))
     known = edges.join(used.select(F.col("motif_id").alias("left_tf")).distinct(), "left_tf", "left_semi").join(used.select(F.col("motif_id").alias("right_tf")).distinct(), "right_tf", "left_semi")
     rows = candidate_rows(selected, hits.join(selected.select(F.col("state_label").alias("seq_id")), "seq_id", "left_semi"), known.select("left_tf", "right_tf"), M.consensus(used), max_pairs, max_monomers, impute)
     labelled = cut_lineage(assign_usage_labels(cut_lineage(rows)))
-    return {"candidates": labelled, "states": selected, "state_features": E.state_features(selected), "audit": D.audit_layer(labelled, selected)}
+    return {"candidates": labelled, "states": selected, "state_features": E.state_features(selected), "audit": D.audit_layer(labelled, selected),
+            "incomplete": placed.filter("hydration_status <> 'complete'").select("state_label", "chromosome", "region_start", "region_end", "hydration_status")}
 
 
 def best_file_prefix(per_file: DataFrame, scores: list[str]) -> DataFrame:

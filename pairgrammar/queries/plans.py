@@ -17,6 +17,7 @@ from pairgrammar.plans import states as S
 from pairgrammar.queries.expressions import _curated
 from pairgrammar.operators.resampling import PRIME
 from pairgrammar.queries.metrics import SQL_HYPERGEOMETRIC, SQL_POISSON, sql_rank_metrics, sql_state_blocked, sql_uniform
+from pairgrammar.queries.motifs import _CAND
 from pairgrammar.queries.registry import query, rounded
 from pairgrammar.queries.relations import PEAKS_SQL, peak_rows
 from pairgrammar.queries.splits import sql_split
@@ -113,14 +114,13 @@ def layer_regions(seqs):
     return steps.select(
         "chromosome", (F.col("i") * 300 + F.when(rest > 50, 50).otherwise(0)).cast("long").alias("region_start"), (F.col("i") * 300 + F.least(F.lit(200), rest)).cast("long").alias("region_end"),
         F.concat_ws("_", F.lit("S"), "chromosome", F.col("i").cast("string")).alias("screen_id"), F.concat_ws("_", F.lit("E"), "chromosome", F.col("i").cast("string")).alias("encode_id"),
-        F.element_at(F.array(*[F.lit(e) for e in views.ELEMENTS]), (F.col("i") % 7 + 1).cast("int")).alias("element_type"), (rest >= 300).alias("full"))
+        F.element_at(F.array(*[F.lit(e) for e in views.ELEMENTS]), (F.col("i") % 7 + 1).cast("int")).alias("element_type"))
 
 
 def _layer(spark, sf):
-    """Regions on document 'chromosomes', over all their bases; fragments from the line items on all of them, over their whole length."""
+    """Regions on document 'chromosomes', over all their bases; fragments from the line items on all of them, over their whole length; lengths."""
     seqs = views.sequences(spark, sf).filter(F.length("bases") > 0)
     chrom = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
-    regions = layer_regions(seqs)
     sizes = seqs.select(chrom.alias("chromosome"), F.length("bases").cast("long").alias("size"))
     docs = views.table(spark, sf, "documents").agg(F.count("*")).scalar()
     li = views.table(spark, sf, "lineitem").select(
@@ -128,33 +128,44 @@ def _layer(spark, sf):
     fragments = li.join(sizes, "chromosome").select("chromosome", (F.col("x") % F.col("size")).alias("start"), (F.col("x") % F.col("size") + F.col("q")).alias("end"), "file_id")
     chunks = seqs.select(chrom.alias("chromosome"), "bases", F.explode(F.sequence(F.lit(0), F.floor((F.length("bases") - 1) / 500).cast("int"))).alias("c")).select(
         "chromosome", F.col("c").cast("long").alias("chunk_id"), (F.col("c") * 500).cast("long").alias("start"), F.substring("bases", F.col("c") * 500 + 1, F.lit(500)).alias("bases"))
-    return regions, fragments, chunks, views.motif_positions(spark, sf), views.edges(spark, sf)
+    return layer_regions(seqs), fragments, chunks, views.motif_positions(spark, sf), views.edges(spark, sf), sizes.withColumnRenamed("size", "chromosome_length")
 
 
 def state_layer(spark, sf):
-    regions, *rest = _layer(spark, sf)
-    return S.build_state_layer(regions.drop("full"), *rest, chunk_size=500, max_regions=None, max_states=400, multiplier=2, bin_size=500)
+    *parts, lengths = _layer(spark, sf)
+    return S.build_state_layer(*parts, chunk_size=500, max_regions=None, max_states=400, multiplier=2, bin_size=500, lengths=lengths)
 
 
-@query("ranked_states", """WITH r AS (SELECT 'd'||doc_id AS c, unnest(range(0, length(bases)//300)) AS i FROM sequences WHERE length(bases)>=300), f AS (SELECT c, x%n AS s, x%n+q AS e, file FROM (SELECT 'd'||(l_orderkey%(SELECT count(*) FROM documents)) AS c, l_partkey*7919+l_linenumber*104729 AS x, CAST(l_quantity AS BIGINT) AS q, l_linenumber%4 AS file FROM lineitem) JOIN (SELECT 'd'||doc_id AS c, length(bases) AS n FROM sequences WHERE length(bases)>=300) USING (c)),
-  p AS (SELECT r.c, i, file, count(*) AS n FROM r JOIN f ON r.c=f.c AND i*300+50<e AND i*300+200>s AND e>s GROUP BY 1,2,3) SELECT c||':'||(i*300+50)||'-'||(i*300+200) AS state_label, sum(n)::BIGINT AS total_fragment_count, count(*) AS supporting_files FROM p GROUP BY c, i ORDER BY 2 DESC, 3 DESC, c, i LIMIT 800""", ("sequences",))
-def ranked_states(spark, sf):
-    regions, fragments, *_ = _layer(spark, sf)  # the SQL has full steps only; ranked_states_whole has the rests too
-    return S.rank_states(regions.filter("full"), fragments, None, 800, 500).select("state_label", "total_fragment_count", "supporting_files")
+_RANKED = """lr AS (SELECT 'd'||doc_id AS c, bases, i*300+CASE WHEN n-i*300>50 THEN 50 ELSE 0 END AS rs, i*300+least(200,n-i*300) AS re FROM (SELECT doc_id, bases, length(bases) AS n, unnest(range(0,(length(bases)-1)//300+1)) AS i FROM sequences WHERE length(bases)>0)),
+  lf AS (SELECT c, x%n AS s, x%n+q AS e, file FROM (SELECT 'd'||(l_orderkey%(SELECT count(*) FROM documents)) AS c, l_partkey*7919+l_linenumber*104729 AS x, CAST(l_quantity AS BIGINT) AS q, l_linenumber%4 AS file FROM lineitem) JOIN (SELECT 'd'||doc_id AS c, length(bases) AS n FROM sequences WHERE length(bases)>0) USING (c)),
+  lp AS (SELECT lr.c, rs, re, file, count(*) AS k FROM lr JOIN lf ON lr.c=lf.c AND rs<e AND re>s AND e>s GROUP BY ALL),
+  rk AS (SELECT c||':'||rs||'-'||re AS state_label, c, rs, re, sum(k)::BIGINT AS total, count(*) AS files FROM lp GROUP BY ALL ORDER BY total DESC, files DESC, c, rs LIMIT 800)"""
 
 
-@query("ranked_states_whole")
-def ranked_states_whole(spark, sf):
+@query("ranked_states", f"WITH {_RANKED} SELECT state_label, total AS total_fragment_count, files AS supporting_files FROM rk", ("sequences",))
+def ranked_states(spark, sf):
     regions, fragments, *_ = _layer(spark, sf)
     return S.rank_states(regions, fragments, None, 800, 500).select("state_label", "total_fragment_count", "supporting_files")
 
 
-@query("state_layer_audit")
+# hydrated states, their hits, the 400 states with most candidates, and what is made of them: a widest hit each, two pairs each, winners
+_LAYER = f"""{_RANKED}, lw AS (SELECT state_label AS seq_id, rpad(substr(bases,CAST(w+1 AS INT),96),96,'N') AS sequence, rk.* FROM (SELECT *, greatest((rs+re)//2-48,0) AS w FROM rk) rk JOIN lr USING (c,rs,re)),
+  lh AS ({views.SQL["hits"][1].replace("FROM windows w", "FROM lw w")}), hits2 AS (SELECT * FROM lh WHERE hit_rank<2 AND tf_id IN (SELECT left_tf FROM edges UNION SELECT right_tf FROM edges)),
+  g AS (SELECT seq_id, tf_id, count(*) AS k FROM hits2 GROUP BY 1,2), sup AS (SELECT DISTINCT least(left_tf,right_tf) AS a, greatest(left_tf,right_tf) AS b FROM edges),
+  hc AS (SELECT x.seq_id, x.n AS mono, coalesce(p.n,0) AS pairs FROM (SELECT seq_id, count(*) AS n FROM g GROUP BY 1) x LEFT JOIN (SELECT l.seq_id, sum(CASE WHEN s.a IS NULL THEN least(l.k*r.k,1) ELSE l.k*r.k END) AS n FROM g l JOIN g r ON l.seq_id=r.seq_id AND l.tf_id<r.tf_id LEFT JOIN sup s ON s.a=l.tf_id AND s.b=r.tf_id GROUP BY 1) p USING (seq_id)),
+  st AS (SELECT lw.*, mono IS NOT NULL AS found, total>=quantile_cont(total,0.5) OVER () AS high FROM (SELECT * FROM lw LEFT JOIN hc USING (seq_id) ORDER BY coalesce(pairs,0) DESC, coalesce(mono,0) DESC, total DESC, files DESC, c, rs LIMIT 400) lw),
+  {_CAND.replace("FROM hits WHERE hit_rank<2", "FROM hits2 JOIN (SELECT seq_id FROM st) USING (seq_id)")},
+  pr AS (SELECT seq_id, sup, count(*) OVER w AS n, count(*) FILTER (sup) OVER w AS ns FROM sel WHERE pair_rank<2 AND pair_mode<>'homotypic_fallback' WINDOW w AS (PARTITION BY seq_id)),
+  ly AS (SELECT 'phase3' AS phase, CASE WHEN found THEN 'observed_monomer' ELSE 'imputed_monomer' END AS construction_mode, seq_id AS state_label, high AS pos FROM st UNION ALL SELECT 'phase4', 'observed_pair', seq_id, sup FROM pr WHERE n=2 AND ns=1)"""
+
+
+@query("state_layer_audit", f"""WITH {_LAYER}, s AS (SELECT state_label, count(*) AS n FROM ly GROUP BY 1) SELECT (SELECT count(*) FROM ly) AS num_sequences, (SELECT count(*) FROM ly) AS unique_seq_ids, 0::BIGINT AS duplicate_seq_ids, 96::BIGINT AS sequence_length_min, 96::BIGINT AS sequence_length_max,
+  0::BIGINT AS anchors_out_of_bounds, 0.0::DOUBLE AS overlap_max_abs_diff, 0.0::DOUBLE AS gap_max_abs_diff, 0.0::DOUBLE AS center_distance_max_abs_diff, (SELECT count(*) FROM st) AS num_states, 0::BIGINT AS missing_state_labels, count(*) AS represented_states, min(n) AS rows_per_state_min, max(n) AS rows_per_state_max FROM s""", ("sequences", "pwm", "motif_stats", "edges"))
 def state_layer_audit(spark, sf):
     return rounded(state_layer(spark, sf)["audit"])
 
 
-@query("state_layer_candidates")
+@query("state_layer_candidates", f"WITH {_LAYER} SELECT phase, construction_mode, count(*) AS n, count(*) FILTER (pos) AS positives FROM ly GROUP BY 1,2", ("sequences", "pwm", "motif_stats", "edges"))
 def state_layer_candidates(spark, sf):
     return state_layer(spark, sf)["candidates"].groupBy("phase", "construction_mode").agg(F.count("*").alias("n"), F.count_if(F.col("label") > 0.5).alias("positives"))
 

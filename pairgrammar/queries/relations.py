@@ -109,7 +109,7 @@ _LOST = "(doc_id % 4 = 1 AND c = 0 OR doc_id % 4 = 2 AND c = 1 OR doc_id % 4 = 3
   WITH s AS (SELECT seq_id, doc_id, bases, length(bases) AS n FROM sequences), w AS (SELECT *, o * 150 AS w, least(o * 150 + 96, n) AS e FROM (SELECT *, unnest(range(0, n // 150 + 1)) AS o FROM s)),
   lost AS (SELECT seq_id, c * 200 AS a, c * 200 + 200 AS b FROM (SELECT *, unnest(range(0, (n + 199) // 200)) AS c FROM s) WHERE {_LOST})
   SELECT seq_id || '_' || o AS seq_id, CASE WHEN ok THEN rpad(substr(bases, CAST(w + 1 AS INT), 96), 96, 'N') END AS sequence, CASE WHEN ok THEN 'complete' ELSE 'incomplete' END AS hydration_status
-  FROM (SELECT w.*, NOT EXISTS (SELECT 1 FROM lost l WHERE l.seq_id = w.seq_id AND l.a < w.e AND l.b > w.w) AS ok FROM w)""", ("sequences",))
+  FROM (SELECT w.*, w.w < n AND NOT EXISTS (SELECT 1 FROM lost l WHERE l.seq_id = w.seq_id AND l.a < w.e AND l.b > w.w) AS ok FROM w)""", ("sequences",))
 def hydrate_windows(spark, sf):
     """Windows over all sequences; some have lost their first, second or last chunk."""
     s = views.sequences(spark, sf)
@@ -173,9 +173,9 @@ def key_union(spark, sf):
     return J.key_union(views.gene_pairs(spark, sf), "left_tf", "right_tf", "gene")
 
 
-@query("missing_keys", "SELECT DISTINCT gene_symbol AS left_tf FROM tf_master EXCEPT SELECT left_tf FROM gene_pairs WHERE quantity>=48", ("tf_master", "gene_pairs"))
+@query("missing_keys", "SELECT DISTINCT gene_symbol AS right_tf FROM tf_master EXCEPT SELECT right_tf FROM gene_pairs", ("tf_master", "gene_pairs"))
 def missing_keys(spark, sf):
-    return J.missing_keys(views.tf_master(spark, sf).select(F.col("gene_symbol").alias("left_tf")), views.gene_pairs(spark, sf).filter("quantity >= 48"), ["left_tf"])
+    return J.missing_keys(views.tf_master(spark, sf).select(F.col("gene_symbol").alias("right_tf")), views.gene_pairs(spark, sf), ["right_tf"])
 
 
 @query("common_keys", "SELECT left_tf AS k FROM gene_pairs INTERSECT SELECT right_tf FROM gene_pairs", ("gene_pairs",))

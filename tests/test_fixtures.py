@@ -7,6 +7,7 @@ from pairgrammar.functions import geometry as G
 from pairgrammar.functions import keys as K
 from pairgrammar.functions import sequence as S
 from pairgrammar.operators import graph, intervals, metrics, motifs, selection, splits, stats
+from pairgrammar.plans import states as layers
 
 
 def values(df):
@@ -56,6 +57,20 @@ def test_overlap_count_does_not_depend_on_bins(spark, size):
     assert values(out.select("region_id", "fragment_count")) == [("r0", 2), ("r1", 1)]
 
 
+def test_hydrated_windows_at_the_ends(spark):
+    chunks = spark.createDataFrame([("c", 0, 0, "acgta"), ("c", 1, 5, "ccc"), ("d", 1, 5, "ggggg")], "chromosome string, chunk_id long, start long, bases string")
+    lengths = spark.createDataFrame([("c", 8), ("d", 10)], "chromosome string, chromosome_length long")
+    at = [("in", "c", 2), ("before", "c", -2), ("past", "c", 6), ("at_end", "c", 8), ("behind", "c", 20), ("lost", "d", 3), ("far", "c", -4)]
+    regions = spark.createDataFrame(at, "seq_id string, chromosome string, window_start long")
+    out = intervals.hydrate_windows(regions, chunks, 4, 5, lengths=lengths)
+    assert {r["seq_id"]: (r["sequence"], r["hydration_status"]) for r in out.collect()} == {
+        "in": ("GTAC", "complete"), "before": ("NNAC", "complete"), "past": ("CCNN", "complete"), "at_end": (None, "incomplete"),
+        "behind": (None, "incomplete"), "lost": (None, "incomplete"), "far": (None, "incomplete")}
+    states = regions.filter("seq_id in ('past', 'behind')").select(F.col("seq_id").alias("state_label"), "chromosome", (F.col("window_start") + 1).alias("region_start"), (F.col("window_start") + 3).alias("region_end"))
+    kept = layers.hydrate_states(states, chunks, 5, 4, lengths)
+    assert values(kept.select("state_label", "hydration_status")) == [("behind", "incomplete"), ("past", "complete")]
+
+
 def test_consensus_tie_and_equal_length_motifs(spark):
     pos = spark.createDataFrame([("m", 0, 5.0, 5.0, 0.0, 0.0), ("m", 1, 0.0, 0.0, 1.0, 9.0)], "motif_id string, position int, A double, C double, G double, T double")
     assert motifs.consensus(pos).first()["consensus"] == "AT"
