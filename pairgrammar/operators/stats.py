@@ -1,6 +1,6 @@
 """Resampling, tests and multiple-testing control as grouped plans.
 
-Draws are hashes of (seed, replicate, row key), so a rerun or a lost executor gives the same
+Draws are hashes of (seed, replicate, cell key), so a rerun or a lost executor gives the same
 numbers and no generator state is shared.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pairgrammar.operators.metrics import ranking_metrics
 from pairgrammar.operators.ordered import ranked, running
-from pairgrammar.operators.resampling import replicate_metrics, row_key, subset_sums, weighted_means
+from pairgrammar.operators.resampling import cells, replicate_metrics, row_key, subset_sums, weighted_means
 from pairgrammar.session import cut_lineage
 
 
@@ -189,7 +189,7 @@ def mann_whitney(df: DataFrame, group: str, value: str, positive: str, negative:
 def mean_diff_bootstrap(df: DataFrame, group: str, value: str, positive: str, negative: str, n: int = 10000, seed: int = 11, tie: str = "state_label") -> DataFrame:
     """Interval of the mean difference, resampled inside each group; a replicate without a group's rows is skipped."""
     rows = df.filter(F.col(group).isin(positive, negative)).select(F.col(group).alias("_g"), F.col(value).alias("_v"), row_key(tie).alias("_key"))
-    means = weighted_means(rows, (positive, negative), n, seed)
+    means = weighted_means(cells(rows, ["_g", "_v"]), (positive, negative), n, seed)
     d = F.col("first") - F.col("second")
     return means.agg(F.count(d).alias("iterations"), F.percentile(d, F.lit(0.025)).alias("bootstrap_ci_low"), F.percentile(d, F.lit(0.975)).alias("bootstrap_ci_high"))
 
@@ -202,7 +202,7 @@ def mean_diff_permutation(df: DataFrame, group: str, value: str, positive: str,
         (F.avg(F.when(F.col("_g") == positive, F.col("_v"))) - F.avg(F.when(F.col("_g") == negative, F.col("_v")))).alias("observed")).first()
     if not s["p"] or s["p"] == s["n"]:
         return df.sparkSession.createDataFrame([(None, None)], "observed_diff double, permutation_p_value double")
-    sums = subset_sums(rows, s["p"], s["n"], n, seed)
+    sums = subset_sums(cells(rows, ["_v"]), s["p"], s["n"], n, seed)
     d = F.col("subset_sum") / s["p"] - (F.lit(s["total"]) - F.col("subset_sum")) / (s["n"] - s["p"])
     return sums.agg(F.lit(s["observed"]).alias("observed_diff"), ((F.count_if(d >= s["observed"] - 1e-12) + 1) / (F.count("*") + 1)).alias("permutation_p_value"))
 

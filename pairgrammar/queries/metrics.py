@@ -62,22 +62,32 @@ def top_k_recall(spark, sf):
     return rounded(M.top_k_recall(views.line_scores(spark, sf), "label", "score", 500))
 
 
-_B = 1000  # replicates of the queries with SQL; the queries named *_full run the operators' defaults, the published 5000 and 10000
+_MOST_LEVELS = 6  # the oracles know cells of up to 63 rows; the tables have far smaller ones
 
 
-def sql_uniform(seed: int, key: str, rows: str, replicates: int = _B) -> str:
-    """Rows of a table with a uniform number z for each replicate, by the operators' hash."""
-    p = R.PRIME
-    return f"""(SELECT *, (y*{R.STEP}+x)%{p} AS z FROM (SELECT *, x*x%{p} AS y FROM (SELECT t.*, c.replicate, (h*c.ra+c.rb)%{p} AS x FROM (SELECT *, ('0x'||substr(sha256({key}),1,8))::BIGINT%{p} AS h FROM {rows}) t,
-      (SELECT replicate, 1+('0x'||substr(sha256('{seed}|'||replicate||'|a'),1,8))::BIGINT%{p - 1} AS ra, ('0x'||substr(sha256('{seed}|'||replicate||'|b'),1,8))::BIGINT%{p} AS rb FROM (SELECT unnest(range(1,{replicates + 1})) AS replicate)) c)))"""
+def sql_draws(seed: int, key: str, rows: str, cell: str, replicates: int) -> str:
+    """Cells of a table (rows alike in ``cell``) with a uniform number z for each replicate and power of two in their count, by the operators' hash."""
+    return f"""(SELECT *, (y*{R.STEP}+x)%{R.PRIME} AS z FROM (SELECT *, x*x%{R.PRIME} AS y FROM (SELECT t.*, c.replicate, (h*c.ra+c.rb)%{R.PRIME} AS x FROM (
+      SELECT {cell}, level, (h+level*{R.LEVEL_STEP})%{R.PRIME} AS h FROM (SELECT {cell}, count(*) AS n, min(('0x'||substr(sha256({key}),1,8))::BIGINT%{R.PRIME}) AS h FROM {rows} GROUP BY {cell}), (SELECT unnest(range(0,{_MOST_LEVELS})) AS level) WHERE (n>>level)&1=1) t, {sql_constants(seed, replicates)} c)))"""
 
 
-SQL_POISSON = "(" + "+".join(f"(z>={t})::INT" for t in R.POISSON) + ")"
+def sql_constants(seed: int, replicates: int) -> str:
+    return f"(SELECT replicate, 1+('0x'||substr(sha256('{seed}|'||replicate||'|a'),1,8))::BIGINT%{R.PRIME - 1} AS ra, ('0x'||substr(sha256('{seed}|'||replicate||'|b'),1,8))::BIGINT%{R.PRIME} AS rb FROM (SELECT unnest(range(1,{replicates + 1})) AS replicate))"
+
+
+def sql_drawn(kind: str) -> str:
+    """What a cell's power of two draws: thresholds that z has reached."""
+    each = [R.thresholds(kind, level) for level in range(_MOST_LEVELS)]
+    return "CASE level " + " ".join(f"WHEN {level} THEN {low}+" + "+".join(f"(z>={t})::INT" for t in table) for level, (low, table) in enumerate(each)) + " END"
+
+
+_CELL = "label, full_score, availability_only_score"
+_BOOT = f"bt AS MATERIALIZED (SELECT replicate, {sql_drawn('poisson')} AS w, {_CELL} FROM {sql_draws(11, 'seq_id', 'predictions', _CELL, 5000)})"
 
 
 def _sql_boot(metric: str) -> str:
     return f"""
-  WITH bt AS MATERIALIZED (SELECT replicate, {SQL_POISSON} AS w, label, full_score, availability_only_score FROM {sql_uniform(11, "seq_id", "predictions")}),
+  WITH {_BOOT},
   m AS {sql_rank_metrics('bt', 'label', 'full_score', 'replicate', 'w')}, a AS {sql_rank_metrics('bt', 'label', 'availability_only_score', 'replicate', 'w')},
   om AS {sql_rank_metrics('predictions', 'label', 'full_score')}, oa AS {sql_rank_metrics('predictions', 'label', 'availability_only_score')},
   d AS (SELECT coalesce(m.{metric}-a.{metric}, om.{metric}-oa.{metric}) AS d FROM m JOIN a USING (replicate), om, oa)
@@ -87,42 +97,28 @@ def _sql_boot(metric: str) -> str:
 
 @query("paired_bootstrap", _sql_boot("auprc"), PREDS)
 def paired_bootstrap(spark, sf):
-    return rounded(X.paired_bootstrap(views.predictions(spark, sf), "full_score", "availability_only_score", "auprc", _B, 11))
+    return rounded(X.paired_bootstrap(views.predictions(spark, sf), "full_score", "availability_only_score", "auprc"))
 
 
 @query("paired_bootstrap_auroc", _sql_boot("auroc"), PREDS)
 def paired_bootstrap_auroc(spark, sf):
-    return rounded(X.paired_bootstrap(views.predictions(spark, sf), "full_score", "availability_only_score", "auroc", _B, 11))
+    return rounded(X.paired_bootstrap(views.predictions(spark, sf), "full_score", "availability_only_score", "auroc"))
 
 
 @query("paired_permutation", f"""
-  WITH r AS MATERIALIZED (SELECT replicate, label, CASE WHEN z>{R.PRIME // 2} THEN availability_only_score ELSE full_score END AS a, CASE WHEN z>{R.PRIME // 2} THEN full_score ELSE availability_only_score END AS b FROM {sql_uniform(11, "seq_id", "predictions")}),
-  m AS {sql_rank_metrics('r', 'label', 'a', 'replicate')}, n AS {sql_rank_metrics('r', 'label', 'b', 'replicate')}, om AS {sql_rank_metrics('predictions', 'label', 'full_score')}, oa AS {sql_rank_metrics('predictions', 'label', 'availability_only_score')},
+  WITH s AS MATERIALIZED (SELECT replicate, {_CELL}, 1<<level AS n, {sql_drawn('swap')} AS k FROM {sql_draws(11, 'seq_id', 'predictions', _CELL, 5000)}),
+  r AS MATERIALIZED (SELECT replicate, label, unnest([full_score, availability_only_score]) AS a, unnest([availability_only_score, full_score]) AS b, unnest([n-k, k]) AS w FROM s),
+  m AS {sql_rank_metrics('r', 'label', 'a', 'replicate', 'w')}, n AS {sql_rank_metrics('r', 'label', 'b', 'replicate', 'w')}, om AS {sql_rank_metrics('predictions', 'label', 'full_score')}, oa AS {sql_rank_metrics('predictions', 'label', 'availability_only_score')},
   d AS (SELECT m.auprc-n.auprc AS d, om.auprc-oa.auprc AS o FROM m JOIN n USING (replicate), om, oa)
   SELECT 'auprc' AS metric_name, round(max(o),6) AS observed_diff, round((count(*) FILTER (d>=o-1e-12)+1)/(count(*)+1),6) AS permutation_p_value FROM d""", PREDS)
 def paired_permutation(spark, sf):
-    return rounded(X.paired_permutation(views.predictions(spark, sf), "full_score", "availability_only_score", "auprc", _B, 11))
-
-
-@query("paired_bootstrap_full")
-def paired_bootstrap_full(spark, sf):
-    return rounded(X.paired_bootstrap(views.predictions(spark, sf), "full_score", "availability_only_score", "auprc"))
-
-
-@query("paired_bootstrap_auroc_full")
-def paired_bootstrap_auroc_full(spark, sf):
-    return rounded(X.paired_bootstrap(views.predictions(spark, sf), "full_score", "availability_only_score", "auroc"))
-
-
-@query("paired_permutation_full")
-def paired_permutation_full(spark, sf):
     return rounded(X.paired_permutation(views.predictions(spark, sf), "full_score", "availability_only_score", "auprc"))
 
 
-@query("bootstrap_ci", f"""WITH bt AS MATERIALIZED (SELECT replicate, {SQL_POISSON} AS w, label, full_score FROM {sql_uniform(11, "seq_id", "predictions")}), m AS {sql_rank_metrics('bt', 'label', 'full_score', 'replicate', 'w')}
+@query("bootstrap_ci", f"""WITH bt AS MATERIALIZED (SELECT replicate, {sql_drawn('poisson')} AS w, label, full_score FROM {sql_draws(11, "seq_id", "predictions", "label, full_score", 1000)}), m AS {sql_rank_metrics('bt', 'label', 'full_score', 'replicate', 'w')}
   SELECT count(*) AS used, round(quantile_cont(auprc,0.025),6) AS ci_low, round(quantile_cont(auprc,0.975),6) AS ci_high FROM m WHERE auprc IS NOT NULL""", PREDS)
 def bootstrap_ci(spark, sf):
-    return rounded(X.bootstrap_ci(views.predictions(spark, sf), "full_score", "auprc", _B, 11))
+    return rounded(X.bootstrap_ci(views.predictions(spark, sf), "full_score", "auprc"))
 
 
 @query("bh_fdr", """WITH p AS (SELECT l_partkey, (sum(l_linenumber)*7+count(*)) % 997 / 997.0::DOUBLE AS p FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, l_partkey) AS k, count(*) OVER () AS n FROM p)
@@ -217,28 +213,21 @@ def _states(spark, sf):
     return p.groupBy("state_label").agg(F.min("chromosome").alias("chromosome"), F.min("element_type").alias("g"), F.avg("full_score").alias("v"))
 
 
-_MB = f"mb AS (SELECT replicate, sum(w*v) FILTER (g='pELS')/nullif(sum(w) FILTER (g='pELS'),0) - sum(w*v) FILTER (g='dELS')/nullif(sum(w) FILTER (g='dELS'),0) AS d FROM (SELECT *, {SQL_POISSON} AS w FROM {sql_uniform(11, 'state_label', 'st')}) GROUP BY 1)"
+_MB = f"mb AS (SELECT replicate, sum(w*v) FILTER (g='pELS')/nullif(sum(w) FILTER (g='pELS'),0) - sum(w*v) FILTER (g='dELS')/nullif(sum(w) FILTER (g='dELS'),0) AS d FROM (SELECT *, {sql_drawn('poisson')} AS w FROM {sql_draws(11, 'state_label', 'st', 'g, v', 10000)}) GROUP BY 1)"
+# cells of equal v, of at most R.LIGHT rows each: every row has a number, the smallest are taken
 _MP = f"""o AS (SELECT avg(v) FILTER (g='pELS')-avg(v) FILTER (g='dELS') AS o, count(*) FILTER (g='pELS') AS p FROM st),
-  mr AS (SELECT replicate, v, row_number() OVER (PARTITION BY replicate ORDER BY z, h) AS k FROM {sql_uniform(11, 'state_label', 'st')}), mp AS (SELECT replicate, avg(v) FILTER (k<=p)-avg(v) FILTER (k>p) AS d, any_value(o) AS o FROM mr, o GROUP BY 1)"""
+  it AS (SELECT v, (min(h) OVER (PARTITION BY v)+(row_number() OVER (PARTITION BY v ORDER BY h)-1)*{R.ITEM_STEP})%{R.PRIME} AS h FROM (SELECT v, ('0x'||substr(sha256(state_label),1,8))::BIGINT%{R.PRIME} AS h FROM st)),
+  iz AS (SELECT *, (x*x%{R.PRIME}*{R.STEP}+x)%{R.PRIME} AS z FROM (SELECT it.*, replicate, (h*ra+rb)%{R.PRIME} AS x FROM it, {sql_constants(11, 10000)} c)),
+  mr AS (SELECT replicate, v, row_number() OVER (PARTITION BY replicate ORDER BY z, h) AS k FROM iz), mp AS (SELECT replicate, avg(v) FILTER (k<=p)-avg(v) FILTER (k>p) AS d, any_value(o) AS o FROM mr, o GROUP BY 1)"""
 
 
 @query("mean_difference_bootstrap", f"WITH {_ST}, {_MB} SELECT count(d) AS iterations, round(quantile_cont(d,0.025),6) AS bootstrap_ci_low, round(quantile_cont(d,0.975),6) AS bootstrap_ci_high FROM mb", PREDS)
 def mean_difference_bootstrap(spark, sf):
-    return rounded(X.mean_diff_bootstrap(_states(spark, sf), "g", "v", "pELS", "dELS", _B, 11))
+    return rounded(X.mean_diff_bootstrap(_states(spark, sf), "g", "v", "pELS", "dELS"))
 
 
 @query("mean_difference_permutation", f"WITH {_ST}, {_MP} SELECT round(max(o),6) AS observed_diff, round((count(*) FILTER (d>=o-1e-12)+1)/(count(*)+1),6) AS permutation_p_value FROM mp", PREDS)
 def mean_difference_permutation(spark, sf):
-    return rounded(X.mean_diff_permutation(_states(spark, sf), "g", "v", "pELS", "dELS", _B, 11))
-
-
-@query("mean_difference_bootstrap_full")
-def mean_difference_bootstrap_full(spark, sf):
-    return rounded(X.mean_diff_bootstrap(_states(spark, sf), "g", "v", "pELS", "dELS"))
-
-
-@query("mean_difference_permutation_full")
-def mean_difference_permutation_full(spark, sf):
     return rounded(X.mean_diff_permutation(_states(spark, sf), "g", "v", "pELS", "dELS"))
 
 
@@ -267,12 +256,6 @@ def sql_state_blocked(states: str) -> str:
 
 @query("state_blocked_effect", f"WITH RECURSIVE {sql_state_blocked(_ST)}", PREDS)
 def state_blocked_effect(spark, sf):
-    p = views.predictions(spark, sf).withColumn("element_type", F.when(F.col("element_type").isin("pELS", "dELS", "CA-TF"), "pELS").otherwise("dELS"))
-    return rounded(X.state_blocked_effect(p, "pELS", "dELS", "full_score", _B, _B, 11))
-
-
-@query("state_blocked_effect_full")
-def state_blocked_effect_full(spark, sf):
     p = views.predictions(spark, sf).withColumn("element_type", F.when(F.col("element_type").isin("pELS", "dELS", "CA-TF"), "pELS").otherwise("dELS"))
     return rounded(X.state_blocked_effect(p, "pELS", "dELS", "full_score"))
 

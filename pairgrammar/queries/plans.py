@@ -15,8 +15,7 @@ from pairgrammar.plans import reports as R
 from pairgrammar.plans import scoring as N
 from pairgrammar.plans import states as S
 from pairgrammar.queries.expressions import _curated
-from pairgrammar.operators.resampling import PRIME
-from pairgrammar.queries.metrics import SQL_HYPERGEOMETRIC, SQL_POISSON, sql_rank_metrics, sql_state_blocked, sql_uniform
+from pairgrammar.queries.metrics import SQL_HYPERGEOMETRIC, sql_drawn, sql_draws, sql_rank_metrics, sql_state_blocked
 from pairgrammar.queries.motifs import _CAND
 from pairgrammar.queries.registry import query, rounded
 from pairgrammar.queries.relations import PEAKS_SQL, peak_rows
@@ -349,13 +348,7 @@ _SUITE = f"""st AS MATERIALIZED (SELECT state_label, min(chromosome) AS chromoso
 @query("validation_suite", f"WITH RECURSIVE {sql_state_blocked(_SUITE)}", ("regions",))
 def validation_suite(spark, sf):
     scored, registry, peaks = _scored(spark, sf)
-    out = R.validation_suite(scored, registry, peaks, n_bootstrap=1000, n_permutations=1000)
-    return rounded(out["state_blocked"])
-
-
-@query("validation_suite_full")
-def validation_suite_full(spark, sf):
-    return rounded(R.validation_suite(*_scored(spark, sf))["state_blocked"])
+    return rounded(R.validation_suite(scored, registry, peaks)["state_blocked"])
 
 
 # ---- L13, L14, L15, L19
@@ -379,8 +372,9 @@ def _sql_two(name: str, source: str, m: str, b: str, by: str, weight: str = "1")
 
 
 @query("significance_summary", f"""WITH {_MS}, pr AS (SELECT split_name, phase, seq_id, label, f AS m, unnest(['availability_only','additive_null']) AS comparison_method, unnest([a,n]) AS b FROM ms),
-  bt AS MATERIALIZED (SELECT *, {SQL_POISSON} AS w, CASE WHEN z>{PRIME // 2} THEN b ELSE m END AS sm, CASE WHEN z>{PRIME // 2} THEN m ELSE b END AS sb FROM {sql_uniform(11, 'seq_id', 'pr', 200)}),
-  {_sql_two('ob', 'pr', 'm', 'b', _SLICE)}, {_sql_two('bo', 'bt', 'm', 'b', _SLICE + ', replicate', 'w')}, {_sql_two('pe', 'bt', 'sm', 'sb', _SLICE + ', replicate')},
+  bt AS MATERIALIZED (SELECT *, {sql_drawn('poisson')} AS w FROM {sql_draws(11, 'seq_id', 'pr', _SLICE + ', label, m, b', 5000)}),
+  sw AS MATERIALIZED (SELECT {_SLICE}, replicate, label, unnest([m,b]) AS sm, unnest([b,m]) AS sb, unnest([n-k,k]) AS w FROM (SELECT *, 1<<level AS n, {sql_drawn('swap')} AS k FROM {sql_draws(11, 'seq_id', 'pr', _SLICE + ', label, m, b', 5000)})),
+  {_sql_two('ob', 'pr', 'm', 'b', _SLICE)}, {_sql_two('bo', 'bt', 'm', 'b', _SLICE + ', replicate', 'w')}, {_sql_two('pe', 'sw', 'sm', 'sb', _SLICE + ', replicate', 'w')},
   o AS (SELECT {_SLICE}, metric_name, mv AS model_metric, bv AS baseline_metric, mv-bv AS observed_diff FROM ob),
   bs AS (SELECT {_SLICE}, metric_name, quantile_cont(d,0.025) AS ci_low, quantile_cont(d,0.975) AS ci_high, (count(*) FILTER (d<=0)+1)/(count(*)+1) AS bootstrap_p_value FROM (SELECT {_SLICE}, metric_name, coalesce(mv-bv,observed_diff) AS d FROM bo JOIN o USING ({_SLICE}, metric_name)) GROUP BY ALL),
   ps AS (SELECT {_SLICE}, metric_name, (count(*) FILTER (mv-bv>=observed_diff-1e-12)+1)/(count(*)+1) AS permutation_p_value FROM pe JOIN o USING ({_SLICE}, metric_name) GROUP BY ALL),
@@ -389,11 +383,6 @@ def _sql_two(name: str, source: str, m: str, b: str, by: str, weight: str = "1")
   SELECT {_SLICE}, metric_name, round(model_metric,6) AS model_metric, round(baseline_metric,6) AS baseline_metric, round(observed_diff,6) AS observed_diff, round(ci_low,6) AS ci_low, round(ci_high,6) AS ci_high, round(bootstrap_p_value,6) AS bootstrap_p_value,
     round(permutation_p_value,6) AS permutation_p_value, round(bh_fdr,6) AS bh_fdr, ci_low>0 AND permutation_p_value<0.05 AS significant_win, ci_low>0 AND bh_fdr<0.05 AS significant_win_fdr FROM f""", ("seed_scores",))
 def significance_summary(spark, sf):
-    return rounded(R.significance_tests(R.method_scores(views.seed_scores(spark, sf), schema.SEEDS), n_bootstrap=200, n_permutations=200))
-
-
-@query("significance_summary_full")
-def significance_summary_full(spark, sf):
     return rounded(R.significance_tests(R.method_scores(views.seed_scores(spark, sf), schema.SEEDS)))
 
 

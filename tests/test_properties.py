@@ -3,6 +3,7 @@
 import hashlib
 import inspect
 import itertools
+import math
 import random
 
 import numpy as np
@@ -152,21 +153,91 @@ def test_repeated_stream_batch_counts_once(spark, tmp_path):
 
 
 def test_replicates_do_not_depend_on_ranges(spark, monkeypatch):
-    """Metrics per replicate are the same in one range and in many, with tied scores and two groups."""
-    from pairgrammar.operators import resampling
+    """Scores that repeat, one score of all rows, and one score in each list, cut into many ranges: the same metrics."""
     rnd = random.Random(21)
-    rows = [("g" + str(i % 2), f"s{i}", float(rnd.random() < 0.4), rnd.randrange(12) / 12, rnd.randrange(12) / 12) for i in range(120)]
-    df = spark.createDataFrame(rows, "g string, seq_id string, label double, m double, b double")
+    mixed = [("g" + str(i % 2), f"s{i}", float(rnd.random() < 0.4), rnd.randrange(12) / 12, rnd.randrange(12) / 12) for i in range(120)]
+    alike = [("g0", f"s{i}", float(i % 3 == 0), 0.5, i / 200) for i in range(90)]
+    flat = [("g0", f"s{i}", float(i % 3 == 0), 0.5, 0.5 if i % 4 else 0.25) for i in range(90)]
+    for rows, size in ((mixed, 36), (alike, 18), (flat, 18)):
+        df = spark.createDataFrame(rows, "g string, seq_id string, label double, m double, b double")
+        for kind in ("poisson", "swap"):
+            found = []
+            for limit in (10**9, 300, 40):
+                monkeypatch.setattr(resampling, "TASK_CELLS", limit)
+                out = resampling.replicate_metrics(df, ["g"], kind, 9, 5, "seq_id").collect()
+                found.append(sorted((r["g"], r["replicate"], r["metric_name"], round(r["model_metric"], 9), round(r["baseline_metric"], 9)) for r in out))
+            assert found[0] == found[1] == found[2] and len(found[0]) == size
+
+
+def test_weighted_cells_equal_their_rows():
+    """What a replicate makes of cells equals sorting the rows that it drew."""
+    rnd = np.random.default_rng(3)
+    score, label, count = np.sort(rnd.integers(0, 6, 40) / 6)[::-1], rnd.integers(0, 2, 40).astype(float), rnd.integers(1, 30, 40)
+    key, first = rnd.integers(0, resampling.PRIME, 40), rnd.random(40) < 0.5
+    a, b = resampling.constants(5, 7)
     for kind in ("poisson", "swap"):
-        found = []
-        for cells in (10**9, 600):
-            monkeypatch.setattr(resampling, "TASK_CELLS", cells)
-            out = resampling.replicate_metrics(df, ["g"], kind, 9, 5, "seq_id").collect()
-            found.append(sorted((r["g"], r["replicate"], r["metric_name"], round(r["model_metric"], 9), round(r["baseline_metric"], 9)) for r in out))
-        assert found[0] == found[1] and len(found[0]) == 36
-    monkeypatch.setattr(resampling, "TASK_CELLS", 200)
-    values = df.select(F.lit(1.0).alias("_v"), resampling.row_key("seq_id").alias("_key"))
-    assert {r["subset_sum"] for r in resampling.subset_sums(values, 31, 120, 9, 5).collect()} == {31.0}
+        drawn = resampling.draws(kind, key, count, a, b)
+        got, _ = resampling._sums(score, label, key, count, first, kind, a, b, None)
+        own = first[:, None]
+        weights = (np.where(own, count[:, None] - drawn, drawn), np.where(own, drawn, count[:, None] - drawn)) if kind == "swap" else (drawn * own, drawn * ~own)
+        for side, w in enumerate(weights):
+            for r in range(7):
+                pos, neg = w[:, r] * (label > 0.5), w[:, r] * (label <= 0.5)
+                tp, fp = np.array([pos[score >= s].sum() for s in score]), np.array([neg[score >= s].sum() for s in score])
+                equal = np.array([neg[score == s].sum() for s in score])
+                want = [pos.sum(), neg.sum(), (pos * tp / np.maximum(tp + fp, 1)).sum(), (pos * (fp - equal / 2)).sum()]
+                assert got[side, :, r] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("kind", ["poisson", "swap"])
+def test_cell_draws_have_the_law_of_their_rows(kind):
+    a, b = resampling.constants(9, 4000)
+    for count in (1, 2, 7, 64, 1000, 12345, 3 * 10**9):
+        got = resampling.draws(kind, np.array([12345 + count % 1000]), np.array([count]), a, b)[0]
+        mean, var = (count, count) if kind == "poisson" else (count / 2, count / 4)
+        assert abs(got.mean() - mean) < 5 * (var / 4000) ** 0.5 and 0.85 < got.var() / var < 1.15
+        assert got.min() >= 0 and (kind == "poisson" or got.max() <= count)
+    assert resampling.thresholds("poisson", 0)[1].tolist() == [int(resampling.PRIME * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(10)]
+
+
+def test_hypergeometric_beyond_numpy(monkeypatch):
+    """The own draws against numpy's law where both work, and moments where only they do."""
+    for good, bad, size in ((30, 50, 25), (7, 400, 60), (400, 7, 390), (50, 50, 3), (1000, 3000, 900)):
+        exact = np.array([math.comb(good, k) * math.comb(bad, size - k) / math.comb(good + bad, size) for k in range(min(good, size) + 1) if size - k <= bad])
+        low = max(0, size - bad)
+        with monkeypatch.context() as m:
+            m.setattr(resampling, "NUMPY_LIMIT", 0)
+            got = resampling.hypergeometric(np.random.default_rng(1), good, bad, np.full(40000, size))
+        seen = np.bincount(got - low, minlength=len(exact))[:len(exact)] / 40000
+        assert len(exact) >= got.max() - low + 1 and np.abs(seen - exact).max() < 0.012
+    good, bad, size = 4 * 10**9, 10**10, 3 * 10**9
+    got = resampling.hypergeometric(np.random.default_rng(2), good, bad, np.full(4000, size))
+    p, n = good / (good + bad), good + bad
+    var = size * p * (1 - p) * (n - size) / (n - 1)
+    assert abs(got.mean() - size * p) < 5 * (var / 4000) ** 0.5 and 0.85 < got.var() / var < 1.15
+
+
+def test_subsets_of_counted_cells(spark, monkeypatch):
+    """Every subset has the asked size; sums over billions of rows, given by counts, have the permutation's moments."""
+    rnd = random.Random(8)
+    rows = spark.createDataFrame([(1.0, rnd.randrange(10**6), c) for c in (1, 1, 3, 8, 9, 50, 200) * 5], "_v double, _key long, _count long")
+    total = 5 * (1 + 1 + 3 + 8 + 9 + 50 + 200)
+    for limit in (10**9, 200):
+        monkeypatch.setattr(resampling, "TASK_CELLS", limit)
+        assert {r["subset_sum"] for r in resampling.subset_sums(rows, 431, total, 9, 5).collect()} == {431.0}
+    counts = [rnd.randrange(1, 10**8) for _ in range(300)] + [1, 2, 5]
+    values = [rnd.random() for _ in counts]
+    n = sum(counts)
+    assert n > 10**10
+    frame = spark.createDataFrame([(v, rnd.randrange(10**9), c) for v, c in zip(values, counts)], "_v double, _key long, _count long")
+    mean = sum(v * c for v, c in zip(values, counts)) / n
+    spread = sum((v - mean) ** 2 * c for v, c in zip(values, counts)) / n
+    size = n // 3
+    for limit in (10**9, 30000):  # one block, many blocks
+        monkeypatch.setattr(resampling, "TASK_CELLS", limit)
+        got = np.array([r["subset_sum"] for r in resampling.subset_sums(frame, size, n, 1000, 5).collect()])
+        var = size * spread * (n - size) / (n - 1)
+        assert len(got) == 1000 and abs(got.mean() - size * mean) < 5 * (var / 1000) ** 0.5 and 0.8 < got.var() / var < 1.2
 
 
 def test_layer_regions_lie_in_every_step_of_every_document(spark):
@@ -178,18 +249,18 @@ def test_layer_regions_lie_in_every_step_of_every_document(spark):
     assert selection.sample_regions(plans.layer_regions(seqs), None).count() == len(want)
 
 
-def test_full_resampling_runs_the_published_counts(spark, monkeypatch):
+def test_resampling_queries_run_the_published_counts(spark, monkeypatch):
     """Defaults against brute force on a small fixture, and what the registered queries ask for."""
     rnd = random.Random(4)
     rows = [(f"s{i}", ("pELS", "dELS")[i % 2], round(rnd.random() + 0.15 * (i % 2 == 0), 3)) for i in range(24)]
-    p = resampling.PRIME
+    p, grain = resampling.PRIME, resampling.thresholds("poisson", 0)[1].tolist()
     part = lambda text: int(hashlib.sha256(text.encode()).hexdigest()[:8], 16)
     diffs = []
     for k in range(1, 10001):
         a, b, sums = 1 + part(f"11|{k}|a") % (p - 1), part(f"11|{k}|b") % p, {"pELS": [0, 0], "dELS": [0, 0]}
         for key, g, v in rows:
             x = (part(key) % p * a + b) % p
-            w = sum((x * x % p * resampling.STEP + x) % p >= t for t in resampling.POISSON)
+            w = sum((x * x % p * resampling.STEP + x) % p >= t for t in grain)
             sums[g][0] += w * v
             sums[g][1] += w
         if sums["pELS"][1] and sums["dELS"][1]:
@@ -204,10 +275,10 @@ def test_full_resampling_runs_the_published_counts(spark, monkeypatch):
         asked.clear()
         out = QUERIES[name](spark, "/root/testdata/sf0.001")
         assert set(asked) == {least}, name
-        if name == "significance_summary_full":
+        if name == "significance_summary":
             p_values = [r["permutation_p_value"] for r in out.collect()]
             assert all(abs(v * 5001 - round(v * 5001)) < 0.01 for v in p_values)
 
 
-FULL = {"significance_summary_full": 5000, "paired_bootstrap_full": 5000, "paired_bootstrap_auroc_full": 5000, "paired_permutation_full": 5000,
-        "mean_difference_bootstrap_full": 10000, "mean_difference_permutation_full": 10000, "state_blocked_effect_full": 10000, "validation_suite_full": 10000}
+FULL = {"significance_summary": 5000, "paired_bootstrap": 5000, "paired_bootstrap_auroc": 5000, "paired_permutation": 5000, "bootstrap_ci": 1000,
+        "mean_difference_bootstrap": 10000, "mean_difference_permutation": 10000, "state_blocked_effect": 10000, "validation_suite": 10000}
