@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairgrammar.session import shared_dir
 
 
+HUB_PARTS = 4096  # a node with a larger share of all edges than one of so many is a hub: there are fewer of these
+
+
+def with_lowest(edges: DataFrame, lowest: Column, total: int) -> DataFrame:
+    """Edges (u, v) with ``m``, the lowest of all v of their u (``lowest``).
+
+    The values of hubs, fewer than ``HUB_PARTS``, go to the tasks in which their edges lie, so a hub's edges stay
+    spread; all other nodes have too few edges to fill a task by themselves.
+    """
+    low = edges.groupBy("u").agg(lowest.alias("m"), F.count("*").alias("_edges"))
+    is_hub = F.col("_edges") * HUB_PARTS > total
+    hubs = F.broadcast(low.filter(is_hub).select("u", "m"))
+    rest = low.filter(~is_hub).select("u", "m")
+    return edges.join(hubs, "u").unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(rest, "u"))
+
+
 def _fingerprint(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -15,8 +31,9 @@ def _fingerprint(edges: DataFrame):
 def connected_components(edges: DataFrame, left: str = "left_tf", right: str = "right_tf") -> DataFrame:
     """K1: ``(node, component)`` with the smallest node of the component as its name.
 
-    Alternates large-star and small-star steps (logarithmically many rounds). Each round is
-    checkpointed to the shared folder, which cuts the lineage and survives a lost executor.
+    Alternates large-star and small-star steps (logarithmically many rounds). Each step is
+    checkpointed to the shared folder, which cuts the lineage and survives a lost executor. A hub's
+    edges are never gathered in one task (``with_lowest``).
     """
     shared_dir(edges.sparkSession)
     base = edges.select(F.col(left).cast("string").alias("u"), F.col(right).cast("string").alias("v")).filter("u is not null and v is not null")
@@ -25,10 +42,8 @@ def connected_components(edges: DataFrame, left: str = "left_tf", right: str = "
     mark = _fingerprint(links)
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        large = with_lowest(both, F.least(F.min("v"), F.col("u")), 2 * mark[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        small = with_lowest(large, F.min("v"), mark[0]).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         links = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct().checkpoint()
         now = _fingerprint(links)
         if now == mark:

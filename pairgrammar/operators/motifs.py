@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairgrammar.functions.keys import pair_key
-from pairgrammar.operators.ordered import top_per_group
+from pairgrammar.operators.ordered import ranked, top_per_group
 from pairgrammar.session import materialize
 
 PSEUDOCOUNT = 1e-3
@@ -152,51 +152,6 @@ def hit_counts(hits: DataFrame, edges: DataFrame) -> DataFrame:
         ((F.col("g") * (F.col("g") - 1) / 2).cast("long") + F.coalesce("extra", F.lit(0))).alias("observed_pair_candidate_count"))
 
 
-_SELECTED = T.ArrayType(T.StructType([
-    T.StructField("l", T.IntegerType()), T.StructField("r", T.IntegerType()),
-]))
-
-
-def _best_pairs(hits: list, n: int, gap: float, excluded: set) -> list:
-    """Index pairs of the best ``n`` unsupported pairs of one sequence, widest width sum first.
-
-    Width classes are visited by falling sum and the visit stops once ``n`` pairs are found.
-    """
-    gene = np.array([h["tf_id"] for h in hits])
-    start, end, rank = (np.array([h[c] for h in hits]) for c in ("start", "end", "hit_rank"))
-    width = end - start
-    if len(set(gene)) < 2:
-        pairs = [(i, j) for i in range(len(hits)) for j in range(len(hits)) if rank[i] < rank[j]]
-        pairs.sort(key=lambda p: (-(width[p[0]] + width[p[1]]), abs(start[p[1]] - end[p[0]] - gap),
-                                  max(0, min(end[p[0]], end[p[1]]) - max(start[p[0]], start[p[1]])), rank[p[0]] + rank[p[1]]))
-        return pairs[:n]
-    classes = {w: np.flatnonzero(width == w) for w in np.unique(width)}
-    sums = sorted({a + b for a in classes for b in classes}, reverse=True)
-    found: list = []
-    for total in sums:
-        ls, rs = [], []
-        for w, idx in classes.items():
-            other = classes.get(total - w)
-            if other is None:
-                continue
-            i, j = np.repeat(idx, len(other)), np.tile(other, len(idx))
-            ok = gene[i] < gene[j]
-            ls.append(i[ok])
-            rs.append(j[ok])
-        l, r = np.concatenate(ls), np.concatenate(rs)
-        if excluded and len(l):
-            free = np.array([(a, b) not in excluded for a, b in zip(gene[l], gene[r])])
-            l, r = l[free], r[free]
-        if not len(l):
-            continue
-        over = np.maximum(0, np.minimum(end[l], end[r]) - np.maximum(start[l], start[r]))
-        order = np.lexsort((rank[l], gene[r], gene[l], rank[l] + rank[r], over, np.abs(start[r] - end[l] - gap)))
-        found += [(int(l[o]), int(r[o])) for o in order[: n - len(found)]]
-        if len(found) >= n:
-            break
-    return found
-
-
 PAIR_ORDER = ["-reference_supported", "-width_sum", "gap_penalty", "overlap_len", "rank_sum", "left_tf", "right_tf", "left_rank"]
 
 
@@ -215,34 +170,82 @@ def _pair_columns(prefer_gap: float):
     ]
 
 
+def _wanted_classes(units: DataFrame, need: int) -> DataFrame:
+    """(seq_id, left_width, right_width) of the widest sums that hold ``need`` pairs; all, if there are fewer.
+
+    ``units``: seq_id, width, unit; pairs join different units. A sequence has as many classes as its motifs have
+    lengths, and their pairs are counted, never formed.
+    """
+    sizes = units.distinct().groupBy("seq_id", "width").agg(F.count("*").alias("k"))
+    other = sizes.select("seq_id", F.col("width").alias("wide"), F.col("k").alias("j"))
+    both = sizes.join(other, "seq_id").filter("wide >= width")
+    # a unit may have hits of several widths: it makes no pair with itself
+    sure = F.when(F.col("wide") == F.col("width"), F.col("k") * (F.col("k") - 1) / 2).otherwise(F.col("k") * F.col("j") - F.least("k", "j"))
+    counted = both.select("seq_id", "width", "wide", (-(F.col("width") + F.col("wide"))).alias("total"), sure.alias("sure"))
+    above = Window.partitionBy("seq_id").orderBy("total").rangeBetween(Window.unboundedPreceding, -1)
+    kept = counted.withColumn("found", F.coalesce(F.sum("sure").over(above), F.lit(0))).filter(F.col("found") < need)
+    pairs = F.explode(F.array_distinct(F.array(F.struct(F.col("width").alias("l"), F.col("wide").alias("r")), F.struct(F.col("wide").alias("l"), F.col("width").alias("r"))))).alias("p")
+    return kept.select("seq_id", pairs).select("seq_id", F.col("p.l").alias("left_width"), F.col("p.r").alias("right_width"))
+
+
+def _nearest_pairs(hits: DataFrame, classes: DataFrame, reach: int, top_bit: Column, gap: float) -> DataFrame:
+    """(seq_id, l, r): of every hit, the ``reach`` best partners on either side of where its gap would be kept, in each width class.
+
+    ``hits``: seq_id, order, h; a pair's left hit has the smaller ``order``. Two orders differ first in one
+    bit, where the left one has 0: the pair meets in that bit's block and nowhere else. In a block
+    partners lie in line by start, and each asking hit takes what lies next to its place: a two-sided as-of join.
+    """
+    width = F.col("h.end") - F.col("h.start")
+    levels = F.explode(F.sequence(F.lit(0), top_bit)).alias("bit")
+    side = lambda rows, value: rows.select("*", levels).filter((F.expr("shiftright(order, bit)") % 2) == value).withColumn("block", F.expr("shiftright(order, bit + 1)"))
+    asking = hits.withColumn("left_width", width).join(classes, ["seq_id", "left_width"])
+    asking = side(asking, 0).select("seq_id", F.col("right_width").alias("width"), "bit", "block", (F.col("h.end") + gap).alias("at"), F.lit(0).alias("kind"), F.col("h").alias("l"))
+    answers = hits.withColumn("right_width", width).join(classes.select("seq_id", "right_width").distinct(), ["seq_id", "right_width"])
+    answers = side(answers, 1).select("seq_id", F.col("right_width").alias("width"), "bit", "block", F.col("h.start").cast("double").alias("at"), F.lit(1).alias("kind"), F.col("h").alias("r"))
+    keys = ["seq_id", "width", "bit", "block"]
+    rank, tf = F.col("r.hit_rank"), F.col("r.tf_id")
+    block = Window.partitionBy(*keys)
+    down, up = block.orderBy(F.desc("at"), rank, tf), block.orderBy("at", rank, tf)  # partners before a place, and from it on, best first
+    line = lambda order: F.filter(F.array(*[F.lead("r", i).over(order) if i else F.col("r") for i in range(reach)]), lambda x: x.isNotNull())
+    answers = answers.withColumn("before", line(down)).withColumn("behind", line(up))
+    every = asking.unionByName(answers, allowMissingColumns=True)
+    until = lambda order: order.rowsBetween(Window.unboundedPreceding, -1)
+    rising, falling = block.orderBy("at", "kind", F.desc(rank), F.desc(tf)), block.orderBy(F.desc("at"), F.desc("kind"), F.desc(rank), F.desc(tf))
+    met = every.select(
+        "seq_id", "kind", "l", F.last("before", ignorenulls=True).over(until(rising)).alias("before"), F.last("behind", ignorenulls=True).over(until(falling)).alias("behind")).filter("kind = 0")
+    none = F.array().cast(answers.schema["before"].dataType)
+    return met.select("seq_id", "l", F.explode(F.concat(F.coalesce("before", none), F.coalesce("behind", none))).alias("r"))
+
+
 def select_pairs(hits: DataFrame, edges: DataFrame, per_seq: int = 1, prefer_gap: float = 6.0) -> DataFrame:
     """Best ``per_seq`` anchor pairs per sequence; reference pairs first, then other gene pairs, then one gene with itself.
 
-    Supported pairs come from a join over the edge list. Sequences with too few of them gather
-    their hits (at most top-k per motif) and pick the rest without forming every pair.
+    Supported pairs come from a join over the edge list. Sequences with too few of them search the
+    rest in their widest classes for the partners nearest to the preferred gap; no list of a sequence's hits is gathered
+    and not all pairs are formed. A sequence of one gene pairs its hits, the better one on the left.
     """
-    packed = materialize(hits).select("seq_id", "tf_id", F.struct("tf_id", "start", "end", "strand", "score", "hit_rank").alias("h"))
+    hits = materialize(hits)
+    packed = hits.select("seq_id", "tf_id", F.struct("tf_id", "start", "end", "strand", "score", "hit_rank").alias("h"))
     links = edges.select(F.least("left_tf", "right_tf").alias("a"), F.greatest("left_tf", "right_tf").alias("b")).filter("a <> b").distinct()
     left = packed.select("seq_id", F.col("tf_id").alias("a"), F.col("h").alias("l")).join(links, "a")
     right = packed.select("seq_id", F.col("tf_id").alias("b"), F.col("h").alias("r"))
     supported = left.join(right, ["seq_id", "b"]).select(*_pair_columns(prefer_gap)).withColumn("reference_supported", F.lit(1)).withColumn("pair_mode", F.lit("heterotypic_reference"))
-    supported = top_per_group(supported, ["seq_id"], PAIR_ORDER, per_seq)
-    have = supported.groupBy("seq_id").agg(F.count("*").alias("_n"), F.collect_set(F.struct("left_tf", "right_tf")).alias("_known"))
-
-    short = packed.groupBy("seq_id").agg(F.array_sort(F.collect_list("h")).alias("hits")).join(have, "seq_id", "left").filter(F.coalesce("_n", F.lit(0)) < per_seq)
-
-    @F.pandas_udf(_SELECTED)
-    def pick(hits: pd.Series, known: pd.Series) -> pd.Series:
-        return pd.Series([
-            [{"l": l, "r": r} for l, r in _best_pairs(list(h), per_seq, prefer_gap, {(k["left_tf"], k["right_tf"]) for k in (ks if ks is not None else [])})]
-            for h, ks in zip(hits, known)])
-
-    chosen = short.select("seq_id", "hits", F.explode(pick("hits", "_known")).alias("p"))
-    rest = chosen.select("seq_id", F.get("hits", F.col("p.l")).alias("l"), F.get("hits", F.col("p.r")).alias("r")).select(*_pair_columns(prefer_gap))
+    supported = materialize(top_per_group(supported, ["seq_id"], PAIR_ORDER, per_seq))
+    full = supported.groupBy("seq_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= per_seq)
+
+    short = packed.join(full.select("seq_id"), "seq_id", "left_anti")
+    genes = ranked(hits.select("tf_id").distinct(), [], ["tf_id"], "_gene")
+    own = Window.partitionBy("seq_id")
+    order = F.when(F.min("tf_id").over(own) == F.max("tf_id").over(own), F.col("h.hit_rank").cast("long")).otherwise(F.col("_gene"))
+    rows = materialize(short.join(genes, "tf_id").select("seq_id", order.alias("order"), "h"))
+    top_bit = hits.agg(F.floor(F.log2(F.greatest(F.count_distinct("tf_id"), F.max("hit_rank"), F.lit(1)))).cast("int")).scalar()
+    # all supported pairs of such a sequence are known and fewer than per_seq: so many more are searched
+    reach = 2 * per_seq - 1
+    classes = materialize(_wanted_classes(rows.select("seq_id", (F.col("h.end") - F.col("h.start")).alias("width"), F.col("order").alias("unit")), reach))
+    rest = _nearest_pairs(rows, classes, reach, top_bit, prefer_gap).select(*_pair_columns(prefer_gap))
+    known = supported.select("seq_id", "left_tf", "right_tf").distinct()
     mode = F.when(F.col("left_tf") == F.col("right_tf"), "homotypic_fallback").otherwise("heterotypic_fallback")
-    rest = rest.withColumn("reference_supported", F.lit(0)).withColumn("pair_mode", mode)
-    # one gene with itself only counts when nothing else was found
-    rest = rest.join(have.select("seq_id").withColumn("_has", F.lit(True)), "seq_id", "left").filter(F.col("_has").isNull() | (F.col("pair_mode") != "homotypic_fallback")).drop("_has")
+    rest = rest.join(known, ["seq_id", "left_tf", "right_tf"], "left_anti").withColumn("reference_supported", F.lit(0)).withColumn("pair_mode", mode)
     return top_per_group(supported.unionByName(rest), ["seq_id"], PAIR_ORDER, per_seq, name="pair_rank", keep_rank=True).withColumn("pair_rank", F.col("pair_rank") - 1)
 
 

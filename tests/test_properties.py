@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairgrammar.operators import examples, intervals, joins, motifs, ordered, resampling, selection, stats
+from pairgrammar.operators import examples, graph, intervals, joins, motifs, ordered, resampling, selection, stats
 from pairgrammar.queries import plans
 from pairgrammar.queries.catalog import QUERIES
 from pairgrammar.streaming import jobs
@@ -89,6 +89,47 @@ def test_selected_pairs_equal_all_pairs(spark):
         assert got[s] == [(a[1], b[1], a[2], b[2]) for a, b in sorted(pairs, key=order)[:3]]
 
 
+def test_pairs_are_found_without_python(spark):
+    """Many genes of one width, so that partners are searched by place; ties in place; hits of one gene only; and a plan of the JVM alone."""
+    rnd = random.Random(12)
+    hits = []
+    for s in range(12):
+        for t in range(rnd.choice((1, 2, 9, 30))):
+            for rank in range(rnd.choice((1, 2, 5))):
+                a = rnd.randrange(12) * 3
+                hits.append((f"s{s}", f"t{t:02d}", a, a + (7 if t % 5 else 8), rnd.choice("+-"), 1.0, rank))
+    edges = [("t00", "t01"), ("t05", "t02"), ("t03", "t03")]
+    df = spark.createDataFrame(hits, "seq_id string, tf_id string, start int, end int, strand string, score double, hit_rank int")
+    known = {tuple(sorted(e)) for e in edges if e[0] != e[1]}
+    for n in (1, 4):
+        out = motifs.select_pairs(df, spark.createDataFrame(edges, "left_tf string, right_tf string"), n)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+        got = {}
+        for r in out.orderBy("seq_id", "pair_rank").collect():
+            got.setdefault(r["seq_id"], []).append((r["left_tf"], r["right_tf"], r["left_start"], r["right_start"], r["left_rank"], r["right_rank"]))
+        for s in {h[0] for h in hits}:
+            mine = [h for h in hits if h[0] == s]
+            pairs = [(a, b) for a in mine for b in mine if a[1] < b[1]] or [(a, b) for a in mine for b in mine if a[6] < b[6]]
+            def order(p):
+                a, b = p
+                return (-((a[1], b[1]) in known), -(a[3] - a[2] + b[3] - b[2]), abs(b[2] - a[3] - 6), max(0, min(a[3], b[3]) - max(a[2], b[2])), a[6] + b[6], a[1], b[1], a[6])
+            assert got.get(s, []) == [(a[1], b[1], a[2], b[2], a[6], b[6]) for a, b in sorted(pairs, key=order)[:n]]
+
+
+def test_hubs_stay_spread(spark):
+    """A star with nearly all edges on one node: no task holds more than a quarter of the rows, and components are right."""
+    star = [("hub", f"n{i:05d}") for i in range(6000)] + [(f"x{i}", f"x{i + 1}") for i in range(20)] + [("n00003", "tail")]
+    edges = spark.createDataFrame(star, "left_tf string, right_tf string").repartition(8)
+    both = edges.select(F.col("left_tf").alias("u"), F.col("right_tf").alias("v")).unionByName(edges.select(F.col("right_tf").alias("u"), F.col("left_tf").alias("v")))
+    near = graph.with_lowest(both, F.min("v"), 2 * len(star))
+    sizes = [r["count"] for r in near.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2 * len(star) and max(sizes) <= sum(sizes) / 4
+    assert {(r["u"], r["m"]) for r in near.select("u", "m").distinct().collect()} >= {("hub", "n00000"), ("tail", "n00003"), ("n00003", "hub"), ("x0", "x1")}
+    found = {r["node"]: r["component"] for r in graph.connected_components(edges).collect()}
+    assert {n for n, c in found.items() if c == "hub"} == {"hub", "tail", *[f"n{i:05d}" for i in range(6000)]} and {found[f"x{i}"] for i in range(21)} == {"x0"}
+
+
 def test_scan_equals_naive_scan(spark):
     rnd = random.Random(1)
     seqs = [(f"s{i}", "".join(rnd.choice("ACGTN") for _ in range(rnd.choice([3, 20, 31])))) for i in range(8)]
