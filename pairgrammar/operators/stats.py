@@ -19,12 +19,6 @@ from pairgrammar.operators.resampling import cells, replicate_metrics, row_key,
 from pairgrammar.session import cut_lineage
 
 
-def explode_range(df: DataFrame, low: Column, high: Column, name: str, block: int = 65536) -> DataFrame:
-    """One row per integer in ``low..high``; blocks first, so no array holds the whole range."""
-    first = df.withColumn("_hi", high.cast("long")).withColumn("_at", F.explode(F.sequence(low.cast("long"), high.cast("long"), F.lit(block).cast("long"))))
-    return first.withColumn(name, F.explode(F.sequence("_at", F.least(F.col("_at") + block - 1, F.col("_hi"))))).drop("_hi", "_at")
-
-
 def _size(df: DataFrame) -> Column:
     return df.agg(F.count("*").alias("n")).scalar()
 
@@ -93,29 +87,70 @@ def claim_table(sig: DataFrame, preferred: list[str], keys=("split_name", "phase
     return best.withColumnRenamed("comparison_method", "best_baseline").withColumnRenamed("observed_diff", "lead")
 
 
+FISHER_BLOCK = 4096  # tables weighed at once
+
+
+def _log_steps(r: int, s: int, n: int, k: np.ndarray) -> np.ndarray:
+    """Logarithm of weight(k + 1) / weight(k); r and s are the margins of a, n all rows."""
+    return np.log(r - k) + np.log(s - k) - np.log(k + 1) - np.log(n - r - s + k + 1)
+
+
+def _outward(r: int, s: int, n: int, start: int, end: int) -> float:
+    """Weights of the tables from ``start`` on to ``end`` over that of ``start``, away from the mode.
+
+    Ratios of neighbours fall on the way, so all that is left is below a geometric series: once that cannot
+    change the sum, it stops.
+    """
+    total, log, k, way = 1.0, 0.0, start, 1 if end >= start else -1
+    while k != end:
+        at = np.arange(k, k + way * min(FISHER_BLOCK, abs(end - k)), way, dtype=float)
+        steps = _log_steps(r, s, n, at) if way > 0 else -_log_steps(r, s, n, at - 1)
+        logs = log + np.cumsum(steps)
+        total += float(np.exp(logs).sum())
+        log, k = float(logs[-1]), k + way * len(at)
+        ratio = math.exp(min(steps[-1], 0.0))
+        if ratio < 1 and math.exp(log) * ratio / (1 - ratio) < 1e-17 * total:
+            break
+    return total
+
+
+def _log_between(r: int, s: int, n: int, start: int, end: int) -> float:
+    """Logarithm of weight(end) / weight(start)."""
+    low, high = min(start, end), max(start, end)
+    if high - low <= 1 << 20:
+        found = float(_log_steps(r, s, n, np.arange(low, high, dtype=float)).sum())
+    else:
+        weight = lambda k: -sum(math.lgamma(x + 1) for x in (k, r - k, s - k, n - r - s + k))
+        found = weight(high) - weight(low)
+    return found if end >= start else -found
+
+
+def fisher_tail(a: int, b: int, c: int, d: int) -> float:
+    """P(as many as ``a`` or more) in tables of the same margins."""
+    r, s, n = a + b, a + c, a + b + c + d
+    low, high = max(0, a - d), min(r, s)
+    if a <= low:
+        return 1.0
+    mode = min(max((r + 1) * (s + 1) // (n + 2), low), high)
+    total = _outward(r, s, n, mode, high) + _outward(r, s, n, mode, low) - 1.0
+    if a > mode:
+        return min(1.0, math.exp(_log_between(r, s, n, mode, a)) * _outward(r, s, n, a, high) / total)
+    return max(0.0, 1.0 - math.exp(_log_between(r, s, n, mode, a - 1)) * _outward(r, s, n, a - 1, low) / total)
+
+
 def fisher_greater(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One-sided Fisher exact test on columns a, b, c, d.
+    """One-sided Fisher exact test on columns a, b, c, d: one row a table.
 
-    Consecutive table probabilities differ by a ratio of counts, so the log weights are a running
-    sum of logs over k and no log-gamma is needed. Rows are spread per k before the sums.
+    Weights are summed from the likeliest and from the observed table outward, until the rest is bounded below rounding:
+    some standard deviations' worth of tables, not all that the margins allow. Null counts give null.
     """
-    keys = keys or []
+    def tails(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([None if any(pd.isna(x) for x in t) else fisher_tail(*map(int, t)) for t in zip(a, b, c, d)], dtype="float64")
+
     a, b, c, d = (F.col(x).cast("long") for x in "abcd")
-    low, high = F.greatest(F.lit(0).cast("long"), a - d), F.least(a + b, a + c)
-    # weight(k + 1) / weight(k) = (r - k)(s - k) / ((k + 1)(n - r - s + k + 1)), r and s the margins of a
-    spread = explode_range(counts.withColumn("_lo", low), low, high, "_k")
-    r, s, n = a + b, a + c, a + b + c + d
-    k = F.col("_k")
-    ratio = F.when(k > F.col("_lo"), F.ln(((r - k + 1) * (s - k + 1)).cast("double")) - F.ln((k * (n - r - s + k)).cast("double"))).otherwise(0.0)
-    run = running(spread.withColumn("_step", ratio), keys, ["_k"], {"_log": ("sum", F.col("_step"))})
-    top = run.groupBy(*keys).agg(F.max("_log").alias("_max"))
-    # log weights are shifted by their maximum so that exp() stays finite
-    shifted = run.join(top, keys) if keys else run.withColumn("_max", top.scalar())
-    w = F.exp(F.col("_log") - F.col("_max"))
-    tail = shifted.groupBy(*keys, "a", "b", "c", "d").agg((F.sum(F.when(k >= F.col("a"), w).otherwise(0.0)) / F.sum(w)).alias("p_value"))
     ad, bc = F.col("a").cast("double") * F.col("d"), F.col("b").cast("double") * F.col("c")
     odds = F.when((ad == 0) & (bc == 0), F.lit(float("nan"))).when(bc == 0, F.lit(float("inf"))).otherwise(ad / bc)
-    return tail.withColumn("odds_ratio", odds)
+    return counts.select(*(keys or []), "a", "b", "c", "d", F.pandas_udf(tails, "double")(a, b, c, d).alias("p_value"), odds.alias("odds_ratio"))
 
 
 def _normal_tail(z: pd.Series) -> pd.Series:

@@ -34,9 +34,9 @@ def motif_cutoffs(spark, sf):
     return rounded(M.motif_stats(M.build_pwm(views.motif_positions(spark, sf))))
 
 
-@query("scan_motifs", 'SELECT seq_id, tf_id, start, "end", strand, score, hit_rank FROM hits WHERE hit_rank<4', H)
+@query("scan_motifs", 'SELECT seq_id, tf_id, start, "end", strand, score, hit_rank FROM hits WHERE hit_rank<24', H)
 def scan_motifs(spark, sf):
-    return M.scan_motifs(views.windows(spark, sf), library(spark, sf), top_k=4).select(
+    return M.scan_motifs(views.windows(spark, sf), library(spark, sf)).select(
         "seq_id", "tf_id", *[F.col(c).cast("long").alias(c) for c in ("start", "end", "hit_rank")], "strand", "score")
 
 

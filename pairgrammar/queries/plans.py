@@ -188,14 +188,16 @@ def state_data(spark, sf):
     return S.prepare_state_data(kept, kept.select("state_label").distinct())["phase_counts"]
 
 
-@query("functional_candidates")
+@query("functional_candidates", f"""WITH {_CAND}, pk AS (SELECT seq_id, pair_mode FROM sel WHERE pair_rank=0), st AS (SELECT seq_id, pair_mode IS NOT NULL AS has_candidate, coalesce(pair_mode,'') AS pair_mode FROM windows LEFT JOIN pk USING (seq_id))
+  SELECT has_candidate, st.pair_mode, count(*) AS n, coalesce(any_value(r."rows"),0) AS "rows" FROM st LEFT JOIN (SELECT pair_mode, count(*) AS "rows" FROM pk GROUP BY 1) r USING (pair_mode) GROUP BY 1,2""", ("windows", "hits", "edges"))
 def functional_candidates(spark, sf):
     rows, status = S.functional_candidates(views.windows(spark, sf).select("seq_id", "sequence", "label", "chromosome"), views.motif_positions(spark, sf), views.edges(spark, sf))
     n = rows.groupBy("pair_mode").agg(F.count("*").alias("rows"))
-    return status.groupBy("has_candidate", "pair_mode").agg(F.count("*").alias("n")).join(n, "pair_mode", "left")
+    return status.groupBy("has_candidate", "pair_mode").agg(F.count("*").alias("n")).join(n, "pair_mode", "left").fillna(0, ["rows"])
 
 
-@query("expanded_candidates")
+@query("expanded_candidates", f"""WITH {_CAND.replace('hit_rank<2', 'hit_rank<3')}, ex AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (sup) OVER w AS ns FROM sel WHERE pair_rank<3 AND pair_mode<>'homotypic_fallback' WINDOW w AS (PARTITION BY seq_id))
+  SELECT left_tf||'::'||right_tf AS tf_pair_label, count(*) AS n, CAST(count(*) FILTER (sup) AS DOUBLE) AS positives FROM ex WHERE n>=2 AND ns=1 GROUP BY 1""", ("hits", "edges"))
 def expanded_candidates(spark, sf):
     w = views.windows(spark, sf).select("seq_id", "sequence", F.col("seq_id").alias("state_label"), "phase", "chromosome", F.lit(1.0).alias("state_total_fragment_count"), F.lit(1.0).alias("state_supporting_files"))
     return S.expanded_candidates(w, views.motif_positions(spark, sf), views.edges(spark, sf), 3).groupBy("tf_pair_label").agg(F.count("*").alias("n"), F.sum("label").alias("positives"))

@@ -105,6 +105,30 @@ def test_bh_fisher_mann_whitney(spark):
     assert stats.mann_whitney(mw, "g", "v", "p", "q").first()["p_value"] == pytest.approx(1 / 6)
 
 
+def test_fisher_tail_against_all_tables():
+    from math import comb
+    for a, b, c, d in ((3, 0, 0, 3), (0, 4, 5, 1), (5, 5, 5, 5), (12, 3, 2, 30), (0, 0, 3, 2), (40, 400, 3, 900), (1, 0, 0, 0), (0, 0, 0, 0), (700, 5, 800, 6)):
+        r, s, n = a + b, a + c, a + b + c + d
+        ways = {k: comb(r, k) * comb(n - r, s - k) for k in range(max(0, a - d), min(r, s) + 1)}
+        assert stats.fisher_tail(a, b, c, d) == pytest.approx(sum(w for k, w in ways.items() if k >= a) / sum(ways.values()), rel=1e-10)
+
+
+def test_fisher_tail_of_large_margins(spark):
+    import math
+    import time
+    start = time.perf_counter()
+    for shift in (0, 10_000, -10_000, 40_000):
+        k = 50_000_000
+        p = stats.fisher_tail(k + shift, k - shift, k - shift, k + shift)
+        z = (shift - 0.5) / math.sqrt(k / 4)  # the variance of a is n / 16 with all margins n / 2
+        assert p == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), rel=5e-3, abs=1e-20)
+    assert 0 <= stats.fisher_tail(10**8, 1, 1, 10**8) < 1e-300
+    assert time.perf_counter() - start < 10
+    rows = spark.createDataFrame([("x", 3, 0, 0, 3), ("y", None, 1, 1, 1), (None, 1, 2, 3, 4)], "k string, a long, b long, c long, d long")
+    found = {r["k"]: r["p_value"] for r in stats.fisher_greater(rows, ["k"]).collect()}
+    assert found["x"] == pytest.approx(0.05) and found["y"] is None and 0 < found[None] < 1
+
+
 def test_exact_u_tail_against_all_subsets():
     from itertools import combinations
     for n1, n2 in ((2, 3), (3, 4), (5, 2)):
