@@ -3,7 +3,7 @@
 Both sides are exploded over the bins they touch and joined on (chromosome, bin). A pair that
 shares several bins is kept only in the first shared one. Bins that hold very many rows are
 split: the point side gets a salt from its hash and the region side is copied per salt. Plain counts
-need no join: see ``count_overlaps``.
+need no join: see ``count_marked``.
 """
 
 from __future__ import annotations
@@ -37,33 +37,55 @@ def overlap_pairs(regions: DataFrame, fragments: DataFrame, bin_size: int = BIN,
     return joined.filter(hit).drop("_bin", "_salt", "_r_bin", "_f_bin")
 
 
-def count_overlaps(regions: DataFrame, fragments: DataFrame, keys: list[str], bin_size: int = BIN, salts: int = 1, extra: list[str] | None = None) -> DataFrame:
-    """Fragments per region; regions without a hit count 0. A region's end is not before its start.
+def overlap_marks(fragments: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """How many fragments start and end at a place: ``chromosome``, ``by``, ``at``, ``order``, ``started``, ``ended``.
+
+    Marks of several sets of fragments add up to those of all, in any order. Ends come before a region's bounds at the
+    same place, starts behind them. Empty fragments and those without a chromosome have none.
+    """
+    by = by or []
+    places = F.explode(F.array(
+        F.struct(F.col("start").cast("long").alias("at"), F.lit(2).alias("order"), F.lit(1).alias("started"), F.lit(0).alias("ended")),
+        F.struct(F.col("end").cast("long").alias("at"), F.lit(0).alias("order"), F.lit(0).alias("started"), F.lit(1).alias("ended")))).alias("p")
+    return merge_marks(fragments.filter((F.col("end") > F.col("start")) & F.col("chromosome").isNotNull()).select("chromosome", *by, places).select("chromosome", *by, "p.*"), by)
+
+
+def merge_marks(marks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Marks of several sets of fragments as one, with partial sums in the tasks."""
+    return marks.groupBy("chromosome", *(by or []), "at", "order").agg(F.sum("started").alias("started"), F.sum("ended").alias("ended"))
+
+
+def count_marked(regions: DataFrame, marks: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """``keys``, ``by``, ``fragment_count`` of every region, and every value of ``by`` on its chromosome, from fragments' marks.
 
     The fragments that begin before a region's end, less those that end by its start: two running
-    totals along the chromosome, whatever is crowded and however many hits there are. Per ``extra``
-    column the hits are joined by bins instead, from fragments collapsed with their count, and
-    pairs without a hit are left out.
+    totals along the chromosome, whatever is crowded and however many hits there are. Groups with no mark are left out.
     """
-    slim = regions.select(*dict.fromkeys([*keys, "chromosome", "region_start", "region_end"]))
-    real = fragments.filter(F.col("end") > F.col("start"))
-    if extra:
-        packed = real.groupBy("chromosome", "start", "end", *extra).agg(F.count("*").alias("_copies"))
-        return overlap_pairs(slim, packed, bin_size, salts).groupBy(*keys, *extra).agg(F.sum("_copies").alias("fragment_count"))
-    zero = F.lit(0).cast("long")
-    none = [F.lit(None).cast(slim.schema[k].dataType).alias(k) for k in keys]
-    places = F.explode(F.array(  # ends come before a region's bounds at the same place, starts behind them
-        F.struct(F.col("start").cast("long").alias("_at"), F.lit(2).alias("_order"), F.lit(1).alias("_start"), F.lit(0).alias("_end")),
-        F.struct(F.col("end").cast("long").alias("_at"), F.lit(0).alias("_order"), F.lit(0).alias("_start"), F.lit(1).alias("_end")))).alias("p")
-    marks = real.filter("chromosome is not null").select("chromosome", places).select("chromosome", "p.*").groupBy("chromosome", "_at", "_order").agg(
-        F.sum("_start").alias("_start"), F.sum("_end").alias("_end"))
-    marks = marks.select(F.col("chromosome").alias("_c"), "_at", "_order", "_start", "_end", *none, F.lit(None).cast("int").alias("_side"))
+    by = by or []
+    marks = cut_lineage(marks)
+    slim = regions.filter("chromosome is not null").select(*dict.fromkeys([*keys, "chromosome", "region_start", "region_end"]))
     bounds = F.explode(F.array(
-        F.struct(F.col("region_end").cast("long").alias("_at"), F.lit(1).alias("_side")), F.struct(F.col("region_start").cast("long").alias("_at"), F.lit(-1).alias("_side")))).alias("p")
-    asked = slim.filter("chromosome is not null").select(F.col("chromosome").alias("_c"), *keys, bounds).select(
-        "_c", "p._at", F.lit(1).alias("_order"), zero.alias("_start"), zero.alias("_end"), *keys, "p._side")
-    run = running(marks.unionByName(asked), ["_c"], ["_at", "_order"], {"_begun": ("sum", F.col("_start")), "_over": ("sum", F.col("_end"))})
-    hits = run.filter("_side is not null").groupBy(*keys).agg(F.sum(F.when(F.col("_side") > 0, F.col("_begun")).otherwise(-F.col("_over"))).alias("fragment_count"))
+        F.struct(F.col("region_end").cast("long").alias("at"), F.lit(1).alias("_side")), F.struct(F.col("region_start").cast("long").alias("at"), F.lit(-1).alias("_side")))).alias("p")
+    asked = slim.join(marks.select("chromosome", *by).distinct(), "chromosome") if by else slim
+    zero = F.lit(0).cast("long")
+    named = {k: f"_key{i}" for i, k in enumerate(keys)}
+    asked = asked.select(F.col("chromosome").alias("_c"), *by, *[F.col(k).alias(n) for k, n in named.items()], bounds).select(
+        "_c", *by, "p.at", F.lit(1).alias("order"), zero.alias("started"), zero.alias("ended"), *named.values(), "p._side")
+    both = marks.withColumnRenamed("chromosome", "_c").unionByName(asked, allowMissingColumns=True)
+    run = running(both, ["_c", *by], ["at", "order"], {"_begun": ("sum", F.col("started")), "_over": ("sum", F.col("ended"))})
+    return run.filter("_side is not null").groupBy(*[F.col(n).alias(k) for k, n in named.items()], *by).agg(
+        F.sum(F.when(F.col("_side") > 0, F.col("_begun")).otherwise(-F.col("_over"))).cast("long").alias("fragment_count"))
+
+
+def count_overlaps(regions: DataFrame, fragments: DataFrame, keys: list[str], extra: list[str] | None = None) -> DataFrame:
+    """Fragments per region; regions without a hit count 0. A region's end is not before its start.
+
+    Per ``extra`` column the counts of each of its values, where there are any; pairs without a hit are left out.
+    No hit is formed: see ``count_marked``.
+    """
+    hits = count_marked(regions, overlap_marks(fragments, extra), keys, extra)
+    if extra:
+        return hits.filter("fragment_count > 0")
     return regions.join(hits, keys, "left").withColumn("fragment_count", F.coalesce("fragment_count", F.lit(0)).cast("long"))
 
 

@@ -44,10 +44,10 @@ def hydrate_states(states: DataFrame, chunks: DataFrame, chunk_size: int, window
     return N.hydrate_windows(placed, chunks, window, chunk_size, key="state_label", lengths=lengths).withColumn("gc_content", gc_content("sequence"))
 
 
-def rank_states(regions: DataFrame, fragments: DataFrame, max_regions: int | None, keep: int, bin_size: int = N.BIN) -> DataFrame:
+def rank_states(regions: DataFrame, fragments: DataFrame, max_regions: int | None, keep: int) -> DataFrame:
     """Sampled regions with their fragment support, best supported first."""
     sampled = W.sample_regions(regions, max_regions)
-    per = N.count_overlaps(sampled, fragments, ["state_label"], bin_size, extra=["file_id"])
+    per = N.count_overlaps(sampled, fragments, ["state_label"], extra=["file_id"])
     support = N.support_counts(per, ["state_label"])
     return W.top_rows(sampled.join(support, "state_label"), ["-total_fragment_count", "-supporting_files", "chromosome", "region_start"], keep)
 
@@ -130,14 +130,14 @@ def candidate_rows(states: DataFrame, hits: DataFrame, edges: DataFrame, consens
 
 
 def build_state_layer(regions: DataFrame, fragments: DataFrame, chunks: DataFrame, positions: DataFrame, edges: DataFrame, chunk_size: int,
-                      max_regions: int | None = 4096, max_states: int = 256, multiplier: int = 4, max_pairs: int = 1, max_monomers: int = 1, impute: bool = True, bin_size: int = N.BIN,
+                      max_regions: int | None = 4096, max_states: int = 256, multiplier: int = 4, max_pairs: int = 1, max_monomers: int = 1, impute: bool = True,
                       lengths: DataFrame | None = None) -> dict[str, DataFrame]:
     """Candidates, state features and audit from regions, fragments, genome chunks and motifs.
 
     ``lengths`` (chromosome, chromosome_length) keeps regions whose window passes a chromosome's end. States whose
     bases are not all there take no further part and come back as ``incomplete``.
     """
-    ranked_states = rank_states(regions, fragments, max_regions, max(max_states * max(multiplier, 1), max_states), bin_size)
+    ranked_states = rank_states(regions, fragments, max_regions, max(max_states * max(multiplier, 1), max_states))
     placed = cut_lineage(hydrate_states(ranked_states, chunks, chunk_size, lengths=lengths))
     genes = edges.select(F.explode(F.array("left_tf", "right_tf")).alias("motif_id")).distinct()
     used = positions.join(genes, "motif_id", "left_semi")

@@ -132,7 +132,7 @@ def _layer(spark, sf):
 
 def state_layer(spark, sf):
     *parts, lengths = _layer(spark, sf)
-    return S.build_state_layer(*parts, chunk_size=500, max_regions=None, max_states=400, multiplier=2, bin_size=500, lengths=lengths)
+    return S.build_state_layer(*parts, chunk_size=500, max_regions=None, max_states=400, multiplier=2, lengths=lengths)
 
 
 _RANKED = """lr AS (SELECT 'd'||doc_id AS c, bases, i*300+CASE WHEN n-i*300>50 THEN 50 ELSE 0 END AS rs, i*300+least(200,n-i*300) AS re FROM (SELECT doc_id, bases, length(bases) AS n, unnest(range(0,(length(bases)-1)//300+1)) AS i FROM sequences WHERE length(bases)>0)),
@@ -144,7 +144,7 @@ _RANKED = """lr AS (SELECT 'd'||doc_id AS c, bases, i*300+CASE WHEN n-i*300>50 T
 @query("ranked_states", f"WITH {_RANKED} SELECT state_label, total AS total_fragment_count, files AS supporting_files FROM rk", ("sequences",))
 def ranked_states(spark, sf):
     regions, fragments, *_ = _layer(spark, sf)
-    return S.rank_states(regions, fragments, None, 800, 500).select("state_label", "total_fragment_count", "supporting_files")
+    return S.rank_states(regions, fragments, None, 800).select("state_label", "total_fragment_count", "supporting_files")
 
 
 # hydrated states, their hits, the 400 states with most candidates, and what is made of them: a widest hit each, two pairs each, winners

@@ -58,17 +58,20 @@ _RANGE = "fragments f JOIN regions r ON r.chromosome=f.chromosome AND r.region_s
 
 @query("overlap_counts", f"SELECT r.region_id, coalesce(n,0) AS fragment_count FROM regions r LEFT JOIN (SELECT region_id, count(*) AS n FROM {_RANGE} GROUP BY 1) x USING (region_id)", ("fragments", "regions"))
 def overlap_counts(spark, sf):
-    return N.count_overlaps(views.regions(spark, sf), views.fragments(spark, sf), ["region_id"], 20_000).select("region_id", "fragment_count")
+    return N.count_overlaps(views.regions(spark, sf), views.fragments(spark, sf), ["region_id"]).select("region_id", "fragment_count")
 
 
 @query("overlap_counts_salted", f"SELECT r.region_id, coalesce(n,0) AS fragment_count FROM regions r LEFT JOIN (SELECT region_id, count(*) AS n FROM {_RANGE} GROUP BY 1) x USING (region_id)", ("fragments", "regions"))
 def overlap_counts_salted(spark, sf):
-    return N.count_overlaps(views.regions(spark, sf), views.fragments(spark, sf), ["region_id"], 3_000, salts=4).select("region_id", "fragment_count")
+    """The join of hits, with salted bins."""
+    regions = views.regions(spark, sf)
+    hits = N.overlap_pairs(regions, views.fragments(spark, sf).select("chromosome", "start", "end"), 3_000, salts=4).groupBy("region_id").agg(F.count("*").alias("fragment_count"))
+    return regions.select("region_id").join(hits, "region_id", "left").fillna(0, ["fragment_count"])
 
 
 @query("support_counts", f"SELECT region_id, sum(n)::BIGINT AS total_fragment_count, count(*) AS supporting_files FROM (SELECT region_id, file_id, count(*) AS n FROM {_RANGE} GROUP BY 1,2) GROUP BY 1", ("fragments", "regions"))
 def support_counts(spark, sf):
-    per = N.count_overlaps(views.regions(spark, sf), views.fragments(spark, sf), ["region_id"], 20_000, extra=["file_id"])
+    per = N.count_overlaps(views.regions(spark, sf), views.fragments(spark, sf), ["region_id"], extra=["file_id"])
     return N.support_counts(per, ["region_id"])
 
 

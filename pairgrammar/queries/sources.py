@@ -319,16 +319,16 @@ def stream_latest(spark, sf):
 @query("stream_overlaps", 'SELECT region_id, count(*) AS fragment_count FROM fragments f JOIN regions r ON r.chromosome=f.chromosome AND r.region_start<f."end" AND r.region_end>f.start AND f."end">f.start GROUP BY 1', ("fragments", "regions"))
 def stream_overlaps(spark, sf):
     frag = _stream(spark, views.fragments(spark, sf).select("chromosome", "start", "end"), "frag")
-    out = _memory(spark, J.stream_overlaps(frag, views.regions(spark, sf), bin_size=20_000), "complete")
-    top = out.agg(F.max("batch_id")).scalar()
-    return out.filter(F.col("batch_id") == top).select("region_id", "fragment_count")
+    store = scratch_path(spark, "marks")
+    J.stream_overlaps(frag, store, scratch_path(spark, "cp")).awaitTermination()
+    return J.read_overlaps(spark, store, views.regions(spark, sf))
 
 
 @query("stream_top_regions", f"SELECT chromosome||':'||region_start||'-'||region_end AS state_label, element_type FROM regions ORDER BY CASE element_type {' '.join(f'WHEN {k!r} THEN {v}' for k, v in schema.ELEMENT_PRIORITY.items())} ELSE 9 END, {views.sql_rank('screen_id', 'encode_id', 'chromosome', 'region_start', 'region_end')} LIMIT 100", ("regions",))
 def stream_top_regions(spark, sf):
-    out = _memory(spark, J.stream_top_regions(_stream(spark, views.regions(spark, sf), "regs"), 100), "complete")
-    top = out.agg(F.max("batch_id")).scalar()
-    return out.filter(F.col("batch_id") == top).select("state_label", "element_type")
+    store = scratch_path(spark, "top")
+    J.stream_top_regions(_stream(spark, views.regions(spark, sf), "regs"), 100, store, scratch_path(spark, "cp")).awaitTermination()
+    return J.read_top_regions(spark, store).select("state_label", "element_type")
 
 
 @query("batch_top_regions", f"SELECT chromosome||':'||region_start||'-'||region_end AS state_label FROM regions ORDER BY CASE element_type {' '.join(f'WHEN {k!r} THEN {v}' for k, v in schema.ELEMENT_PRIORITY.items())} ELSE 9 END, {views.sql_rank('screen_id', 'encode_id', 'chromosome', 'region_start', 'region_end')} LIMIT 100", ("regions",))

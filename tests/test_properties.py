@@ -46,6 +46,12 @@ def test_overlap_counts_in_one_crowded_bin(spark):
     got = intervals.count_overlaps(spark.createDataFrame(regions, "region_id int, chromosome string, region_start long, region_end long"), spark.createDataFrame(frags, "chromosome string, start long, end long"), ["region_id"])
     want = {i: sum(c == k and s < b and e > a and e > s for k, s, e in frags) for i, c, a, b in regions}
     assert {r["region_id"]: r["fragment_count"] for r in got.collect()} == want
+    # per file, and with one crowded place: no join of hits in the plan
+    files = [(*f, i % 3) for i, f in enumerate(frags)] + [("c1", 10, 12, 7)] * 500
+    per = intervals.count_overlaps(spark.createDataFrame(regions, "region_id int, chromosome string, region_start long, region_end long"), spark.createDataFrame(files, "chromosome string, start long, end long, file_id int"), ["region_id"], ["file_id"])
+    assert {(r["region_id"], r["file_id"]): r["fragment_count"] for r in per.collect()} == {
+        (i, f): n for i, c, a, b in regions for f in (0, 1, 2, 7) if (n := sum(c == k and s < b and e > a and e > s and f == g for k, s, e, g in files))}
+    assert "_bin" not in per._jdf.queryExecution().optimizedPlan().toString()
 
 
 def _anchors(n_seq, per):
@@ -193,6 +199,38 @@ def test_repeated_stream_batch_counts_once(spark, tmp_path):
     assert spark.read.parquet(store).count() == 2
 
 
+def _feed(spark, rows, schema, path, parts):
+    spark.createDataFrame(rows, schema).repartition(parts).write.parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_streams_do_not_grow_with_batches(spark, tmp_path):
+    """Tops keep at most 2 k rows, seen ids need no store, marks add up; the session's state store setting stays."""
+    rnd = random.Random(6)
+    before = spark.conf.get(jobs.PROVIDER, "")
+    regions = [(f"S{i % 90}", f"E{i % 90}", f"c{i % 90 % 3}", i % 90 * 10, i % 90 * 10 + 5, ("pELS", "dELS", "other")[i % 90 % 3]) for i in range(200)]
+    rnd.shuffle(regions)
+    schema = "screen_id string, encode_id string, chromosome string, region_start long, region_end long, element_type string"
+    top = str(tmp_path / "top")
+    jobs.stream_top_regions(_feed(spark, regions, schema, str(tmp_path / "r"), 12), 7, top, str(tmp_path / "cr")).awaitTermination()
+    assert spark.read.parquet(top).count() <= 14 and len(list((tmp_path / "top").glob("batch_id=*"))) == 2
+    want = selection.sample_regions(spark.createDataFrame(list(set(regions)), schema), 7).select("state_label")
+    assert {r[0] for r in jobs.read_top_regions(spark, top).select("state_label").collect()} == {r[0] for r in want.collect()}
+    ids = [(f"id{i % 40}", "x") for i in range(120)]
+    status = lambda df: df.select("seq_id", F.lit(True).alias("has_candidate"), F.lit("m").alias("pair_mode"), F.lit(0.0).alias("pair_reference_supported"))
+    store = str(tmp_path / "store")
+    jobs.stream_candidates(_feed(spark, ids, "seq_id string, sequence string", str(tmp_path / "i"), 9), store, str(tmp_path / "ci"), status).awaitTermination()
+    assert spark.read.parquet(store).count() == 40
+    frags = [("c1", a := rnd.randrange(50), a + rnd.randrange(0, 9)) for _ in range(300)] + [("c1", 20, 21)] * 300
+    spans = [(f"r{i}", "c1", i * 3, i * 3 + 4) for i in range(18)]
+    marks = str(tmp_path / "marks")
+    jobs.stream_overlaps(_feed(spark, frags, "chromosome string, start long, end long", str(tmp_path / "f"), 6), marks, str(tmp_path / "cf")).awaitTermination()
+    assert max(r["count"] for r in spark.read.parquet(marks).groupBy("batch_id").count().collect()) <= 120
+    got = jobs.read_overlaps(spark, marks, spark.createDataFrame(spans, "region_id string, chromosome string, region_start long, region_end long"))
+    assert {r["region_id"]: r["fragment_count"] for r in got.collect()} == {i: n for i, _, a, b in spans if (n := sum(s < b and e > a and e > s for _, s, e in frags))}
+    assert spark.conf.get(jobs.PROVIDER, "") == before
+
+
 def test_replicates_do_not_depend_on_ranges(spark, monkeypatch):
     """Scores that repeat, one score of all rows, and one score in each list, cut into many ranges: the same metrics."""
     rnd = random.Random(21)
