@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairgrammar.llm.common import map_texts
+from pairgrammar.session import scratch_path
 
 Q = 8  # a power of two, for doubling the hash
 EDITS = 0.1  # edits a character of the item
@@ -106,25 +109,27 @@ def find(texts: list[bytes | None], model: dict) -> list[list[dict]]:
     shift = int(model["size"].max()) + 1
     diagonal = place - starts[doc] - model["at"][spot] + shift
     cell = diagonal // model["step"][item]
-    key = (doc * len(model["ids"]) + item) * (1 << 36) + cell
-    cells, count = np.unique(key, return_counts=True)
+    pair = doc * len(model["ids"]) + item
+    order = np.lexsort((cell, pair))
+    pair, cell = pair[order], cell[order]
+    head = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (cell[1:] != cell[:-1])]))
+    count = np.diff(np.append(head, len(pair)))
+    pair, cell = pair[head], cell[head]
     # a band is two neighbouring cells, so bands overlap by half and a passage lies whole in one
     both = count.copy()
-    beside = np.flatnonzero(np.diff(cells) == 1)
+    beside = np.flatnonzero((np.diff(cell) == 1) & (np.diff(pair) == 0))
     both[beside] += count[beside + 1]
-    alone = np.ones(len(cells), bool)
+    alone = np.ones(len(cell), bool)
     alone[beside + 1] = False
-    cells = np.concatenate([cells, cells[alone] - 1])
+    pair, cell = np.concatenate([pair, pair[alone]]), np.concatenate([cell, cell[alone] - 1])
     both = np.concatenate([both, count[alone]])
-    pair = cells >> 36
-    item = pair % len(model["ids"])
-    good = np.flatnonzero(both >= model["least"][item])
+    good = np.flatnonzero(both >= model["least"][pair % len(model["ids"])])
     best: dict[tuple[int, int], tuple[int, int]] = {}
     groups: dict[int, list[tuple[int, int]]] = {}
     for i in good:
         d, x = divmod(int(pair[i]), len(model["ids"]))
         step = int(model["step"][x])
-        start = int(cells[i] & ((1 << 36) - 1)) * step - shift
+        start = int(cell[i]) * step - shift
         groups.setdefault(x, []).append((d, start))
     for x, found in groups.items():
         own, edits, step = model["chars"][x], int(model["edits"][x]), int(model["step"][x])
@@ -146,25 +151,19 @@ def find(texts: list[bytes | None], model: dict) -> list[list[dict]]:
     return out
 
 
-def passes(items: DataFrame, item_id: str = "item_id", item_text: str = "text", rate: float = EDITS) -> list[dict]:
-    """Indexes of all items, each over at most about ``ITEM_CHARS`` characters, so what travels to the tasks is bounded."""
+def passes(items: DataFrame, item_id: str = "item_id", item_text: str = "text", rate: float = EDITS) -> list[Callable[[], dict]]:
+    """Makers of the indexes of all items, each over at most about ``ITEM_CHARS`` characters, so what the driver holds and the tasks get is bounded."""
     rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null").distinct()
     total = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     count = max(1, -(-total // ITEM_CHARS))
-    parts = [rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == n) for n in range(count)]
-    return [index(sorted((r["id"], r["text"]) for r in part.toLocalIterator()), rate=rate) for part in parts]
 
+    def maker(part: DataFrame) -> Callable[[], dict]:
+        return lambda: index(sorted((r["id"], r["text"]) for r in part.toLocalIterator()), rate=rate)
 
-def screen(docs: DataFrame, model: dict, keep: list[str], text: str = "text") -> DataFrame:
-    """``row`` (the kept columns) and ``matches`` (item_id, edits, end_char) of every document.
+    return [maker(rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == n)) for n in range(count)]
 
-    A document holds an item if some stretch of it, whole texts compared in lower case with one blank
-    for white space, is within ``EDITS`` edits a character of the item. Items that are null, have a
-    null id or fewer than ``Q`` characters match nothing; null and empty documents hold nothing;
-    repeated rows are judged alike. ``end_char`` counts the compared text.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
+def _screen(docs: DataFrame, shared, keep: list[str], text: str) -> DataFrame:
     def make():
         own = shared.value
         return lambda texts: [pa.array(find(texts, own), _ARROW)]
@@ -172,17 +171,44 @@ def screen(docs: DataFrame, model: dict, keep: list[str], text: str = "text") ->
     return map_texts(docs, text, keep, [T.StructField("matches", MATCHES)], make)
 
 
-def contaminated(docs: DataFrame, models: list[dict], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document and item it holds: the key, ``item_id``, ``edits``, ``end_char``."""
-    found = [screen(docs, m, [key], text).where(F.size("matches") > 0).select(F.col(f"row.{key}"), F.inline("matches")) for m in models]
+def _one_by_one(docs: DataFrame, makers: list[Callable[[], dict]], work: Callable[[DataFrame, object], DataFrame], follow: bool) -> list[DataFrame]:
+    """Results of all passes, each built, sent out, stored and released before the next one; one pass alone is not stored.
+
+    With ``follow`` a pass works on what the one before it left.
+    """
+    spark, out = docs.sparkSession, []
+    for make in makers:
+        shared = spark.sparkContext.broadcast(make())
+        found = work(docs, shared)
+        if len(makers) > 1:
+            path = scratch_path(spark, "decontaminated")
+            found.write.parquet(path)
+            shared.unpersist()
+            found = spark.read.parquet(path)
+        docs = found if follow else docs
+        out.append(found)
+    return out
+
+
+def contaminated(docs: DataFrame, makers: list[Callable[[], dict]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document and item it holds: the key, ``item_id``, ``edits``, ``end_char``.
+
+    A document holds an item if some stretch of it, whole texts compared in lower case with one blank
+    for white space, is within ``EDITS`` edits a character of the item. Items that are null, have a
+    null id or fewer than ``Q`` characters match nothing; null and empty documents hold nothing;
+    repeated rows are judged alike, and so are null keys. ``end_char`` counts the compared text. An empty table gives no rows.
+    """
+    def work(rows: DataFrame, shared) -> DataFrame:
+        return _screen(rows, shared, [key], text).where(F.size("matches") > 0).select(F.col(f"row.{key}"), F.inline("matches"))
+
+    found = _one_by_one(docs, makers, work, False)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def uncontaminated(docs: DataFrame, models: list[dict], text: str = "text") -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    for model in models:
-        docs = screen(docs, model, docs.columns, text).where(F.size("matches") == 0).select("row.*")
-    return docs
+def uncontaminated(docs: DataFrame, makers: list[Callable[[], dict]], text: str = "text") -> DataFrame:
+    """The documents that hold no item (see ``contaminated``), with all their columns."""
+    columns = docs.columns
+    return _one_by_one(docs, makers, lambda rows, shared: _screen(rows, shared, columns, text).where(F.size("matches") == 0).select("row.*"), True)[-1]

@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 ITEM_BLOCK = 4096
 QUERY_BLOCK = 1024
 FIRST_DEPTH = 16
+LARGEST = 2.0**53  # scaled components saturate here, as doubles beyond are no longer every integer
+LONG = 2**63 - 1
 
 
 def scaled(vectors: DataFrame, key: str, vector: str, factor: int = 1024) -> DataFrame:
-    """``id`` and the integer vector ``v`` = floor(factor * x); rows with a null key, a null vector or a component that is null or not finite go."""
+    """``id`` and the integer vector ``v`` = floor(factor * x); rows with a null key, a null vector or a component that is null or not finite go.
+
+    Scaled components saturate at 2^53.
+    """
     x = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"))
     fine = F.forall("x", lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False)))
-    return x.where(F.col("id").isNotNull() & F.col("x").isNotNull() & fine).select("id", F.transform("x", lambda c: F.floor(c * float(factor))).alias("v"))
+    return x.where(F.col("id").isNotNull() & F.col("x").isNotNull() & fine).select("id", F.transform("x", lambda c: F.floor(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), c * float(factor))))).alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray, rows: np.ndarray, width: int) -> np.ndarray:
@@ -68,7 +73,7 @@ def threshold_top_k(ids: np.ndarray, items: np.ndarray, query_ids: np.ndarray, q
                 break
             before = d
         top = np.lexsort((best_ids, -best))[:k]
-        out += [(int(query_ids[q]), int(best_ids[i]), int(best[i])) for i in top]
+        out += [(int(query_ids[q]), int(best_ids[i]), max(-LONG, min(LONG, int(best[i])))) for i in top]
     return out
 
 

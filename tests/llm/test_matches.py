@@ -39,6 +39,23 @@ def test_top_k_frame(spark):
     assert topk.top_k(items.where("false"), items.where("false")).count() == 0
 
 
+def test_top_k_beyond_a_long(spark):
+    rows = [(0, [1e300, 1e300]), (1, [1e300, 1.0]), (2, [-1e300, 0.0]), (3, [1e12, 2e12]), (100, [0.5, 1e-3])]
+    items = topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = [tuple(r) for r in topk.top_k(items, items.where("id % 100 = 0"), k=2).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 2**63 - 1), (100, 1, 0, 2**53 * 513), (100, 2, 1, 2**53 * 512 + 1024)]
+
+
+def test_many_items_lose_no_match():
+    """More documents times items than fit beside a place in one number."""
+    draw = random.Random(11)
+    items = [(i, "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24))) for i in range(136_000)]
+    model = decontaminate.index(items)
+    docs = [b"nothing here to see"] * 998 + [f"some words and {items[5][1]} more".encode(), f"the end holds {items[-1][1]} at last".encode()]
+    found = decontaminate.find(docs, model)
+    assert [[m["item_id"] for m in f] for f in found[-2:]] == [[5], [135_999]] and not any(found[:-2])
+
+
 def sets_of(text, words):
     w = (text or "").encode().lower().split()
     return {tuple(w[i:i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
