@@ -233,6 +233,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r["doc_id"] for r in placed} == set(seen[3])
 
 
+def test_repeated_and_null_ids_lose_their_copies(spark):
+    """One row of a group stays, whatever its id; an id with two texts loses only the one that is a copy."""
+    text = "the quick brown fox jumps over the lazy dog and runs away from all of them again and again until night"
+    other = "a second text of its own about boats and rivers which nobody else has written down in these rows so far"
+    third = "yet another one that speaks of mountains and snow with enough words to make shingles of five of them"
+    rows = [(5, text), (5, text), (None, text), (3, text), (7, other), (7, third), (8, third), (None, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, number long")
+    got = corpus_pipeline.distinct(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(3, text), (7, other), (7, third), (None, None), (9, ""), (9, "")], key=str)
+
+
 def test_stages_take_odd_rows(spark, odd):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
     for rows in (docs, docs.where("false")):
