@@ -1,4 +1,9 @@
-"""From raw documents to packed training bins, one stage after the other."""
+"""From raw documents to packed training bins, one stage after the other.
+
+Every stage takes whole tables with nulls, repeated rows and extra columns: rows that repeat are judged each by itself but
+for the near duplicates, where one of them stays; a null text has no language and goes in the first stage; a null id or
+source is kept as it is. An empty table passes all stages that need nothing learnt from it.
+"""
 
 from __future__ import annotations
 
@@ -25,10 +30,21 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id: five-word shingles, similarity 0.8 by links."""
-    groups = jaccard.link(docs, words=5, percent=80)
-    copies = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate group, the one with the smallest id: five-word shingles, similarity 0.8 by links.
+
+    Where ids are null or repeated, rows are numbered and linked by their number; of a group the row with the smallest id
+    stays (null ids last, then by number), so a repeated row loses its copies and one id with two texts keeps both if they differ.
+    Null and empty texts are linked with nothing and stay; an empty table stays empty.
+    """
+    if not docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count():
+        copies = jaccard.link(docs, words=5, percent=80).where("component_id < doc_id").select("doc_id")
+        return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    path = scratch_path(spark, "numbered")
+    docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text").withColumn("number", F.monotonically_increasing_id()).write.parquet(path)
+    numbered = spark.read.parquet(path)
+    groups = jaccard.link(numbered, key="number", words=5, percent=80).join(numbered.select("number", "doc_id"), "number")
+    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "number")).alias("best")).select(F.col("best.number").alias("number"))
+    return numbered.join(kept, "number", "left_semi").select("row.*")
 
 
 def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
