@@ -118,6 +118,21 @@ def artifact_inventory(grid: DataFrame, artifacts: DataFrame, overwrite: bool =
     return out.withColumn("status", status).select(*keys, "status", F.coalesce("checkpoint", F.lit("")).alias("checkpoint"), scored.alias("prediction_exists"), reason.alias("blocked_reason"))
 
 
+def inventory_rollups(inventory: DataFrame) -> DataFrame:
+    """Counts of an inventory's rows as ``measure``, ``value``, ``n``: all, by status, missing parts, ready and blocked by phase.
+
+    Every row names the counts it belongs to, so one grouping with partial sums gives all of them; empty counts have no row.
+    """
+    status, none = F.col("status"), F.lit("")
+    ready, blocked = status == "ready_to_train", status.startswith("blocked_")
+    belongs = {
+        "requested": (F.lit(True), none), "complete": (status == "complete", none), "ready_to_train": (ready, none), "blocked": (blocked, none),
+        "missing_checkpoint": (F.col("checkpoint") == "", none), "missing_prediction": (~F.col("prediction_exists"), none), "status": (F.lit(True), status),
+        "ready_to_train_by_phase": (ready, F.col("phase")), "blocked_by_phase": (blocked, F.col("phase"))}
+    named = F.array(*[F.when(on, F.struct(F.lit(m).alias("measure"), v.alias("value"))) for m, (on, v) in belongs.items()])
+    return inventory.select(F.explode(F.array_compact(named)).alias("e")).groupBy("e.measure", "e.value").agg(F.count("*").alias("n"))
+
+
 def endogenous_evaluation(registry: DataFrame, status: DataFrame, scores: DataFrame, supported: DataFrame, threshold: float = 0.5) -> dict[str, DataFrame]:
     """L9 + E24: direction consistency per row, per target and per biosample (with a total row).
 

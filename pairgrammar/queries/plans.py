@@ -411,16 +411,35 @@ def main_metrics(spark, sf):
     return m
 
 
-@query("artifact_inventory", """WITH a AS (SELECT CASE WHEN l_linestatus='F' THEN 'phase4' ELSE 'phase5' END AS phase, 's'||(l_suppkey%40) AS split_name, l_linenumber::BIGINT AS seed, (['checkpoint','predictions','train_bundle','valid_bundle'])[CAST(l_partkey%4 AS INT)+1] AS kind, l_orderkey AS modified, 'p'||l_partkey AS path FROM lineitem),
-  g AS (SELECT DISTINCT phase, split_name, seed FROM a), ck AS (SELECT phase, split_name, seed, arg_max(path,(modified,path)) AS checkpoint FROM a WHERE kind='checkpoint' GROUP BY 1,2,3), pr AS (SELECT DISTINCT phase, split_name, seed FROM a WHERE kind='predictions'), bu AS (SELECT phase, split_name FROM a WHERE kind LIKE '%bundle' GROUP BY 1,2 HAVING count(DISTINCT kind)=2)
-  SELECT g.phase, g.split_name, g.seed, CASE WHEN ck.checkpoint IS NOT NULL AND pr.seed IS NOT NULL THEN 'complete' WHEN ck.checkpoint IS NOT NULL THEN 'needs_prediction_regeneration' WHEN bu.phase IS NULL THEN 'blocked_missing_bundles' WHEN g.phase='phase5' AND w.seed IS NULL THEN 'blocked_missing_phase4_warm_start' ELSE 'ready_to_train' END AS status, coalesce(ck.checkpoint,'') AS checkpoint
-  FROM g LEFT JOIN ck USING (phase, split_name, seed) LEFT JOIN pr ON pr.phase=g.phase AND pr.split_name=g.split_name AND pr.seed=g.seed LEFT JOIN bu ON bu.phase=g.phase AND bu.split_name=g.split_name LEFT JOIN (SELECT split_name, seed FROM ck WHERE phase='phase4') w ON w.split_name=g.split_name AND w.seed=g.seed""")
-def artifact_inventory(spark, sf):
+def _inventory(spark, sf):
     kind = F.element_at(F.array(*[F.lit(k) for k in ("checkpoint", "predictions", "train_bundle", "valid_bundle")]), (F.col("l_partkey") % 4 + 1).cast("int"))
     a = views.table(spark, sf, "lineitem").select(
-        F.when(F.col("l_linestatus") == "F", "phase4").otherwise("phase5").alias("phase"), F.concat(F.lit("s"), (F.col("l_suppkey") % 40).cast("string")).alias("split_name"), F.col("l_linenumber").cast("long").alias("seed"),
-        kind.alias("kind"), F.col("l_orderkey").alias("modified"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path"))
-    return R.artifact_inventory(a.select("phase", "split_name", "seed").distinct(), a).select("phase", "split_name", "seed", "status", "checkpoint")
+        F.when(F.col("l_linestatus") == "F", "phase4").otherwise("phase5").alias("phase"), F.concat(F.lit("s"), F.col("l_orderkey").cast("string")).alias("split_name"), (F.col("l_linenumber") % 2).cast("long").alias("seed"),
+        kind.alias("kind"), F.col("l_suppkey").alias("modified"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path"))
+    return R.artifact_inventory(a.select("phase", "split_name", "seed").distinct(), a)
+
+
+_INVENTORY = """a AS (SELECT CASE WHEN l_linestatus='F' THEN 'phase4' ELSE 'phase5' END AS phase, 's'||l_orderkey AS split_name, (l_linenumber%2)::BIGINT AS seed, (['checkpoint','predictions','train_bundle','valid_bundle'])[CAST(l_partkey%4 AS INT)+1] AS kind, l_suppkey AS modified, 'p'||l_partkey AS path FROM lineitem),
+  g AS (SELECT DISTINCT phase, split_name, seed FROM a), ck AS (SELECT phase, split_name, seed, arg_max(path,(modified,path)) AS checkpoint FROM a WHERE kind='checkpoint' GROUP BY 1,2,3), pr AS (SELECT DISTINCT phase, split_name, seed FROM a WHERE kind='predictions'), bu AS (SELECT phase, split_name FROM a WHERE kind LIKE '%bundle' GROUP BY 1,2 HAVING count(DISTINCT kind)=2),
+  iv AS (SELECT g.phase, g.split_name, g.seed, CASE WHEN ck.checkpoint IS NOT NULL AND pr.seed IS NOT NULL THEN 'complete' WHEN ck.checkpoint IS NOT NULL THEN 'needs_prediction_regeneration' WHEN bu.phase IS NULL THEN 'blocked_missing_bundles' WHEN g.phase='phase5' AND w.seed IS NULL THEN 'blocked_missing_phase4_warm_start' ELSE 'ready_to_train' END AS status, coalesce(ck.checkpoint,'') AS checkpoint, pr.seed IS NOT NULL AS scored
+  FROM g LEFT JOIN ck USING (phase, split_name, seed) LEFT JOIN pr ON pr.phase=g.phase AND pr.split_name=g.split_name AND pr.seed=g.seed LEFT JOIN bu ON bu.phase=g.phase AND bu.split_name=g.split_name LEFT JOIN (SELECT split_name, seed FROM ck WHERE phase='phase4') w ON w.split_name=g.split_name AND w.seed=g.seed)"""
+
+
+@query("artifact_inventory", f"WITH {_INVENTORY} SELECT phase, split_name, seed, status, checkpoint FROM iv")
+def artifact_inventory(spark, sf):
+    return _inventory(spark, sf).select("phase", "split_name", "seed", "status", "checkpoint")
+
+
+@query("inventory_rollups", f"""WITH {_INVENTORY}, e AS (SELECT unnest([['requested',''], ['status',status], CASE WHEN status='complete' THEN ['complete',''] END, CASE WHEN status='ready_to_train' THEN ['ready_to_train',''] END, CASE WHEN status LIKE 'blocked%' THEN ['blocked',''] END,
+  CASE WHEN checkpoint='' THEN ['missing_checkpoint',''] END, CASE WHEN NOT scored THEN ['missing_prediction',''] END, CASE WHEN status='ready_to_train' THEN ['ready_to_train_by_phase',phase] END, CASE WHEN status LIKE 'blocked%' THEN ['blocked_by_phase',phase] END]) AS p FROM iv)
+  SELECT p[1] AS measure, p[2] AS value, count(*) AS n FROM e WHERE p IS NOT NULL GROUP BY 1,2""")
+def inventory_rollups(spark, sf):
+    return R.inventory_rollups(_inventory(spark, sf))
+
+
+@query("missing_predictions", f"SELECT split_name, phase, 99::INT AS seed, 'missing_predictions' AS reason FROM (SELECT DISTINCT split_name, phase FROM seed_scores) UNION ALL SELECT split_name, phase, s, 'missing_predictions' FROM (SELECT DISTINCT split_name, phase FROM seed_scores), (SELECT unnest([{','.join(map(str, schema.SEEDS))}])::INT AS s) WHERE (split_name, phase, s) NOT IN (SELECT (split_name, phase, seed) FROM seed_scores)", ("seed_scores",))
+def missing_predictions(spark, sf):
+    return R.missing_predictions(views.seed_scores(spark, sf), [*schema.SEEDS, 99])
 
 
 @query("evaluate_predictions", f"""WITH m AS {sql_rank_metrics('predictions', 'label', 'full_score')}, a AS {sql_rank_metrics('predictions', 'label', 'availability_only_score')}, n AS {sql_rank_metrics('predictions', 'label', 'additive_null_score')}
