@@ -116,3 +116,40 @@ def test_names_do_not_mute_what_holds_the_article():
     assert extract.main_text(f"<body><article>{body}</article>{rest}</body>") == want
     assert extract.main_text(f"<body><div>{body}</div>{rest}</body>") == want
     assert extract.main_text(f"<body><div>{body}</div><div class='sidebar'><article><p>teaser</p></article></div></body>") == want
+
+
+def test_names_inside_an_article_need_more_evidence():
+    long = ("word " * 60).strip()
+    kept = ["<p class='commentary'>{}</p>", "<div class='banner'><h2>{}</h2></div>", "<p id='search'>{}</p>", "<section id='notices'><p>{}</p></section>",
+            "<section class='social-security'><p>{}</p></section>", "<p class='reply'>{}</p>"]
+    for form in kept:
+        text = "A line of the article."
+        assert extract.main_text(f"<article><p>{long}</p>{form.format(text)}<p>{long}</p></article>") == f"{long}\n{text}\n{long}", form
+    gone = ["<div class='share'><a href='x'>Share this page</a></div>", "<div class='search'><input name='q'>Find it</div>", "<div class='ad'>Buy this now.</div>",
+            "<div class='cookie-notice'>We use cookies.</div>", "<div class='ad-slot-2'>Buy this now.</div>", "<div class='leftsidebar'>Side</div>"]
+    for form in gone:
+        assert extract.main_text(f"<article><p>{long}</p>{form}<p>{long}</p></article>") == f"{long}\n{long}", form
+    for name in ("comment", "reply", "comment-list", "commentlist", "post-comments", "related-posts"):
+        assert extract.main_text(f"<article><p>{long}</p><div class='{name}'><p>I say so too.</p></div></article>") == long, name
+
+
+def test_heads_and_menus_of_pages_without_an_article():
+    long = ("word " * 60).strip()
+    for head in ("<div class='post-header'><h1>Head</h1></div>", "<header><h1>Head</h1></header>"):
+        assert extract.main_text(f"<body><div>{head}<p>{long}</p><p>{long}</p></div></body>") == f"Head\n{long}\n{long}"
+    site = "<header><h1>Site</h1><nav><a href='/'>Home</a></nav></header>"
+    assert extract.main_text(f"<body>{site}<div><h1>Head</h1><p>{long}</p></div></body>") == f"Head\n{long}"
+    assert extract.main_text(f"<body><header>Site name</header><div><p>{long}</p></div></body>") == long
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>A page of number {i} and more</a></li>" for i in range(40)) + "</ul>"
+    assert extract.main_text(f"<body>{menu}<div><p>{long}</p><p>{long}</p></div></body>") == f"{long}\n{long}"
+    assert extract.main_text(f"<body><div><p>{long}</p></div>{menu}<div><p>{long}</p></div></body>") == f"{long}\n{long}"
+    assert extract.main_text(f"<body>{menu}</body>") == ""
+    inside = f"<p>{long} <a href='x'>a link in the text</a> {long}</p>"
+    assert extract.main_text(f"<body>{menu}<div>{inside}</div></body>") == f"{long} a link in the text {long}"
+
+
+def test_very_long_and_clashing_pages(spark):
+    page = "<article>" + "".join(f"<p>{'word ' * 2000}{i}</p>" for i in range(300)) + "</article>"
+    rows = spark.createDataFrame([(1, "u", page, "t", 0), (1, "u", page, "t", 0), (2, None, None, None, None)], "page_id long, url string, html string, text string, n_chars long")
+    got = extract.extract(rows, ["page_id", "url", "text", "n_chars"]).collect()
+    assert sorted(r["n_chars"] for r in got) == [0, *[sum(2000 * 5 + len(str(i)) for i in range(300)) + 299] * 2]
