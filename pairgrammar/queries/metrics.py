@@ -46,13 +46,20 @@ def auroc_auprc_all(spark, sf):
     return rounded(M.ranking_metrics(views.line_scores(spark, sf), "label", "score"))
 
 
-@query("binary_metrics", """SELECT phase, round(avg((full_score-label)**2),6) AS brier, round(avg(-(label*ln(p)+(1-label)*ln(1-p))),6) AS nll, round((avg(CASE WHEN label>0.5 THEN h END)+avg(CASE WHEN label<=0.5 THEN 1-h END))/2,6) AS balanced_accuracy
-  FROM (SELECT *, least(greatest(full_score,1e-6::DOUBLE),1-1e-6::DOUBLE) AS p, CASE WHEN full_score>=0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS h FROM predictions) GROUP BY 1""", PREDS)
+_BINARY = """round(avg((full_score-label)**2),6) AS brier, round(avg(-(label*ln(p)+(1-label)*ln(1-p))),6) AS nll, round((avg(CASE WHEN label>0.5 THEN h END)+avg(CASE WHEN label<=0.5 THEN 1-h END))/2,6) AS balanced_accuracy
+  FROM (SELECT *, least(greatest(full_score,1e-6::DOUBLE),1-1e-6::DOUBLE) AS p, CASE WHEN full_score>=0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS h FROM predictions)"""
+BINARY_SQL = f"SELECT {_BINARY}"
+_ECE = """round(sum(CASE WHEN b IS NOT NULL THEN abs(c-a)*n ELSE 0 END)/sum(n),6) AS ece"""
+_ECE_BIN = "CASE WHEN full_score BETWEEN 0 AND 1 THEN least(floor(full_score*10),9) END AS b, count(*) AS n, avg(full_score) AS c, avg(label) AS a"
+CALIBRATION_SQL = f"SELECT {_ECE} FROM (SELECT {_ECE_BIN} FROM predictions GROUP BY 1)"
+
+
+@query("binary_metrics", f"SELECT phase, {_BINARY} GROUP BY 1", PREDS)
 def binary_metrics(spark, sf):
     return rounded(M.binary_metrics(views.predictions(spark, sf), "label", "full_score", ["phase"]))
 
 
-@query("calibration_error", """SELECT phase, round(sum(CASE WHEN b IS NOT NULL THEN abs(c-a)*n ELSE 0 END)/sum(n),6) AS ece FROM (SELECT phase, CASE WHEN full_score BETWEEN 0 AND 1 THEN least(floor(full_score*10),9) END AS b, count(*) AS n, avg(full_score) AS c, avg(label) AS a FROM predictions GROUP BY 1,2) GROUP BY 1""", PREDS)
+@query("calibration_error", f"SELECT phase, {_ECE} FROM (SELECT phase, {_ECE_BIN} FROM predictions GROUP BY 1,2) GROUP BY 1", PREDS)
 def calibration_error(spark, sf):
     return rounded(M.calibration_error(views.predictions(spark, sf), "label", "full_score", ["phase"]))
 

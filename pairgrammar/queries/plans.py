@@ -15,11 +15,12 @@ from pairgrammar.plans import reports as R
 from pairgrammar.plans import scoring as N
 from pairgrammar.plans import states as S
 from pairgrammar.queries.expressions import _curated
-from pairgrammar.queries.metrics import SQL_HYPERGEOMETRIC, sql_drawn, sql_draws, sql_rank_metrics, sql_state_blocked
+from pairgrammar.queries.metrics import BINARY_SQL, CALIBRATION_SQL, SQL_HYPERGEOMETRIC, sql_drawn, sql_draws, sql_rank_metrics, sql_state_blocked
 from pairgrammar.queries.motifs import _CAND
 from pairgrammar.queries.registry import query, rounded
 from pairgrammar.queries.relations import PEAKS_SQL, peak_rows
 from pairgrammar.queries.splits import sql_split
+from pairgrammar.queries.summaries import GAP_SQL, LEAKAGE_SQL, SPACING_SQL, near_bins
 
 # ---- L1
 _HOCO = "(SELECT * FROM (SELECT 'G'||l_partkey AS g, 'H'||l_orderkey AS m, l_returnflag AS q, l_linenumber AS len, CASE WHEN l_linestatus='F' THEN '' ELSE 'fam'||(l_suppkey%7) END AS fam FROM lineitem WHERE l_returnflag<>'R') QUALIFY row_number() OVER (PARTITION BY g ORDER BY q, len DESC, m)=1)"
@@ -242,6 +243,7 @@ def _comp(spark, sf):
 
 
 _CNAME = "(['GA','GB','TP53'])[CAST({0} AS INT)+1]"
+_US = "actual_state||competition_group"
 _UK = "least(l,r)||'::'||greatest(l,r)"
 _CF = f"cf AS (SELECT *, library_name||'::'||actual_state||competition_group||'::'||least(l,r)||'::'||greatest(l,r) AS cg FROM (SELECT *, {_CNAME.format('crs%3')} AS l, {_CNAME.format('floor((crs%6/2)%3)')} AS r FROM competition))"
 
@@ -262,10 +264,10 @@ def competition_group_summary(spark, sf):
     return rounded(A.group_summary(_comp(spark, sf)).select("library_name", "actual_state", "pair_transfer_group", "group_size", "activity_margin"))
 
 
-@query("competition_manifests", f"WITH {_CF} SELECT 'unseen_pair' AS split_name, least(l,r)||'::'||greatest(l,r) AS group_value, {sql_split(_UK)} AS split FROM cf GROUP BY ALL", ("competition",))
+@query("competition_manifests", f"WITH {_CF} SELECT 'unseen_pair' AS split_name, least(l,r)||'::'||greatest(l,r) AS group_value, {sql_split(_UK)} AS split, count(*) AS n FROM cf GROUP BY ALL UNION ALL SELECT 'unseen_state', {_US}, {sql_split(_US)}, count(*) FROM cf GROUP BY ALL", ("competition",))
 def competition_manifests(spark, sf):
     m = A.competition_manifests(_comp(spark, sf).withColumn("seq_id", F.col("crs").cast("string")))
-    return m.filter("split_name = 'unseen_pair'").select("split_name", "group_value", "split").distinct()
+    return m.groupBy("split_name", "group_value", "split").agg(F.count("*").alias("n"))
 
 
 # ---- L9
@@ -443,9 +445,13 @@ def missing_predictions(spark, sf):
 
 
 @query("evaluate_predictions", f"""WITH m AS {sql_rank_metrics('predictions', 'label', 'full_score')}, a AS {sql_rank_metrics('predictions', 'label', 'availability_only_score')}, n AS {sql_rank_metrics('predictions', 'label', 'additive_null_score')}
-  SELECT round(m.auprc,6) AS model_auprc, round(m.auroc,6) AS model_auroc, round((SELECT avg((full_score-label)**2) FROM predictions),6) AS brier, round((m.auprc-a.auprc)/a.auprc,6) AS relative_gain_vs_availability, round((m.auprc-n.auprc)/n.auprc,6) AS relative_gain_vs_additive FROM m, a, n""", ("predictions",))
+  SELECT round(m.auprc,6) AS model_auprc, round(m.auroc,6) AS model_auroc, round(a.auprc,6) AS availability_only_auprc, round(a.auroc,6) AS availability_only_auroc, round(n.auprc,6) AS additive_null_auprc, round(n.auroc,6) AS additive_null_auroc,
+  round((m.auprc-a.auprc)/a.auprc,6) AS relative_gain_vs_availability, round((m.auprc-n.auprc)/n.auprc,6) AS relative_gain_vs_additive, b.*, e.*, g.*, l.*, s.*
+  FROM m, a, n, ({BINARY_SQL}) b, ({CALIBRATION_SQL}) e, ({GAP_SQL}) g, ({LEAKAGE_SQL}) l, ({SPACING_SQL}) s""", ("predictions",))
 def evaluate_predictions(spark, sf):
-    return rounded(R.evaluate_predictions(views.predictions(spark, sf)).select("model_auprc", "model_auroc", "brier", "relative_gain_vs_availability", "relative_gain_vs_additive"))
+    out = R.evaluate_predictions(near_bins(views.predictions(spark, sf)), "pred")
+    spacing = ["spacing_kl", "spacing_emd", "helical_recovery"]
+    return rounded(out.withColumns({c: F.round(c, 5) for c in spacing}))
 
 
 # ---- L17, L18

@@ -13,6 +13,7 @@ from pairgrammar.queries.motifs import _CAND
 from pairgrammar.queries.plans import _ledger
 from pairgrammar.queries.registry import query, rounded
 from pairgrammar.session import materialize, scratch_path
+from pairgrammar.sources import blocks
 from pairgrammar.sources import genomics as B
 from pairgrammar.sources import tables as T
 from pairgrammar.streaming import jobs as J
@@ -67,6 +68,21 @@ def read_fragments(spark, sf):
     return B.read_fragments(spark, path).groupBy("chromosome").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bases"))
 
 
+@query("fragment_blocks", 'SELECT chromosome, count(*) AS n, sum("end"-start)::BIGINT AS bases FROM fragments WHERE "end">start GROUP BY 1', ("fragments",))
+def fragment_blocks(spark, sf):
+    """Block-compressed files, one an Arrow batch and named by its place."""
+    def packed(batches):
+        from pyspark import TaskContext
+        for i, pdf in enumerate(batches):
+            text = "\n".join(pdf["value"]) + "\n"
+            yield pd.DataFrame({"name": [f"{TaskContext.get().partitionId()}-{i}.tsv.gz"], "content": [blocks.compressed_blocks(text.encode())]})
+
+    f = views.fragments(spark, sf).select(_tabs("chromosome", "start", "end", "file_id"))
+    path = scratch_path(spark, "blocks")
+    blocks.write_files(f.mapInPandas(packed, "name string, content binary"), path)
+    return B.read_fragments(spark, path, blocks=True).groupBy("chromosome").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bases"))
+
+
 @query("fragment_budget", "SELECT file_id, least(count(*),2000) AS n FROM fragments WHERE \"end\">start AND chromosome IN (SELECT chromosome FROM regions WHERE chromosome<>'view') GROUP BY 1", ("fragments", "regions"))
 def fragment_budget(spark, sf):
     """A file a sample; the files of different folders may share their names."""
@@ -126,8 +142,9 @@ def read_motifs_position_rows(spark, sf):
 
 @query("read_motif_archives", 'SELECT motif_id, position, A AS "A", C AS "C", G AS "G", T AS "T" FROM motif_positions', ("motif_positions",))
 def read_motif_archives(spark, sf):
-    """Zip archives of one member a motif, made by the tasks that hold the motifs."""
+    """Zip archives of one member a motif, made by the tasks that hold the motifs, each a file named by its digest."""
     def archives(batches):
+        import hashlib
         import io
         import zipfile
         for pdf in batches:
@@ -136,14 +153,12 @@ def read_motif_archives(spark, sf):
                 for i, text in enumerate(pdf["value"]):
                     z.writestr(f"m{i}.jaspar", text)
                 z.writestr("readme.txt", "none")
-            yield pd.DataFrame({"content": [blob.getvalue()]})
+            name = hashlib.sha256("".join(pdf["value"]).encode()).hexdigest()
+            yield pd.DataFrame({"name": [f"{name}.zip"], "content": [blob.getvalue()]})
 
-    packed = _motif_text(spark, sf, False).mapInPandas(archives, "content binary")
-    names = packed.select(F.hex("content").alias("value"))
     path = scratch_path(spark, "zip")
-    names.write.text(path)
-    # a text sink cannot hold bytes: each line is one archive, and the reader gets it through the same members as a file
-    return rounded(B.archive_records(spark.read.text(path).select(F.unhex("value").alias("content")), "J")[1].drop("motif_source"))
+    blocks.write_files(_motif_text(spark, sf, False).mapInPandas(archives, "name string, content binary"), path)
+    return rounded(B.read_motif_archives(spark, path, "J")[1].drop("motif_source"))
 
 
 @query("ledger_roundtrip", "SELECT event_type AS phase, count(*) AS n, round(sum(value),4) AS auprc FROM events GROUP BY 1")
@@ -198,6 +213,20 @@ def file_inventory(spark, sf):
     return inv.select(F.substring_index("relative_path", "/", 2).alias("folder"), "suffix", "bytes", "is_landing_page")
 
 
+_PAIR_FILES = "SELECT DISTINCT 's'||l_suppkey||'.fa' AS left_seq_file, 's'||l_partkey||'.fa' AS right_seq_file FROM lineitem"
+
+
+@query("pair_file_inventory", f"WITH f AS (SELECT 's'||s_suppkey||'.fa' AS file, strlen(s_name)::BIGINT AS bytes FROM supplier) SELECT left_seq_file, right_seq_file, coalesce(a.bytes,-1) AS left_bytes, coalesce(b.bytes,-1) AS right_bytes FROM ({_PAIR_FILES}) LEFT JOIN f a ON left_seq_file=a.file LEFT JOIN f b ON right_seq_file=b.file")
+def pair_file_inventory(spark, sf):
+    """A file a supplier, of as many bytes as its name; sheets of pairs from line items."""
+    path = scratch_path(spark, "pairs")
+    file = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"), F.lit(".fa"))
+    blocks.write_files(views.table(spark, sf, "supplier").select(file("s_suppkey").alias("name"), F.encode("s_name", "utf-8").alias("content")), path)
+    pairs = views.table(spark, sf, "lineitem").select(file("l_suppkey").alias("left_seq_file"), file("l_partkey").alias("right_seq_file")).distinct()
+    out = T.pair_file_inventory(pairs, T.file_inventory(spark, path))
+    return out.select("left_seq_file", "right_seq_file", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("left_bytes", "right_bytes")])
+
+
 @query("line_inventory", "SELECT sum(1)::BIGINT AS lines FROM windows", ("windows",))
 def line_inventory(spark, sf):
     return T.line_inventory(spark, _text(spark, views.windows(spark, sf).select(F.col("sequence").alias("value")), "lines")).agg(F.sum("lines").alias("lines"))

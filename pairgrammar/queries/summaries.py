@@ -113,12 +113,18 @@ def summary_with_total(spark, sf):
     return rounded(D.summary_with_total(views.predictions(spark, sf), "left_tf", n=F.count("*"), mean_score=F.avg("full_score")))
 
 
-@query("availability_gap", "SELECT round(avg(g),6) AS matched_availability_gain_mean, round(stddev_pop(g),6) AS matched_availability_gain_std FROM (SELECT availability_stratum, avg(full_score)-avg(availability_only_score) AS g FROM (SELECT *, greatest(((r-1)*5+n-2)//(n-1)-1,0) AS availability_stratum FROM (SELECT *, row_number() OVER (ORDER BY availability_signal, seq_id) AS r, count(*) OVER () AS n FROM predictions)) GROUP BY 1)", P)
+GAP_SQL = "SELECT round(avg(g),6) AS matched_availability_gain_mean, round(stddev_pop(g),6) AS matched_availability_gain_std FROM (SELECT availability_stratum, avg(full_score)-avg(availability_only_score) AS g FROM (SELECT *, greatest(((r-1)*5+n-2)//(n-1)-1,0) AS availability_stratum FROM (SELECT *, row_number() OVER (ORDER BY availability_signal, seq_id) AS r, count(*) OVER () AS n FROM predictions)) GROUP BY 1)"
+
+
+@query("availability_gap", GAP_SQL, P)
 def availability_gap(spark, sf):
     return rounded(D.availability_gap(W.strata(views.predictions(spark, sf), "availability_signal")))
 
 
-@query("leakage_audit", "SELECT round(avg(bridge_score-bridge_score_interface_shuffle),6) AS bridge_leakage_index, round(avg(abs(bridge_score-bridge_score_core_rerandomized)),6) AS exclusive_core_sensitivity FROM predictions", P)
+LEAKAGE_SQL = "SELECT round(avg(bridge_score-bridge_score_interface_shuffle),6) AS bridge_leakage_index, round(avg(abs(bridge_score-bridge_score_core_rerandomized)),6) AS exclusive_core_sensitivity FROM predictions"
+
+
+@query("leakage_audit", LEAKAGE_SQL, P)
 def leakage_audit(spark, sf):
     return rounded(D.leakage_audit(views.predictions(spark, sf)))
 
@@ -130,13 +136,21 @@ def harmonic_fit(spark, sf):
     return rounded(D.harmonic_fit(D.landscape(views.predictions(spark, sf)), ["orientation"], "gap", "score"))
 
 
-@query("spacing_metrics", """WITH b AS (SELECT unnest(range(0,25)) AS bin), p0 AS (SELECT edge_gap+4 AS t, (CAST(edge_gap AS BIGINT)+4+CAST(round(full_score*3) AS BIGINT))%25 AS p FROM predictions), n AS (SELECT count(*) AS n FROM predictions),
+def near_bins(predictions):
+    """Predicted gap bins ``pred``: nearly all mass on a bin beside the gap, by score."""
+    hit = F.pmod(F.col("edge_gap").cast("long") + 4 + F.round(F.col("full_score") * 3).cast("long"), F.lit(25))
+    bins = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: F.when(i == F.col("hit"), 0.904).otherwise(0.004))
+    return predictions.withColumn("hit", hit).withColumn("pred", bins)
+
+
+SPACING_SQL = """WITH b AS (SELECT unnest(range(0,25)) AS bin), p0 AS (SELECT edge_gap+4 AS t, (CAST(edge_gap AS BIGINT)+4+CAST(round(full_score*3) AS BIGINT))%25 AS p FROM predictions), n AS (SELECT count(*) AS n FROM predictions),
   r AS (SELECT bin, (SELECT count(*) FROM p0 WHERE t=bin)/n::DOUBLE AS t, ((SELECT count(*) FROM p0 WHERE p=bin)*0.9+n*0.1/25)/n::DOUBLE AS p FROM b, n), s AS (SELECT bin, t/sum(t) OVER () AS t, p/sum(p) OVER () AS p FROM r), c AS (SELECT *, sum(t) OVER (ORDER BY bin)-sum(p) OVER (ORDER BY bin) AS d FROM s),
-  o AS (SELECT sum(t*ln((t+1e-8)/(p+1e-8))) AS kl, sum(abs(d)) AS emd FROM c) SELECT round(kl,5) AS spacing_kl, round(emd,5) AS spacing_emd, round(1/(1+emd+kl),5) AS helical_recovery FROM o""", P)
+  o AS (SELECT sum(t*ln((t+1e-8)/(p+1e-8))) AS kl, sum(abs(d)) AS emd FROM c) SELECT round(kl,5) AS spacing_kl, round(emd,5) AS spacing_emd, round(1/(1+emd+kl),5) AS helical_recovery FROM o"""
+
+
+@query("spacing_metrics", SPACING_SQL, P)
 def spacing_metrics(spark, sf):
-    hit = F.pmod(F.col("edge_gap").cast("long") + 4 + F.round(F.col("full_score") * 3).cast("long"), F.lit(25))
-    p = views.predictions(spark, sf).withColumn("hit", hit).withColumn("pred", F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: F.when(i == F.col("hit"), 0.904).otherwise(0.004)))
-    m = D.spacing_metrics(p, "edge_gap", "pred")
+    m = D.spacing_metrics(near_bins(views.predictions(spark, sf)), "edge_gap", "pred")
     return m.select(*[F.round(c, 5).alias(c) for c in m.columns])
 
 

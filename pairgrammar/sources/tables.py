@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairgrammar import schema
+from pairgrammar.sources.blocks import file_digests, file_listing
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -82,20 +83,11 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.LEDGER).json(path)
 
 
-def _files(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-
-
-def _relative(root: str) -> Column:
-    base = root.split(":", 1)[-1].lstrip("/").rstrip("/")
-    return F.substring_index(F.col("path"), f"{base}/", -1)
-
-
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Recursive listing; the file content is never read."""
-    return _files(spark, root).select(
-        _relative(root).alias("relative_path"), F.regexp_extract("path", r"(\.[^./]+)$", 1).alias("suffix"), F.col("length").alias("bytes"),
-        (F.lower(F.element_at(F.split("path", "/"), -1)) == "landing.html").alias("is_landing_page"))
+    """Recursive listing with empty files; the file content is never read."""
+    return file_listing(spark, root).select(
+        "relative_path", F.regexp_extract("relative_path", r"(\.[^./]+)$", 1).alias("suffix"), "bytes",
+        (F.lower(F.element_at(F.split("relative_path", "/"), -1)) == "landing.html").alias("is_landing_page"))
 
 
 def line_inventory(spark: SparkSession, paths) -> DataFrame:
@@ -113,8 +105,8 @@ def pair_file_inventory(pairs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def checksum_inventory(spark: SparkSession, root: str, manifest: DataFrame | None = None) -> DataFrame:
-    """sha256 and size per file, checked against a manifest (relative_path, sha256) when given."""
-    found = _files(spark, root).select(_relative(root).alias("relative_path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """sha256 and size per file, checked against a manifest (relative_path, sha256) when given; files are read in blocks."""
+    found = file_digests(spark, root)
     if manifest is None:
         return found
     want = manifest.select("relative_path", F.col("sha256").alias("expected"))
