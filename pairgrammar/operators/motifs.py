@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairgrammar.functions.keys import pair_key
 from pairgrammar.operators.ordered import ranked, top_per_group
-from pairgrammar.session import materialize
+from pairgrammar.session import materialize, scratch_path
+from pairgrammar.sources.blocks import listed_files, open_file, qualified
 
 PSEUDOCOUNT = 1e-3
 BACKGROUND = 0.25
-MAX_CELLS = 4_000_000  # matrix cells one scan pass may ship to the tasks
+MAX_CELLS = 4_000_000  # matrix cells a scanning task holds at a time
+HEAD = 4  # matrix columns looked up at once
 
 
 def consensus(positions: DataFrame, key: str = "motif_id") -> DataFrame:
@@ -52,8 +57,41 @@ for _i, _b in enumerate("ACGT"):
     _CODE[ord(_b)] = _CODE[ord(_b.lower())] = _i
 
 
+def _heads(codes: np.ndarray, size: int) -> np.ndarray:
+    """Number of the ``size`` letters (an N is a fifth one) from each place on."""
+    out = np.zeros(max(0, len(codes) - size + 1), dtype=np.int64)
+    for j in range(size):
+        out = out * 5 + codes[j:j + len(out)]
+    return out
+
+
+def _hits(codes: np.ndarray, heads: np.ndarray, fits: np.ndarray, table: np.ndarray, size: int, cutoff: float, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores at or above the cutoff.
+
+    The first ``size`` columns are one look-up; a place goes on only while its score and the best of all
+    further columns can still reach the cutoff. Columns are added in their order, so scores are those of a full sum.
+    """
+    m = len(table)
+    first = np.zeros(1)
+    for j in range(size):
+        first = (first[:, None] + table[j]).ravel()
+    rest = np.append(np.cumsum(table.max(axis=1)[::-1])[::-1], 0.0)  # best of the columns from each on
+    least = cutoff - 10.0 ** -digits - 1e-9
+    score = first[heads[:len(fits)]]
+    at = np.flatnonzero(fits & (score + rest[size] >= least))
+    score = score[at]
+    for j in range(size, m):
+        score = score + table[j][codes[at + j]]
+        if j % 2 and j + 1 < m:
+            go = score + rest[j + 1] >= least
+            at, score = at[go], score[go]
+    score = np.round(score, digits)
+    kept = score >= cutoff
+    return at[kept], score[kept]
+
+
 def _scan_batch(pdf: pd.DataFrame, motifs: list, top_k: int, digits: int, has_allowed: bool) -> pd.DataFrame:
-    """Score all sequences of a batch, laid end to end, against each matrix."""
+    """Score all sequences of a batch, laid end to end, against each matrix; what a width and the places share is made once."""
     raw = [s.encode("ascii", "replace") for s in pdf["sequence"]]
     lengths = np.array([len(r) for r in raw], dtype=np.int64)
     codes = _CODE[np.frombuffer(b"".join(raw), dtype=np.uint8)]
@@ -61,26 +99,26 @@ def _scan_batch(pdf: pd.DataFrame, motifs: list, top_k: int, digits: int, has_al
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(raw) else np.zeros(0, dtype=np.int64)
     local = np.arange(len(codes)) - first[owner]
     allowed = [set(a) for a in pdf["allowed"]] if has_allowed else None
+    heads = {k: _heads(codes, k) for k in range(1, HEAD + 1)}
+    inside: dict[int, np.ndarray] = {}
     out = []
     for tf_id, matrix, cutoff in motifs:
         m = matrix.shape[0]
         places = len(codes) - m + 1
-        if places <= 0:
+        if places <= 0 or not m:
             continue
-        fits = local[:places] + m <= lengths[owner[:places]]
+        if m not in inside:
+            inside[m] = local[:places] + m <= lengths[owner[:places]]
+        fits = inside[m]
         if allowed is not None:
             member = np.fromiter((tf_id in a for a in allowed), dtype=bool, count=len(allowed))
-            fits &= member[owner[:places]]
+            fits = fits & member[owner[:places]]
         padded = np.hstack([matrix, np.zeros((m, 1))])  # an N scores 0
         flipped = np.hstack([matrix[::-1, ::-1], np.zeros((m, 1))])
         parts = []
         for strand, table in ((0, padded), (1, flipped)):
-            score = np.zeros(places)
-            for j in range(m):
-                score += table[j][codes[j:j + places]]
-            score = np.round(score, digits)
-            at = np.flatnonzero(fits & (score >= cutoff))
-            parts.append((at, np.full(len(at), strand), score[at]))
+            at, score = _hits(codes, heads[min(m, HEAD)], fits, table, min(m, HEAD), cutoff, digits)
+            parts.append((at, np.full(len(at), strand), score))
         at, strand, score = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((2 * local[at] + strand, -score, owner[at]))
         at, strand, score = at[order], strand[order], score[order]
@@ -104,35 +142,50 @@ HITS = T.StructType([
 ])
 
 
-def scan_motifs(seqs: DataFrame, library: DataFrame, top_k: int = 24, allowed: str | None = None, digits: int = 6) -> DataFrame:
+def store_library(library: DataFrame) -> str:
+    """Folder of a motif library that scanning tasks read; a caller that scans more than once stores it once."""
+    path = scratch_path(library.sparkSession, "library")
+    library.select("tf_id", "matrix", F.col("cutoff").cast("double").alias("cutoff")).write.parquet(path)
+    return path
+
+
+def _stored_motifs(path: str) -> Iterator[list]:
+    """Motifs of a stored library in lists of at most ``MAX_CELLS`` cells (a larger motif is one list)."""
+    held, cells = [], 0
+    for file, _, size in listed_files(path):
+        if not file.endswith(".parquet") or not size:
+            continue
+        with open_file(path, file) as source:
+            for batch in pq.ParquetFile(source).iter_batches(1024, columns=["tf_id", "matrix", "cutoff"]):
+                for tf_id, matrix, cutoff in zip(*(c.to_pylist() for c in batch.columns)):
+                    if held and cells + len(matrix) > MAX_CELLS:
+                        yield held
+                        held, cells = [], 0
+                    held.append((tf_id, np.array(matrix, dtype=float).reshape(-1, 4), cutoff))
+                    cells += len(matrix)
+    if held:
+        yield held
+
+
+def scan_motifs(seqs: DataFrame, library: DataFrame | str, top_k: int = 24, allowed: str | None = None, digits: int = 6) -> DataFrame:
     """Hits of every (allowed) motif on both strands, best ``top_k`` per sequence and motif.
 
-    Map-only over the sequences. Matrices travel with the task in passes of at most
-    ``MAX_CELLS`` cells; a larger library simply takes more passes.
+    Map-only over the sequences. The library is a table (or the folder of a stored one) that the tasks
+    read: one of at most ``MAX_CELLS`` cells once a task, a larger one piece by piece for each batch.
     """
-    columns = ["seq_id", "sequence"] + (["allowed"] if allowed else [])
     rows = seqs.select("seq_id", "sequence", *([F.col(allowed).alias("allowed")] if allowed else [])).filter("sequence is not null")
-    passes: list[list] = [[]]
-    cells = 0
-    for r in library.orderBy("tf_id").toLocalIterator():
-        matrix = np.array(r["matrix"], dtype=float).reshape(-1, 4)
-        if cells + matrix.size > MAX_CELLS and passes[-1]:
-            passes.append([])
-            cells = 0
-        passes[-1].append((r["tf_id"], matrix, float(r["cutoff"])))
-        cells += matrix.size
-    assert columns == rows.columns
-
-    def job(motifs: list):
-        def run(batches):
-            for pdf in batches:
+    path = qualified(rows.sparkSession, library if isinstance(library, str) else store_library(library))
+
+    def run(batches):
+        pieces = _stored_motifs(path)
+        begun = [p for _, p in zip(range(2), pieces)]
+        pieces.close()
+        whole = begun if len(begun) < 2 else None
+        for pdf in batches:
+            for motifs in whole if whole is not None else _stored_motifs(path):
                 yield _scan_batch(pdf, motifs, top_k, digits, allowed is not None)
-        return rows.mapInPandas(run, HITS)
 
-    out = job(passes[0])
-    for motifs in passes[1:]:
-        out = out.unionByName(job(motifs))
-    return out
+    return rows.mapInPandas(run, HITS)
 
 
 def hit_counts(hits: DataFrame, edges: DataFrame) -> DataFrame:

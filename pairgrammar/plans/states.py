@@ -197,8 +197,7 @@ def is_fresh(spark, output: str, *inputs: str) -> bool:
 def expanded_candidates(current: DataFrame, positions: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     """``k`` observed pairs for every known state, labelled."""
     base = dedupe(current, ["state_label"], ["phase", "seq_id"]).select("state_label", "sequence", "state_total_fragment_count", "state_supporting_files", "chromosome")
-    genes = edges.select(F.explode(F.array("left_tf", "right_tf")).alias("motif_id")).distinct()
-    hits = materialize(M.scan_motifs(base.select(F.col("state_label").alias("seq_id"), "sequence"), M.pwm_library(positions.join(genes, "motif_id", "left_semi")), top_k=max(2, k)))
+    hits = materialize(M.scan_motifs(base.select(F.col("state_label").alias("seq_id"), "sequence"), edge_library(positions, edges), top_k=max(2, k)))
     indexed = ranked(base, [], ["state_label"], "_n")
     picked = M.select_pairs(hits, edges, max(k, 2)).filter("pair_mode <> 'homotypic_fallback'").withColumnRenamed("seq_id", "state_label").join(indexed, "state_label")
     rows = picked.select(
@@ -217,10 +216,18 @@ def panel_candidates(candidates: DataFrame, state_features: DataFrame) -> DataFr
     return rows.join(dedupe(state_features, ["state_label"], ["state_label"]), "state_label")
 
 
-def functional_candidates(panel: DataFrame, positions: DataFrame, edges: DataFrame, top_k: int = 2) -> tuple[DataFrame, DataFrame]:
-    """One candidate pair per hydrated panel row, and the status of every row."""
+def edge_library(positions: DataFrame, edges: DataFrame) -> DataFrame:
+    """Motif library of the genes of the reference edges."""
     genes = edges.select(F.explode(F.array("left_tf", "right_tf")).alias("motif_id")).distinct()
-    hits = materialize(M.scan_motifs(panel.select("seq_id", "sequence"), M.pwm_library(positions.join(genes, "motif_id", "left_semi")), top_k=top_k))
+    return M.pwm_library(positions.join(genes, "motif_id", "left_semi"))
+
+
+def functional_candidates(panel: DataFrame, positions: DataFrame | None, edges: DataFrame, top_k: int = 2, library: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One candidate pair per hydrated panel row, and the status of every row.
+
+    ``library``: folder of a stored ``edge_library``, for callers that come batch by batch.
+    """
+    hits = materialize(M.scan_motifs(panel.select("seq_id", "sequence"), library or edge_library(positions, edges), top_k=top_k))
     chosen = cut_lineage(M.select_pairs(hits, edges, 1).drop("pair_rank"))
     gene_count = hits.groupBy("seq_id").agg(F.count_distinct("tf_id").alias("pair_hit_gene_count"))
     extra = [c for c in panel.columns if c not in chosen.columns or c == "seq_id"]

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from pairgrammar import schema, views
 from pairgrammar.operators import intervals as N
+from pairgrammar.operators.motifs import store_library
 from pairgrammar.operators.selection import sample_regions
 from pairgrammar.plans import states as S
 from pairgrammar.queries.motifs import _CAND
 from pairgrammar.queries.plans import _ledger
 from pairgrammar.queries.registry import query, rounded
-from pairgrammar.session import materialize, scratch_path
+from pairgrammar.session import scratch_path
 from pairgrammar.sources import blocks
 from pairgrammar.sources import genomics as B
 from pairgrammar.sources import tables as T
@@ -297,11 +298,11 @@ def _memory(spark, df, mode: str):
 
 @query("stream_candidates", f"WITH {_CAND} SELECT w.seq_id, s.seq_id IS NOT NULL AS has_candidate, coalesce(s.pair_mode,'') AS pair_mode, CASE WHEN s.sup THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS pair_reference_supported FROM windows w LEFT JOIN (SELECT * FROM sel WHERE pair_rank=0) s USING (seq_id)", ("windows", "hits", "edges"))
 def stream_candidates(spark, sf):
-    positions = materialize(views.motif_positions(spark, sf))
     edges = views.edges(spark, sf)
+    library = store_library(S.edge_library(views.motif_positions(spark, sf), edges))
     store = scratch_path(spark, "store")
     stream = _stream(spark, views.windows(spark, sf).select("seq_id", "sequence"), "win")
-    J.stream_candidates(stream, store, scratch_path(spark, "cp"), lambda df: S.functional_candidates(df, positions, edges)[1]).awaitTermination()
+    J.stream_candidates(stream, store, scratch_path(spark, "cp"), lambda df: S.functional_candidates(df, None, edges, library=library)[1]).awaitTermination()
     return J.read_store(spark, store, J.CANDIDATE_STATUS)
 
 

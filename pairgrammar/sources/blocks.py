@@ -31,7 +31,7 @@ def _system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def _listed(path: str) -> list[tuple[str, str, int]]:
+def listed_files(path: str) -> list[tuple[str, str, int]]:
     """Path, path below the root, bytes of every file that a table reader would see, in order of paths."""
     system, root = _system(path)
     info = system.get_file_info(root)
@@ -45,6 +45,11 @@ def _listed(path: str) -> list[tuple[str, str, int]]:
     return sorted(seen)
 
 
+def open_file(root: str, path: str) -> pa.NativeFile:
+    """A file that ``listed_files(root)`` gave, for reading at any place."""
+    return _system(root)[0].open_input_file(path)
+
+
 @dataclass
 class _Group(InputPartition):
     files: list[tuple[str, str, int]]
@@ -65,7 +70,7 @@ class _DigestReader(DataSourceReader):
     def partitions(self) -> list[_Group]:
         out: list[_Group] = []
         held = 0
-        for f in _listed(self.root):
+        for f in listed_files(self.root):
             if not out or held + f[2] > self.split:
                 out.append(_Group([]))
                 held = 0
@@ -202,7 +207,7 @@ class _LineReader(DataSourceReader):
     def partitions(self) -> list[_Range]:
         system, _ = _system(self.root)
         out = []
-        for path, _, size in _listed(self.root):
+        for path, _, size in listed_files(self.root):
             kind = "plain"
             if path.lower().endswith((".gz", ".bgz")):
                 with system.open_input_file(path) as source:
@@ -272,7 +277,7 @@ class RowFiles(DataSource):
         return _FileWriter(self.options["path"])
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
+def qualified(spark: SparkSession, path: str) -> str:
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hpath).toString()
 
@@ -280,26 +285,26 @@ def _qualified(spark: SparkSession, path: str) -> str:
 def file_digests(spark: SparkSession, root: str, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
     """(relative_path, bytes, sha256) of every file below ``root``; files of ``split`` bytes together are one partition."""
     spark.dataSource.register(FileDigests)
-    return spark.read.format("file_digests").option("split", split).option("block", block).load(_qualified(spark, root))
+    return spark.read.format("file_digests").option("split", split).option("block", block).load(qualified(spark, root))
 
 
 def file_listing(spark: SparkSession, root: str) -> DataFrame:
     """(relative_path, bytes) of every file below ``root``, empty ones too; no file is opened."""
     spark.dataSource.register(FileDigests)
-    return spark.read.format("file_digests").option("opened", "false").load(_qualified(spark, root)).select("relative_path", "bytes")
+    return spark.read.format("file_digests").option("opened", "false").load(qualified(spark, root)).select("relative_path", "bytes")
 
 
 def block_lines(spark: SparkSession, root: str, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
     """A4: (value, file_path, block, line) of every line below ``root``, in partitions of ``split`` bytes of a file."""
     spark.dataSource.register(BlockLines)
-    return spark.read.format("block_lines").option("split", split).option("block", block).load(_qualified(spark, root))
+    return spark.read.format("block_lines").option("split", split).option("block", block).load(qualified(spark, root))
 
 
 def write_files(rows: DataFrame, root: str) -> None:
     """One file a row of (name, content); rows of one name leave one of their files."""
     spark = rows.sparkSession
     spark.dataSource.register(RowFiles)
-    rows.select(F.col("name").cast("string").alias("name"), F.col("content").cast("binary").alias("content")).write.format("row_files").mode("append").save(_qualified(spark, root))
+    rows.select(F.col("name").cast("string").alias("name"), F.col("content").cast("binary").alias("content")).write.format("row_files").mode("append").save(qualified(spark, root))
 
 
 def compressed_blocks(text: bytes, size: int = 0xFF00) -> bytes:

@@ -361,3 +361,38 @@ def test_resampling_queries_run_the_published_counts(spark, monkeypatch):
 
 FULL = {"significance_summary": 5000, "paired_bootstrap": 5000, "paired_bootstrap_auroc": 5000, "paired_permutation": 5000, "bootstrap_ci": 1000,
         "mean_difference_bootstrap": 10000, "mean_difference_permutation": 10000, "state_blocked_effect": 10000, "validation_suite": 10000}
+
+
+def test_bounded_scores_equal_full_sums():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 5, 4000)
+    for m in (1, 2, 3, 4, 5, 6, 9, 14):
+        for cutoff in (-5.0, 0.5, 0.55 * m, 99.0):
+            table = np.hstack([np.round(rng.normal(0, 2, (m, 4)), 3), np.zeros((m, 1))])
+            fits = rng.random(len(codes) - m + 1) < 0.9
+            full = np.zeros(len(fits))
+            for j in range(m):
+                full += table[j][codes[j:j + len(fits)]]
+            full = np.round(full, 6)
+            want = np.flatnonzero(fits & (full >= cutoff))
+            size = min(m, motifs.HEAD)
+            at, score = motifs._hits(codes, motifs._heads(codes, size), fits, table, size, cutoff, 6)
+            assert at.tolist() == want.tolist() and score.tolist() == full[want].tolist()
+
+
+def test_stored_library_is_read_in_bounded_pieces(spark, monkeypatch):
+    rows = [(f"m{i:03d}", [float(i)] * (4 * (1 + i % 7)), 0.5) for i in range(300)]
+    path = motifs.qualified(spark, motifs.store_library(spark.createDataFrame(rows, "tf_id string, matrix array<double>, cutoff double").repartition(3)))
+    monkeypatch.setattr(motifs, "MAX_CELLS", 100)
+    pieces = list(motifs._stored_motifs(path))
+    assert max(sum(m.size for _, m, _ in p) for p in pieces) <= 100 and len(pieces) > 30
+    assert sorted((t, m.ravel().tolist(), c) for p in pieces for t, m, c in p) == rows
+
+
+def test_scan_takes_a_stored_library_and_an_empty_one(spark):
+    seqs = spark.createDataFrame([("s", "GGACCGTTGAGG")], "seq_id string, sequence string")
+    pos = spark.createDataFrame([("a", i, *row) for i, row in enumerate([[9., 1., 1., 1.], [1., 9., 1., 1.], [1., 9., 1., 1.]])], "motif_id string, position int, A double, C double, G double, T double")
+    lib = motifs.pwm_library(pos)
+    stored = motifs.store_library(lib)
+    assert motifs.scan_motifs(seqs, stored).collect() == motifs.scan_motifs(seqs, lib).collect() != []
+    assert motifs.scan_motifs(seqs, lib.where("false")).count() == 0
