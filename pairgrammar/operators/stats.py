@@ -206,7 +206,9 @@ def _u_p_value(n1: pd.Series, n2: pd.Series, u: pd.Series, ties: pd.Series) -> p
 def mann_whitney(df: DataFrame, group: str, value: str, positive: str, negative: str, by: list[str] | None = None) -> DataFrame:
     """One-sided (greater) Mann-Whitney U with tie and continuity correction.
 
-    Values are collapsed to distinct ones first; U needs only running counts over them.
+    Values are collapsed to distinct ones first; U needs only running counts over them. ``p_value_method``
+    tells how the tail was summed: ``exact`` (without ties, smaller side of at most 8 rows), ``uniform_sum`` in its place where the
+    table of counts would pass ``_EXACT_LENGTH``, ``normal`` otherwise, null where a side is empty.
     """
     by = by or []
     counts = df.filter(F.col(group).isin(positive, negative) & F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(
@@ -218,7 +220,12 @@ def mann_whitney(df: DataFrame, group: str, value: str, positive: str, negative:
         F.sum(F.col("_a") * (F.coalesce("_below", F.lit(0)) + F.col("_b") / 2)).alias("u"),
         F.sum(t * t * t - t).alias("_ties"))
     p_value = F.pandas_udf(_u_p_value, "double")
-    return sums.withColumn("p_value", p_value(F.col("n_positive").cast("double"), F.col("n_negative").cast("double"), "u", "_ties")).drop("_ties")
+    cells, least = F.col("n_positive") * F.col("n_negative"), F.ceil("u")
+    table = F.when(2 * least <= cells, least).otherwise(cells - least + 1)
+    smaller = F.least("n_positive", "n_negative")
+    method = F.when(smaller == 0, None).when((smaller > 8) | (F.col("_ties") > 0), "normal").when(table > _EXACT_LENGTH, "uniform_sum").otherwise("exact")
+    return sums.withColumns({
+        "p_value": p_value(F.col("n_positive").cast("double"), F.col("n_negative").cast("double"), "u", "_ties"), "p_value_method": method}).drop("_ties")
 
 
 def mean_diff_bootstrap(df: DataFrame, group: str, value: str, positive: str, negative: str, n: int = 10000, seed: int = 11, tie: str = "state_label") -> DataFrame:

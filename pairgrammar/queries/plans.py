@@ -211,10 +211,10 @@ def panel_candidates(spark, sf):
 
 
 # ---- L7
-_PANEL = """m AS (SELECT element_group, count(DISTINCT replicate) AS reps, min(n_obs_bc) AS bc, avg(log2) AS mean_log2_activity, stddev_samp(log2) AS sd, abs(avg(log2) FILTER (NOT is_reverse)-avg(log2) FILTER (is_reverse)) AS gap FROM replicates GROUP BY 1),
+_PANEL = """m AS (SELECT element_group, count(*) AS tsv_rows, count(DISTINCT replicate) AS reps, min(n_obs_bc) AS bc, avg(log2) AS mean_log2_activity, stddev_samp(log2) AS sd, abs(avg(log2) FILTER (NOT is_reverse)-avg(log2) FILTER (is_reverse)) AS gap FROM replicates GROUP BY 1),
   q AS (SELECT *, NOT starts_with(element_group,'ENSG') AND reps>=3 AND bc>=1 AND coalesce(sd,0)<=1.5 AND coalesce(gap,0)<=1 AS ok, row_number() OVER (ORDER BY mean_log2_activity DESC, element_group) AS rank_desc FROM m),
   c AS (SELECT quantile_cont(mean_log2_activity,0.1) AS lo, quantile_cont(mean_log2_activity,0.9) AS hi FROM q WHERE ok),
-  pn AS (SELECT element_group, ok AS passes_quality, rank_desc, mean_log2_activity, CASE WHEN ok AND mean_log2_activity<=lo THEN 0.0::DOUBLE WHEN ok AND mean_log2_activity>=hi THEN 1.0::DOUBLE END AS label FROM q, c)"""
+  pn AS (SELECT element_group, ok AS passes_quality, rank_desc, mean_log2_activity, tsv_rows, reps, bc, sd, gap, lo, hi, CASE WHEN ok AND mean_log2_activity<=lo THEN 0.0::DOUBLE WHEN ok AND mean_log2_activity>=hi THEN 1.0::DOUBLE END AS label FROM q, c)"""
 
 
 def _panel(spark, sf):
@@ -222,9 +222,12 @@ def _panel(spark, sf):
     return A.mpra_panel(r, r, "K562", min_obs_bc=1, max_std=1.5)
 
 
-@query("mpra_panel", f"WITH {_PANEL} SELECT element_group, passes_quality, label FROM pn", ("replicates",))
+@query("mpra_panel", f"""WITH {_PANEL} SELECT 'external_mpra::k562::'||element_group AS seq_id, element_group, element_group AS split_group, 'K562' AS biosample_label, 'K562' AS state_label, passes_quality, label, tsv_rows, reps AS replicate_count, bc::BIGINT AS min_obs_bc,
+  round(mean_log2_activity,6) AS mean_log2_activity, round(sd,6) AS std_log2_activity, round(gap,6) AS orientation_gap_log2, round(lo,6) AS quantile_low, round(hi,6) AS quantile_high FROM pn""", ("replicates",))
 def mpra_panel(spark, sf):
-    return _panel(spark, sf).select("element_group", "passes_quality", "label")
+    return rounded(_panel(spark, sf).select(
+        "seq_id", "element_group", "split_group", "biosample_label", "state_label", "passes_quality", "label", "tsv_rows", "replicate_count", F.col("min_obs_bc").cast("long").alias("min_obs_bc"),
+        "mean_log2_activity", "std_log2_activity", "orientation_gap_log2", "quantile_low", "quantile_high"))
 
 
 @query("mpra_splits", f"WITH {_PANEL} SELECT 'external_mpra::k562::'||element_group AS seq_id, s AS split_name, CASE s WHEN 'default' THEN {sql_split('element_group')} ELSE 'test' END AS split FROM pn, (SELECT unnest(['default','cross_biosample_test_k562']) AS s) WHERE label IS NOT NULL", ("replicates",))

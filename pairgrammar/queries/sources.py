@@ -260,22 +260,22 @@ def clean_columns(spark, sf):
 
 
 def _metadata_path(spark, sf):
-    """One JSON document per source, its files from the documents of that source."""
+    """JSON documents of at most 512 files, each of documents of one source whose ids are near."""
     f = F.struct(F.concat(F.lit("F"), F.col("doc_id").cast("string")).alias("accession"), F.when(F.col("doc_id") % 5 == 0, "archived").otherwise("released").alias("status"),
                  F.when(F.col("lang") == "en", "bed").otherwise("tsv").alias("file_format"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("/f/"), F.col("doc_id").cast("string"))).alias("href"))
-    docs = views.table(spark, sf, "documents").groupBy("source").agg(F.collect_list(f).alias("files"))
+    docs = views.table(spark, sf, "documents").groupBy("source", F.expr("doc_id div 512").alias("part")).agg(F.collect_list(f).alias("files"))
     ref = F.array(F.struct(F.array(F.concat(F.lit("PMID:"), "source"), F.lit("doi:x")).alias("identifiers")))
     path = scratch_path(spark, "meta")
-    docs.select(F.col("source").alias("part"), F.col("source").alias("accession"), F.lit("released").alias("status"), ref.alias("references"), "files").repartition("part").write.partitionBy("part").json(path)
+    docs.select(F.concat_ws("-", "source", "part").alias("part"), F.concat_ws("-", "source", "part").alias("accession"), F.lit("released").alias("status"), ref.alias("references"), "files").repartition("part").write.partitionBy("part").json(path)
     return path
 
 
-@query("metadata_datasets", "SELECT source AS accession, count(*) AS file_reference_count, 'PMID:'||source||'; doi:x' AS reference_identifiers, 'released' AS status FROM documents GROUP BY 1")
+@query("metadata_datasets", "SELECT source||'-'||doc_id//512 AS accession, count(*) AS file_reference_count, 'PMID:'||source||'; doi:x' AS reference_identifiers, 'released' AS status FROM documents GROUP BY source, doc_id//512")
 def metadata_datasets(spark, sf):
     return rounded(T.metadata_datasets(spark, _metadata_path(spark, sf)))
 
 
-@query("metadata_files", "SELECT source AS dataset, 'F'||doc_id AS accession, 'http://p/f/'||doc_id AS download_url FROM documents WHERE doc_id%5<>0 AND doc_id%7<>0 AND lang='en'")
+@query("metadata_files", "SELECT source||'-'||doc_id//512 AS dataset, 'F'||doc_id AS accession, 'http://p/f/'||doc_id AS download_url FROM documents WHERE doc_id%5<>0 AND doc_id%7<>0 AND lang='en'")
 def metadata_files(spark, sf):
     return T.metadata_files(spark, _metadata_path(spark, sf), ["bed"], "http://p", F.col("accession") != "F0").select("dataset", "accession", "download_url")
 

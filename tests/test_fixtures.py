@@ -175,3 +175,14 @@ def test_assert_disjoint(spark):
     bad = spark.createDataFrame([("a", "train"), ("a", "test")], "seq_id string, split string")
     with pytest.raises(ValueError):
         splits.assert_disjoint(bad)
+
+
+def test_rank_test_tells_how_its_tail_was_summed(spark, monkeypatch):
+    def methods(p, q):
+        rows = [("p", float(v)) for v in p] + [("q", float(v)) for v in q]
+        return stats.mann_whitney(spark.createDataFrame(rows, "g string, v double"), "g", "v", "p", "q").first()["p_value_method"]
+    assert methods(range(0, 6, 2), range(1, 31, 2)) == "exact"
+    assert methods([1, 2], [2, 3]) == "normal" and methods(range(0, 40, 2), range(1, 41, 2)) == "normal"
+    assert methods([1, 2], []) is None
+    monkeypatch.setattr(stats, "_EXACT_LENGTH", 4)
+    assert methods([15, 17], range(0, 40, 2)) == "uniform_sum"
