@@ -1,6 +1,10 @@
 """Extraction, chat formatting and token counts against plain versions."""
 
+import html
 import random
+import re
+
+import pyarrow.parquet as pq
 
 from pairgrammar.llm import extract, perspectives, wordpiece
 
@@ -153,3 +157,18 @@ def test_very_long_and_clashing_pages(spark):
     rows = spark.createDataFrame([(1, "u", page, "t", 0), (1, "u", page, "t", 0), (2, None, None, None, None)], "page_id long, url string, html string, text string, n_chars long")
     got = extract.extract(rows, ["page_id", "url", "text", "n_chars"]).collect()
     assert sorted(r["n_chars"] for r in got) == [0, *[sum(2000 * 5 + len(str(i)) for i in range(300)) + 299] * 2]
+
+
+def plain_article(page):
+    """Text of a page's only article by cutting at its block tags, without a parser."""
+    inside = re.search(r"<article[^>]*>(.*?)</article>", page or "", re.S)
+    cut = re.split(r"</?(?:p|h\d|ul|ol|li|div|section|blockquote|table|tr|td)\b[^>]*>", inside[1] if inside else "")
+    lines = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", x))).split()) for x in cut)
+    return "\n".join(x for x in lines if x)
+
+
+def test_table_pages_against_a_plain_version():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    assert len(pages) > 100
+    for page in pages:
+        assert extract.main_text(page) == plain_article(page)
