@@ -206,7 +206,7 @@ def sql_mann_whitney(source: str, by: str, side: str, value: str) -> str:
       FROM (SELECT *, rank() OVER ({f'PARTITION BY {by} ' if by else ''}ORDER BY {value}) + (count(*) OVER ({part}{value})-1)/2.0 AS mid, count(*) OVER ({part}{value}) AS c FROM {source}) {f'GROUP BY {by}' if by else ''})))"""
 
 
-@query("mann_whitney_p_value", f"SELECT chromosome, a AS n_positive, b AS n_negative, round(u,6) AS u, round(p_value,6) AS p_value, CASE WHEN least(a,b)<=8 AND ties=0 THEN 'exact' ELSE 'normal' END AS p_value_method FROM {sql_mann_whitney('(SELECT chromosome, full_score, label>0.5 AS pos FROM predictions)', 'chromosome', 'pos', 'full_score')}", PREDS)
+@query("mann_whitney_p_value", f"SELECT chromosome, a AS n_positive, b AS n_negative, round(u,6) AS u, round(p_value,6) AS p_value, CASE WHEN least(a,b)=0 THEN NULL WHEN least(a,b)<=8 AND ties=0 THEN 'exact' ELSE 'normal' END AS p_value_method FROM {sql_mann_whitney('(SELECT chromosome, full_score, label>0.5 AS pos FROM predictions)', 'chromosome', 'pos', 'full_score')}", PREDS)
 def mann_whitney_p_value(spark, sf):
     p = views.predictions(spark, sf).withColumn("side", F.when(F.col("label") > 0.5, "pos").otherwise("neg"))
     return rounded(X.mann_whitney(p, "side", "full_score", "pos", "neg", ["chromosome"]))
