@@ -3,7 +3,8 @@
 A window over one key sorts the whole key in one task. Where the input may be large, Spark's range
 partitioning by (group, order, row number) deals the rows into ranges of about ``RANGE_ROWS``, so
 that even one repeated key is cut; rows are windowed per (group, range) and shifted by the totals
-of the earlier ranges. A small input is one range: the plain window. Both order nulls as Spark does.
+of the earlier ranges. Rows that fit one range, by their count, are the plain window. Both order
+nulls as Spark does.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pairgrammar.session import cut_lineage, leaf_bytes, materialize, shared_dir
 Order = list  # column names; a leading "-" means descending
 
 RANGE_ROWS = 1 << 20
-SMALL_BYTES = 64 << 20  # inputs read from less than this are one range
+SMALL_BYTES = 64 << 20  # inputs read from less than this are counted before they are stored
 
 
 def order_columns(order: Order) -> list[Column]:
@@ -35,8 +36,12 @@ def with_ranges(df: DataFrame, by: list[str], order: Order, ranges: int, name: s
 
 
 def _sized(df: DataFrame) -> tuple[DataFrame, int]:
-    """The rows, stored if they may be many, and the number of ranges they need."""
-    if leaf_bytes(df) <= SMALL_BYTES:
+    """The rows, stored if they are many, and the number of ranges they need.
+
+    The count decides, not the size of the files: few bytes may hold or become any number of rows.
+    What is read from little is counted first (a job that reads hardly a column), the rest once it is stored.
+    """
+    if leaf_bytes(df) <= SMALL_BYTES and df.count() <= RANGE_ROWS:
         return df, 1
     df = materialize(df)
     return df, max(1, -(-df.count() // RANGE_ROWS))

@@ -53,24 +53,28 @@ def sequence_group(df: DataFrame) -> Column:
 
 
 def all_splits(windows: DataFrame, tf_master: DataFrame) -> DataFrame:
-    """The six split families in one long table."""
+    """The six split families in one long table. Windows are read once; each becomes one row per family of its phase."""
     left, right = split_pair("tf_pair_label")
-    pairs = windows.filter(F.col("phase").isin("phase2", "phase4", "phase5")).withColumns({"left_tf": left, "right_tf": right})
-    states = windows.filter(F.col("phase").isin("phase3", "phase4", "phase5"))
-    blocks = family_blocks(pairs, tf_master)
-    parts = [
-        group_split(pairs, "seq_id", "seen"),
-        group_split(pairs, pair_key("left_tf", "right_tf"), "unseen_pair"),
-        group_split(blocks, "family_block", "unseen_family"),
-        group_split(blocks, "subfamily_block", "unseen_subfamily"),
-        group_split(states, "state_label", "unseen_state"),
-        group_split(windows, sequence_group(windows), "sequence_locus"),
-    ]
-    cols = ["seq_id", "split_name", "group_value", "split"]
-    out = parts[0].select(*cols)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*cols))
-    return out
+    phase = F.col("phase")
+    slim = windows.select("seq_id", "phase", "state_label", sequence_group(windows).alias("locus"), left.alias("left_tf"), right.alias("right_tf"))
+    blocks = family_blocks(slim, tf_master)
+
+    def family(name: str, value, of_pairs: bool = False, of_states: bool = False) -> Column:
+        entry = F.struct(F.lit(name).alias("split_name"), group_text(value).alias("group_value"))
+        if of_pairs:
+            return F.when(phase.isin("phase2", "phase4", "phase5"), entry)
+        return F.when(phase.isin("phase3", "phase4", "phase5"), entry) if of_states else entry
+
+    families = F.array(
+        family("seen", "seq_id", of_pairs=True),
+        family("unseen_pair", pair_key("left_tf", "right_tf"), of_pairs=True),
+        family("unseen_family", "family_block", of_pairs=True),
+        family("unseen_subfamily", "subfamily_block", of_pairs=True),
+        family("unseen_state", "state_label", of_states=True),
+        family("sequence_locus", "locus"),
+    )
+    long = blocks.select("seq_id", F.explode(F.array_compact(families)).alias("x")).select("seq_id", "x.split_name", "x.group_value")
+    return long.withColumn("split", assign_split("group_value"))
 
 
 def phase_split_name(split_name, phase) -> Column:
