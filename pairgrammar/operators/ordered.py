@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairgrammar.session import cut_lineage, leaf_bytes, materialize, shared_dir
+from pairgrammar.session import cut_lineage, leaf_bytes, materialize, shared_dir, shuffles
 
 Order = list  # column names; a leading "-" means descending
 
@@ -36,12 +36,12 @@ def with_ranges(df: DataFrame, by: list[str], order: Order, ranges: int, name: s
 
 
 def _sized(df: DataFrame) -> tuple[DataFrame, int]:
-    """The rows, stored if they are many, and the number of ranges they need.
+    """The rows, stored if they are many or a shuffle made them, and the number of ranges they need.
 
     The count decides, not the size of the files: few bytes may hold or become any number of rows.
-    What is read from little is counted first (a job that reads hardly a column), the rest once it is stored.
+    What tasks derive from little alone is counted first (a job that reads hardly a column).
     """
-    if leaf_bytes(df) <= SMALL_BYTES and df.count() <= RANGE_ROWS:
+    if leaf_bytes(df) <= SMALL_BYTES and not shuffles(df) and df.count() <= RANGE_ROWS:
         return df, 1
     df = materialize(df)
     return df, max(1, -(-df.count() // RANGE_ROWS))

@@ -62,6 +62,17 @@ def distinct_list(df: DataFrame, key: str, col: str, name: str = "values", sep:
     return df.select(key, F.col(col).cast("string").alias(col)).distinct().groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(col)), sep).alias(name))
 
 
+def distinct_chunks(df: DataFrame, key: str, col: str, size: int = 1000, name: str = "values", sep: str = ",") -> DataFrame:
+    """D7 for groups of any size: the sorted list in rows (key, ``chunk``, values) of ``size`` strings each.
+
+    Lists of a group in the order of their chunks are its ``distinct_list``. Values are ranked by ranges, so a
+    group is never one task. Nulls are no values; a group without others has no row.
+    """
+    values = df.select(key, F.col(col).cast("string").alias(col)).where(F.col(col).isNotNull()).distinct()
+    dealt = ranked(values, [key], [col], "_rank").withColumn("chunk", F.floor((F.col("_rank") - 1) / size).cast("long"))
+    return dealt.groupBy(key, "chunk").agg(F.array_join(F.array_sort(F.collect_list(col)), sep).alias(name))
+
+
 def quantiles(df: DataFrame, col: str, qs: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``qs``.
 

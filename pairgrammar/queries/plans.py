@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairgrammar import schema, views
-from pairgrammar.functions.keys import parse_curated_pairs
+from pairgrammar.functions.keys import hash_bucket, parse_curated_pairs
 from pairgrammar.operators import splits as P
 from pairgrammar.operators.ordered import dedupe
 from pairgrammar.operators.summaries import audit_layer
@@ -47,7 +47,7 @@ def _assay(spark, sf):
     curated = parse_curated_pairs(_curated(spark, sf).drop("id")).distinct()
     names = curated.select(F.explode(F.array("left_seq_file", "right_seq_file", F.concat("tf2_seq_prefix", F.lit("0u_sig.seq")))).alias("file_name")).filter("file_name <> '' AND file_name <> '0u_sig.seq'").distinct()
     w = views.windows(spark, sf).select("sequence", "doc_id", "tile")
-    names = names.withColumn("d", F.abs(F.xxhash64("file_name")) % 200)
+    names = names.withColumn("d", hash_bucket("file_name", 200))
     lines = names.join(w.withColumn("d", F.col("doc_id") % 200), "d").select(F.col("file_name").alias("sequence_file"), F.concat_ws("_", "doc_id", "tile").alias("seq_index"), "sequence")
     return curated, names.select("file_name"), lines
 
@@ -62,7 +62,11 @@ def assay_inventory(spark, sf):
     return rounded(C.curated_inventory(curated, files).select("pair_name", "is_pair", "num_pair_files", "monomer_usable", "pair_usable", "support_type"))
 
 
-@query("assay_sequences")
+@query("assay_sequences", f"""WITH c AS (SELECT DISTINCT p_brand AS l, CASE WHEN p_size%3=0 THEN p_brand ELSE p_type END AS r, p_size%3<>0 AS is_pair, CASE WHEN p_size%4=0 THEN '' ELSE 'pre'||p_size END||'P13u_sig.seq' AS treated, 'q'||p_size AS p2 FROM part WHERE p_size%6<>0),
+  u AS (SELECT 'phase1' AS phase, l||'::'||l AS tf_pair_label, 1.0::DOUBLE AS label, treated AS f FROM c WHERE NOT is_pair UNION ALL SELECT 'phase1', l||'::'||l, 0.0::DOUBLE, p2||'0u_sig.seq' FROM c WHERE NOT is_pair
+    UNION ALL SELECT 'phase2', l||'::'||r, 1.0::DOUBLE, unnest([treated, p2||'P24u_sig.seq']) FROM c WHERE is_pair UNION ALL SELECT 'phase2', l||'::'||r, 0.0::DOUBLE, p2||'0u_sig.seq' FROM c WHERE is_pair),
+  w AS (SELECT doc_id%200 AS d, count(*) AS n FROM windows GROUP BY 1)
+  SELECT phase, label, tf_pair_label, CAST(sum(n) AS BIGINT) AS n FROM u JOIN w ON w.d={views._b("f", 200)} GROUP BY 1,2,3""", ("windows",))
 def assay_sequences(spark, sf):
     out = C.harmonize_assay(*_assay(spark, sf))
     return out["sequences"].groupBy("phase", "label", "tf_pair_label").agg(F.count("*").alias("n"))

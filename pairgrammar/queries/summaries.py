@@ -55,6 +55,13 @@ def distinct_list(spark, sf):
     return D.distinct_list(views.predictions(spark, sf), "left_tf", "state_label", "states")
 
 
+@query("distinct_chunks", """SELECT l_returnflag AS flag, chunk, array_to_string(list_sort(list(v)),',') AS orders FROM (SELECT *, (row_number() OVER (PARTITION BY l_returnflag ORDER BY v)-1)//1000 AS chunk
+  FROM (SELECT DISTINCT l_returnflag, CAST(l_orderkey AS VARCHAR) AS v FROM lineitem)) GROUP BY 1,2""")
+def distinct_chunks(spark, sf):
+    li = views.table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "flag")
+    return D.distinct_chunks(li, "flag", "l_orderkey", name="orders")
+
+
 @query("quantiles", "SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice,0.1),6) AS q10, round(quantile_cont(l_extendedprice,0.5),6) AS med, round(quantile_cont(l_extendedprice,0.9),6) AS q90 FROM lineitem GROUP BY 1")
 def quantiles(spark, sf):
     li = views.table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "flag")

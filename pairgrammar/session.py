@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -63,6 +64,11 @@ def leaf_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
+def shuffles(df: DataFrame) -> bool:
+    """Whether a plan aggregates, joins, sorts, deals or windows its rows."""
+    return re.search(r"^[\s:+-]*(Aggregate|Join|Sort|Window|Repartition\w*|Distinct)\b", df._jdf.queryExecution().optimizedPlan().toString(), re.M) is not None
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Checkpoint rows that are costly to make and used more than once; stored rows pass through."""
     root = df._jdf.queryExecution().analyzed().getClass().getSimpleName()

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairgrammar.operators import examples, graph, intervals, joins, motifs, ordered, resampling, selection, stats
+from pairgrammar.operators import examples, graph, intervals, joins, motifs, ordered, resampling, selection, splits, stats, summaries
 from pairgrammar.queries import plans
 from pairgrammar.queries.catalog import QUERIES
 from pairgrammar.streaming import jobs
@@ -39,6 +39,35 @@ def test_one_repeated_key_is_cut(spark):
     assert sorted(r["r"] for r in ordered.ranked(df, ["g"], ["k"], "r", ranges=10).collect()) == list(range(1, 4001))
 
 
+def test_rows_decide_on_ranges(spark, monkeypatch, tmp_path):
+    """A small file that becomes many rows is cut; lists in chunks put together are the whole list."""
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 100)
+    path = str(tmp_path / "few")
+    spark.createDataFrame([("x", 900), ("y", 3)], "g string, n int").coalesce(1).write.parquet(path)
+    many = spark.read.parquet(path).select("g", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    assert ordered._sized(many)[1] == 10 and ordered._sized(spark.read.parquet(path))[1] == 1
+    got = ordered.ranked(many, ["g"], ["-k"], "r")
+    assert {(r["g"], r["k"], r["r"]) for r in got.collect()} == {(g, k, n + 1 - k) for g, n in (("x", 900), ("y", 3)) for k in range(1, n + 1)}
+    values = many.withColumn("k", F.when(F.col("k") != 7, F.col("k")))
+    whole = {r["g"]: r["values"] for r in summaries.distinct_list(values, "g", "k").collect()}
+    chunks = summaries.distinct_chunks(values, "g", "k", 50).collect()
+    assert max(len(r["values"].split(",")) for r in chunks) == 50
+    for g in "xy":
+        assert ",".join(r["values"] for r in sorted(chunks, key=lambda r: r["chunk"]) if r["g"] == g) == whole[g]
+    assert summaries.distinct_chunks(values.where("k is null"), "g", "k").count() == 0
+
+
+def test_six_families_of_odd_windows(spark):
+    """Missing phases and states: a window is in the families of its phase alone, a missing state is the text nan."""
+    rows = [("a", "phase2", "T1::T2", "s", "en"), ("b", "phase3", "T1::T2", None, "fr"), ("c", None, None, "s", None), ("d", "phase5", "T1::T9", "s", "en")]
+    w = spark.createDataFrame(rows, "seq_id string, phase string, tf_pair_label string, state_label string, chromosome string")
+    tfs = spark.createDataFrame([("T1", "F", "S", ""), ("T2", "F", "R", "P")], "gene_symbol string, family string, subfamily string, paralog_group string")
+    got = {(r["seq_id"], r["split_name"]): r["group_value"] for r in splits.all_splits(w, tfs).collect()}
+    pairs = ["seen", "unseen_pair", "unseen_family", "unseen_subfamily"]
+    assert sorted(got) == sorted([(i, n) for i in "ad" for n in pairs] + [(i, "unseen_state") for i in "bd"] + [(i, "sequence_locus") for i in "abcd"])
+    assert got["b", "unseen_state"] == got["c", "sequence_locus"] == "nan" and got["a", "seen"] == "a" and got["a", "unseen_family"].startswith("F::F::paralog::")
+
+
 def test_overlap_counts_in_one_crowded_bin(spark):
     rnd = random.Random(8)
     frags = [("c1" if rnd.random() < 0.9 else "c2", (a := rnd.randrange(60)), a + rnd.randrange(0, 9)) for _ in range(800)] + [(None, 1, 5)]
