@@ -75,12 +75,12 @@ def anchored(spark, sf) -> DataFrame:
 
 
 def motif_positions(spark, sf) -> DataFrame:
-    """Base counts behind the first seed occurrence in every tile of a motif's language."""
+    """Base counts behind every seed occurrence in every tile of a motif's language that has room for the motif."""
     genes = [F.struct(F.lit(g).alias("gene"), F.lit(l).alias("lang"), F.lit(p).alias("par"), F.lit(s).alias("seed"), F.lit(w).alias("len")) for g, l, p, s, w in GENES]
     tiles = windows(spark, sf).select("sequence", "chromosome", "doc_id", F.explode(F.array(*genes)).alias("g"))
     tiles = tiles.filter((F.col("chromosome") == F.col("g.lang")) & (F.col("doc_id") % 2 == F.col("g.par")))
-    at = F.expr("instr(sequence, g.seed)")
-    tiles = tiles.withColumn("at", at).filter((F.col("at") > 0) & (F.col("at") + F.col("g.len") - 1 <= schema.WINDOW))
+    places = F.expr(f"filter(sequence(1, {schema.WINDOW} - g.len + 1), i -> substring(sequence, i, length(g.seed)) = g.seed)")
+    tiles = tiles.filter("instr(sequence, g.seed) > 0").withColumn("at", F.explode(places))
     cells = tiles.select(F.col("g.gene").alias("motif_id"), F.explode(F.sequence(F.lit(0), F.col("g.len") - 1)).alias("position"), "sequence", "at")
     base = F.substring("sequence", F.col("at") + F.col("position"), F.lit(1))
     return cells.groupBy("motif_id", "position").agg(*[F.count_if(base == b).cast("double").alias(b) for b in "ACGT"])
@@ -255,8 +255,8 @@ SQL: dict[str, tuple[list[str], str]] = {
     "motif_positions": (["windows"], f"""
       SELECT motif_id, position, {", ".join(f"CAST(sum(CASE WHEN base='{b}' THEN 1 ELSE 0 END) AS DOUBLE) AS {b}" for b in "ACGT")} FROM (
         SELECT gene AS motif_id, position, substr(sequence, CAST(ati+position AS INT), 1) AS base FROM (
-          SELECT *, unnest(range(0, len)) AS position FROM (SELECT sequence, gene, len, instr(sequence, seed) AS ati FROM windows w JOIN (VALUES {_GENE_VALUES}) g(gene,lang,par,seed,len) ON w.chromosome=g.lang AND w.doc_id%2=g.par)
-          WHERE ati>0 AND ati+len-1<=96)) GROUP BY 1,2"""),
+          SELECT *, unnest(range(0, len)) AS position FROM (SELECT sequence, gene, len, seed, unnest(range(1, 98-len)) AS ati FROM windows w JOIN (VALUES {_GENE_VALUES}) g(gene,lang,par,seed,len) ON w.chromosome=g.lang AND w.doc_id%2=g.par)
+          WHERE substr(sequence, CAST(ati AS INT), CAST(length(seed) AS INT))=seed)) GROUP BY 1,2"""),
     "pwm": (["motif_positions"], "SELECT motif_id, position, " + ", ".join(f"log2(({b}+1e-3)/(A+C+G+T+4e-3)/0.25) AS {b}" for b in "ACGT") + " FROM motif_positions"),
     "motif_stats": (["pwm"], "SELECT motif_id, count(*) AS motif_len, sum(greatest(A,C,G,T)) AS consensus_score, greatest(1.5, 0.55*sum(greatest(A,C,G,T))) AS cutoff FROM pwm GROUP BY 1"),
     "hits": (["windows", "pwm", "motif_stats"], """
