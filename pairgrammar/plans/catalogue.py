@@ -26,10 +26,11 @@ def build_tf_master(human: DataFrame, hocomoco: DataFrame, jaspar: DataFrame, tf
     def side(df: DataFrame | None, tag: str, order: list[str], cols: list[str]) -> DataFrame | None:
         if df is None:
             return None
-        best = dedupe(upper(df), ["gene_symbol"], order)
+        ties = [c for c in cols if c not in order]  # rows alike in the order differ in what is kept
+        best = dedupe(upper(df), ["gene_symbol"], [*order, *ties])
         return best.select("gene_symbol", *[F.col(c).alias(f"{tag}_{c}") for c in cols])
 
-    base = dedupe(upper(human).filter(F.upper(F.col("is_tf").cast("string")) == "YES"), ["gene_symbol"], ["ensembl_id"])
+    base = dedupe(upper(human).filter(F.upper(F.col("is_tf").cast("string")) == "YES"), ["gene_symbol"], ["ensembl_id", "dbd_family", "binding_mode"])
     sides = [
         side(hocomoco, "h", ["quality", "-model_length", "motif_id"], ["motif_id", "motif_source", "tf_family", "tf_subfamily", "uniprot_id"]),
         side(jaspar, "j", ["-model_length", "motif_id"], ["motif_id", "motif_source"]),

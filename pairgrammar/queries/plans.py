@@ -23,11 +23,11 @@ from pairgrammar.queries.splits import sql_split
 from pairgrammar.queries.summaries import GAP_SQL, LEAKAGE_SQL, SPACING_SQL, near_bins
 
 # ---- L1
-_HOCO = "(SELECT * FROM (SELECT 'G'||l_partkey AS g, 'H'||l_orderkey AS m, l_returnflag AS q, l_linenumber AS len, CASE WHEN l_linestatus='F' THEN '' ELSE 'fam'||(l_suppkey%7) END AS fam FROM lineitem WHERE l_returnflag<>'R') QUALIFY row_number() OVER (PARTITION BY g ORDER BY q, len DESC, m)=1)"
+_HOCO = "(SELECT * FROM (SELECT 'G'||l_partkey AS g, 'H'||l_orderkey AS m, l_returnflag AS q, l_linenumber AS len, CASE WHEN l_linestatus='F' THEN '' ELSE 'fam'||(l_suppkey%7) END AS fam FROM lineitem WHERE l_returnflag<>'R') QUALIFY row_number() OVER (PARTITION BY g ORDER BY q, len DESC, m, fam)=1)"
 _JASP = "(SELECT * FROM (SELECT 'G'||l_partkey AS g, 'J'||l_orderkey AS m, l_linenumber AS len FROM lineitem WHERE l_returnflag='R') QUALIFY row_number() OVER (PARTITION BY g ORDER BY len DESC, m)=1)"
 
 
-@query("tf_master_catalogue", f"""SELECT 'TF_'||lpad(CAST(row_number() OVER (ORDER BY gene_symbol) AS VARCHAR),5,'0') AS tf_id, * FROM (SELECT 'G'||p_partkey AS gene_symbol, coalesce(nullif(h.fam,''),nullif(p_brand,''),'') AS family,
+@query("tf_master_catalogue", f"""SELECT printf('TF_%05d', row_number() OVER (ORDER BY gene_symbol)) AS tf_id, * FROM (SELECT 'G'||p_partkey AS gene_symbol, coalesce(nullif(h.fam,''),nullif(p_brand,''),'') AS family,
   coalesce(nullif(p_type,''),'') AS subfamily, coalesce(nullif(p_brand,''),'G'||p_partkey) AS paralog_group, coalesce(h.m,j.m,'') AS motif_id, CASE WHEN h.m IS NOT NULL THEN 'H11' WHEN j.m IS NOT NULL THEN 'J26' ELSE '' END AS motif_source
   FROM part LEFT JOIN {_HOCO} h ON h.g='G'||p_partkey LEFT JOIN {_JASP} j ON j.g='G'||p_partkey WHERE p_size%9<>0)""")
 def tf_master_catalogue(spark, sf):
