@@ -206,6 +206,7 @@ def _one_file_a_slice(spark, sf):
 
 
 _SLICES = "SELECT split_name, seed, string_agg(v, chr(10) ORDER BY v)||chr(10) AS body FROM (SELECT split_name, seed, seq_id||chr(9)||printf('%.4f',full_score) AS v FROM seed_scores) GROUP BY 1,2"
+_HALF_UP_SLICES = _SLICES.replace("FROM seed_scores", "FROM half_up_seed_scores")
 
 
 @query("file_inventory", f"SELECT 'split_name='||split_name||'/seed='||seed AS folder, '.txt' AS suffix, strlen(body) AS bytes, false AS is_landing_page FROM ({_SLICES})", ("seed_scores",))
@@ -233,7 +234,7 @@ def line_inventory(spark, sf):
     return T.line_inventory(spark, _text(spark, views.windows(spark, sf).select(F.col("sequence").alias("value")), "lines")).agg(F.sum("lines").alias("lines"))
 
 
-@query("checksum_inventory", f"SELECT 'split_name='||split_name||'/seed='||seed AS folder, strlen(body) AS bytes, sha256(body) AS sha256, CASE WHEN seed=11 THEN 'changed' ELSE 'ok' END AS status FROM ({_SLICES})", ("seed_scores",))
+@query("checksum_inventory", f"SELECT 'split_name='||split_name||'/seed='||seed AS folder, strlen(body) AS bytes, sha256(body) AS sha256, CASE WHEN seed=11 THEN 'changed' ELSE 'ok' END AS status FROM ({_HALF_UP_SLICES})", ("half_up_seed_scores",))
 def checksum_inventory(spark, sf):
     root = _one_file_a_slice(spark, sf)
     found = T.checksum_inventory(spark, root)
