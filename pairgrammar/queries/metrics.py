@@ -276,7 +276,7 @@ def control_report(spark, sf):
 
 
 @query("selective_risk", """SELECT seq_id, k AS kept, round(k/n,6) AS coverage, round(c/k,6) AS accuracy FROM (SELECT *, row_number() OVER w AS k, sum(ok) OVER w AS c, count(*) OVER () AS n FROM (
-    SELECT seq_id, round(stddev_pop(full_score),9) AS sd, CASE WHEN (round(avg(full_score),9)>=0.5)=(max(label)>0.5) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ok FROM seed_scores GROUP BY 1) WINDOW w AS (ORDER BY sd, seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""", ("seed_scores",))
+    SELECT seq_id, round(stddev_pop(full_score),9) AS sd, CASE WHEN (round(avg(full_score),9)>=0.5)=(max(label)>0.5) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ok FROM half_up_seed_scores GROUP BY 1) WINDOW w AS (ORDER BY sd, seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""", ("half_up_seed_scores",))
 def selective_risk(spark, sf):
     e = D.ensemble(views.seed_scores(spark, sf), ["seq_id", "label"], "full_score", 0)
     ok = ((F.round("score_mean", 9) >= 0.5) == (F.col("label") > 0.5)).cast("double")
