@@ -88,6 +88,19 @@ def sql_drawn(kind: str) -> str:
     return "CASE level " + " ".join(f"WHEN {level} THEN {low}+" + "+".join(f"(z>={t})::INT" for t in table) for level, (low, table) in enumerate(each)) + " END"
 
 
+def sql_poisson_steps(drawn: str) -> str:
+    """CTEs up to ``steps``: for each level that is drawn, what z draws from t on, as ``resampling.thresholds`` has it; levels have no upper end."""
+    return f"""used AS MATERIALIZED (SELECT DISTINCT level, 1<<level AS n FROM {drawn}),
+  odds AS (SELECT level, k, sum(CASE WHEN k=low THEN 0 ELSE ln(n/k::DOUBLE) END) OVER (PARTITION BY level ORDER BY k) AS log
+    FROM (SELECT *, unnest(range(low, high+1)) AS k FROM (SELECT level, n::DOUBLE AS n, greatest(0, trunc(n-12*sqrt(n)-20))::BIGINT AS low, trunc(n+12*sqrt(n)+20)::BIGINT AS high FROM used WHERE level>0))),
+  weight AS (SELECT level, k, exp(log-max(log) OVER (PARTITION BY level)) AS v FROM odds),
+  steps AS MATERIALIZED (SELECT level, t, max(w) AS w FROM (
+    SELECT level, k+1 AS w, trunc({R.PRIME}*(sum(v) OVER (PARTITION BY level ORDER BY k)/sum(v) OVER (PARTITION BY level)))::BIGINT AS t FROM weight
+    UNION ALL SELECT level, min(k), -1 FROM odds GROUP BY 1
+    UNION ALL SELECT 0, k+1, trunc({R.PRIME}*exp(-1)*(SELECT sum(1/factorial(i::INT)) FROM (SELECT unnest(range(0,k+1)) AS i)))::BIGINT FROM (SELECT unnest(range(0,10)) AS k)
+    UNION ALL SELECT 0, 0, -1) GROUP BY 1,2)"""
+
+
 _CELL = "label, full_score, availability_only_score"
 _BOOT = f"bt AS MATERIALIZED (SELECT replicate, {sql_drawn('poisson')} AS w, {_CELL} FROM {sql_draws(11, 'seq_id', 'predictions', _CELL, 5000)})"
 
@@ -122,8 +135,13 @@ def paired_permutation(spark, sf):
     return rounded(X.paired_permutation(views.predictions(spark, sf), "full_score", "availability_only_score", "auprc"))
 
 
-@query("bootstrap_ci", f"""WITH bt AS MATERIALIZED (SELECT replicate, {sql_drawn('poisson')} AS w, label, full_score FROM {sql_draws(11, "seq_id", "predictions", "label, full_score", 1000)}), m AS {sql_rank_metrics('bt', 'label', 'full_score', 'replicate', 'w')}
-  SELECT count(*) AS used, round(quantile_cont(auprc,0.025),6) AS ci_low, round(quantile_cont(auprc,0.975),6) AS ci_high FROM m WHERE auprc IS NOT NULL""", PREDS)
+@query("bootstrap_ci", f"""WITH cell AS MATERIALIZED (SELECT label, full_score, count(*) AS n, min(('0x'||substr(sha256(seq_id),1,8))::BIGINT%{R.PRIME}) AS h FROM half_up_predictions GROUP BY 1,2),
+  part AS (SELECT label, full_score, h, n, unnest(range(0,{R.TOP_LEVEL}+(n>>{R.TOP_LEVEL}))) AS step FROM cell),
+  drawn AS MATERIALIZED (SELECT label, full_score, replicate, level, (y*{R.STEP}+x)%{R.PRIME} AS z FROM (SELECT *, x*x%{R.PRIME} AS y FROM (SELECT label, full_score, replicate, least(step,{R.TOP_LEVEL}) AS level, ((h+step*{R.LEVEL_STEP})%{R.PRIME}*ra+rb)%{R.PRIME} AS x
+    FROM part, {sql_constants(11, 1000)} WHERE step>={R.TOP_LEVEL} OR (n>>step)&1=1))),
+  {sql_poisson_steps("drawn")},
+  bt AS MATERIALIZED (SELECT replicate, label, full_score, w FROM drawn d ASOF JOIN steps s ON d.level=s.level AND d.z>=s.t), m AS {sql_rank_metrics('bt', 'label', 'full_score', 'replicate', 'w')}
+  SELECT count(*) AS used, round(quantile_cont(auprc,0.025),6) AS ci_low, round(quantile_cont(auprc,0.975),6) AS ci_high FROM m WHERE auprc IS NOT NULL""", ("half_up_predictions",))
 def bootstrap_ci(spark, sf):
     return rounded(X.bootstrap_ci(views.predictions(spark, sf), "full_score", "auprc"))
 
