@@ -137,11 +137,12 @@ def endogenous_evaluation(registry: DataFrame, status: DataFrame, scores: DataFr
     """L9 + E24: direction consistency per row, per target and per biosample (with a total row).
 
     ``registry``: registry_id, canonical_biosample, target_gene, enhancer_id, perturbation_descriptor.
-    ``scores``: seq_id, seed, full_score. ``supported``: state_label.
+    ``scores``: seq_id, seed, full_score. ``supported``: state_label. Its few distinct labels go to every task,
+    as a shuffle by biosample would put all rows of one into one task.
     """
     effect, p = parse_effect("perturbation_descriptor")
     known = supported.select(F.col("state_label").alias("canonical_biosample")).distinct().withColumn("_known", F.lit(True))
-    reg = registry.withColumns({"effect_size": effect, "effect_p_value": p, "seq_id": F.concat(F.lit("endogenous_confirmatory::"), "registry_id")}).join(known, "canonical_biosample", "left")
+    reg = registry.withColumns({"effect_size": effect, "effect_p_value": p, "seq_id": F.concat(F.lit("endogenous_confirmatory::"), "registry_id")}).join(F.broadcast(known), "canonical_biosample", "left")
     reg = reg.withColumns({"observed_direction": direction("effect_size"), "supported_state_label": F.coalesce("_known", F.lit(False))}).drop("_known")
     reg = reg.withColumns({"direction_evaluable": F.col("observed_direction") != "", "direction_significant": F.coalesce("effect_p_value", F.lit(1.0)) <= 0.05})
     n_seeds = scores.agg(F.count_distinct("seed").alias("n")).scalar()

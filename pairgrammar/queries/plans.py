@@ -281,9 +281,10 @@ def competition_manifests(spark, sf):
 def _endo(spark, sf):
     li = views.table(spark, sf, "lineitem")
     bio = F.element_at(F.array(F.lit("K562"), F.lit("HepG2"), F.lit("other")), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    rid = F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
-    reg = li.groupBy(rid.alias("registry_id"), bio.alias("canonical_biosample"), F.concat(F.lit("t"), (F.col("l_suppkey") % 50).cast("string")).alias("target_gene"), F.concat(F.lit("e"), F.col("l_partkey").cast("string")).alias("enhancer_id")).agg(
-        F.concat(F.lit("g_x_"), (F.max("l_partkey") % 9 - 4).cast("string"), F.lit("_0.01")).alias("perturbation_descriptor"))
+    parts = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]  # made distinct as numbers: shorter than the texts of a row
+    reg = li.select(*parts).distinct().select(
+        F.concat_ws("|", *[F.col(c).cast("string") for c in parts]).alias("registry_id"), bio.alias("canonical_biosample"), F.concat(F.lit("t"), (F.col("l_suppkey") % 50).cast("string")).alias("target_gene"),
+        F.concat(F.lit("e"), F.col("l_partkey").cast("string")).alias("enhancer_id"), F.concat(F.lit("g_x_"), (F.col("l_partkey") % 9 - 4).cast("string"), F.lit("_0.01")).alias("perturbation_descriptor"))
     sid = F.concat(F.lit("endogenous_confirmatory::"), "registry_id")
     enh = F.substring("enhancer_id", 2, 20).cast("long")
     status = reg.select(sid.alias("seq_id"), (enh % 4 != 0).alias("has_candidate"), F.when(enh % 4 != 0, "heterotypic_reference").otherwise("").alias("pair_mode"))
