@@ -34,7 +34,9 @@ LEVEL_STEP, ITEM_STEP = 69621, 39373  # apart, the keys of a cell's powers of tw
 TOP_LEVEL = 30  # larger counts take several draws of this power of two
 LIGHT = 8  # in subsets, a cell of so few rows draws a number for each
 TASK_CELLS = 200_000_000  # cells times replicates a task, about
-CHUNK, ROWS = 256, 8192  # replicates and cells held as one matrix
+CHUNK, ROWS = 256, 256  # replicates and cells held as one matrix, which stays in a core's cache
+BLOCK = 64  # cells drawn at once
+SHORT = 16  # thresholds compared one by one
 NUMPY_LIMIT = 10**9  # what numpy's hypergeometric draws take on either side
 
 
@@ -50,9 +52,36 @@ def constants(seed: int, replicates: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def numbers(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Uniform numbers below ``PRIME``: a row for each key, a column for each replicate."""
-    x = (keys[:, None] * a + b) % PRIME
-    return (x * x % PRIME * STEP + x) % PRIME
+    """Uniform numbers below ``PRIME``: a row for each key, a column for each replicate.
+
+    ``((x * x) * STEP + x) % PRIME`` of ``x = keys * a + b``. The prime is one less than a power of two, so a remainder
+    is the sum of a number's lower and higher bits; only the last one has to be the least.
+    """
+    x = _folded(_folded(keys[:, None] * a + b))
+    z = _folded(x * x)
+    z *= STEP
+    z += x
+    z = _folded(z)
+    z -= PRIME * (z >= PRIME)
+    return z
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A number with the same remainder by ``PRIME``: at most 2^32 from one below 2^63, at most 2^31 from that."""
+    high = x >> 31
+    x &= PRIME
+    x += high
+    return x
+
+
+def _above(table: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """How many of the sorted thresholds each number reaches; a short table is compared one threshold at a time."""
+    if len(table) > SHORT:
+        return np.searchsorted(table, z.ravel(), "right").reshape(z.shape)
+    out = np.zeros(z.shape, np.int8)
+    for t in table:
+        out += z >= t
+    return out
 
 
 @lru_cache(maxsize=None)
@@ -88,8 +117,9 @@ def draws(kind: str, keys: np.ndarray, counts: np.ndarray, a: np.ndarray, b: np.
         low, table = thresholds(kind, level)
         for again in range(int((counts[at] >> level).max()) if level == TOP_LEVEL else 1):
             some = at if level < TOP_LEVEL else at[counts[at] >> level > again]
-            z = numbers((keys[some] + (level + again) * LEVEL_STEP) % PRIME, a, b)
-            out[some] += low + np.searchsorted(table, z.ravel(), "right").reshape(z.shape)
+            shifted = (keys[some] + (level + again) * LEVEL_STEP) % PRIME
+            for lo in range(0, len(some), BLOCK):
+                out[some[lo:lo + BLOCK]] += low + _above(table, numbers(shifted[lo:lo + BLOCK], a, b))
     return out
 
 
@@ -99,9 +129,11 @@ def cells(rows: DataFrame, by: list[str], key: str = "_key") -> DataFrame:
 
 
 def _sums(score: np.ndarray, label: np.ndarray, key: np.ndarray, count: np.ndarray, first: np.ndarray, kind: str, a: np.ndarray, b: np.ndarray,
-          before: np.ndarray | None, carried: np.ndarray | None = None, goes_on: bool = False) -> tuple[np.ndarray, np.ndarray]:
+          before: np.ndarray | None, carried: np.ndarray | None = None, goes_on: bool = False, ahead_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Per list (2) and replicate: weights of positives and negatives, average-precision and pair sums; and the last score's weights.
 
+    With ``ahead_only`` the two sums stay zero: what lies ahead of other ranges are the weights alone.
+
     Cells come in descending score order. ``before``: the weights (2, 2, replicates) of all higher scores;
     ``carried``: those of the first score in earlier ranges. A last score that ``goes_on`` is summed elsewhere.
     """
@@ -115,34 +147,46 @@ def _sums(score: np.ndarray, label: np.ndarray, key: np.ndarray, count: np.ndarr
         while g < len(starts):
             h = max(g + 1, int(np.searchsorted(ends, starts[g] + ROWS, "right")))
             held = np.zeros((2, 2, h - g, len(a[cols])))
+            seen = np.zeros((2, 2, h - g), bool)  # groups with a cell of a list and label
             for at in range(int(starts[g]), int(ends[h - 1]), ROWS):  # one repeated score may be long
                 rows = slice(at, min(at + ROWS, int(ends[h - 1])))
                 drawn = draws(kind, key[rows], count[rows], a[cols], b[cols])
-                own = first[rows][:, None]
-                if kind == "swap":
-                    weights = (np.where(own, count[rows][:, None] - drawn, drawn), np.where(own, drawn, count[rows][:, None] - drawn))
-                else:
-                    weights = (drawn * own, drawn * ~own)
                 group = np.searchsorted(starts[g:h], np.arange(rows.start, rows.stop), "right") - 1
-                cut = np.flatnonzero(np.concatenate([[True], np.diff(group) > 0]))
-                for side, w in enumerate(weights):
+                for side, mine in enumerate((first[rows], ~first[rows])):
+                    if kind == "swap":  # a row is in both lists
+                        weights, mine = np.where(mine[:, None], count[rows][:, None] - drawn, drawn), np.ones(len(mine), bool)
+                    else:
+                        weights = drawn
                     for sign, on in enumerate((label[rows] > 0.5, label[rows] <= 0.5)):
-                        held[side, sign, group[cut]] += np.add.reduceat(w * on[:, None], cut, axis=0)
+                        some = np.flatnonzero(mine & on)
+                        if not len(some):
+                            continue
+                        cut = np.flatnonzero(np.concatenate([[True], np.diff(group[some]) > 0]))
+                        to = group[some[cut]]
+                        held[side, sign, to] += weights[some] if len(cut) == len(some) else np.add.reduceat(weights[some], cut, axis=0)
+                        seen[side, sign, to] = True
             out[:, :2, cols] += held.sum(axis=2)
             if h == len(starts):
                 last[:, :, cols] = held[:, :, -1]
+            if ahead_only:
+                g = h
+                continue
             if g == 0 and carried is not None:
                 held[:, :, 0] += carried[:, :, cols]
+                seen[:, :, 0] = True
             if h == len(starts) and goes_on:
-                held = held[:, :, :-1]
+                held, seen = held[:, :, :-1], seen[:, :, :-1]
             for side in (0, 1):
-                pos, neg = held[side]
-                if not len(pos):
+                some = np.flatnonzero(seen[side].any(axis=0))
+                if not len(some):
                     continue
+                pos, neg = held[side][:, some]
                 tp, fp = ahead[side, 0] + pos.cumsum(axis=0), ahead[side, 1] + neg.cumsum(axis=0)
-                out[side, 2, cols] += np.where(tp + fp > 0, pos * tp / np.maximum(tp + fp, 1e-300), 0.0).sum(axis=0)
-                out[side, 3, cols] += (pos * (fp - neg / 2)).sum(axis=0)
                 ahead[side, 0], ahead[side, 1] = tp[-1], fp[-1]
+                hits = np.flatnonzero(seen[side, 0, some])  # the others add nothing
+                pos, neg, tp, fp = pos[hits], neg[hits], tp[hits], fp[hits]
+                out[side, 2, cols] += (pos * tp / np.maximum(tp + fp, 1e-300)).sum(axis=0)
+                out[side, 3, cols] += (pos * (fp - neg / 2)).sum(axis=0)
             g = h
     return out, last
 
@@ -172,6 +216,9 @@ def replicate_metrics(rows: DataFrame, by: list[str], kind: str, replicates: int
     else:
         entries = entries.withColumn("_range", F.lit(0))
     keys = ["_range", *by]
+    # dealt by an explicit number: the rows are few bytes for their work, and adapted plans would put them into few tasks
+    tasks = 2 * max(ranges, rows.sparkSession.sparkContext.defaultParallelism)
+    entries = entries.repartition(tasks, *keys)
     types = [f for f in entries.schema.fields if f.name in keys]
     heads = sorted(types, key=lambda f: keys.index(f.name))
     array = T.ArrayType(T.DoubleType())
@@ -183,7 +230,7 @@ def replicate_metrics(rows: DataFrame, by: list[str], kind: str, replicates: int
         data = {c: table[c].to_numpy() for c in ("_score", "label", "_key", "_count", "_first")}
         order = np.argsort(-data["_score"], kind="stable")
         score = data["_score"][order]
-        sums, last = _sums(score, *[data[c][order] for c in ("label", "_key", "_count")], data["_first"][order].astype(bool), kind, a, b, before, carried, goes_on)
+        sums, last = _sums(score, *[data[c][order] for c in ("label", "_key", "_count")], data["_first"][order].astype(bool), kind, a, b, before, carried, goes_on, only_ends)
         head = [table[k].slice(0, 1) for k in keys]
         if only_ends:
             found = [*sums[:, :2].reshape(4, -1), *last.reshape(4, -1)]
@@ -206,7 +253,7 @@ def replicate_metrics(rows: DataFrame, by: list[str], kind: str, replicates: int
         # what lies above the first score leaves out what earlier ranges hold of this score itself
         shift = shift.withColumns({n: F.col(n) - F.col(f"carried_{n}") for n in _SIDES})
         names = [*_SIDES, *[f"carried_{n}" for n in _SIDES]]
-        shift = shift.groupBy(*keys).agg(F.bool_or("goes_on").alias("goes_on"), F.array_sort(F.collect_list(F.struct("_r", *names))).alias("s")).select(*keys, "goes_on", *[F.col(f"s.{n}").alias(n) for n in names])
+        shift = shift.groupBy(*keys).agg(F.bool_or("goes_on").alias("goes_on"), F.array_sort(F.collect_list(F.struct("_r", *names))).alias("s")).select(*keys, "goes_on", *[F.col(f"s.{n}").alias(n) for n in names]).repartition(tasks, *keys)
 
         def shifted(left: pa.Table, right: pa.Table) -> pa.Table:
             before, carried = (np.array([right[n].to_pylist()[0] for n in names[i:i + 4]]).reshape(2, 2, -1) for i in (0, 4))
