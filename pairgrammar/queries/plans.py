@@ -263,7 +263,8 @@ def competition_panel(spark, sf):
 
 @query("competition_ranks", f"WITH {_CF} SELECT crs, count(*) OVER (PARTITION BY cg) AS group_size, row_number() OVER (PARTITION BY cg ORDER BY activity_score DESC, crs) AS activity_rank_desc, row_number() OVER (PARTITION BY cg ORDER BY activity_score, crs) AS activity_rank_asc FROM cf", ("competition",))
 def competition_ranks(spark, sf):
-    return A.competition_ranks(_comp(spark, sf)).select("crs", "group_size", "activity_rank_desc", "activity_rank_asc")
+    slim = _comp(spark, sf).select("competition_group", "activity_score", "crs")  # the ranks store their rows as they come
+    return A.competition_ranks(slim).select("crs", "group_size", "activity_rank_desc", "activity_rank_asc")
 
 
 @query("competition_group_summary", f"WITH {_CF} SELECT library_name, actual_state||competition_group AS actual_state, least(l,r)||'::'||greatest(l,r) AS pair_transfer_group, count(*) AS group_size, round(max(activity_score)-min(activity_score),6) AS activity_margin FROM cf GROUP BY 1,2,3", ("competition",))
