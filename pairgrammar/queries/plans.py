@@ -21,6 +21,7 @@ from pairgrammar.queries.registry import query, rounded
 from pairgrammar.queries.relations import PEAKS_SQL, peak_rows
 from pairgrammar.queries.splits import sql_split
 from pairgrammar.queries.summaries import GAP_SQL, LEAKAGE_SQL, SPACING_SQL, near_bins
+from pairgrammar.session import materialize
 
 # ---- L1
 _HOCO = "(SELECT * FROM (SELECT 'G'||l_partkey AS g, 'H'||l_orderkey AS m, l_returnflag AS q, l_linenumber AS len, CASE WHEN l_linestatus='F' THEN '' ELSE 'fam'||(l_suppkey%7) END AS fam FROM lineitem WHERE l_returnflag<>'R') QUALIFY row_number() OVER (PARTITION BY g ORDER BY q, len DESC, m, fam)=1)"
@@ -123,7 +124,7 @@ def layer_regions(seqs):
 
 def _layer(spark, sf):
     """Regions on document 'chromosomes', over all their bases; fragments from the line items on all of them, over their whole length; lengths."""
-    seqs = views.sequences(spark, sf).filter(F.length("bases") > 0)
+    seqs = materialize(views.sequences(spark, sf).filter(F.length("bases") > 0).select("doc_id", "bases"))  # texts are read once
     chrom = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     sizes = seqs.select(chrom.alias("chromosome"), F.length("bases").cast("long").alias("size"))
     docs = views.table(spark, sf, "documents").agg(F.count("*")).scalar()

@@ -13,7 +13,7 @@ from pairgrammar.plans import states as S
 from pairgrammar.queries.motifs import _CAND
 from pairgrammar.queries.plans import _ledger
 from pairgrammar.queries.registry import query, rounded
-from pairgrammar.session import scratch_path
+from pairgrammar.session import materialize, scratch_path
 from pairgrammar.sources import blocks
 from pairgrammar.sources import genomics as B
 from pairgrammar.sources import tables as T
@@ -312,7 +312,7 @@ _TILES = "SELECT seq_id||'_'||o AS seq_id, rpad(substr(bases,CAST(o*96+1 AS INT)
 
 def _tiles(spark, sf):
     """Windows over all bases of every sequence, with the chunk table and the lengths."""
-    s = views.sequences(spark, sf).filter(F.length("bases") > 0)
+    s = materialize(views.sequences(spark, sf).filter(F.length("bases") > 0).select("seq_id", "bases"))  # texts are read once, not for every batch
     at = F.explode(F.sequence(F.lit(0), F.floor((F.length("bases") - 1) / 96).cast("int"))).alias("o")
     regions = s.select("seq_id", at).select(F.concat("seq_id", F.lit("_"), F.col("o").cast("string")).alias("seq_id"), F.col("seq_id").alias("chromosome"), (F.col("o") * 96).cast("long").alias("window_start"))
     cut = s.select(F.col("seq_id").alias("chromosome"), "bases", F.explode(F.sequence(F.lit(0), F.floor((F.length("bases") - 1) / 1000).cast("int"))).alias("c"))
