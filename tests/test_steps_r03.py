@@ -24,3 +24,29 @@ def test_a_motif_library_reads_no_text_again(spark):
     cutoffs = {r.motif_id: r.cutoff for r in M.motif_stats(M.build_pwm(found)).collect()}
     assert cutoffs and all(abs(r.cutoff - cutoffs[r.tf_id]) < 1e-9 for r in library.collect())
     assert {r.cutoff for r in M.pwm_library(found, cutoff=2.5).collect()} == {2.5}
+
+
+SPANS = [(2, 5, 7, 9), (0, 6, 3, 9), (7, 9, 2, 5), (-3, 4, 8, 40), (3, 3, 5, 4), (None, 4, 2, 6), (2, 5, None, None)]
+
+
+def spans(spark, text="ACGTNACGTA"):
+    rows = [(f"k{i}", text, *span) for i, span in enumerate(SPANS)]
+    return spark.createDataFrame(rows, "seq_id string, sequence string, left_start long, left_end long, right_start long, right_end long")
+
+
+def within(i, a, b):
+    return a is not None and b is not None and a <= i < b
+
+
+def test_masks_and_tensors_test_no_place_against_the_bounds(spark):
+    names = ("left_start", "left_end", "right_start", "right_end")
+    rows = spans(spark).select(*names, S.region_masks(*names, length=10).alias("m"), F.slice(S.interface_tensor("sequence", *names, length=10), 1, 5).alias("t"))
+    assert "lambda" not in plan(spans(spark).select(S.region_masks(*names, length=10)))
+    least, most = (lambda *x: min(v for v in x if v is not None)), (lambda *x: max(v for v in x if v is not None))
+    for r in rows.collect():
+        ls, le, rs, re = r[:4]
+        if None not in r[:4]:
+            wanted = [(most(ls, rs), least(le, re)), (least(le, re), most(ls, rs)), (most(le - 4, ls), le), (rs, least(rs + 4, re))]
+            assert r.m == [[float(within(i, *w)) for i in range(10)] for w in wanted]
+            cores = [(ls, le if rs >= le else most(ls, rs)), (rs if rs >= le else least(le, re), re)]
+            assert r.t == [[float(c == b and not any(within(i, *x) for x in cores)) for i, c in enumerate("ACGTNACGTA")] for b in "ACGTN"]
