@@ -50,3 +50,22 @@ def test_masks_and_tensors_test_no_place_against_the_bounds(spark):
             assert r.m == [[float(within(i, *w)) for i in range(10)] for w in wanted]
             cores = [(ls, le if rs >= le else most(ls, rs)), (rs if rs >= le else least(le, re), re)]
             assert r.t == [[float(c == b and not any(within(i, *x) for x in cores)) for i, c in enumerate("ACGTNACGTA")] for b in "ACGTN"]
+
+
+def test_random_bases_are_made_for_the_places_of_a_region_only(spark):
+    done = E.randomize_region(spans(spark), "left_start", "left_end", 11)
+    assert "split(" not in plan(done)
+    gc = 4 / 10
+    for r in done.collect():
+        want = list(r.sequence)
+        for i in range(len(want)):
+            if within(i, r.left_start, r.left_end):
+                u = int(hashlib.sha256(f"11|{r.seq_id}|{i}".encode()).hexdigest()[:15], 16) % 1_000_000 / 1e6
+                want[i] = "A" if u < (1 - gc) / 2 else "C" if u < 0.5 else "G" if u < 0.5 + gc / 2 else "T"
+        assert r.sequence_randomized == "".join(want)
+    whole = {tuple(r[:2]): r for r in E.rerandomize_cores(spans(spark), 11, "out").collect()}
+    for (key, text), r in whole.items():
+        ls, le, rs, re = (r[n] for n in ("left_start", "left_end", "right_start", "right_end"))
+        if None not in (ls, le, rs, re):
+            cores = [(ls, min(le, max(ls, rs))), (max(rs, min(le, re)), re)]
+            assert r.out == "".join("ACGT"[int(hashlib.sha256(f"11|{key}|{i}".encode()).hexdigest()[:15], 16) % 4] if any(within(i, *c) for c in cores) else x for i, x in enumerate(text))
