@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairgrammar.operators.ordered import running
-from pairgrammar.session import cut_lineage
+from pairgrammar.operators.ordered import RANGE_ROWS, running
+from pairgrammar.session import cut_lineage, materialize, stored
 
 BIN = 100_000
 
@@ -60,19 +60,28 @@ def count_marked(regions: DataFrame, marks: DataFrame, keys: list[str], by: list
 
     The fragments that begin before a region's end, less those that end by its start: two running
     totals along the chromosome, whatever is crowded and however many hits there are. Groups with no mark are left out.
+    With ``by`` the marks are counted per chromosome and value: if none has more of them, and of bounds, than a range, the totals
+    are plain windows.
     """
     by = by or []
-    marks = cut_lineage(marks)
+    marks = stored(marks, "marks") if by else cut_lineage(marks)
     slim = regions.filter("chromosome is not null").select(*dict.fromkeys([*keys, "chromosome", "region_start", "region_end"]))
     bounds = F.explode(F.array(
         F.struct(F.col("region_end").cast("long").alias("at"), F.lit(1).alias("_side")), F.struct(F.col("region_start").cast("long").alias("at"), F.lit(-1).alias("_side")))).alias("p")
-    asked = slim.join(marks.select("chromosome", *by).distinct(), "chromosome") if by else slim
+    asked, ranges = slim, None
+    if by:
+        groups = materialize(marks.groupBy("chromosome", *by).agg(F.count("*").alias("_marks")))
+        asked = slim.join(groups.drop("_marks"), "chromosome")
+        most = groups.agg(F.max("_marks")).first()[0] or 0
+        if most <= RANGE_ROWS:
+            most += 2 * (slim.groupBy("chromosome").count().agg(F.max("count")).first()[0] or 0)
+        ranges = 1 if most <= RANGE_ROWS else None
     zero = F.lit(0).cast("long")
     named = {k: f"_key{i}" for i, k in enumerate(keys)}
     asked = asked.select(F.col("chromosome").alias("_c"), *by, *[F.col(k).alias(n) for k, n in named.items()], bounds).select(
         "_c", *by, "p.at", F.lit(1).alias("order"), zero.alias("started"), zero.alias("ended"), *named.values(), "p._side")
     both = marks.withColumnRenamed("chromosome", "_c").unionByName(asked, allowMissingColumns=True)
-    run = running(both, ["_c", *by], ["at", "order"], {"_begun": ("sum", F.col("started")), "_over": ("sum", F.col("ended"))})
+    run = running(both, ["_c", *by], ["at", "order"], {"_begun": ("sum", F.col("started")), "_over": ("sum", F.col("ended"))}, ranges=ranges)
     return run.filter("_side is not null").groupBy(*[F.col(n).alias(k) for k, n in named.items()], *by).agg(
         F.sum(F.when(F.col("_side") > 0, F.col("_begun")).otherwise(-F.col("_over"))).cast("long").alias("fragment_count"))
 

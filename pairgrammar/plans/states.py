@@ -140,7 +140,7 @@ def build_state_layer(regions: DataFrame, fragments: DataFrame, chunks: DataFram
     ranked_states = rank_states(regions, fragments, max_regions, max(max_states * max(multiplier, 1), max_states))
     placed = cut_lineage(hydrate_states(ranked_states, chunks, chunk_size, lengths=lengths))
     genes = edges.select(F.explode(F.array("left_tf", "right_tf")).alias("motif_id")).distinct()
-    used = positions.join(genes, "motif_id", "left_semi")
+    used = materialize(positions.join(genes, "motif_id", "left_semi"))
     hydrated = placed.filter("hydration_status = 'complete'").drop("hydration_status")
     hits = materialize(M.scan_motifs(hydrated.select(F.col("state_label").alias("seq_id"), "sequence"), M.pwm_library(used), top_k=max(2, max_pairs)))
     selected = cut_lineage(select_states(hydrated, hits, edges, max_states))

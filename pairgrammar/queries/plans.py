@@ -122,8 +122,11 @@ def layer_regions(seqs):
         F.element_at(F.array(*[F.lit(e) for e in views.ELEMENTS]), (F.col("i") % 7 + 1).cast("int")).alias("element_type"))
 
 
-def _layer(spark, sf):
-    """Regions on document 'chromosomes', over all their bases; fragments from the line items on all of them, over their whole length; lengths."""
+def _layer(spark, sf, motifs=True):
+    """Regions on document 'chromosomes', over all their bases; fragments from the line items on all of them, over their whole length; lengths.
+
+    ``motifs``: whether the motif counts, made from all texts, are wanted.
+    """
     seqs = materialize(views.sequences(spark, sf).filter(F.length("bases") > 0).select("doc_id", "bases"))  # texts are read once
     chrom = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     sizes = seqs.select(chrom.alias("chromosome"), F.length("bases").cast("long").alias("size"))
@@ -133,7 +136,7 @@ def _layer(spark, sf):
     fragments = li.join(sizes, "chromosome").select("chromosome", (F.col("x") % F.col("size")).alias("start"), (F.col("x") % F.col("size") + F.col("q")).alias("end"), "file_id")
     chunks = seqs.select(chrom.alias("chromosome"), "bases", F.explode(F.sequence(F.lit(0), F.floor((F.length("bases") - 1) / 500).cast("int"))).alias("c")).select(
         "chromosome", F.col("c").cast("long").alias("chunk_id"), (F.col("c") * 500).cast("long").alias("start"), F.substring("bases", F.col("c") * 500 + 1, F.lit(500)).alias("bases"))
-    return layer_regions(seqs), fragments, chunks, views.motif_positions(spark, sf), views.edges(spark, sf), sizes.withColumnRenamed("size", "chromosome_length")
+    return layer_regions(seqs), fragments, chunks, views.motif_positions(spark, sf) if motifs else None, views.edges(spark, sf), sizes.withColumnRenamed("size", "chromosome_length")
 
 
 def state_layer(spark, sf):
@@ -149,7 +152,7 @@ _RANKED = """lr AS (SELECT 'd'||doc_id AS c, bases, i*300+CASE WHEN n-i*300>50 T
 
 @query("ranked_states", f"WITH {_RANKED} SELECT state_label, total AS total_fragment_count, files AS supporting_files FROM rk", ("sequences",))
 def ranked_states(spark, sf):
-    regions, fragments, *_ = _layer(spark, sf)
+    regions, fragments, *_ = _layer(spark, sf, motifs=False)
     return S.rank_states(regions, fragments, None, 800).select("state_label", "total_fragment_count", "supporting_files")
 
 

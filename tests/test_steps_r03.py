@@ -2,12 +2,15 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from pairgrammar import views
 from pairgrammar.functions import sequence as S
 from pairgrammar.operators import examples as E
+from pairgrammar.operators import intervals as N
 from pairgrammar.operators import motifs as M
+from pairgrammar.operators import ordered
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -69,3 +72,23 @@ def test_random_bases_are_made_for_the_places_of_a_region_only(spark):
         if None not in (ls, le, rs, re):
             cores = [(ls, min(le, max(ls, rs))), (max(rs, min(le, re)), re)]
             assert r.out == "".join("ACGT"[int(hashlib.sha256(f"11|{key}|{i}".encode()).hexdigest()[:15], 16) % 4] if any(within(i, *c) for c in cores) else x for i, x in enumerate(text))
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_only_a_crowded_chromosome_is_cut_into_ranges(spark, monkeypatch, hot):
+    cut, plain = [], ordered.with_ranges
+    monkeypatch.setattr(ordered, "with_ranges", lambda *args, **more: cut.append(1) or plain(*args, **more))
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 100)
+    monkeypatch.setattr(ordered, "SMALL_BYTES", 0)
+    monkeypatch.setattr(N, "RANGE_ROWS", 100, raising=False)
+    pieces = [(f"c{i % 20 if not hot or i % 2 else 0}", (i * 37) % 400, (i * 37) % 400 + i % 50, i % 3) for i in range(600)]
+    places = [(f"r{i}", f"c{i % 21}", (i * 53) % 380, (i * 53) % 380 + 40) for i in range(60)]
+    fragments = spark.createDataFrame(pieces, "chromosome string, start long, end long, file_id int")
+    regions = spark.createDataFrame(places, "state_label string, chromosome string, region_start long, region_end long")
+    got = {(r.state_label, r.file_id): r.fragment_count for r in N.count_overlaps(regions, fragments, ["state_label"], ["file_id"]).collect()}
+    want = {}
+    for label, chromosome, a, b in places:
+        for c, start, end, file in pieces:
+            if c == chromosome and start < end and a < end and b > start:
+                want[label, file] = want.get((label, file), 0) + 1
+    assert got == want and bool(cut) == hot
