@@ -5,40 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairgrammar.session import shared_dir
+from pairgrammar.operators.ordered import ranked
+from pairgrammar.session import materialize, shared_dir
 
 
 HUB_PARTS = 4096  # a node with a larger share of all edges than one of so many is a hub: there are fewer of these
 
 
-def with_lowest(edges: DataFrame, lowest: Column, total: int) -> DataFrame:
-    """Edges (u, v) with ``m``, the lowest of all v of their u (``lowest``).
+def look_up(edges: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """Edges with the values that ``table`` (``key``, ``_edges``, values) has for their ``key``.
 
     The values of hubs, fewer than ``HUB_PARTS``, go to the tasks in which their edges lie, so a hub's edges stay
     spread; all other nodes have too few edges to fill a task by themselves.
     """
-    low = edges.groupBy("u").agg(lowest.alias("m"), F.count("*").alias("_edges"))
     is_hub = F.col("_edges") * HUB_PARTS > total
-    hubs = F.broadcast(low.filter(is_hub).select("u", "m"))
-    rest = low.filter(~is_hub).select("u", "m")
-    return edges.join(hubs, "u").unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(rest, "u"))
+    hubs = F.broadcast(table.filter(is_hub).drop("_edges"))
+    rest = table.filter(~is_hub).drop("_edges")
+    return edges.join(hubs, key).unionByName(edges.join(hubs.select(key), key, "left_anti").join(rest, key))
+
+
+def with_lowest(edges: DataFrame, lowest: Column, total: int) -> DataFrame:
+    """Edges (u, v) with ``m``, the lowest of all v of their u (``lowest``)."""
+    return look_up(edges, edges.groupBy("u").agg(lowest.alias("m"), F.count("*").alias("_edges")), "u", total)
 
 
 def _fingerprint(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def connected_components(edges: DataFrame, left: str = "left_tf", right: str = "right_tf") -> DataFrame:
-    """K1: ``(node, component)`` with the smallest node of the component as its name.
+def _numbered(edges: DataFrame, left: str, right: str) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) by the numbers of their nodes, and the nodes (node, id): numbers from 1 in the order of the names.
+
+    The rounds compare and group by numbers: the lowest name of a group would be found by sorting.
+    """
+    base = materialize(edges.select(F.col(left).cast("string").alias("u"), F.col(right).cast("string").alias("v")).filter("u is not null and v is not null"))
+    nodes = base.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("_edges"))
+    ids = materialize(ranked(nodes, [], ["node"], "id"))
+    total = 2 * base.count()
+    for side in ("u", "v"):
+        base = look_up(base, ids.select(F.col("node").alias(side), "_edges", F.col("id").alias(f"_{side}")), side, total).drop(side)
+    return base.select(F.col("_u").alias("u"), F.col("_v").alias("v")), ids.select("node", "id")
+
+
+def _lower(pairs: DataFrame) -> DataFrame:
+    """``(u, low)``: the smallest node of its component for every node but that smallest one.
 
     Alternates large-star and small-star steps (logarithmically many rounds). Each step is
     checkpointed to the shared folder, which cuts the lineage and survives a lost executor. A hub's
-    edges are never gathered in one task (``with_lowest``).
+    edges are never gathered in one task (``look_up``).
     """
-    shared_dir(edges.sparkSession)
-    base = edges.select(F.col(left).cast("string").alias("u"), F.col(right).cast("string").alias("v")).filter("u is not null and v is not null")
-    nodes = base.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    links = base.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    links = pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     mark = _fingerprint(links)
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -49,8 +65,17 @@ def connected_components(edges: DataFrame, left: str = "left_tf", right: str = "
         if now == mark:
             break
         mark = now
-    return nodes.join(links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node"), "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
+    return links.groupBy("u").agg(F.min("v").alias("low"))
+
+
+def connected_components(edges: DataFrame, left: str = "left_tf", right: str = "right_tf") -> DataFrame:
+    """K1: ``(node, component)`` with the smallest node of the component as its name."""
+    shared_dir(edges.sparkSession)
+    pairs, ids = _numbered(edges, left, right)
+    low = ids.join(_lower(pairs).withColumnRenamed("u", "id"), "id", "left").select("node", F.coalesce("low", "id").alias("id"))
+    names = low.select("id").distinct().join(ids.withColumnRenamed("node", "component"), "id")
+    sizes = low.groupBy("id").agg(F.count("*").alias("_edges"))
+    return look_up(low, names.join(sizes, "id"), "id", ids.count()).select("node", "component")
 
 
 def identifiability_components(edges: DataFrame) -> DataFrame:
@@ -59,12 +84,15 @@ def identifiability_components(edges: DataFrame) -> DataFrame:
     One run over the bipartite double cover answers both: a component is non-bipartite when both
     copies of a node meet, and the smaller name of the two copies' components is its own.
     """
-    cover = edges.select(F.explode(F.array(
-        F.struct(F.concat(F.lit("0|"), "left_tf").alias("left_tf"), F.concat(F.lit("1|"), "right_tf").alias("right_tf")),
-        F.struct(F.concat(F.lit("1|"), "left_tf").alias("left_tf"), F.concat(F.lit("0|"), "right_tf").alias("right_tf")))).alias("e")).select("e.*")
-    halves = connected_components(cover).select(F.substring("node", 3, 1 << 30).alias("node"), F.col("component").alias("half"))
-    nodes = halves.groupBy("node").agg(F.min(F.substring("half", 3, 1 << 30)).alias("component"), (F.min("half") == F.max("half")).alias("odd"))
-    return nodes.groupBy("component").agg(F.count("*").alias("nodes"), F.bool_or("odd").alias("non_bipartite"))
+    shared_dir(edges.sparkSession)
+    pairs, ids = _numbered(edges, "left_tf", "right_tf")
+    n = ids.count()  # a node's second copy has its number and n more
+    cover = pairs.select(F.explode(F.array(F.struct("u", (F.col("v") + n).alias("v")), F.struct((F.col("u") + n).alias("u"), "v"))).alias("e")).select("e.*")
+    copies = ids.select(F.explode(F.array("id", F.col("id") + n)).alias("u"))
+    halves = copies.join(_lower(cover), "u", "left").select(((F.col("u") - 1) % n + 1).alias("id"), F.coalesce("low", "u").alias("half"))
+    nodes = halves.groupBy("id").agg(F.min((F.col("half") - 1) % n + 1).alias("low"), (F.min("half") == F.max("half")).alias("odd"))
+    found = nodes.groupBy("low").agg(F.count("*").alias("nodes"), F.bool_or("odd").alias("non_bipartite"))
+    return found.join(ids.select(F.col("id").alias("low"), F.col("node").alias("component")), "low").select("component", "nodes", "non_bipartite")
 
 
 def identifiability_audit(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairgrammar import views
 from pairgrammar.functions import sequence as S
 from pairgrammar.operators import examples as E
+from pairgrammar.operators import graph
 from pairgrammar.operators import intervals as N
 from pairgrammar.operators import motifs as M
 from pairgrammar.operators import ordered
@@ -92,3 +93,15 @@ def test_only_a_crowded_chromosome_is_cut_into_ranges(spark, monkeypatch, hot):
             if c == chromosome and start < end and a < end and b > start:
                 want[label, file] = want.get((label, file), 0) + 1
     assert got == want and bool(cut) == hot
+
+
+def test_rounds_of_a_graph_compare_numbers(spark, monkeypatch):
+    seen, plain = [], graph.with_lowest
+    monkeypatch.setattr(graph, "with_lowest", lambda edges, *rest: seen.append(edges.schema["u"].dataType.typeName()) or plain(edges, *rest))
+    edges = [("b", "c"), ("c", "d"), ("d", "b"), ("x", "y"), ("y", "z"), ("s", "s"), (None, "q"), ("B", "é"), *[("hub", f"n{i}") for i in range(300)]]
+    frame = spark.createDataFrame(edges, "left_tf string, right_tf string")
+    found = {r.component: (r.nodes, r.non_bipartite) for r in graph.identifiability_components(frame).collect()}
+    assert found == {"b": (3, True), "x": (3, False), "s": (1, True), "B": (2, False), "hub": (301, False)}
+    named = {r.node: r.component for r in graph.connected_components(frame).collect()}
+    assert {named[k] for k in "bcd"} == {"b"} and named["s"] == "s" and named["é"] == "B" and named["n7"] == "hub" and "q" not in named
+    assert seen and set(seen) == {"long"}
