@@ -105,3 +105,12 @@ def test_rounds_of_a_graph_compare_numbers(spark, monkeypatch):
     named = {r.node: r.component for r in graph.connected_components(frame).collect()}
     assert {named[k] for k in "bcd"} == {"b"} and named["s"] == "s" and named["é"] == "B" and named["n7"] == "hub" and "q" not in named
     assert seen and set(seen) == {"long"}
+
+
+def test_nearest_pairs_are_dealt_by_the_number_of_hits(spark, monkeypatch):
+    tasks, plain = [], M._nearest_pairs
+    monkeypatch.setattr(M, "TASK_HITS", 10)
+    monkeypatch.setattr(M, "_nearest_pairs", lambda *args: tasks.append(args[5]) or plain(*args))
+    hits = spark.range(300).selectExpr("concat('s', id % 50) AS seq_id", "concat('g', id % 6) AS tf_id", "int(id % 60) AS start", "int(id % 60 + 6) AS end", "'+' AS strand", "1D AS score", "0 AS hit_rank")
+    edges = spark.createDataFrame([("x", "y")], "left_tf string, right_tf string")
+    assert M.select_pairs(hits, edges, 2).count() > 0 and tasks == [30]
