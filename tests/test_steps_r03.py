@@ -107,6 +107,15 @@ def test_rounds_of_a_graph_compare_numbers(spark, monkeypatch):
     assert seen and set(seen) == {"long"}
 
 
+def test_edits_are_dealt_once_and_never_broadcast(spark):
+    scored = spark.range(2000).selectExpr("concat('k', id % 40) AS seq_id", "id % 50 AS position", "'A' AS alt_base", "explode(array('high', 'low')) AS state_mode", "IF(state_mode = 'high', 2D, 0.5D) AS full_score")
+    base = spark.range(40).selectExpr("concat('k', id) AS seq_id", "explode(array('high', 'low')) AS state_mode", "IF(state_mode = 'high', 3D, 0.5D) AS full_score")
+    out = E.rank_edits(scored, base, ["seq_id"])
+    steps = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in steps and "Broadcast" not in steps and steps.count("Exchange hashpartitioning") == 2
+    assert {(r.high_low_margin, r.margin_drop) for r in out.collect()} == {(1.5, 1.0)} and out.count() == 200
+
+
 def test_nearest_pairs_are_dealt_by_the_number_of_hits(spark, monkeypatch):
     tasks, plain = [], M._nearest_pairs
     monkeypatch.setattr(M, "TASK_HITS", 10)
