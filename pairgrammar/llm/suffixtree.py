@@ -282,14 +282,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def lengthened(ctx: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Hash of contexts (0: the empty one) with one more word read."""
+    return _mixed(_mixed(ctx.view(np.uint64)) + symbol.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)).view(np.int64)
+
+
 def word_contexts(code: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For 1 to ``DEPTH`` words: hash of the words before each place, and where there are so many."""
-    out, h, code = [], np.zeros(len(code), np.uint64), code.view(np.uint64)
+    out, h = [], np.zeros(len(code), np.int64)
     for d in range(1, DEPTH + 1):
-        older = np.zeros_like(code)
-        older[d:] = code[:-d]
-        h = _mixed(h + older * np.uint64(0x9E3779B97F4A7C15) + np.uint64(d))
-        out.append((h.view(np.int64), place > d))
+        h = np.concatenate([h[:1], lengthened(h[:-1], code[:-1])])
+        out.append((h, place > d))
     return out
 
 
@@ -315,63 +318,64 @@ def word_codes(at: list[np.ndarray], known: _Words) -> tuple[np.ndarray, np.ndar
 
 
 def count_followers(rows: DataFrame, depth: int, bits: np.ndarray) -> DataFrame:
-    """(ctx, sfx, symbol, n) for contexts of ``depth`` words whose last and whose first ``depth`` - 1 words pass (of one word: itself)."""
+    """(ctx, sfx, symbol, n) for contexts of ``depth`` words that pass; ``sfx`` is the context without its oldest word, of one word there is none."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)
+    names = ["ctx", "symbol", "n", "sfx"][:3 if depth == 1 else 4]
 
     def run(batches):
         known = _Words(Classes([{}] * 4), np.zeros(0, np.int64), np.zeros(0, np.int64))
         kept, held = [], 0
 
         def merged():
-            ctx, sfx, symbol, n = (np.concatenate(c) for c in zip(*kept))
-            key = _mixed(ctx.view(np.uint64) ^ _mixed(symbol.view(np.uint64)))
+            parts = [np.concatenate(c) for c in zip(*kept)]
+            key = _mixed(parts[0].view(np.uint64) ^ _mixed(parts[1].view(np.uint64)))
             _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-            return ctx[first], sfx[first], symbol[first], np.bincount(inverse, weights=n, minlength=len(first)).astype(np.int64)
+            n = np.bincount(inverse, weights=parts[2], minlength=len(first)).astype(np.int64)
+            order = np.argsort(parts[0][first], kind="stable")  # rows of a context in a row: they pack better
+            ctx, symbol, _, *sfx = [p[first[order]] for p in parts]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (ctx, symbol, n[order], *sfx)], names)
 
         for batch in batches:
             for _, texts in slices(batch, batch.column(0)):
                 code, place = word_codes(known.look([tokens(t) for t in texts]), known)
                 found = word_contexts(code, place)
                 ctx, use = found[depth - 1]
-                sfx = found[max(0, depth - 2)][0]
-                use = use & passes(shared.value, sfx)
-                if depth > 1:
-                    first = np.zeros(len(use), bool)
-                    first[1:] = passes(shared.value, sfx[:-1])
-                    use &= first
-                kept.append((ctx[use], sfx[use], code[use], np.ones(int(use.sum()), np.int64)))
+                use = use & passes(shared.value, ctx)
+                sfx = [found[depth - 2][0][use]] if depth > 1 else []
+                kept.append((ctx[use], code[use], np.ones(int(use.sum()), np.int64), *sfx))
                 held += len(kept[-1][0])
                 if held > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged()], ["ctx", "sfx", "symbol", "n"])
+                    yield merged()
                     kept, held = [], 0
         if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged()], ["ctx", "sfx", "symbol", "n"])
+            yield merged()
 
-    counted = rows.select("text").mapInArrow(run, "ctx long, sfx long, symbol long, n long")
-    return counted.groupBy("ctx", "symbol").agg(F.first("sfx").alias("sfx"), F.sum("n").alias("n"))
+    counted = rows.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return counted.groupBy("ctx", "symbol").agg(F.sum("n").alias("n"), *[F.first("sfx").alias("sfx") for c in names[3:]])
 
 
 def grow_words(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame, list[np.ndarray]]:
     """The tree over words as tables: (ctx, symbol, n), (ctx, total, kinds); and a filter of the contexts of each length.
 
     A context of words is counted if it comes ``LEAST`` times, whatever the corpus' size. One word stays as
-    it is; longer ones stay if they save ``GAIN`` nats over the context without their oldest word.
+    it is; longer ones stay if they save ``GAIN`` nats over the context without their oldest word. A context
+    comes as often as its newest word follows the rest of it, so that the counts of one length tell exactly
+    which contexts of the next are to be counted.
     """
     spark = rows.sparkSession
 
-    def one(batches):
+    def longer_ones(batches):
         for b in batches:
-            h = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(word_contexts(np.append(h, 0), np.full(len(h) + 1, 2))[0][0][1:])], ["ctx"])
+            yield pa.RecordBatch.from_arrays([pa.array(lengthened(*(np.array(c.to_numpy()) for c in b.columns)))], ["ctx"])
 
-    bits = make_filter(counts.where(F.col("learned") >= LEAST).select("h").mapInArrow(one, "ctx long"))
+    bits = make_filter(counts.where(F.col("learned") >= LEAST).select(F.lit(0).cast("long").alias("ctx"), "h").mapInArrow(longer_ones, "ctx long"))
     edges, nodes, filters, below = None, None, [], None
     for depth in range(1, DEPTH + 1):
         path = scratch_path(spark, f"followers-{depth}")
         count_followers(rows, depth, bits).write.parquet(path)
         own = spark.read.parquet(path)
-        often = own.groupBy("ctx").agg(F.first("sfx").alias("sfx"), F.sum("n").alias("total"), F.count("*").alias("kinds")).where(F.col("total") >= LEAST)
-        bits = make_filter(often)
+        often = own.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), *[F.first(c).alias(c) for c in own.columns[3:]]).where(F.col("total") >= LEAST)
+        bits = make_filter(own.where((F.col("n") >= LEAST) & (F.col("symbol") != END)).select("ctx", "symbol").mapInArrow(longer_ones, "ctx long"))
         stays = often
         if below is not None:
             plain = own.join(often.select("ctx"), "ctx", "left_semi").join(below[0].select(F.col("ctx").alias("sfx"), "symbol", F.col("n").alias("m")), ["sfx", "symbol"])
