@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
+from functools import partial
 from itertools import islice
 
 import numpy as np
@@ -23,6 +25,7 @@ GAIN = 12.0  # nats that a context must save over its suffix on the training tex
 LEAST = 30  # times that a context of words must come, at any corpus size
 SLOT_BITS = 27  # a filter of contexts has so many slots: beyond, it lets more through, but loses none
 FREQUENT = 1 << 20  # words whose counts travel to every task, at most
+HEAD = 1 << 23  # counts of words after contexts that travel to every task, at most: the largest
 BITS = 12
 START, END, OTHER = 1, 2, 3  # before a text, after it, a word of no class of its own
 _MASK = (1 << BITS) - 1
@@ -305,6 +308,15 @@ def make_filter(contexts_: DataFrame) -> np.ndarray:
     return out
 
 
+def packed(bits: np.ndarray) -> bytes:
+    """A bitmap for the way to the tasks: most of it is empty."""
+    return zlib.compress(bits.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint64)
+
+
 def passes(bits: np.ndarray, ctx: np.ndarray) -> np.ndarray:
     slot = ctx.view(np.uint64) >> np.uint64(64 - SLOT_BITS)
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
@@ -319,11 +331,11 @@ def word_codes(at: list[np.ndarray], known: _Words) -> tuple[np.ndarray, np.ndar
 
 def count_followers(rows: DataFrame, depth: int, bits: np.ndarray) -> DataFrame:
     """(ctx, sfx, symbol, n) for contexts of ``depth`` words that pass; ``sfx`` is the context without its oldest word, of one word there is none."""
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    shared = rows.sparkSession.sparkContext.broadcast(packed(bits))
     names = ["ctx", "symbol", "n", "sfx"][:3 if depth == 1 else 4]
 
     def run(batches):
-        known = _Words(Classes([{}] * 4), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        known, own = _Words(Classes([{}] * 4), np.zeros(0, np.int64), np.zeros(0, np.int64)), unpacked(shared.value)
         kept, held = [], 0
 
         def merged():
@@ -340,7 +352,7 @@ def count_followers(rows: DataFrame, depth: int, bits: np.ndarray) -> DataFrame:
                 code, place = word_codes(known.look([tokens(t) for t in texts]), known)
                 found = word_contexts(code, place)
                 ctx, use = found[depth - 1]
-                use = use & passes(shared.value, ctx)
+                use = use & passes(own, ctx)
                 sfx = [found[depth - 2][0][use]] if depth > 1 else []
                 kept.append((ctx[use], code[use], np.ones(int(use.sum()), np.int64), *sfx))
                 held += len(kept[-1][0])
@@ -354,6 +366,11 @@ def count_followers(rows: DataFrame, depth: int, bits: np.ndarray) -> DataFrame:
     return counted.groupBy("ctx", "symbol").agg(F.sum("n").alias("n"), *[F.first("sfx").alias("sfx") for c in names[3:]])
 
 
+def _longer_rows(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(lengthened(*(c.to_numpy() for c in b.columns)))], ["ctx"])
+
+
 def grow_words(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame, list[np.ndarray]]:
     """The tree over words as tables: (ctx, symbol, n), (ctx, total, kinds); and a filter of the contexts of each length.
 
@@ -364,18 +381,14 @@ def grow_words(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame
     """
     spark = rows.sparkSession
 
-    def longer_ones(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(lengthened(*(np.array(c.to_numpy()) for c in b.columns)))], ["ctx"])
-
-    bits = make_filter(counts.where(F.col("learned") >= LEAST).select(F.lit(0).cast("long").alias("ctx"), "h").mapInArrow(longer_ones, "ctx long"))
+    bits = make_filter(counts.where(F.col("learned") >= LEAST).select(F.lit(0).cast("long").alias("ctx"), "h").mapInArrow(_longer_rows, "ctx long"))
     edges, nodes, filters, below = None, None, [], None
     for depth in range(1, DEPTH + 1):
         path = scratch_path(spark, f"followers-{depth}")
         count_followers(rows, depth, bits).write.parquet(path)
         own = spark.read.parquet(path)
         often = own.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), *[F.first(c).alias(c) for c in own.columns[3:]]).where(F.col("total") >= LEAST)
-        bits = make_filter(own.where((F.col("n") >= LEAST) & (F.col("symbol") != END)).select("ctx", "symbol").mapInArrow(longer_ones, "ctx long"))
+        bits = make_filter(own.where((F.col("n") >= LEAST) & (F.col("symbol") != END)).select("ctx", "symbol").mapInArrow(_longer_rows, "ctx long"))
         stays = often
         if below is not None:
             plain = own.join(often.select("ctx"), "ctx", "left_semi").join(below[0].select(F.col("ctx").alias("sfx"), "symbol", F.col("n").alias("m")), ["sfx", "symbol"])
@@ -391,6 +404,84 @@ def grow_words(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame
     return edges, nodes, filters
 
 
+def lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Values by sorted keys; -1 for a key that is not there."""
+    if not len(keys):
+        return np.full(len(asked), -1, np.int64)
+    spot = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[spot] == asked, values[spot].astype(np.int64), -1)
+
+
+def largest(rows: DataFrame, count: str, limit: int) -> tuple[int, DataFrame]:
+    """The least count such that at most ``limit`` rows have it or more, and these rows."""
+    top, least = 1 << 16, 1 << 16
+    for r in sorted(rows.groupBy(F.least(count, F.lit(top)).alias("c")).count().collect(), key=lambda r: -r["c"]):
+        limit -= r["count"]
+        if limit < 0:
+            least = r["c"] + 1
+            break
+        least = r["c"]
+    else:
+        least = 1
+    return least, rows.where(F.col(count) >= least) if least <= top else rows.where("false")
+
+
+class TreeHead:
+    """The part of the tree over words that every task has: its largest counts, exact within the bounds they give.
+
+    ``whole``: a context that is not here is not in the tree. ``least``: a word follows a context less often
+    than that if its count is not here; if that is 2 at most, a text that was learned from knows it: once.
+    """
+
+    def __init__(self, filters: list[bytes], least: int, key: np.ndarray, n: np.ndarray, whole: bool, ctx: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> None:
+        self.filters, self.least, self.key, self.n, self.whole, self.ctx, self.total, self.kinds = [unpacked(f) for f in filters], least, key, n, whole, ctx, total, kinds
+
+    @staticmethod
+    def gather(edges: DataFrame, nodes: DataFrame, filters: list[np.ndarray]) -> tuple:
+        """What a head is made of, of bounded size."""
+        def keyed(batches):
+            for b in batches:
+                key = lengthened(b.column(0).to_numpy(), b.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(2)], ["key", "n"])
+
+        def by_key(table, *names):
+            order = np.argsort(table[names[0]].to_numpy())
+            columns = [table[c].to_numpy()[order] for c in names]
+            return [columns[0], *[c.astype(np.int32 if c.max(initial=0) < 1 << 31 else np.int64) for c in columns[1:]]]
+
+        least, most = largest(edges, "n", HEAD)
+        key, n = by_key(most.mapInArrow(keyed, "key long, n long").toArrow(), "key", "n")
+        floor, most = largest(nodes, "total", HEAD >> 3)
+        return [packed(f) for f in filters], least, key, n, floor <= LEAST, *by_key(most.toArrow(), "ctx", "total", "kinds")
+
+    def climb(self, code: np.ndarray, place: np.ndarray, start: np.ndarray, sure: np.ndarray, learned: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Gain of each place by what is here, the places for which more is to be asked, and their contexts.
+
+        ``start``: log10 probability by the class tree, where it is ``sure``.
+        """
+        ask, found, prob = np.zeros(len(code), bool), [], np.power(10.0, start)
+        once = 1 if learned and self.least <= 2 else 0 if self.least <= 1 else -1
+        for (ctx, use), bits in zip(word_contexts(code, place), self.filters):
+            use = use & passes(bits, ctx)
+            at = np.flatnonzero(use)
+            total = lookup(self.ctx, self.total, ctx[at])
+            if self.whole:
+                use[at[total < 0]] = False
+                at, total = at[total >= 0], total[total >= 0]
+            kinds = lookup(self.ctx, self.kinds, ctx[at])
+            n = lookup(self.key, self.n, lengthened(ctx[at], code[at]))
+            n = np.where(n < 0, once, n)
+            prob[at] = (n + kinds * prob[at]) / np.maximum(total + kinds, 1)
+            ask[at] |= (n < 0) | (total < 0)
+            found.append((ctx, use))
+        within = np.logical_or.reduce([use for _, use in found])
+        ask |= within & ~sure
+        gain = np.zeros(len(code))
+        done = within & ~ask
+        gain[done] = np.log10(prob[done]) - start[done]
+        return gain, ask, found
+
+
 def word_gain(scored: DataFrame, counts: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``row_id``, ``gain``: log10 of what the contexts of words make of the class tree's probability, summed over a text.
 
@@ -399,7 +490,16 @@ def word_gain(scored: DataFrame, counts: DataFrame, edges: DataFrame, nodes: Dat
     """
     at = scored.select("row_id", F.posexplode(F.arrays_zip("symbol", "place", "p", *[f"c{d}" for d in range(1, DEPTH + 1)])).alias("pos", "x")).select("row_id", "pos", "x.*")
     asked = at.select("row_id", "pos", "symbol", "p", "place", F.posexplode(F.array(*[f"c{d}" for d in range(1, DEPTH + 1)])).alias("d", "ctx")).where("ctx is not null")
-    met = asked.join(nodes, "ctx").join(edges, ["ctx", "symbol"], "left")
+    # most counts are of words that no place asks for: they stay where they are
+    shared = scored.sparkSession.sparkContext.broadcast(packed(make_filter(asked.select("ctx", "symbol").mapInArrow(_longer_rows, "ctx long"))))
+
+    def wanted(batches):
+        bits = unpacked(shared.value)
+        for b in batches:
+            yield b.filter(pa.array(passes(bits, lengthened(b.column(0).to_numpy(), b.column(1).to_numpy()))))
+
+    found = edges.select("ctx", "symbol", "n").mapInArrow(wanted, "ctx long, symbol long, n long")
+    met = asked.join(nodes, "ctx").join(found, ["ctx", "symbol"], "left")
     seen = met.groupBy("row_id", "pos").agg(
         F.first("symbol").alias("symbol"), F.first("p").alias("p"), F.first("place").alias("known"),
         *[F.max(F.when(F.col("d") == d, F.struct("total", "kinds", F.coalesce("n", F.lit(0)).alias("n")))).alias(f"x{d}") for d in range(DEPTH)])
@@ -443,7 +543,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     probability. For ``score`` a suffix tree predicts each token's class from the classes before it,
     and the word follows from its class: (c + 0.5) / (C + 0.5 (K + 1)), where C and K are the
     class's tokens and distinct words. On this rests the suffix tree over words (``grow_words``), which
-    grows with the corpus: its tables are joined by context hash. The vocabulary, the classes and all contexts are counted over
+    grows with the corpus: its largest counts travel to the tasks (``TreeHead``), places that need others
+    are joined by context hash. The vocabulary, the classes and all contexts are counted over
     the whole corpus. Counts of frequent words travel to the tasks; those of all others are joined
     by word hash, one row for each text and word. Rows with a null key are learned from;
     repeated rows count as often as they come; an empty table gives no rows.
@@ -478,10 +579,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     frequent = F.col("total") >= max(2.0, (facts["total"] or 0) / FREQUENT)
     head = counts.where(frequent).select("h", "learned").toArrow().sort_by("h")
     edges, nodes, filters = grow_words(training, counts)
-    shared = spark.sparkContext.broadcast((classes.maps, tree, inside, head["h"].to_numpy(), head["learned"].to_numpy(), filters))
+    shared = spark.sparkContext.broadcast((classes.maps, tree, inside, head["h"].to_numpy(), head["learned"].to_numpy(), TreeHead.gather(edges, nodes, filters)))
 
-    def make():
-        maps, own_tree, norm, h, learned, bits = shared.value
+    def make(of_training):
+        maps, own_tree, norm, h, learned, top = shared.value
+        top = TreeHead(*top)
         known = _Words(Classes(maps), h, learned)
         last = math.log10(texts + 0.5) - scale
 
@@ -496,12 +598,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             # log10 probability by the class tree; of words to be joined, without their count
             p = step.copy()
             p[word] += np.where(count[word] >= 0, np.log10(np.maximum(count[word], 0) + 0.5), 0) - norm[symbols[word]]
-            found = [(c, use & passes(b, c)) for (c, use), b in zip(word_contexts(code, place), bits)]
-            asked = np.logical_or.reduce([use for _, use in found])
+            gain, asked, found = top.climb(code, place, p, count >= 0, of_training)
             cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[asked], minlength=len(given)))]), pa.int32())
             lists = [pa.array(code[asked]), pa.array(count[asked] >= 0), pa.array(p[asked]), *[pa.array(c[asked], mask=~use[asked]) for c, use in found]]
             step[word] += scale - norm[symbols[word]]
             step[symbols == END] -= last
+            step += gain
             lift = np.bincount(owner, weights=step, minlength=len(given))
             base, near, tails, times = [], [], [], []
             for a in at:
@@ -522,7 +624,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     fields += [T.StructField("symbol", T.ArrayType(T.LongType())), T.StructField("place", T.ArrayType(T.BooleanType())), T.StructField("p", T.ArrayType(T.DoubleType())), *[T.StructField(f"c{d}", T.ArrayType(T.LongType())) for d in range(1, DEPTH + 1)]]
     path = scratch_path(spark, "scored")
     numbered = rows.withColumn("row_id", F.monotonically_increasing_id())
-    map_texts(numbered, "text", ["row_id", "key", "held_out"], fields, make).select("row.*", *[f.name for f in fields]).write.parquet(path)
+    # a text that was learned from knows that its own words were counted, so these texts go by themselves
+    parts = [
+        map_texts(part, "text", ["row_id", "key", "held_out"], fields, partial(make, of_training)).select("row.*", *[f.name for f in fields])
+        for part, of_training in ((numbered.where(~F.col("held_out")), True), (numbered.where("held_out").withColumn("row_id", -1 - F.col("row_id")), False))]
+    parts[0].unionByName(parts[1]).write.parquet(path)
     scored = spark.read.parquet(path)
     rare = scored.select("row_id", F.inline(F.arrays_zip("h", "times"))).join(counts.where(~frequent).select("h", "learned"), "h")
     found = rare.groupBy("row_id").agg(F.sum(F.when(F.col("learned") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.col("learned") + 0.5)).alias("logs"))

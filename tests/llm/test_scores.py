@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairgrammar.llm import langid, quality, suffixtree
 
@@ -151,3 +152,22 @@ def test_contexts_of_rare_words_are_retained(spark):
     got = {r["doc_id"]: r for r in suffixtree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     held = lambda lo: [got[i]["score"] - got[i]["base_score"] for i in range(lo, lo + 9) if got[i]["held_out"]]
     assert held(1000) and held(2000) and min(held(1000)) > max(held(2000)) + 2
+
+
+def test_only_frequent_contexts_are_counted(spark, monkeypatch):
+    """Words that come often, in pairs that do not: no pair of them is counted as a context."""
+    draw, seen, plain = random.Random(11), {}, suffixtree.count_followers
+    monkeypatch.setattr(suffixtree, "count_followers", lambda rows, depth, bits: seen.setdefault(depth, plain(rows, depth, bits)))
+    texts = [" ".join(f"n{draw.randrange(60)}" for _ in range(100)) for _ in range(60)] + ["qualm zebu yonder vixen"] * 40
+    suffixtree.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert seen[1].count() > 1000 and seen[2].count() == 3 and seen[3].count() == 2
+
+
+@pytest.mark.parametrize("head", [0, 64, 4096])
+def test_the_tree_that_travels_gives_what_the_joined_one_gives(spark, monkeypatch, head):
+    """Scores do not depend on how many counts travel to the tasks: none, some of them, or all."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.substring("text", 1, 1500).alias("text"))
+    want = {r["doc_id"]: r["score"] for r in suffixtree.score(docs).collect()}
+    monkeypatch.setattr(suffixtree, "HEAD", head)
+    got = {r["doc_id"]: r["score"] for r in suffixtree.score(docs).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
