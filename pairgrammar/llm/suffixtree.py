@@ -26,6 +26,7 @@ LEAST = 30  # times that a context of words must come, at any corpus size
 SLOT_BITS = 27  # a filter of contexts has so many slots: beyond, it lets more through, but loses none
 FREQUENT = 1 << 20  # words whose counts travel to every task, at most
 HEAD = 1 << 23  # counts of words after contexts that travel to every task, at most: the largest
+SMALL = 1 << 20  # tokens up to which the tree over words is kept in tables; beyond, texts ask for what they need (``wordtree``)
 BITS = 12
 START, END, OTHER = 1, 2, 3  # before a text, after it, a word of no class of its own
 _MASK = (1 << BITS) - 1
@@ -546,12 +547,22 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     grows with the corpus: its largest counts travel to the tasks (``TreeHead``), places that need others
     are joined by context hash. The vocabulary, the classes and all contexts are counted over
     the whole corpus. Counts of frequent words travel to the tasks; those of all others are joined
-    by word hash, one row for each text and word. Rows with a null key are learned from;
+    by word hash, one row for each text and word. Beyond ``SMALL`` tokens the same scores come from
+    ``wordtree``, without tables of places. Rows with a null key are learned from;
     repeated rows count as often as they come; an empty table gives no rows.
     """
+    from pairgrammar.llm import wordtree
+
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(key).alias("key"), remainder_is_one(key, 5).alias("held_out"), F.col(text).alias("text"))
+    store = wordtree.Bucketed(spark, wordtree.buckets_for(docs))
+    chunks = store.keep(wordtree.make_chunks(rows, store.buckets), "chunks")
+    total, learned_texts = wordtree.many(chunks)
+    if total > SMALL:
+        scores = wordtree.score(store, chunks, rows.schema["key"].dataType, total, learned_texts)
+        return scores.select(F.col("key").alias(key), *scores.columns[1:])
+    store.drop()
     path = scratch_path(spark, "words")
     count_words(rows).write.parquet(path)
     words = spark.read.parquet(path)
