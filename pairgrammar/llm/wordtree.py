@@ -25,10 +25,11 @@ from pairgrammar.llm import suffixtree as st
 from pairgrammar.llm.common import slices
 from pairgrammar.session import leaf_bytes, scratch_path
 
-CHUNK = 1 << 21  # tokens of a chunk; more only if one text has more
+CHUNK = 3 << 19  # tokens of a chunk; more only if one text has more
 PART_KEYS = 1 << 21  # tokens for each part of the keys
 BUCKET_BYTES = 4 << 20  # input for each bucket of chunks
-WORDS, LONGER, KEPT = 0, 10, 20  # kinds of questions: counts of words, of words after d words (LONGER + d), what stays of contexts of d words (KEPT + d)
+# kinds of questions: counts of words, of classes after d classes (CLASS + d), of words after d words (LONGER + d), what stays of contexts of d words (KEPT + d)
+WORDS, CLASS, LONGER, KEPT = 0, 0, 10, 20
 PIECE = 1 << 21  # bytes of text that are cut into words at once; more only for a longer word
 _SPREAD, _BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
@@ -206,6 +207,7 @@ def make_chunks(rows: DataFrame, buckets: int) -> DataFrame:
             h, rank = distinct(np.concatenate([w[0] for w in words]))
             tail = np.zeros(len(h), np.int32)
             tail[rank] = np.concatenate([w[1] for w in words])
+            counts = np.bincount(rank[np.repeat(~np.array(held, bool), np.concatenate(sizes))], minlength=len(h))
             # a task's chunks go to buckets side by side
             name = named_for((3 * at + k) % buckets, buckets, at << 40 | k << 24)
             k += 1
@@ -213,8 +215,8 @@ def make_chunks(rows: DataFrame, buckets: int) -> DataFrame:
             values = values if isinstance(values, pa.Array) else values.chunk(0)
             return pa.RecordBatch.from_arrays([
                 pa.array([name]), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), pa.array([len(rank)]), pa.array([sum(not x for x in held)]),
-                *[pa.array([x], pa.binary()) for x in (planes(rank), planes(np.concatenate(sizes)), planes(np.array(held, np.int64)), h.tobytes(), planes(tail))]],
-                ["chunk", "keys", "tokens", "texts", "ids", "sizes", "held", "h", "tail"])
+                *[pa.array([x], pa.binary()) for x in (planes(rank), planes(np.concatenate(sizes)), planes(np.array(held, np.int64)), h.tobytes(), planes(tail), planes(counts))]],
+                ["chunk", "keys", "tokens", "texts", "ids", "sizes", "held", "h", "tail", "counts"])
 
         for batch in batches:
             for part, texts in slices(batch, batch.column(2)):
@@ -231,7 +233,7 @@ def make_chunks(rows: DataFrame, buckets: int) -> DataFrame:
             yield chunk()
 
     kind = T.ArrayType(rows.schema["key"].dataType)
-    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("keys", kind), T.StructField("tokens", T.LongType()), T.StructField("texts", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("ids", "sizes", "held", "h", "tail")]])
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("keys", kind), T.StructField("tokens", T.LongType()), T.StructField("texts", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("ids", "sizes", "held", "h", "tail", "counts")]])
     return rows.select("key", "held_out", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -310,7 +312,7 @@ class Chunk:
         self.id = np.zeros(len(self.owner), np.int32)
         self.id[self.word] = ids
         self.told = {}
-        for table in [x for name, x in row.items() if name.startswith("a_") and x]:
+        for table in [x for step, x in row.items() if step.startswith("a_") and x]:
             for x in sorted(table, key=lambda x: (x["kind"], x["part"])):
                 self.told.setdefault(x["kind"], []).append((x["a"], x["b"]))
 
@@ -325,9 +327,6 @@ class Chunk:
         out[self.word] = classes.of(self.h, self.tail)[self.id[self.word]]
         return out
 
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.id[self.word & self.learns], minlength=len(self.h))
-
 
 class Level:
     """Contexts of ``depth`` words that come ``LEAST`` times, at their places in a chunk.
@@ -341,7 +340,7 @@ class Level:
         self.depth = below.depth + 1 if below else 1
         if below is None:
             self.contexts, count = chunk.h, chunk.counts(WORDS)
-            at = np.flatnonzero(chunk.place > 1)
+            at = np.flatnonzero(chunk.place > 1).astype(np.int32)
             own = chunk.id[at - 1]
         else:
             self.contexts, count = below.keys, below.told
@@ -400,27 +399,37 @@ def levels(chunk: Chunk, depth: int) -> list[Level]:
     return out
 
 
-def questions(chunk: Chunk, step: int) -> Iterator[tuple[int, np.ndarray, list, list]]:
-    """(kind, sorted keys, what the chunk knows of them twice) of each step."""
-    if step == 0:
-        yield WORDS, chunk.h, chunk.word_counts(), chunk.tail
-        return
+def questions(chunk: Chunk, step: int, groups: list[np.ndarray], allowed: np.ndarray | None) -> Iterator[tuple]:
+    """(kind, sorted keys, what the chunk knows of them twice) of each step but the one for words."""
     known = levels(chunk, min(step, st.DEPTH))
     if step <= st.DEPTH:
         yield LONGER + step, known[-1].keys, known[-1].local(chunk), None
     if step > 1:
         d = step - 1
         yield KEPT + d, *known[d - 1].sums(chunk, known[d - 2] if d > 1 else None)
+    del known
+    if step == 1 or step <= st.DEPTH and len(allowed):
+        key, n = class_keys(chunk, groups, step, allowed)
+        key = key.astype(np.uint64) * _SPREAD
+        order = np.argsort(key)
+        yield CLASS + step, key[order], n[order], None
 
 
-def ask(chunks: DataFrame, step: int, bits: int) -> DataFrame:
-    """Rows of questions: one for each chunk, kind and part of the keys."""
+def ask(chunks: DataFrame, step: int, bits: int, shared=None) -> DataFrame:
+    """Rows of questions: one for each chunk, kind and part of the keys. ``shared``: the classes, and the contexts of classes to count."""
+    if step == 0:
+        chunks = chunks.select("chunk", "h", "tail", "counts")
     names = [named_for(i, 1 << bits) for i in range(1 << bits)]
 
     def run(batches):
         for row in each_row(batches):
-            chunk = Chunk(row)
-            for kind, keys, a, b in questions(chunk, step):
+            name = row["chunk"]
+            if step:
+                asked = questions(Chunk(row), step, *shared.value)
+            else:
+                asked = [(WORDS, np.frombuffer(row["h"], np.uint64), unplaned(row["counts"]), unplaned(row["tail"]))]
+            del row
+            for kind, keys, a, b in asked:
                 edges = [0, *np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(keys)]
                 out = []
                 for i in range(1 << bits):
@@ -428,7 +437,7 @@ def ask(chunks: DataFrame, step: int, bits: int) -> DataFrame:
                     if edges[i] < edges[i + 1]:
                         pack = planes if kind < KEPT else lambda x: x.tobytes()
                         gaps = np.diff(keys[cut] - (np.uint64(i) << np.uint64(64 - bits)), prepend=np.uint64(0))
-                        out.append((names[i], i, chunk.name, kind, planes(gaps), pack(a[cut]), None if b is None else pack(b[cut])))
+                        out.append((names[i], i, name, kind, planes(gaps), pack(a[cut]), None if b is None else pack(b[cut])))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["name", "part", "chunk", "kind", "keys", "a", "b"])
 
@@ -445,7 +454,8 @@ def each_row(batches) -> Iterator[dict]:
 def answer(asked: DataFrame, bits: int) -> DataFrame:
     """Answers to the rows of ``ask``, dealt by part: the sums over all chunks, in the order of each question's keys.
 
-    Of words also one row for each task (``chunk`` null) with their hashes, tails and counts.
+    Of words also one row for each task (``chunk`` null) with their hashes, tails and counts; of classes
+    nothing but such rows.
     """
     def run(batches):
         rows = [tuple(c[i].as_py() for c in b.columns) for b in batches for i in range(b.num_rows)]
@@ -463,12 +473,14 @@ def answer(asked: DataFrame, bits: int) -> DataFrame:
                 kinds, saved = [np.bincount(spot, np.concatenate([np.frombuffer(r[c], np.float64) for r in own]), len(keys)) for c in (5, 6)]
                 kinds = np.rint(kinds).astype(np.int64)
                 told = [(planes(kinds[spot[lo:hi]]), saved[spot[lo:hi]].tobytes()) for lo, hi in zip(edges, edges[1:])]
-            for r, (a, b) in zip(own, told):
+            for r, (a, b) in zip(own, told if kind == WORDS or kind > LONGER else []):
                 yield named([(r[2], kind, r[1], a, b, None, None, None)])
             if kind == WORDS:
                 tail = np.zeros(len(keys), np.int64)
                 tail[spot] = np.concatenate([unplaned(r[6]).astype(np.int64) for r in own])
                 yield named([(None, kind, 0, planes(sums), planes(tail), keys.tobytes(), int(sums.sum()), int((sums > 0).sum()))])
+            elif kind < LONGER:
+                yield named([(None, kind, 0, planes(sums), None, keys.tobytes(), None, None)])
 
     def named(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], ["chunk", "kind", "part", "a", "b", "h", "learned", "words"])
@@ -476,37 +488,17 @@ def answer(asked: DataFrame, bits: int) -> DataFrame:
     return asked.repartition(1 << bits, "name").mapInArrow(run, "chunk long, kind int, part int, a binary, b binary, h binary, learned long, words long")
 
 
-def tally(chunks: DataFrame, shared, make: Callable, bits: int) -> np.ndarray:
-    """Context, symbol, count (three rows) of class contexts over all chunks; ``make`` gives a chunk's keys and counts, of which there are boundedly many."""
-    names = [named_for(i, 1 << bits) for i in range(1 << bits)]
-
-    def run(batches):
-        for row in each_row(batches):
-            key, n = make(Chunk(row), *shared.value)
-            key = key.astype(np.uint64) * _SPREAD
-            part = (key >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.argsort(key)
-            key, n, edges = key[order], n[order], np.searchsorted(part[order], np.arange((1 << bits) + 1))
-            out = [(names[i], key[edges[i]:edges[i + 1]].tobytes(), planes(n[edges[i]:edges[i + 1]])) for i in range(1 << bits) if edges[i] < edges[i + 1]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["name", "key", "n"])
-
-    def add(batches):
-        rows = [tuple(c[i].as_py() for c in b.columns) for b in batches for i in range(b.num_rows)]
-        if rows:
-            key, spot = distinct(np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows]))
-            n = np.bincount(spot, np.concatenate([unplaned(r[2]).astype(float) for r in rows]), len(key)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([key.tobytes()], pa.binary()), pa.array([planes(n)], pa.binary())], ["key", "n"])
-
-    table = chunks.drop("keys").mapInArrow(run, "name long, key binary, n binary").repartition(1 << bits, "name").mapInArrow(add, "key binary, n binary").toArrow()
-    key = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in table["key"].to_pylist()]])
-    n = np.concatenate([np.zeros(0, np.int64), *[unplaned(x).astype(np.int64) for x in table["n"].to_pylist()]])
+def class_counts(answers: DataFrame) -> np.ndarray:
+    """Context, symbol, count (three rows) of class contexts over all chunks, of which there are boundedly many."""
+    table = answers.where("chunk is null").select("h", "a").toArrow()
+    key = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in table["h"].to_pylist()]])
+    n = np.concatenate([np.zeros(0, np.int64), *[unplaned(x).astype(np.int64) for x in table["a"].to_pylist()]])
     key = (key * _BACK).astype(np.int64)
     order = np.argsort(key)
     return np.stack([key[order] >> st.BITS, key[order] & st._MASK, n[order]])
 
 
-def _class_keys(chunk: Chunk, groups: list[np.ndarray], depth: int, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def class_keys(chunk: Chunk, groups: list[np.ndarray], depth: int, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """A chunk's class contexts of one length with the class that follows, and how often each comes in texts to learn from."""
     classes = Classes(groups)
     symbols, place = chunk.symbols(classes)[chunk.learns], chunk.place[chunk.learns]
@@ -542,24 +534,27 @@ def follow(symbols: np.ndarray, place: np.ndarray, tree: dict, nodes: Finder, ke
     return value
 
 
-def learn_tree(chunks: DataFrame, classes: Classes, bits: int) -> dict:
-    """As ``suffixtree.learn_tree``, of chunks."""
-    sc = chunks.sparkSession.sparkContext
-    part = tally(chunks, sc.broadcast((classes.groups, 1, None)), _class_keys, bits)
-    symbol, inverse = np.unique(part[1], return_inverse=True)
-    alone = np.stack([np.zeros(len(symbol), np.int64), symbol, np.bincount(inverse, weights=part[2], minlength=len(symbol)).astype(np.int64)])
-    least = max(30.0, st.CONTEXT_SHARE * part[2].sum())
-    first, inverse = np.unique(part[0], return_inverse=True)
-    part = part[:, np.bincount(inverse, weights=part[2], minlength=len(first))[inverse] >= least] if len(first) else part
-    found = [alone, part]
-    for depth in range(2, st.DEPTH + 1):
-        often = (part[2] >= least) & (part[1] != st.END)
-        allowed = np.unique(st.longer(part[0][often], part[1][often]))
-        if not len(allowed):
-            break
-        part = tally(chunks, sc.broadcast((classes.groups, depth, allowed)), _class_keys, bits)
-        found.append(part)
-    return st.grow(*np.concatenate(found, axis=1), symbols=classes.size)
+class ClassTree:
+    """As ``suffixtree.learn_tree``, one length after the other."""
+
+    def __init__(self, classes: Classes) -> None:
+        self.classes, self.found, self.least, self.allowed = classes, [], 0.0, None
+
+    def add(self, part: np.ndarray) -> None:
+        """Counts of the next length; ``allowed`` are the contexts of the length after that."""
+        if not self.found:
+            # every symbol follows one symbol, so the pairs also tell how often it comes at all
+            symbol, inverse = np.unique(part[1], return_inverse=True)
+            self.found.append(np.stack([np.zeros(len(symbol), np.int64), symbol, np.bincount(inverse, weights=part[2], minlength=len(symbol)).astype(np.int64)]))
+            self.least = max(30.0, st.CONTEXT_SHARE * part[2].sum())
+            first, inverse = np.unique(part[0], return_inverse=True)
+            part = part[:, np.bincount(inverse, weights=part[2], minlength=len(first))[inverse] >= self.least] if len(first) else part
+        self.found.append(part)
+        often = (part[2] >= self.least) & (part[1] != st.END)
+        self.allowed = np.unique(st.longer(part[0][often], part[1][often]))
+
+    def grown(self) -> dict:
+        return st.grow(*np.concatenate(self.found, axis=1), symbols=self.classes.size)
 
 
 def chunk_scores(chunk: Chunk, finders: list[Finder], groups: list[np.ndarray], tree: dict, inside: np.ndarray, scale: float, texts: int) -> list[np.ndarray]:
@@ -567,18 +562,20 @@ def chunk_scores(chunk: Chunk, finders: list[Finder], groups: list[np.ndarray],
     symbols, learned, word = chunk.symbols(Classes(groups)), chunk.counts(WORDS), chunk.word
     size, last = len(chunk.sizes), math.log10(texts + 0.5) - scale
     step = follow(symbols, chunk.place, tree, *finders)
-    count = learned[chunk.id[word]]
-    base = np.bincount(chunk.owner[word], np.log10(count + 0.5), size) - chunk.sizes * scale + last
-    near = np.bincount(chunk.owner[word], count > 0, size).astype(np.int64) + (texts > 0)
-    step[word] += np.log10(count + 0.5) - inside[symbols[word]]
-    prob = np.power(10.0, step)
-    below = None
+    ids, owner, seen = chunk.id[word], chunk.owner[word], np.log10(learned + 0.5)
+    log = seen[ids]
+    base = np.bincount(owner, log, size) - chunk.sizes * scale + last
+    near = np.bincount(owner, (learned > 0)[ids], size).astype(np.int64) + (texts > 0)
+    step[word] += log - inside[symbols[word]]
+    prob = np.exp(step * math.log(10.0))
+    within, below = np.zeros(len(step), bool), None
     for level in levels(chunk, st.DEPTH):
         stays, kinds = level.kept(chunk, below)
         at = level.at[stays]
         prob[at] = (level.n[stays] + kinds[stays] * prob[at]) / (level.total[stays] + kinds[stays])
-        step[at] = np.log10(prob[at])
+        within[at] = True
         below = level
+    step[within] = np.log10(prob[within])
     return [chunk.sizes + 1, near, base, np.bincount(chunk.owner, step, size)]
 
 
@@ -619,20 +616,28 @@ def score(store: Bucketed, chunks: DataFrame, key: T.DataType, total: int, texts
     inside = np.full(classes.size, math.log10(0.5))  # log10 of each class's normaliser
     for r in words.mapInArrow(by_kind, "kind long, tokens long, words long").groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect():
         inside[r["kind"]] = math.log10(r["tokens"] + 0.5 * (r["words"] + 1))
-    tree = learn_tree(chunks, classes, bits)
 
     def kept(answers: DataFrame, name: str) -> DataFrame:
         own = answers.where("chunk is not null").repartition(store.buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("kind", "part", "a", "b")).alias(name))
         return store.keep(own, name)
 
-    known = chunks.join(kept(first, "a_0"), "chunk", "left")
+    grown, told = ClassTree(classes), kept(first, "a_0")
     for step in range(1, st.DEPTH + 2):
-        known = known.join(kept(answer(ask(known, step, bits), bits), f"a_{step}"), "chunk", "left")
-    shared = sc.broadcast((groups, tree, inside, scale, texts))
+        # answers are joined first: chunks are long rows
+        known = chunks.join(told.hint("shuffle_hash"), "chunk", "left")
+        path = scratch_path(spark, f"answers-{step}")
+        answer(ask(known, step, bits, sc.broadcast((groups, grown.allowed))), bits).write.option("compression", "zstd").parquet(path)
+        answers = spark.read.parquet(path)
+        if step <= st.DEPTH:
+            grown.add(class_counts(answers))
+        told = told.join(kept(answers, f"a_{step}"), "chunk", "left")
+    known = chunks.join(told.hint("shuffle_hash"), "chunk", "left")
+    shared = sc.broadcast((groups, grown.grown(), inside, scale, texts))
 
     def run(batches):
-        finders = [Finder(shared.value[1][c]) for c in ("nodes", "key")]
+        finders = None
         for row in each_row(batches):
+            finders = finders or [Finder(shared.value[1][c]) for c in ("nodes", "key")]
             chunk = Chunk(row)
             given = [pa.array(x) for x in chunk_scores(chunk, finders, *shared.value)]
             yield pa.RecordBatch.from_arrays([row["keys"], pa.array(chunk.held), given[0], given[1], pa.array(np.full(len(chunk.held), n)), given[2], given[3]], names)
