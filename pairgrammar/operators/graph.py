@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +35,74 @@ def _fingerprint(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def _numbered(edges: DataFrame, left: str, right: str) -> tuple[DataFrame, DataFrame]:
-    """Edges (u, v) by the numbers of their nodes, and the nodes (node, id): numbers from 1 in the order of the names.
+FOREST = 1 << 20  # edges that a task holds at once
+
+
+def forest(u: np.ndarray, v: np.ndarray, odd: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least edges that tie the same nodes by walks of the same parities: one to the lowest node of each component, and a loop there if it has an odd cycle.
+
+    ``odd``: whether an edge changes sides. Works on the double cover: the second copy of a node has its number and ``nodes`` more.
+    """
+    flip = np.where(odd, nodes, 0)
+    a, b, root = np.concatenate([u, u + nodes]), np.concatenate([v + flip, v + nodes - flip]), np.arange(2 * nodes)
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    low = np.minimum(root[:nodes], root[nodes:])
+    tied, loops = np.flatnonzero(low != np.arange(nodes)), np.flatnonzero((low == np.arange(nodes)) & (root[:nodes] == root[nodes:]))
+    return np.concatenate([tied, loops]), np.concatenate([low[tied], loops]), np.concatenate([root[tied] != low[tied], np.ones(len(loops), bool)])
+
+
+def contracted(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """Edges (u, v, odd) with the components and odd cycles of all edges, fewer for each task than the nodes it meets.
+
+    Repeated edges and those that close even cycles end in the task that reads them, before anything is stored or shuffled. A
+    task holds ``FOREST`` edges at most besides those it is given.
+    """
+    def run(batches):
+        kept, held = [], 0
+
+        def folded():
+            columns = [pa.concat_arrays([k[i] for k in kept]) for i in range(3)]
+            coded = pa.concat_arrays(columns[:2]).dictionary_encode()
+            at = coded.indices.to_numpy().astype(np.int64)
+            u, v, odd = forest(at[:len(at) // 2], at[len(at) // 2:], columns[2].to_numpy(zero_copy_only=False), len(coded.dictionary))
+            return [coded.dictionary.take(pa.array(u)), coded.dictionary.take(pa.array(v)), pa.array(odd)]
+
+        for b in batches:
+            kept.append([b.column(0), b.column(1), pa.array(np.ones(b.num_rows, bool))])
+            held += b.num_rows
+            if held > FOREST:
+                kept = [folded()]
+                held = len(kept[0][0])
+                if held > FOREST // 2:
+                    yield pa.RecordBatch.from_arrays(kept[0], ["u", "v", "odd"])
+                    kept, held = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays(folded(), ["u", "v", "odd"])
+
+    given = edges.select(F.col(left).cast("string").alias("u"), F.col(right).cast("string").alias("v")).filter("u is not null and v is not null")
+    return given.mapInArrow(run, "u string, v string, odd boolean")
+
+
+def _numbered(edges: DataFrame, left: str, right: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v, more) by the numbers of their nodes, and the nodes (node, id): numbers from 1 in the order of the names.
 
     The rounds compare and group by numbers: the lowest name of a group would be found by sorting.
     """
-    base = materialize(edges.select(F.col(left).cast("string").alias("u"), F.col(right).cast("string").alias("v")).filter("u is not null and v is not null"))
+    base = materialize(edges.select(F.col(left).cast("string").alias("u"), F.col(right).cast("string").alias("v"), *more).filter("u is not null and v is not null"))
     nodes = base.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("_edges"))
     ids = materialize(ranked(nodes, [], ["node"], "id"))
     total = 2 * base.count()
     for side in ("u", "v"):
         base = look_up(base, ids.select(F.col("node").alias(side), "_edges", F.col("id").alias(f"_{side}")), side, total).drop(side)
-    return base.select(F.col("_u").alias("u"), F.col("_v").alias("v")), ids.select("node", "id")
+    return base.select(F.col("_u").alias("u"), F.col("_v").alias("v"), *more), ids.select("node", "id")
 
 
 def _lower(pairs: DataFrame) -> DataFrame:
@@ -82,12 +140,14 @@ def identifiability_components(edges: DataFrame) -> DataFrame:
     """K2: per component its size and whether it holds an odd cycle (self loops count).
 
     One run over the bipartite double cover answers both: a component is non-bipartite when both
-    copies of a node meet, and the smaller name of the two copies' components is its own.
+    copies of a node meet, and the smaller name of the two copies' components is its own. It runs
+    over the edges that the tasks which read them leave (``contracted``); edges may repeat.
     """
     shared_dir(edges.sparkSession)
-    pairs, ids = _numbered(edges, "left_tf", "right_tf")
+    pairs, ids = _numbered(contracted(edges, "left_tf", "right_tf"), "u", "v", "odd")
     n = ids.count()  # a node's second copy has its number and n more
-    cover = pairs.select(F.explode(F.array(F.struct("u", (F.col("v") + n).alias("v")), F.struct((F.col("u") + n).alias("u"), "v"))).alias("e")).select("e.*")
+    flip = F.when(F.col("odd"), n).otherwise(0)
+    cover = pairs.select(F.explode(F.array(F.struct("u", (F.col("v") + flip).alias("v")), F.struct((F.col("u") + n).alias("u"), (F.col("v") + n - flip).alias("v")))).alias("e")).select("e.*")
     copies = ids.select(F.explode(F.array("id", F.col("id") + n)).alias("u"))
     halves = copies.join(_lower(cover), "u", "left").select(((F.col("u") - 1) % n + 1).alias("id"), F.coalesce("low", "u").alias("half"))
     nodes = halves.groupBy("id").agg(F.min((F.col("half") - 1) % n + 1).alias("low"), (F.min("half") == F.max("half")).alias("odd"))
